@@ -20,15 +20,17 @@ def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 # ----- lineitem with missing values, numbers stored as text and a constant
 
-def lineitem_dirty(spark: SparkSession, sf_dir: str) -> DataFrame:
+def lineitem_dirty(spark: SparkSession, sf_dir: str, masks=(7, 4, 11)) -> DataFrame:
+    """lineitem with values blanked in a fixed pattern (all rows kept)."""
+    m_discount, m_tax, m_flag = masks
     li = load(spark, sf_dir, "lineitem")
     return li.select(
         "l_orderkey", "l_partkey", "l_linenumber", "l_quantity",
-        F.when(F.col("l_orderkey") % 7 == 0, F.lit(None)).otherwise(F.col("l_discount"))
+        F.when(F.col("l_orderkey") % m_discount == 0, F.lit(None)).otherwise(F.col("l_discount"))
         .alias("l_discount"),
-        F.when(F.col("l_orderkey") % 4 == 0, F.lit(None)).otherwise(F.col("l_tax")).alias("l_tax"),
+        F.when(F.col("l_orderkey") % m_tax == 0, F.lit(None)).otherwise(F.col("l_tax")).alias("l_tax"),
         "l_extendedprice",
-        F.when(F.col("l_orderkey") % 11 == 0, F.lit(None)).otherwise(F.col("l_returnflag"))
+        F.when(F.col("l_orderkey") % m_flag == 0, F.lit(None)).otherwise(F.col("l_returnflag"))
         .alias("l_returnflag"),
         "l_linestatus",
         F.when(F.col("l_linenumber") == 1, F.lit("x"))
@@ -37,6 +39,12 @@ def lineitem_dirty(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def lineitem_dirty_sql(masks=(7, 4, 11)) -> str:
+    m_discount, m_tax, m_flag = masks
+    return LINEITEM_DIRTY_SQL.replace("% 7 ", f"% {m_discount} ").replace(
+        "% 4 ", f"% {m_tax} ").replace("% 11 ", f"% {m_flag} ")
+
+
 LINEITEM_DIRTY_SQL = """
 select l_orderkey, l_partkey, l_linenumber, l_quantity,
        case when l_orderkey % 7 = 0 then null else l_discount end as l_discount,
