@@ -29,6 +29,20 @@ DEFAULT_DATE_FORMATS = (
     "yyyyMMdd",
 )
 
+# The text shape each date format can match.  Parsing is only
+# attempted on text of that shape (a failed parse is far more costly than a
+# regex test), so the guard must accept everything the format parses.
+DATE_FORMAT_SHAPES = {
+    "yyyy-MM-dd HH:mm:ss": r"^\d{4}-\d{2}-\d{2} \d{2}:\d{2}:\d{2}$",
+    "yyyy-MM-dd'T'HH:mm:ss": r"^\d{4}-\d{2}-\d{2}T\d{2}:\d{2}:\d{2}$",
+    "yyyy-MM-dd HH:mm": r"^\d{4}-\d{2}-\d{2} \d{2}:\d{2}$",
+    "yyyy-MM-dd": r"^\d{4}-\d{2}-\d{2}$",
+    "yyyy/MM/dd": r"^\d{4}/\d{2}/\d{2}$",
+    "MM/dd/yyyy": r"^\d{2}/\d{2}/\d{4}$",
+    "dd.MM.yyyy": r"^\d{2}\.\d{2}\.\d{4}$",
+    "yyyyMMdd": r"^\d{8}$",
+}
+
 NUMBER, TEXT, DATETIME, BOOLEAN, OTHER = "number", "text", "datetime", "boolean", "other"
 
 
@@ -84,9 +98,19 @@ def to_numeric(col: Column) -> Column:
     return F.when(is_numeric_text(col), F.trim(col).try_cast("double"))
 
 
+def parse_with(col: Column, fmt: str) -> Column:
+    """Parse text with one format; NULL when it does not parse.
+
+    Known formats are tried only on text of their shape (see above).
+    """
+    parsed = F.try_to_timestamp(col, F.lit(fmt))
+    shape = DATE_FORMAT_SHAPES.get(fmt)
+    return F.when(col.rlike(shape), parsed) if shape else parsed
+
+
 def parse_datetime(col: Column, formats=DEFAULT_DATE_FORMATS) -> Column:
     """Text (or timestamp/date) to ``timestamp_ntz``; unparseable -> NULL."""
-    parsed = [F.try_to_timestamp(col, F.lit(fmt)) for fmt in formats]
+    parsed = [parse_with(col, fmt) for fmt in formats]
     return F.coalesce(*parsed).cast("timestamp_ntz")
 
 

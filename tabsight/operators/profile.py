@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from ..functions.aggregates import count_missing
 from ..functions.scalars import (DATETIME, DEFAULT_DATE_FORMATS, NUMBER, TEXT, family_of,
-                                 is_missing, is_numeric_text, nan_to_null)
+                                 is_missing, is_numeric_text, nan_to_null, parse_with)
 from . import stats as S
 
 PROFILE_SCHEMA = ("column string, ordinal int, dtype string, family string, rows bigint, "
@@ -34,7 +34,7 @@ ONE_HOT_BELOW = 10              # fewer distinct values -> one-hot, else label
 
 
 def _parse(col, fmt):
-    return F.try_to_timestamp(col, F.lit(fmt))
+    return parse_with(col, fmt)
 
 
 def _date_format_expr(df: DataFrame, c: str, formats) -> tuple[list, F.Column]:
@@ -61,12 +61,14 @@ def profile(df: DataFrame, cols: Sequence[str] | None = None,
     if not cols:
         return df.sparkSession.createDataFrame([], PROFILE_SCHEMA)
     fam = {c: family_of(df.schema[c].dataType) for c in cols}
-    distinct = F.approx_count_distinct if approx_distinct else F.count_distinct
+    # Distinct counts run as their own pass: mixed with the other aggregates,
+    # Spark's distinct rewrite would copy every wide row once per column.
+    uniques = S.unique_counts(df, cols, approx=approx_distinct).select(
+        "column", F.col("n_unique").alias("_n_unique"))
     aggs = [F.count(F.lit(1)).alias("rows")]
     picks = {}
     for c in cols:
         aggs.append(count_missing(is_missing(df, c)).alias(f"missing__{c}"))
-        aggs.append(distinct(nan_to_null(df, c)).alias(f"n_unique__{c}"))
         if fam[c] == NUMBER:
             v = nan_to_null(df, c).cast("double")
             aggs += [F.min(v).alias(f"min__{c}"), F.max(v).alias(f"max__{c}"),
@@ -84,10 +86,10 @@ def profile(df: DataFrame, cols: Sequence[str] | None = None,
             F.lit(df.schema[c].dataType.simpleString()).alias("dtype"), F.lit(fam[c]).alias("family"),
             F.col("rows").alias("rows"), F.col(f"`missing__{c}`").alias("missing"),
             F.try_divide(F.col(f"`missing__{c}`") * 100.0, F.col("rows")).alias("missing_pct"),
-            F.col(f"`n_unique__{c}`").cast("bigint").alias("n_unique"),
             *[(F.col(f"`{s}__{c}`") if num else none).alias(s) for s in ("min", "max", "mean", "std")],
             (picks[c] if c in picks else F.lit(None).cast("string")).alias("date_format")))
-    base = wide.select(F.explode(F.array(*entries)).alias("e")).select("e.*")
+    base = (wide.select(F.explode(F.array(*entries)).alias("e")).select("e.*")
+            .join(uniques, "column", "left").withColumnRenamed("_n_unique", "n_unique"))
     nums = [c for c in cols if fam[c] == NUMBER]
     texts = [c for c in cols if fam[c] == TEXT]
     out = base
