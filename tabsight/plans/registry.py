@@ -20,9 +20,9 @@ class Query:
 
 
 def all_queries() -> list[Query]:
-    from . import q_grouped, q_prepare, q_profile, q_stats
+    from . import q_catalog, q_grouped, q_prepare, q_profile, q_stats, q_time
     out: list[Query] = []
-    for mod in (q_grouped, q_stats, q_profile, q_prepare):
+    for mod in (q_grouped, q_stats, q_profile, q_prepare, q_time, q_catalog):
         out.extend(mod.QUERIES)
     names = [q.name for q in out]
     dupes = {n for n in names if names.count(n) > 1}
