@@ -20,9 +20,10 @@ class Query:
 
 
 def all_queries() -> list[Query]:
-    from . import q_catalog, q_grouped, q_prepare, q_profile, q_stats, q_time
+    from . import (q_catalog, q_filters, q_grouped, q_prepare, q_profile, q_sources, q_stats,
+                   q_time)
     out: list[Query] = []
-    for mod in (q_grouped, q_stats, q_profile, q_prepare, q_time, q_catalog):
+    for mod in (q_grouped, q_stats, q_profile, q_prepare, q_time, q_catalog, q_filters, q_sources):
         out.extend(mod.QUERIES)
     names = [q.name for q in out]
     dupes = {n for n in names if names.count(n) > 1}
