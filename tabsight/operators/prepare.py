@@ -170,15 +170,27 @@ def one_hot(df: DataFrame, cols: Sequence[str], max_categories: int = 1000) -> D
     return out
 
 
+# Category lists up to this size are read back (sorted) and coded on the
+# driver, then broadcast; the limit check is what proves the size.
+SMALL_CATEGORY_LIMIT = 10_000
+
+
 def label_codes(df: DataFrame, col: str) -> tuple[DataFrame, int]:
     """(value, code) with code = position among the sorted distinct values.
 
-    Dense codes come from the distributed running count, so a column with
+    A short category list (checked with a limit) is coded directly; a long
+    one gets dense codes from the distributed running count, so a column with
     billions of distinct values is coded without a single-task window.
     Returns the code table and its row count (a proven size).
     """
-    distinct = (df.select(F.col(col).alias("value")).where(F.col("value").isNotNull())
-                .distinct().withColumn("_one", F.lit(1).cast("bigint")))
+    values = df.select(F.col(col).alias("value")).where(F.col("value").isNotNull()).distinct()
+    few = [r[0] for r in values.orderBy("value").limit(SMALL_CATEGORY_LIMIT + 1).collect()]
+    if len(few) <= SMALL_CATEGORY_LIMIT:
+        dtype = df.schema[col].dataType.simpleString()
+        codes = df.sparkSession.createDataFrame(
+            [(v, i) for i, v in enumerate(few)], f"value {dtype}, code bigint")
+        return codes, len(few)
+    distinct = values.withColumn("_one", F.lit(1).cast("bigint"))
     ranked, totals = running_total(distinct, ["value"], "_one", "_cum")
     total = totals.first()
     n = int(total["_cum"]) if total is not None and total["_cum"] is not None else 0

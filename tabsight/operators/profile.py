@@ -63,8 +63,12 @@ def profile(df: DataFrame, cols: Sequence[str] | None = None,
     fam = {c: family_of(df.schema[c].dataType) for c in cols}
     # Distinct counts run as their own pass: mixed with the other aggregates,
     # Spark's distinct rewrite would copy every wide row once per column.
-    uniques = S.unique_counts(df, cols, approx=approx_distinct).select(
-        "column", F.col("n_unique").alias("_n_unique"))
+    # They come to the driver (one number per column) and also decide which
+    # quantile method each numeric column can use.
+    counted = {r["column"]: r["n_unique"] for r in
+               S.unique_counts(df, cols, approx=approx_distinct).collect()}
+    uniques = df.sparkSession.createDataFrame(
+        [(c, counted.get(c)) for c in cols], "column string, _n_unique bigint")
     aggs = [F.count(F.lit(1)).alias("rows")]
     picks = {}
     for c in cols:
@@ -94,7 +98,9 @@ def profile(df: DataFrame, cols: Sequence[str] | None = None,
     texts = [c for c in cols if fam[c] == TEXT]
     out = base
     if nums:
-        out = out.join(S.quantiles_wide(df, nums, {"median": 0.5}, exact=exact), "column", "left")
+        known = None if approx_distinct else counted
+        out = out.join(S.quantiles_wide(df, nums, {"median": 0.5}, exact=exact, distinct=known),
+                       "column", "left")
     else:
         out = out.withColumn("median", none)
     if texts and samples:
@@ -144,8 +150,13 @@ def _issue(df: DataFrame, order: int, typ: str, column=None, columns=None, affec
         (suggested if suggested is not None else F.lit(None)).cast("string").alias("suggested_type"))
 
 
-def quality_missing(prof: DataFrame) -> DataFrame:
-    """One issue listing every column with missing values (none when clean)."""
+def quality_missing(df: DataFrame) -> DataFrame:
+    """One issue listing every column with missing values (none when clean).
+
+    Accepts the table itself (one fused count pass) or its profile rows.
+    """
+    prof = df if {"missing", "rows", "ordinal", "column"} <= set(df.columns) and \
+        "family" in df.columns else S.missing_counts(df)
     with_missing = prof.where(F.col("missing") > 0)
     agg = with_missing.agg(
         F.count(F.lit(1)).alias("n"),
@@ -190,8 +201,7 @@ def quality_numeric_text(df: DataFrame) -> DataFrame:
 
 def quality_issues(df: DataFrame, prof: DataFrame | None = None) -> DataFrame:
     """All four rules in the reference's order: missing, duplicates, outliers, types."""
-    prof = prof if prof is not None else profile(df, samples=0)
-    return (quality_missing(prof).unionByName(quality_duplicates(df))
+    return (quality_missing(prof if prof is not None else df).unionByName(quality_duplicates(df))
             .unionByName(quality_outliers(df)).unionByName(quality_numeric_text(df)))
 
 

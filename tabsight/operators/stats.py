@@ -3,9 +3,11 @@
 Design rules:
 * statistics of many columns are fused into one aggregate pass and then
   reshaped to one row per column (a Generate over a single row);
-* exact quantiles never build a value->count map in one task: values are
-  histogrammed by a shuffle with map-side combine and located with a
-  distributed running count (``ordering.running_total``);
+* exact quantiles never build an unbounded value->count map in one task:
+  columns with a known-small number of distinct values use Spark's
+  ``percentile``; wider columns are histogrammed by a shuffle with map-side
+  combine and located with a distributed running count
+  (``ordering.running_total``);
 * NaN is treated as missing everywhere (pandas ``isna``).
 """
 
@@ -103,15 +105,44 @@ def _long_values(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     return vals.unpivot([], list(cols), "column", "value").where(F.col("value").isNotNull())
 
 
+# A column with at most this many distinct values is summarised by Spark's
+# exact ``percentile`` aggregate, whose buffer is a value -> count map; the
+# sum over all such columns of one call is bounded too.  Wider columns use
+# the distributed histogram path, which has no such buffer.
+MAP_DISTINCT_LIMIT = 500_000
+MAP_TOTAL_LIMIT = 4_000_000
+
+
+def _split_by_cardinality(df: DataFrame, cols: Sequence[str],
+                          distinct: Mapping[str, int] | None) -> tuple[list[str], list[str]]:
+    """(columns for the in-map percentile, columns for the histogram path)."""
+    if distinct is None:
+        # HyperLogLog estimate (rsd 1 %), one cheap pass; a 10 % margin is kept.
+        row = df.agg(*[F.approx_count_distinct(nan_to_null(df, c), 0.01).alias(f"d{i}")
+                       for i, c in enumerate(cols)]).first()
+        distinct = {c: int(row[f"d{i}"] * 1.1) + 1 for i, c in enumerate(cols)}
+    small, wide, total = [], [], 0
+    for c in cols:
+        n = distinct.get(c)
+        if n is not None and n <= MAP_DISTINCT_LIMIT and total + n <= MAP_TOTAL_LIMIT:
+            small.append(c)
+            total += n
+        else:
+            wide.append(c)
+    return small, wide
+
+
 def quantiles(df: DataFrame, cols: Sequence[str], probs: Sequence[float] = (0.25, 0.5, 0.75),
-              exact: bool = True, accuracy: int = 100_000) -> DataFrame:
+              exact: bool = True, accuracy: int = 100_000,
+              distinct: Mapping[str, int] | None = None) -> DataFrame:
     """Quantiles with linear interpolation: (column, prob, value).
 
     ``exact=True`` reproduces pandas ``quantile`` (position p * (n - 1),
-    interpolated between neighbours).  It histograms the values (a shuffle
-    of distinct (column, value) pairs with map-side counting), then finds the
-    two neighbouring ranks with a distributed running count.  No task ever
-    holds more than its share of the distinct values.
+    interpolated between neighbours).  Columns with few distinct values
+    (known from ``distinct`` or estimated) use Spark's exact ``percentile``;
+    the others are histogrammed (a shuffle of distinct (column, value) pairs
+    with map-side counting) and the neighbouring ranks are found with a
+    distributed running count, so no task holds more than its share.
 
     ``exact=False`` uses mergeable ``percentile_approx`` sketches (rank error
     about 1/accuracy) in one pass without a shuffle of values.
@@ -124,11 +155,29 @@ def quantiles(df: DataFrame, cols: Sequence[str], probs: Sequence[float] = (0.25
     if not exact:
         wide = df.agg(*[F.percentile_approx(nan_to_null(df, c).cast("double"), probs, accuracy)
                         .alias(f"q__{c}") for c in cols])
-        long = _to_long(wide, cols, {"q": "array<double>"})
-        return long.select("column", F.posexplode("q").alias("i", "value")).select(
-            "column", F.element_at(F.array(*[F.lit(p) for p in probs]), F.col("i") + 1)
-            .alias("prob"), "value")
+        return _explode_probs(wide, cols, probs)
+    small, big = _split_by_cardinality(df, cols, distinct)
+    parts = []
+    if small:
+        wide = df.agg(*[F.percentile(nan_to_null(df, c).cast("double"), F.array(*[F.lit(p) for p in probs]))
+                        .alias(f"q__{c}") for c in small])
+        parts.append(_explode_probs(wide, small, probs))
+    if big:
+        parts.append(_histogram_quantiles(df, big, probs))
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
+
+
+def _explode_probs(wide: DataFrame, cols: Sequence[str], probs: Sequence[float]) -> DataFrame:
+    long = _to_long(wide, cols, {"q": "array<double>"})
+    return long.select("column", F.posexplode("q").alias("i", "value")).select(
+        "column", F.element_at(F.array(*[F.lit(p) for p in probs]), F.col("i") + 1).alias("prob"),
+        "value")
+
 
+def _histogram_quantiles(df: DataFrame, cols: Sequence[str], probs: Sequence[float]) -> DataFrame:
     hist = _long_values(df, cols).groupBy("column", "value").agg(F.count(F.lit(1)).alias("cnt"))
     ranked, totals = running_total(hist, ["value"], "cnt", "cum", group_cols=["column"])
     targets = (totals.select("column", F.col("cum").alias("n"),
@@ -152,9 +201,9 @@ def quantiles(df: DataFrame, cols: Sequence[str], probs: Sequence[float] = (0.25
 
 
 def quantiles_wide(df: DataFrame, cols: Sequence[str], names: Mapping[str, float] = QUARTILES,
-                   exact: bool = True) -> DataFrame:
+                   exact: bool = True, distinct: Mapping[str, int] | None = None) -> DataFrame:
     """(column, <name>...) with one quantile per named column."""
-    long = quantiles(df, cols, list(names.values()), exact=exact)
+    long = quantiles(df, cols, list(names.values()), exact=exact, distinct=distinct)
     return long.groupBy("column").agg(
         *[F.max(F.when(F.col("prob") == p, F.col("value"))).alias(n) for n, p in names.items()])
 

@@ -67,7 +67,7 @@ def _profile(spark, d):
 
 
 def _quality_missing(spark, d):
-    return P.quality_missing(P.profile(lineitem_dirty(spark, d), samples=0))
+    return P.quality_missing(lineitem_dirty(spark, d))
 
 
 def quality_missing_sql() -> str:
