@@ -20,16 +20,22 @@ exact quantiles (cumulative counts over a value histogram).
 
 from __future__ import annotations
 
+import sys
 from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..session import ensure_checkpoint_dir
 
+# The per-partition function runs in Python workers, which need not have this
+# package installed: pickle this module's functions by value.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 PID = "_ts_pid"
 PTOTAL = "_ts_ptotal"
 OFFSET = "_ts_offset"
