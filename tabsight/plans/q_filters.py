@@ -10,6 +10,7 @@ from ..operators import series as SE
 from ..operators import correlation as C
 from ..operators import grouped as G
 from .common import rounded
+from ..functions.scalars import NUMERIC_TEXT_PATTERN
 from .registry import Query
 from .tables import lineitem_dirty, lineitem_dirty_sql, load
 
@@ -78,7 +79,9 @@ def _bar(spark, d):
 
 def _scatter(spark, d):
     li = load(spark, d, "lineitem")
-    return rounded(SE.series_scatter(li, "l_quantity", "l_extendedprice", 500, ["l_orderkey", "l_linenumber"]))
+    li = li.withColumn("ship", F.date_format("l_shipdate", "yyyy-MM-dd HH:mm:ss"))
+    key = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "ship"]
+    return rounded(SE.series_scatter(li, "l_quantity", "l_extendedprice", 500, key))
 
 
 def _ols(spark, d):
@@ -116,6 +119,36 @@ def _union_head_tail(spark, d):
     return rounded(head.unionByName(tail))
 
 
+def _scalars(spark, d):
+    """The scalar helpers over every lineitem row."""
+    from ..functions import scalars as SC
+    li = lineitem_dirty(spark, d, with_shipdate=True)
+    ts = F.col("l_shipdate")
+    return rounded(li.select(
+        "l_orderkey", "l_linenumber",
+        SC.to_numeric(F.col("l_linenumber_text")).alias("as_number"),
+        SC.parse_datetime(F.col("l_shipdate_text")).alias("as_time"),
+        SC.period_label(ts, "Y").alias("year_end"), SC.period_label(ts, "M").alias("month_end"),
+        SC.period_label(ts, "W").alias("week_end"), SC.period_label(ts, "D").alias("day"),
+        SC.floor_days(F.lit("1990-01-01 12:00:00").cast("timestamp_ntz"), ts).cast("bigint").alias("days"),
+        SC.is_missing(li, "l_discount").alias("discount_missing"),
+        SC.safe_div(F.col("l_extendedprice"), F.col("l_discount")).alias("price_per_discount")))
+
+
+SCALARS_SQL = f"""
+with l as ({lineitem_dirty_sql(with_shipdate=True)})
+select l_orderkey, l_linenumber,
+       case when regexp_matches(l_linenumber_text, '{NUMERIC_TEXT_PATTERN}') then cast(trim(l_linenumber_text) as double) end
+         as as_number,
+       try_strptime(l_shipdate_text, '%Y-%m-%d') as as_time,
+       make_date(year(l_shipdate), 12, 31) as year_end, last_day(l_shipdate) as month_end,
+       cast(date_trunc('week', l_shipdate) as date) + 6 as week_end, cast(l_shipdate as date) as day,
+       cast(floor(epoch_us(l_shipdate - timestamp '1990-01-01 12:00:00') / 86400000000) as bigint) as days,
+       l_discount is null or isnan(l_discount) as discount_missing,
+       round(l_extendedprice / nullif(l_discount, 0), 6) as price_per_discount
+from l
+"""
+
 CORR3 = ["l_quantity", "l_extendedprice", "l_discount"]
 
 HEATMAP_SQL = "\nunion all\n".join(
@@ -132,6 +165,7 @@ from range(1, 21) t(b) cross join s left join c on c.bin = t.b
 """
 
 QUERIES = [
+    Query("scalar_functions", _scalars, SCALARS_SQL),
     Query("project_metrics", _project, """
 select l_orderkey, l_linenumber, round(l_quantity, 6) as l_quantity from lineitem"""),
     Query("select_by_type", _select_by_type, "select o_orderstatus, o_orderpriority from orders"),
@@ -170,7 +204,8 @@ from lineitem where l_returnflag is not null group by 1"""),
     Query("series_scatter", _scatter, """
 select round(l_quantity, 6) as l_quantity, round(l_extendedprice, 6) as l_extendedprice from lineitem
 where l_quantity is not null and l_extendedprice is not null
-order by md5(concat_ws('|', l_orderkey, l_linenumber)) limit 500"""),
+order by md5(concat_ws('|', l_orderkey, l_linenumber, l_partkey, l_suppkey,
+                        strftime(l_shipdate, '%Y-%m-%d %H:%M:%S'))) limit 500"""),
     Query("ols_trendline", _ols, """
 select round(regr_slope(l_extendedprice, l_quantity), 6) as slope,
        round(regr_intercept(l_extendedprice, l_quantity), 6) as intercept,

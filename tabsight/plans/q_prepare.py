@@ -191,6 +191,18 @@ def _replay(spark, d):
     return rounded(R.apply_pipeline(lineitem_dirty(spark, d, REPLAY_MASKS), load_spec(spark, path)))
 
 
+def _stream_replay(spark, d):
+    """lineitem_dirty dropped into a folder, prepared by the file stream."""
+    from ..streaming.replay import read_prepared, replay_stream
+    src, sink, ckpt = (scratch_path(spark, n) for n in ("stream-src", "stream-out", "stream-ckpt"))
+    dirty = lineitem_dirty(spark, d)
+    dirty.write.parquet(src)
+    q = replay_stream(spark, src, dirty.schema, STEPS, sink, ckpt)
+    q.awaitTermination()
+    out = read_prepared(spark, sink)
+    return rounded(out.select(*[c for c in out.columns]))
+
+
 def _before_after(spark, d):
     before = lineitem_dirty(spark, d)
     after = R.apply_pipeline(before, STEPS)
@@ -230,4 +242,5 @@ QUERIES = [
     Query("pipeline_spec_io", _spec_io, pipeline_sql()),
     Query("replay_pipeline", _replay, pipeline_sql(REPLAY_MASKS)),
     Query("before_after_stats", _before_after, before_after_sql()),
+    Query("stream_replay", _stream_replay, pipeline_sql()),
 ]

@@ -55,8 +55,11 @@ def _sink_records(spark, d):
 
 
 def _sample(spark, d):
-    li = load(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_quantity")
-    return rounded(SMP.sample_rows(li, 5000, ["l_orderkey", "l_linenumber"]))
+    li = load(spark, d, "lineitem").select(
+        "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity",
+        F.date_format("l_shipdate", "yyyy-MM-dd HH:mm:ss").alias("ship"))
+    key = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "ship"]
+    return rounded(SMP.sample_rows(li, 5000, key)).drop("ship")
 
 
 def _preview(spark, d):
@@ -80,8 +83,9 @@ select l_orderkey, l_linenumber, l_returnflag, l_quantity from lineitem"""),
 select to_json(struct_pack(n_nationkey := n_nationkey, n_name := n_name, n_regionkey := n_regionkey))::varchar
        as record from nation"""),
     Query("sample_rows", _sample, """
-select l_orderkey, l_linenumber, round(l_quantity, 6) as l_quantity from lineitem
-order by md5(concat_ws('|', l_orderkey, l_linenumber)) limit 5000"""),
+select l_orderkey, l_linenumber, l_partkey, l_suppkey, round(l_quantity, 6) as l_quantity from lineitem
+order by md5(concat_ws('|', l_orderkey, l_linenumber, l_partkey, l_suppkey,
+                       strftime(l_shipdate, '%Y-%m-%d %H:%M:%S'))) limit 5000"""),
     Query("preview_head", _preview, """
 select o_orderkey, o_custkey, o_orderstatus, round(o_totalprice, 6) as o_totalprice, o_orderdate, o_orderpriority
 from orders order by o_orderkey limit 10"""),

@@ -20,7 +20,8 @@ def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 # ----- lineitem with missing values, numbers stored as text and a constant
 
-def lineitem_dirty(spark: SparkSession, sf_dir: str, masks=(7, 4, 11)) -> DataFrame:
+def lineitem_dirty(spark: SparkSession, sf_dir: str, masks=(7, 4, 11),
+                   with_shipdate: bool = False) -> DataFrame:
     """lineitem with values blanked in a fixed pattern (all rows kept)."""
     m_discount, m_tax, m_flag = masks
     li = load(spark, sf_dir, "lineitem")
@@ -36,12 +37,16 @@ def lineitem_dirty(spark: SparkSession, sf_dir: str, masks=(7, 4, 11)) -> DataFr
         F.when(F.col("l_linenumber") == 1, F.lit("x"))
         .otherwise(F.col("l_linenumber").cast("string")).alias("l_linenumber_text"),
         F.date_format("l_shipdate", "yyyy-MM-dd").alias("l_shipdate_text"),
+        *(["l_shipdate"] if with_shipdate else []),
     )
 
 
-def lineitem_dirty_sql(masks=(7, 4, 11)) -> str:
+def lineitem_dirty_sql(masks=(7, 4, 11), with_shipdate: bool = False) -> str:
     m_discount, m_tax, m_flag = masks
-    return LINEITEM_DIRTY_SQL.replace("% 7 ", f"% {m_discount} ").replace(
+    sql = LINEITEM_DIRTY_SQL
+    if with_shipdate:
+        sql = sql.replace("as l_shipdate_text\nfrom", "as l_shipdate_text, l_shipdate\nfrom")
+    return sql.replace("% 7 ", f"% {m_discount} ").replace(
         "% 4 ", f"% {m_tax} ").replace("% 11 ", f"% {m_flag} ")
 
 
