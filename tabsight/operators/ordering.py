@@ -25,7 +25,7 @@ from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark import cloudpickle
+from pyspark import StorageLevel, cloudpickle
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -108,10 +108,13 @@ def running_total(df: DataFrame, order: Sequence[Column | str],
     if num_partitions is None:
         num_partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
     keys = [F.col(c) for c in group_cols] + [F.col(o) if isinstance(o, str) else o for o in order]
-    laid_out = (df.repartitionByRange(num_partitions, *keys)
-                  .sortWithinPartitions(*keys)
-                  .checkpoint(eager=True)
-                  .withColumn(PID, F.spark_partition_id()))
+    sorted_rows = df.repartitionByRange(num_partitions, *keys).sortWithinPartitions(*keys)
+    # Persisted first, so that writing the checkpoint re-reads these blocks
+    # instead of re-running the range exchange; released once it is written.
+    sorted_rows = sorted_rows.persist(StorageLevel.MEMORY_AND_DISK)
+    laid_out = sorted_rows.checkpoint(eager=True)
+    sorted_rows.unpersist()
+    laid_out = laid_out.withColumn(PID, F.spark_partition_id())
 
     types = [df.schema[v].dataType for v in value_cols]
     out_schema = T.StructType(list(laid_out.schema.fields)
