@@ -49,14 +49,30 @@ def column_catalog(spark: SparkSession, tables: Mapping[str, DataFrame]) -> Data
 
 def catalog_facts(spark: SparkSession, tables: Mapping[str, DataFrame],
                   approx: bool = False) -> DataFrame:
-    """The catalog plus rows, missing and distinct counts read from the data."""
+    """The catalog plus rows, missing and distinct counts read from the data.
+
+    One aggregate pass per table.  The result has one row per catalog column
+    (metadata-sized), so it is checkpointed once: classification, domain
+    scoring and suggestions then read it without re-scanning the tables.
+    """
+    from ..functions.aggregates import count_missing
+    from ..functions.scalars import is_missing, nan_to_null
+
+    distinct = F.approx_count_distinct if approx else F.count_distinct
     facts = None
     for t, df in tables.items():
-        m = S.missing_counts(df).select("column", "rows", "missing")
-        u = S.unique_counts(df, approx=approx).select("column", "n_unique")
-        part = m.join(u, "column").withColumn("table", F.lit(t))
+        cols = list(df.columns)
+        wide = df.agg(F.count(F.lit(1)).alias("rows"),
+                      *[count_missing(is_missing(df, c)).alias(f"m{i}") for i, c in enumerate(cols)],
+                      *[distinct(nan_to_null(df, c)).alias(f"u{i}") for i, c in enumerate(cols)])
+        entries = [F.struct(F.lit(t).alias("table"), F.lit(c).alias("column"),
+                            F.col("rows").alias("rows"), F.col(f"m{i}").cast("bigint").alias("missing"),
+                            F.col(f"u{i}").cast("bigint").alias("n_unique"))
+                   for i, c in enumerate(cols)]
+        part = wide.select(F.explode(F.array(*entries)).alias("e")).select("e.*")
         facts = part if facts is None else facts.unionByName(part)
-    return column_catalog(spark, tables).join(facts, ["table", "column"], "left")
+    out = column_catalog(spark, tables).join(facts, ["table", "column"], "left")
+    return out.checkpoint(eager=True)
 
 
 def classify_columns(catalog: DataFrame) -> DataFrame:

@@ -210,17 +210,23 @@ def quantiles_wide(df: DataFrame, cols: Sequence[str], names: Mapping[str, float
 
 # ------------------------------------------------------ numeric stats
 
-def _moments(df: DataFrame, cols: Sequence[str]) -> DataFrame:
-    """count, mean, std, min, max per numeric column in one pass."""
-    aggs = []
+def _moments(df: DataFrame, cols: Sequence[str], with_missing: bool = False) -> DataFrame:
+    """count, mean, std, min, max (and optionally missing) per numeric column,
+    in one pass."""
+    aggs = [F.count(F.lit(1)).alias("_rows")] if with_missing else []
     for c in cols:
         v = nan_to_null(df, c).cast("double")
         aggs += [F.count(v).alias(f"count__{c}"), F.avg(v).alias(f"mean__{c}"),
                  F.stddev_samp(v).alias(f"std__{c}"), F.min(v).alias(f"min__{c}"),
                  F.max(v).alias(f"max__{c}")]
     wide = df.agg(*aggs)
-    return _to_long(wide, cols, {"count": "bigint", "mean": "double", "std": "double",
-                                 "min": "double", "max": "double"})
+    fields = {"count": "bigint", "mean": "double", "std": "double", "min": "double", "max": "double"}
+    if with_missing:
+        wide = wide.select("*", *[(F.col("_rows") - F.col(f"`count__{c}`")).alias(f"missing__{c}")
+                                  for c in cols],
+                           *[F.col("_rows").alias(f"rows__{c}") for c in cols])
+        fields.update({"missing": "bigint", "rows": "bigint"})
+    return _to_long(wide, cols, fields)
 
 
 def numeric_stats(df: DataFrame, cols: Sequence[str] | None = None, exact: bool = True) -> DataFrame:
@@ -246,12 +252,20 @@ def describe(df: DataFrame, cols: Sequence[str] | None = None, exact: bool = Tru
 
 
 def descriptive(df: DataFrame, metrics: Sequence[str], exact: bool = True) -> DataFrame:
-    """The descriptive analysis: describe + missing + missing_pct (2 decimals)."""
+    """The descriptive analysis: describe + missing + missing_pct (2 decimals).
+
+    Missing counts come from the same pass as the moments (rows - count).
+    """
     metrics = _numeric(df, metrics)
-    desc = describe(df, metrics, exact=exact)
-    miss = missing_counts(df, metrics).select(
-        "column", "missing", F.round("missing_pct", 2).alias("missing_pct"))
-    return desc.join(miss, "column", "left")
+    if not metrics:
+        return _empty(df, "column string, ordinal int, count bigint, mean double, std double, "
+                          "min double, q25 double, q50 double, q75 double, max double, "
+                          "missing bigint, missing_pct double")
+    qs = quantiles_wide(df, metrics, {"q25": 0.25, "q50": 0.5, "q75": 0.75}, exact=exact)
+    pct = F.round(F.try_divide(F.col("missing") * 100.0, F.col("rows")), 2)
+    return (_moments(df, metrics, with_missing=True).join(qs, "column", "left")
+            .select("column", "ordinal", "count", "mean", "std", "min", "q25", "q50", "q75", "max",
+                    "missing", pct.alias("missing_pct")))
 
 
 def kpi(df: DataFrame, metrics: Sequence[str]) -> DataFrame:
