@@ -76,6 +76,15 @@ def impute(df: DataFrame, cols: Sequence[str], strategy: str = "mean", value=Non
     return df
 
 
+def fill_missing(df: DataFrame, values: dict) -> DataFrame:
+    """Fill missing values per column from ``{column: value}`` (pandas
+    ``fillna`` with a dict); each value is converted to its column's type."""
+    out = df
+    for c, v in values.items():
+        out = impute(out, [c], "constant", v)
+    return out
+
+
 def drop_missing_rows(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     """Drop rows with a missing value (NULL or NaN) in any of ``cols``."""
     cols = [c for c in cols if c in df.columns]

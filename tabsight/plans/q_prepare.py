@@ -47,6 +47,16 @@ IMPUTE_CONSTANT_SQL = _cte() + """
 select l_orderkey, l_linenumber, coalesce(l_returnflag, 'U') as l_returnflag from d"""
 
 
+def _fillna(spark, d):
+    df = lineitem_dirty(spark, d).select(*KEYS, "l_discount", "l_tax", "l_returnflag")
+    return rounded(R.fill_missing(df, {"l_discount": 0, "l_tax": "0.5", "l_returnflag": "U"}))
+
+
+FILLNA_SQL = _cte() + """
+select l_orderkey, l_linenumber, round(coalesce(l_discount, 0), 6) as l_discount,
+       round(coalesce(l_tax, 0.5), 6) as l_tax, coalesce(l_returnflag, 'U') as l_returnflag from d"""
+
+
 def _drop_rows(spark, d):
     df = lineitem_dirty(spark, d).select(*KEYS, "l_discount", "l_returnflag")
     return rounded(R.drop_missing_rows(df, ["l_discount", "l_returnflag"]))
@@ -232,6 +242,7 @@ QUERIES = [
     Query("impute_median", _impute("median", ["l_discount", "l_tax"]), IMPUTE_MEDIAN_SQL),
     Query("impute_mode", _impute("mode", ["l_returnflag", "l_discount"]), IMPUTE_MODE_SQL),
     Query("impute_constant", _impute("constant", ["l_returnflag"], "U"), IMPUTE_CONSTANT_SQL),
+    Query("fillna", _fillna, FILLNA_SQL),
     Query("drop_missing_rows", _drop_rows, DROP_ROWS_SQL),
     Query("date_conversion", _date_conversion, DATE_CONVERSION_SQL),
     Query("standardize", _standardize, STANDARDIZE_SQL),
