@@ -101,11 +101,16 @@ def to_numeric(col: Column) -> Column:
 def parse_with(col: Column, fmt: str) -> Column:
     """Parse text with one format; NULL when it does not parse.
 
-    Known formats are tried only on text of their shape (see above).
+    Known formats are tried only on text of their shape (see above); their
+    text has a fixed length (the pattern without quotes), which is compared
+    first because it is much cheaper than the regex.
     """
     parsed = F.try_to_timestamp(col, F.lit(fmt))
     shape = DATE_FORMAT_SHAPES.get(fmt)
-    return F.when(col.rlike(shape), parsed) if shape else parsed
+    if not shape:
+        return parsed
+    length = len(fmt.replace("'", ""))
+    return F.when((F.length(col) == length) & col.rlike(shape), parsed)
 
 
 def parse_datetime(col: Column, formats=DEFAULT_DATE_FORMATS) -> Column:
