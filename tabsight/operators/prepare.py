@@ -206,19 +206,31 @@ def label_codes(df: DataFrame, col: str) -> tuple[DataFrame, int]:
     return ranked.select("value", (F.col("_cum") - 1).cast("bigint").alias("code")), n
 
 
-def label_encode(df: DataFrame, cols: Sequence[str], broadcast_limit: int = 2_000_000) -> DataFrame:
+def _fits_broadcast(codes: DataFrame, n: int, max_rows: int, max_bytes: int) -> bool:
+    """Row count is known; for text values their total length is measured too."""
+    if n > max_rows:
+        return False
+    if family_of(codes.schema["value"].dataType) != TEXT:
+        return True
+    size = codes.agg(F.sum(F.octet_length("value")).alias("b")).first()["b"] or 0
+    return size + 16 * n <= max_bytes
+
+
+def label_encode(df: DataFrame, cols: Sequence[str], broadcast_rows: int = 1_000_000,
+                 broadcast_bytes: int = 128 * 1024 * 1024) -> DataFrame:
     """Add ``<col>_encoded``: the code of the value, -1 for missing.
 
-    The code table is broadcast when its counted size is below
-    ``broadcast_limit`` rows, otherwise joined by a shuffle.
+    The code table is broadcast when its counted rows and bytes stay below
+    the limits, otherwise joined by a shuffle (AQE splits a skewed value).
     """
     out = df
     for c in cols:
         if c not in out.columns:
             continue
         codes, n = label_codes(out, c)
+        small = _fits_broadcast(codes, n, broadcast_rows, broadcast_bytes)
         codes = codes.withColumnRenamed("value", "_lbl_value").withColumnRenamed("code", "_lbl_code")
-        if n <= broadcast_limit:
+        if small:
             codes = F.broadcast(codes)
         joined = out.join(codes, out[c] == codes["_lbl_value"], "left")
         out = joined.select(*[F.col(f"`{x}`") for x in out.columns],

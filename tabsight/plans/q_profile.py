@@ -175,6 +175,50 @@ from p where family = 'text'
 """
 
 
+DOC_COLS = ["doc_id", "text", "lang", "source", "n_chars"]
+DOC_TYPES = {"doc_id": "bigint", "text": "string", "lang": "string", "source": "string", "n_chars": "bigint"}
+
+
+def _profile_documents(spark, d):
+    """The profile over whole document texts (distinct texts, samples, date checks)."""
+    return rounded(P.profile(load(spark, d, "documents")))
+
+
+def profile_documents_sql() -> str:
+    parts = []
+    for i, c in enumerate(DOC_COLS):
+        t = DOC_TYPES[c]
+        num = t != "string"
+        stat = (lambda e: f"round({e}({c}), 6)") if num else (lambda e: "cast(null as double)")
+        med = f"round(quantile_cont({c}, 0.5), 6)" if num else "cast(null as double)"
+        dfmt = date_format_sql(c, "documents") if not num else "cast(null as varchar)"
+        samples = (f"(select list(v order by v) from (select distinct {c} as v from documents "
+                   f"where {c} is not null order by v limit 10))") if not num else "cast(null as varchar[])"
+        parts.append(
+            f"select '{c}' as \"column\", cast({i} as integer) as ordinal, '{t}' as dtype, "
+            f"'{'number' if num else 'text'}' as family, cast(count(*) as bigint) as rows, "
+            f"cast(count(*) filter (where {c} is null) as bigint) as missing, "
+            f"round(count(*) filter (where {c} is null) * 100.0 / count(*), 6) as missing_pct, "
+            f"cast(count(distinct {c}) as bigint) as n_unique, {stat('min')} as min, "
+            f"{stat('max')} as max, {stat('avg')} as mean, {med} as median, "
+            f"{stat('stddev_samp')} as std, {dfmt} as date_format, {samples} as samples from documents")
+    return "\nunion all\n".join(parts)
+
+
+def _numeric_text_documents(spark, d):
+    return P.quality_numeric_text(load(spark, d, "documents"))
+
+
+def numeric_text_documents_sql() -> str:
+    parts = " union all ".join(
+        f"select '{c}' as name, count(*) filter (where regexp_matches({c}, '{NUMERIC_TEXT_PATTERN}')) "
+        f"as n, count(*) as rows from documents" for c in ("text", "lang", "source"))
+    return f"""with t as ({parts})
+select 3 as issue_order, 'inconsistent_type' as type, name as "column", cast(null as varchar[]) as columns,
+       cast(n as bigint) as affected_rows, 'medium' as severity, 'numeric' as suggested_type
+from t where n / rows > 0.5"""
+
+
 QUERIES = [
     Query("profile_table", _profile, profile_sql()),
     Query("quality_missing", _quality_missing, quality_missing_sql()),
@@ -183,6 +227,8 @@ QUERIES = [
     Query("quality_numeric_text", _quality_numeric_text, quality_numeric_text_sql()),
     Query("date_candidates", _date_candidates, date_candidates_sql()),
     Query("suggest_preprocessing", _suggest, suggest_sql()),
+    Query("profile_documents", _profile_documents, profile_documents_sql()),
+    Query("quality_numeric_text_documents", _numeric_text_documents, numeric_text_documents_sql()),
 ]
 
 _ = DIRTY_FLOAT
