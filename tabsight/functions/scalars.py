@@ -150,8 +150,12 @@ def period_step(freq: str) -> Column:
 
 
 def floor_days(start: Column, end: Column) -> Column:
-    """Whole days between two timestamps, floored (timedelta ``.days``)."""
-    micros = F.unix_micros(end.cast("timestamp")) - F.unix_micros(start.cast("timestamp"))
+    """Whole days between two timestamps, floored (timedelta ``.days``).
+
+    Computed on the wall-clock values (``timestamp_ntz``), so the session
+    time zone and its daylight-saving shifts play no part.
+    """
+    micros = F.timestamp_diff("MICROSECOND", start.cast("timestamp_ntz"), end.cast("timestamp_ntz"))
     return F.floor(micros / F.lit(86_400_000_000))
 
 
