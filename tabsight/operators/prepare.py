@@ -14,7 +14,6 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from ..functions.scalars import (DATETIME, DEFAULT_DATE_FORMATS, NUMBER, TEXT, family_of,
                                  nan_to_null, parse_datetime)
@@ -279,7 +278,3 @@ def apply_pipeline(df: DataFrame, steps: Sequence[dict]) -> DataFrame:
     for step in steps:
         out = apply_step(out, step)
     return out
-
-
-def is_numeric(dtype: T.DataType) -> bool:
-    return family_of(dtype) == NUMBER

@@ -17,7 +17,6 @@ from collections.abc import Mapping, Sequence
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from ..functions.aggregates import count_missing, sample_skewness
 from ..functions.scalars import (NUMBER, TEXT, columns_of, family_of,
@@ -449,7 +448,3 @@ def before_after_stats(before: DataFrame, after: DataFrame, cols: Sequence[str]
     a = side(after, "after").drop("ordinal")
     return b.join(a, "column").select("column", "ordinal", "missing_before", "missing_after",
                                       "mean_before", "mean_after", "std_before", "std_after")
-
-
-def numeric_type(dtype: T.DataType) -> bool:
-    return family_of(dtype) == NUMBER

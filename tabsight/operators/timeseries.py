@@ -6,7 +6,6 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from ..functions.aggregates import pairwise_corr
 from ..functions.scalars import (DATETIME, TEXT, family_of, floor_days, nan_to_null,
@@ -123,7 +122,3 @@ def time_series(df: DataFrame, time: str, metrics: Sequence[str], freq: str = "a
     f = choose_frequency(ts, time, freq)
     series = resample(ts, time, metrics, f)
     return {"frequency": f, "data": series, "trend": trend(series, metrics)}
-
-
-def is_time(dtype: T.DataType) -> bool:
-    return family_of(dtype) == DATETIME

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ..functions.scalars import DEFAULT_DATE_FORMATS, NUMERIC_TEXT_PATTERN
 from ..operators import profile as P
 from .common import rounded
-from .q_stats import DIRTY_ALL, DIRTY_FLOAT, dirty_cte, miss
+from .q_stats import DIRTY_ALL, dirty_cte, miss
 from .registry import Query
 from .tables import lineitem_dirty, load
 
@@ -231,4 +231,3 @@ QUERIES = [
     Query("quality_numeric_text_documents", _numeric_text_documents, numeric_text_documents_sql()),
 ]
 
-_ = DIRTY_FLOAT
