@@ -63,12 +63,6 @@ def profile(df: DataFrame, cols: Sequence[str] | None = None,
     fam = {c: family_of(df.schema[c].dataType) for c in cols}
     # Distinct counts run as their own pass: mixed with the other aggregates,
     # Spark's distinct rewrite would copy every wide row once per column.
-    # They come to the driver (one number per column) and also decide which
-    # quantile method each numeric column can use.
-    counted = {r["column"]: r["n_unique"] for r in
-               S.unique_counts(df, cols, approx=approx_distinct).collect()}
-    uniques = df.sparkSession.createDataFrame(
-        [(c, counted.get(c)) for c in cols], "column string, _n_unique bigint")
     aggs = [F.count(F.lit(1)).alias("rows")]
     picks = {}
     for c in cols:
@@ -92,17 +86,26 @@ def profile(df: DataFrame, cols: Sequence[str] | None = None,
             F.try_divide(F.col(f"`missing__{c}`") * 100.0, F.col("rows")).alias("missing_pct"),
             *[(F.col(f"`{s}__{c}`") if num else none).alias(s) for s in ("min", "max", "mean", "std")],
             (picks[c] if c in picks else F.lit(None).cast("string")).alias("date_format")))
-    base = (wide.select(F.explode(F.array(*entries)).alias("e")).select("e.*")
-            .join(uniques, "column", "left").withColumnRenamed("_n_unique", "n_unique"))
+    base = wide.select(F.explode(F.array(*entries)).alias("e")).select("e.*")
     nums = [c for c in cols if fam[c] == NUMBER]
     texts = [c for c in cols if fam[c] == TEXT]
     out = base
+    # Columns whose medians go through the value histogram get their exact
+    # distinct counts from it; the others are counted in one separate pass
+    # (mixed into the main aggregate, Spark's distinct rewrite would copy
+    # every wide row once per column).
+    from_hist: dict = {}
     if nums:
-        known = None if approx_distinct else counted
-        out = out.join(S.quantiles_wide(df, nums, {"median": 0.5}, exact=exact, distinct=known),
+        out = out.join(S.quantiles_wide(df, nums, {"median": 0.5}, exact=exact,
+                                        distinct_counts=None if approx_distinct else from_hist),
                        "column", "left")
     else:
         out = out.withColumn("median", none)
+    rest = [c for c in cols if c not in from_hist.get("histogram_columns", [])]
+    uniques = S.unique_counts(df, rest, approx=approx_distinct).select("column", "n_unique")
+    if "frame" in from_hist:
+        uniques = uniques.unionByName(from_hist["frame"])
+    out = out.join(uniques, "column", "left")
     if texts and samples:
         out = out.join(S.column_samples(df, texts, samples), "column", "left")
     else:

@@ -133,7 +133,8 @@ def _split_by_cardinality(df: DataFrame, cols: Sequence[str],
 
 def quantiles(df: DataFrame, cols: Sequence[str], probs: Sequence[float] = (0.25, 0.5, 0.75),
               exact: bool = True, accuracy: int = 100_000,
-              distinct: Mapping[str, int] | None = None) -> DataFrame:
+              distinct: Mapping[str, int] | None = None,
+              distinct_counts: dict | None = None) -> DataFrame:
     """Quantiles with linear interpolation: (column, prob, value).
 
     ``exact=True`` reproduces pandas ``quantile`` (position p * (n - 1),
@@ -162,7 +163,9 @@ def quantiles(df: DataFrame, cols: Sequence[str], probs: Sequence[float] = (0.25
                         .alias(f"q__{c}") for c in small])
         parts.append(_explode_probs(wide, small, probs))
     if big:
-        parts.append(_histogram_quantiles(df, big, probs))
+        parts.append(_histogram_quantiles(df, big, probs, distinct_counts))
+    if distinct_counts is not None:
+        distinct_counts["histogram_columns"] = list(big)
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)
@@ -176,9 +179,20 @@ def _explode_probs(wide: DataFrame, cols: Sequence[str], probs: Sequence[float])
         "value")
 
 
-def _histogram_quantiles(df: DataFrame, cols: Sequence[str], probs: Sequence[float]) -> DataFrame:
-    hist = _long_values(df, cols).groupBy("column", "value").agg(F.count(F.lit(1)).alias("cnt"))
-    ranked, totals = running_total(hist, ["value"], "cnt", "cum", group_cols=["column"])
+def _histogram_quantiles(df: DataFrame, cols: Sequence[str], probs: Sequence[float],
+                         distinct_counts: dict | None = None) -> DataFrame:
+    """Exact quantiles from a value histogram and a distributed running count.
+
+    When ``distinct_counts`` is a dict it receives, per column, a one-row-per-
+    column DataFrame of (column, n_unique): the histogram has one row per
+    distinct value, so the distinct counts come for free.
+    """
+    hist = (_long_values(df, cols).groupBy("column", "value").agg(F.count(F.lit(1)).alias("cnt"))
+            .withColumn("one", F.lit(1).cast("bigint")))
+    ranked, totals = running_total(hist, ["value"], ["cnt", "one"], ["cum", "distinct_rank"],
+                                   group_cols=["column"])
+    if distinct_counts is not None:
+        distinct_counts["frame"] = totals.select("column", F.col("distinct_rank").alias("n_unique"))
     targets = (totals.select("column", F.col("cum").alias("n"),
                              F.explode(F.array(*[F.lit(p) for p in probs])).alias("prob"))
                .withColumn("pos", F.col("prob") * (F.col("n") - 1))
@@ -200,9 +214,11 @@ def _histogram_quantiles(df: DataFrame, cols: Sequence[str], probs: Sequence[flo
 
 
 def quantiles_wide(df: DataFrame, cols: Sequence[str], names: Mapping[str, float] = QUARTILES,
-                   exact: bool = True, distinct: Mapping[str, int] | None = None) -> DataFrame:
+                   exact: bool = True, distinct: Mapping[str, int] | None = None,
+                   distinct_counts: dict | None = None) -> DataFrame:
     """(column, <name>...) with one quantile per named column."""
-    long = quantiles(df, cols, list(names.values()), exact=exact, distinct=distinct)
+    long = quantiles(df, cols, list(names.values()), exact=exact, distinct=distinct,
+                     distinct_counts=distinct_counts)
     return long.groupBy("column").agg(
         *[F.max(F.when(F.col("prob") == p, F.col("value"))).alias(n) for n, p in names.items()])
 
