@@ -163,24 +163,36 @@ def pivot_wide(long: DataFrame, dim1: str, dim2: str, max_values: int = 10_000)
     return long.groupBy(dim1).pivot(dim2, values).agg(F.first("value"))
 
 
-def pareto(df: DataFrame, dim: str, metric: str) -> DataFrame:
+def pareto(df: DataFrame, dim: str, metric: str, scale: int | None = None) -> DataFrame:
     """Sum by dimension, largest first, with running total and running share.
 
     (dim, metric, rank, cumulative, cumulative_pct).  The running total is
     distributed (``running_total``): the grouped table is range-partitioned
     on (metric desc, dim), so even billions of categories never meet in one
     task.  Ties in the metric are ordered by the category.
+
+    With ``scale`` (decimal places of the metric, e.g. 2 for money) the sums
+    are taken in integer units of 10**-scale, so they are exact and do not
+    depend on the order of addition.
     """
+    v = _value(df, metric)
+    if scale is not None:
+        v = F.round(v * F.lit(10 ** scale)).cast("bigint")
     grouped = df.where(F.col(dim).isNotNull()).groupBy(dim).agg(
-        F.coalesce(F.sum(_value(df, metric)), F.lit(0)).cast("double").alias(metric))
+        F.coalesce(F.sum(v), F.lit(0)).alias("_units"))
+    if scale is None:
+        grouped = grouped.withColumn("_units", F.col("_units").cast("double"))
     ones = grouped.withColumn("_one", F.lit(1).cast("bigint"))
-    order = [F.desc(metric), F.asc(dim)]
-    with_cum, totals = running_total(ones, order, ["_one", metric], ["rank", "cumulative"])
+    order = [F.desc("_units"), F.asc(dim)]
+    with_cum, totals = running_total(ones, order, ["_one", "_units"], ["rank", "_cum"])
     total = totals.first()
-    grand = total["cumulative"] if total is not None else None
-    pct = (F.try_divide(F.col("cumulative") * 100.0, F.lit(grand)) if grand
+    grand = total["_cum"] if total is not None else None
+    pct = (F.try_divide(F.col("_cum").cast("double") * 100.0, F.lit(float(grand))) if grand
            else F.lit(None).cast("double"))
-    return with_cum.select(dim, metric, "rank", "cumulative", pct.alias("cumulative_pct"))
+    unit = float(10 ** scale) if scale is not None else 1.0
+    return with_cum.select(dim, (F.col("_units").cast("double") / F.lit(unit)).alias(metric), "rank",
+                           (F.col("_cum").cast("double") / F.lit(unit)).alias("cumulative"),
+                           pct.alias("cumulative_pct"))
 
 
 def pareto_summary(p: DataFrame, pct: float = 80.0) -> DataFrame:

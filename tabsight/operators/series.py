@@ -73,9 +73,10 @@ def series_heatmap(long: DataFrame, x: str, y: str, z: str) -> DataFrame:
                        F.col(z).cast("double").alias("z"))
 
 
-def series_pareto(df: DataFrame, dim: str, metric: str, n: int = 10) -> DataFrame:
+def series_pareto(df: DataFrame, dim: str, metric: str, n: int = 10,
+                  scale: int | None = None) -> DataFrame:
     """Bars and cumulative share of the ``n`` largest categories."""
-    return G.pareto(df, dim, metric).where(F.col("rank") <= n)
+    return G.pareto(df, dim, metric, scale).where(F.col("rank") <= n)
 
 
 def series_pie(df: DataFrame, names: str, values: str) -> DataFrame:

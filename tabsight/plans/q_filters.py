@@ -104,7 +104,7 @@ def _heatmap_pivot(spark, d):
 
 
 def _series_pareto(spark, d):
-    return rounded(SE.series_pareto(load(spark, d, "lineitem"), "l_suppkey", "l_extendedprice", 10))
+    return rounded(SE.series_pareto(load(spark, d, "lineitem"), "l_suppkey", "l_extendedprice", 10, scale=2))
 
 
 def _pie(spark, d):
@@ -217,13 +217,14 @@ select round(regr_slope(l_extendedprice, l_quantity), 6) as slope,
 select o_orderpriority as x, o_orderstatus as y, round(sum(o_totalprice), 6) as z from orders
 where o_orderpriority is not null and o_orderstatus is not null group by 1, 2"""),
     Query("series_pareto", _series_pareto, """
-with g as (select l_suppkey, coalesce(sum(l_extendedprice), 0) as v from lineitem
+with g as (select l_suppkey, coalesce(sum(cast(round(l_extendedprice * 100) as bigint)), 0) as u from lineitem
            where l_suppkey is not null group by 1),
-r as (select l_suppkey, v, row_number() over (order by v desc, l_suppkey) as rank,
-             sum(v) over (order by v desc, l_suppkey rows between unbounded preceding and current row) as cum,
-             sum(v) over () as total from g)
-select l_suppkey, round(v, 6) as l_extendedprice, cast(rank as bigint) as rank, round(cum, 6) as cumulative,
-       round(cum * 100.0 / total, 6) as cumulative_pct from r where rank <= 10"""),
+r as (select l_suppkey, u, row_number() over (order by u desc, l_suppkey) as rank,
+             sum(u) over (order by u desc, l_suppkey rows between unbounded preceding and current row) as cum,
+             sum(u) over () as total from g)
+select l_suppkey, cast(u as double) / 100.0 as l_extendedprice, cast(rank as bigint) as rank,
+       cast(cum as double) / 100.0 as cumulative,
+       round(cast(cum as double) * 100.0 / cast(total as double), 6) as cumulative_pct from r where rank <= 10"""),
     Query("series_pie", _pie, """
 select c_mktsegment, round(sum(c_acctbal), 6) as c_acctbal,
        round(sum(c_acctbal) * 100.0 / (select sum(c_acctbal) from customer where c_mktsegment is not null), 6) as pct

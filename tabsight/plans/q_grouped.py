@@ -115,34 +115,34 @@ def _pivot_wide(spark, d):
 
 def _pareto(spark, d):
     li = load(spark, d, "lineitem")
-    return rounded(G.pareto(li, "l_partkey", "l_extendedprice"))
+    return rounded(G.pareto(li, "l_partkey", "l_extendedprice", scale=2))
 
 
 PARETO_SQL = """
-with g as (select l_partkey, coalesce(sum(l_extendedprice), 0) as l_extendedprice
+with g as (select l_partkey, coalesce(sum(cast(round(l_extendedprice * 100) as bigint)), 0) as u
            from lineitem where l_partkey is not null group by l_partkey),
-r as (select l_partkey, l_extendedprice,
-             row_number() over (order by l_extendedprice desc, l_partkey) as rank,
-             sum(l_extendedprice) over (order by l_extendedprice desc, l_partkey
-                                        rows between unbounded preceding and current row) as cumulative,
-             sum(l_extendedprice) over () as total
+r as (select l_partkey, u,
+             row_number() over (order by u desc, l_partkey) as rank,
+             sum(u) over (order by u desc, l_partkey rows between unbounded preceding and current row) as cum,
+             sum(u) over () as total
       from g)
-select l_partkey, round(l_extendedprice, 6) as l_extendedprice, cast(rank as bigint) as rank,
-       round(cumulative, 6) as cumulative, round(cumulative * 100.0 / total, 6) as cumulative_pct
+select l_partkey, cast(u as double) / 100.0 as l_extendedprice, cast(rank as bigint) as rank,
+       cast(cum as double) / 100.0 as cumulative,
+       round(cast(cum as double) * 100.0 / cast(total as double), 6) as cumulative_pct
 from r
 """
 
 
 def _pareto_threshold(spark, d):
     li = load(spark, d, "lineitem")
-    return G.pareto_summary(G.pareto(li, "l_partkey", "l_extendedprice"), 80.0)
+    return G.pareto_summary(G.pareto(li, "l_partkey", "l_extendedprice", scale=2), 80.0)
 
 
 PARETO_THRESHOLD_SQL = """
-with g as (select l_partkey, coalesce(sum(l_extendedprice), 0) as v
+with g as (select l_partkey, coalesce(sum(cast(round(l_extendedprice * 100) as bigint)), 0) as u
            from lineitem where l_partkey is not null group by l_partkey),
-r as (select v, sum(v) over (order by v desc, l_partkey rows between unbounded preceding and current row)
-             * 100.0 / sum(v) over () as pct from g)
+r as (select cast(sum(u) over (order by u desc, l_partkey rows between unbounded preceding and current row)
+             as double) * 100.0 / cast(sum(u) over () as double) as pct from g)
 select cast(count(*) filter (where pct <= 80.0) as bigint) as items_within,
        cast(count(*) as bigint) as total_items from r
 """
