@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.aggregates import count_missing, sample_skewness
-from ..functions.scalars import (NUMBER, TEXT, columns_of, family_of,
+from ..functions.scalars import (DATETIME, NUMBER, TEXT, columns_of, family_of,
                                  is_missing, nan_to_null)
 from .ordering import running_total
 
@@ -266,6 +266,58 @@ def describe(df: DataFrame, cols: Sequence[str] | None = None, exact: bool = Tru
             .select("column", "ordinal", "count", "mean", "std", "min", "q25", "q50", "q75", "max"))
 
 
+EPOCH = "1970-01-01 00:00:00"
+
+
+def _micros(col):
+    """Wall-clock microseconds since 1970 of a timestamp (no time zone involved)."""
+    return F.timestamp_diff("MICROSECOND", F.lit(EPOCH).cast("timestamp_ntz"), col.cast("timestamp_ntz"))
+
+
+def _from_micros(col):
+    return F.timestamp_add("MICROSECOND", F.floor(col).cast("bigint"),
+                           F.lit(EPOCH).cast("timestamp_ntz"))
+
+
+def describe_datetime(df: DataFrame, cols: Sequence[str] | None = None) -> DataFrame:
+    """pandas ``describe`` of datetime columns: count, mean, min, quartiles, max.
+
+    (column, ordinal, count, mean, min, q25, q50, q75, max) as timestamps;
+    statistics are taken on microseconds (floored back to a timestamp).
+    """
+    times = set(columns_of(df, DATETIME))
+    cols = [c for c in _cols(df, cols) if c in times]
+    if not cols:
+        return _empty(df, "column string, ordinal int, count bigint, mean timestamp_ntz, "
+                          "min timestamp_ntz, q25 timestamp_ntz, q50 timestamp_ntz, "
+                          "q75 timestamp_ntz, max timestamp_ntz")
+    as_num = df.select(*[_micros(F.col(c)).cast("double").alias(c) for c in cols])
+    moments = _moments(as_num, cols)
+    qs = quantiles_wide(as_num, cols, {"q25": 0.25, "q50": 0.5, "q75": 0.75})
+    return moments.join(qs, "column", "left").select(
+        "column", "ordinal", "count", *[_from_micros(F.col(k)).alias(k)
+                                        for k in ("mean", "min", "q25", "q50", "q75", "max")])
+
+
+def describe_text(df: DataFrame, cols: Sequence[str] | None = None) -> DataFrame:
+    """pandas ``describe`` of text columns: count, unique, top and its frequency.
+
+    (column, ordinal, count, unique, top, freq); ``top`` is the most frequent
+    value, the smallest one on ties.
+    """
+    texts = set(columns_of(df, TEXT))
+    cols = [c for c in _cols(df, cols) if c in texts]
+    if not cols:
+        return _empty(df, "column string, ordinal int, count bigint, unique bigint, top string, "
+                          "freq bigint")
+    counts = _to_long(df.agg(*[F.count(c).alias(f"count__{c}") for c in cols]), cols,
+                      {"count": "bigint"})
+    uniq = unique_counts(df, cols).select("column", F.col("n_unique").alias("unique"))
+    top = mode_value(df, cols).select("column", F.col("value").alias("top"), F.col("count").alias("freq"))
+    return counts.join(uniq, "column").join(top, "column").select(
+        "column", "ordinal", "count", "unique", "top", "freq")
+
+
 def descriptive(df: DataFrame, metrics: Sequence[str], exact: bool = True) -> DataFrame:
     """The descriptive analysis: describe + missing + missing_pct (2 decimals).
 

@@ -322,6 +322,38 @@ select 'value' as "column", cast(0 as integer) as ordinal, round(q1, 6) as q1, r
 from events, f group by q1, med, q3, lo, hi
 """
 
+def _describe_datetime(spark, d):
+    return S.describe_datetime(load(spark, d, "orders"))
+
+
+DESCRIBE_DATETIME_SQL = """
+with m as (select epoch_us(o_orderdate) as v from orders)
+select 'o_orderdate' as "column", cast(0 as integer) as ordinal, cast(count(v) as bigint) as count,
+       make_timestamp(cast(floor(avg(v)) as bigint)) as mean,
+       make_timestamp(cast(floor(min(v)) as bigint)) as min,
+       make_timestamp(cast(floor(quantile_cont(v, 0.25)) as bigint)) as q25,
+       make_timestamp(cast(floor(quantile_cont(v, 0.5)) as bigint)) as q50,
+       make_timestamp(cast(floor(quantile_cont(v, 0.75)) as bigint)) as q75,
+       make_timestamp(cast(floor(max(v)) as bigint)) as max
+from m
+"""
+
+
+def _describe_text(spark, d):
+    return S.describe_text(load(spark, d, "orders"))
+
+
+def describe_text_sql() -> str:
+    cols = {"o_orderstatus": 0, "o_orderpriority": 1}
+    return "\nunion all\n".join(f"""
+select '{c}' as "column", cast({i} as integer) as ordinal,
+       (select cast(count({c}) as bigint) from orders) as count,
+       (select cast(count(distinct {c}) as bigint) from orders) as unique,
+       top, cast(freq as bigint) as freq
+from (select {c} as top, count(*) as freq from orders where {c} is not null group by 1
+      order by count(*) desc, 1 limit 1)""" for c, i in cols.items())
+
+
 QUERIES = [
     Query("dataset_shape", _shape, "select cast(count(*) as bigint) as rows, cast(11 as bigint) as columns from lineitem"),
     Query("schema_listing", _schema_listing, SCHEMA_SQL),
@@ -331,6 +363,8 @@ QUERIES = [
     Query("numeric_stats", _numeric_stats, NUMERIC_STATS_SQL),
     Query("describe", _describe, DESCRIBE_SQL),
     Query("descriptive", _descriptive, DESCRIPTIVE_SQL),
+    Query("describe_datetime", _describe_datetime, DESCRIBE_DATETIME_SQL),
+    Query("describe_text", _describe_text, describe_text_sql()),
     Query("kpi", _kpi, KPI_SQL),
     Query("quantiles", _quantiles, QUANTILES_SQL),
     Query("mode_value", _mode, MODE_SQL),
