@@ -96,8 +96,8 @@ def profile(df: DataFrame, cols: Sequence[str] | None = None,
     # every wide row once per column).
     from_hist: dict = {}
     if nums:
-        out = out.join(S.quantiles_wide(df, nums, {"median": 0.5}, exact=exact,
-                                        distinct_counts=None if approx_distinct else from_hist),
+        out = out.join(S.per_column(S.quantiles_wide(df, nums, {"median": 0.5}, exact=exact,
+                                        distinct_counts=None if approx_distinct else from_hist)),
                        "column", "left")
     else:
         out = out.withColumn("median", none)
@@ -105,9 +105,9 @@ def profile(df: DataFrame, cols: Sequence[str] | None = None,
     uniques = S.unique_counts(df, rest, approx=approx_distinct).select("column", "n_unique")
     if "frame" in from_hist:
         uniques = uniques.unionByName(from_hist["frame"])
-    out = out.join(uniques, "column", "left")
+    out = out.join(S.per_column(uniques), "column", "left")
     if texts and samples:
-        out = out.join(S.column_samples(df, texts, samples), "column", "left")
+        out = out.join(S.per_column(S.column_samples(df, texts, samples)), "column", "left")
     else:
         out = out.withColumn("samples", F.lit(None).cast("array<string>"))
     return out.select("column", "ordinal", "dtype", "family", "rows", "missing", "missing_pct",

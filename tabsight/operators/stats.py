@@ -45,6 +45,12 @@ def _to_long(wide: DataFrame, cols: Sequence[str], fields: Mapping[str, str]) ->
     return wide.select(F.explode(F.array(*entries)).alias("e")).select("e.*")
 
 
+def per_column(df: DataFrame) -> DataFrame:
+    """Mark a table with one row per column for broadcast: its size is bounded
+    by the schema width, not by the data."""
+    return F.broadcast(df)
+
+
 def _empty(df: DataFrame, schema: str) -> DataFrame:
     return df.sparkSession.createDataFrame([], schema)
 
@@ -251,7 +257,7 @@ def numeric_stats(df: DataFrame, cols: Sequence[str] | None = None, exact: bool
         return _empty(df, "column string, ordinal int, min double, max double, mean double, "
                           "median double, std double")
     med = quantiles_wide(df, cols, {"median": 0.5}, exact=exact)
-    return (_moments(df, cols).join(med, "column", "left")
+    return (_moments(df, cols).join(per_column(med), "column", "left")
             .select("column", "ordinal", "min", "max", "mean", "median", "std"))
 
 
@@ -262,7 +268,7 @@ def describe(df: DataFrame, cols: Sequence[str] | None = None, exact: bool = Tru
         return _empty(df, "column string, ordinal int, count bigint, mean double, std double, "
                           "min double, q25 double, q50 double, q75 double, max double")
     qs = quantiles_wide(df, cols, {"q25": 0.25, "q50": 0.5, "q75": 0.75}, exact=exact)
-    return (_moments(df, cols).join(qs, "column", "left")
+    return (_moments(df, cols).join(per_column(qs), "column", "left")
             .select("column", "ordinal", "count", "mean", "std", "min", "q25", "q50", "q75", "max"))
 
 
@@ -294,7 +300,7 @@ def describe_datetime(df: DataFrame, cols: Sequence[str] | None = None) -> DataF
     as_num = df.select(*[_micros(F.col(c)).cast("double").alias(c) for c in cols])
     moments = _moments(as_num, cols)
     qs = quantiles_wide(as_num, cols, {"q25": 0.25, "q50": 0.5, "q75": 0.75})
-    return moments.join(qs, "column", "left").select(
+    return moments.join(per_column(qs), "column", "left").select(
         "column", "ordinal", "count", *[_from_micros(F.col(k)).alias(k)
                                         for k in ("mean", "min", "q25", "q50", "q75", "max")])
 
@@ -314,7 +320,7 @@ def describe_text(df: DataFrame, cols: Sequence[str] | None = None) -> DataFrame
                       {"count": "bigint"})
     uniq = unique_counts(df, cols).select("column", F.col("n_unique").alias("unique"))
     top = mode_value(df, cols).select("column", F.col("value").alias("top"), F.col("count").alias("freq"))
-    return counts.join(uniq, "column").join(top, "column").select(
+    return counts.join(per_column(uniq), "column").join(per_column(top), "column").select(
         "column", "ordinal", "count", "unique", "top", "freq")
 
 
@@ -330,7 +336,7 @@ def descriptive(df: DataFrame, metrics: Sequence[str], exact: bool = True) -> Da
                           "missing bigint, missing_pct double")
     qs = quantiles_wide(df, metrics, {"q25": 0.25, "q50": 0.5, "q75": 0.75}, exact=exact)
     pct = F.round(F.try_divide(F.col("missing") * 100.0, F.col("rows")), 2)
-    return (_moments(df, metrics, with_missing=True).join(qs, "column", "left")
+    return (_moments(df, metrics, with_missing=True).join(per_column(qs), "column", "left")
             .select("column", "ordinal", "count", "mean", "std", "min", "q25", "q50", "q75", "max",
                     "missing", pct.alias("missing_pct")))
 
@@ -361,7 +367,7 @@ def distribution(df: DataFrame, metrics: Sequence[str], exact: bool = True) -> D
                   .when(F.abs("skew") < 0.5, "symmetrical")
                   .when(F.col("skew") > 0, "right-skewed")
                   .otherwise("left-skewed"))
-    return (moments.join(med, "column", "left")
+    return (moments.join(per_column(med), "column", "left")
             .select("column", "ordinal", "mean", "median", "skew", shape_col.alias("shape")))
 
 
@@ -414,7 +420,7 @@ def box_stats(df: DataFrame, metrics: Sequence[str], exact: bool = True) -> Data
     metrics = _numeric(df, metrics)
     box = iqr_outliers(df, metrics, 1.5, exact)
     med = quantiles_wide(df, metrics, {"median": 0.5}, exact=exact)
-    return box.join(med, "column", "left").select(
+    return box.join(per_column(med), "column", "left").select(
         "column", "ordinal", "q1", "median", "q3", "lower", "upper",
         "whisker_low", "whisker_high", "outliers")
 
@@ -514,5 +520,5 @@ def before_after_stats(before: DataFrame, after: DataFrame, cols: Sequence[str]
 
     b = side(before, "before")
     a = side(after, "after").drop("ordinal")
-    return b.join(a, "column").select("column", "ordinal", "missing_before", "missing_after",
+    return b.join(per_column(a), "column").select("column", "ordinal", "missing_before", "missing_after",
                                       "mean_before", "mean_after", "std_before", "std_after")

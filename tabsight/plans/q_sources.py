@@ -51,7 +51,7 @@ def _sink_csv(spark, d):
 
 def _sink_records(spark, d):
     nation = load(spark, d, "nation")
-    return REC.to_records(nation.orderBy("n_nationkey"))
+    return REC.to_records(nation)
 
 
 def _sample(spark, d):
