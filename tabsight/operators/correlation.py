@@ -11,13 +11,21 @@ from ..functions.aggregates import pairwise_corr
 from ..functions.scalars import NUMBER, columns_of, nan_to_null
 
 
-def correlation(df: DataFrame, cols: Sequence[str] | None = None) -> DataFrame:
+# Pairs computed per aggregate pass: each pair adds four aggregate functions,
+# so one pass stays a compact generated aggregate even for wide tables.
+PAIRS_PER_PASS = 128
+
+
+def correlation(df: DataFrame, cols: Sequence[str] | None = None,
+                pairs_per_pass: int = PAIRS_PER_PASS) -> DataFrame:
     """Pairwise-complete Pearson correlation, long form.
 
     (col_x, col_y, x_ordinal, y_ordinal, corr, n) for every ordered pair,
-    diagonal included (1.0 when the column varies).  All i < j pairs are
-    computed in a single aggregate pass; the other half is mirrored.
-    A constant column gives NULL instead of an ANSI division error.
+    diagonal included (1.0 when the column varies).  The i <= j pairs are
+    computed by aggregate passes of at most ``pairs_per_pass`` pairs (one pass
+    for narrow tables; Parquet reads only the columns of each pass), and the
+    other half is mirrored.  A constant column gives NULL instead of an ANSI
+    division error.
     """
     nums = set(columns_of(df, NUMBER))
     cols = [c for c in (cols if cols is not None else df.columns) if c in nums]
@@ -25,21 +33,26 @@ def correlation(df: DataFrame, cols: Sequence[str] | None = None) -> DataFrame:
     if not cols:
         return df.sparkSession.createDataFrame([], schema)
     v = {c: nan_to_null(df, c).cast("double") for c in cols}
-    aggs = []
     pairs = [(i, j) for i in range(len(cols)) for j in range(i, len(cols))]
-    for i, j in pairs:
-        a, b = v[cols[i]], v[cols[j]]
-        aggs.append(pairwise_corr(a, b).alias(f"r_{i}_{j}"))
-        aggs.append(F.count(F.when(a.isNotNull() & b.isNotNull(), F.lit(1))).alias(f"n_{i}_{j}"))
-    wide = df.agg(*aggs)
-    entries = []
-    for i, j in pairs:
-        for x, y in {(i, j), (j, i)}:
-            entries.append(F.struct(F.lit(cols[x]).alias("col_x"), F.lit(cols[y]).alias("col_y"),
-                                    F.lit(x).alias("x_ordinal"), F.lit(y).alias("y_ordinal"),
-                                    F.col(f"r_{i}_{j}").alias("corr"),
-                                    F.col(f"n_{i}_{j}").alias("n")))
-    return wide.select(F.explode(F.array(*entries)).alias("e")).select("e.*")
+    out = None
+    for start in range(0, len(pairs), pairs_per_pass):
+        chunk = pairs[start:start + pairs_per_pass]
+        aggs = []
+        for i, j in chunk:
+            a, b = v[cols[i]], v[cols[j]]
+            aggs.append(pairwise_corr(a, b).alias(f"r_{i}_{j}"))
+            aggs.append(F.count(F.when(a.isNotNull() & b.isNotNull(), F.lit(1))).alias(f"n_{i}_{j}"))
+        wide = df.agg(*aggs)
+        entries = []
+        for i, j in chunk:
+            for x, y in sorted({(i, j), (j, i)}):
+                entries.append(F.struct(F.lit(cols[x]).alias("col_x"), F.lit(cols[y]).alias("col_y"),
+                                        F.lit(x).alias("x_ordinal"), F.lit(y).alias("y_ordinal"),
+                                        F.col(f"r_{i}_{j}").alias("corr"),
+                                        F.col(f"n_{i}_{j}").alias("n")))
+        part = wide.select(F.explode(F.array(*entries)).alias("e")).select("e.*")
+        out = part if out is None else out.unionByName(part)
+    return out
 
 
 def strength_label(r) -> F.Column:

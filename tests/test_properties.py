@@ -103,3 +103,11 @@ def test_independent_of_partitioning(spark):
     for x, y in zip(a, b):
         for u, v in zip(x, y):
             assert u == v or (isinstance(u, float) and abs(u - v) < 1e-9 * max(1, abs(u)))
+
+
+def test_correlation_chunked_equals_single_pass(spark):
+    from tabsight.operators.correlation import correlation
+    li = load(spark, SF_SMALL, "lineitem").select("l_quantity", "l_extendedprice", "l_discount", "l_tax")
+    one = sorted(tuple(r) for r in correlation(li).collect())
+    many = sorted(tuple(r) for r in correlation(li, pairs_per_pass=3).collect())
+    assert len(one) == 16 and one == many
