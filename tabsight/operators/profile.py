@@ -61,32 +61,39 @@ def profile(df: DataFrame, cols: Sequence[str] | None = None,
     if not cols:
         return df.sparkSession.createDataFrame([], PROFILE_SCHEMA)
     fam = {c: family_of(df.schema[c].dataType) for c in cols}
-    # Distinct counts run as their own pass: mixed with the other aggregates,
-    # Spark's distinct rewrite would copy every wide row once per column.
-    aggs = [F.count(F.lit(1)).alias("rows")]
-    picks = {}
-    for c in cols:
-        aggs.append(count_missing(is_missing(df, c)).alias(f"missing__{c}"))
-        if fam[c] == NUMBER:
-            v = nan_to_null(df, c).cast("double")
-            aggs += [F.min(v).alias(f"min__{c}"), F.max(v).alias(f"max__{c}"),
-                     F.avg(v).alias(f"mean__{c}"), F.stddev_samp(v).alias(f"std__{c}")]
-        if fam[c] == TEXT:
-            more, picks[c] = _date_format_expr(df, c, formats)
-            aggs += more
-    wide = df.agg(*aggs)
+    # The main pass: missing counts, moments and date-format checks, at most
+    # COLUMNS_PER_PASS columns per aggregate.
     none = F.lit(None).cast("double")
-    entries = []
-    for i, c in enumerate(cols):
-        num = fam[c] == NUMBER
-        entries.append(F.struct(
-            F.lit(c).alias("column"), F.lit(i).alias("ordinal"),
-            F.lit(df.schema[c].dataType.simpleString()).alias("dtype"), F.lit(fam[c]).alias("family"),
-            F.col("rows").alias("rows"), F.col(f"`missing__{c}`").alias("missing"),
-            F.try_divide(F.col(f"`missing__{c}`") * 100.0, F.col("rows")).alias("missing_pct"),
-            *[(F.col(f"`{s}__{c}`") if num else none).alias(s) for s in ("min", "max", "mean", "std")],
-            (picks[c] if c in picks else F.lit(None).cast("string")).alias("date_format")))
-    base = wide.select(F.explode(F.array(*entries)).alias("e")).select("e.*")
+    parts = []
+    for start in range(0, len(cols), S.COLUMNS_PER_PASS):
+        chunk = cols[start:start + S.COLUMNS_PER_PASS]
+        aggs = [F.count(F.lit(1)).alias("rows")]
+        picks = {}
+        for c in chunk:
+            aggs.append(count_missing(is_missing(df, c)).alias(f"missing__{c}"))
+            if fam[c] == NUMBER:
+                v = nan_to_null(df, c).cast("double")
+                aggs += [F.min(v).alias(f"min__{c}"), F.max(v).alias(f"max__{c}"),
+                         F.avg(v).alias(f"mean__{c}"), F.stddev_samp(v).alias(f"std__{c}")]
+            if fam[c] == TEXT:
+                more, picks[c] = _date_format_expr(df, c, formats)
+                aggs += more
+        wide = df.agg(*aggs)
+        entries = []
+        for c in chunk:
+            i = cols.index(c)
+            num = fam[c] == NUMBER
+            entries.append(F.struct(
+                F.lit(c).alias("column"), F.lit(i).alias("ordinal"),
+                F.lit(df.schema[c].dataType.simpleString()).alias("dtype"), F.lit(fam[c]).alias("family"),
+                F.col("rows").alias("rows"), F.col(f"`missing__{c}`").alias("missing"),
+                F.try_divide(F.col(f"`missing__{c}`") * 100.0, F.col("rows")).alias("missing_pct"),
+                *[(F.col(f"`{s}__{c}`") if num else none).alias(s) for s in ("min", "max", "mean", "std")],
+                (picks[c] if c in picks else F.lit(None).cast("string")).alias("date_format")))
+        parts.append(wide.select(F.explode(F.array(*entries)).alias("e")).select("e.*"))
+    base = parts[0]
+    for p in parts[1:]:
+        base = base.unionByName(p)
     nums = [c for c in cols if fam[c] == NUMBER]
     texts = [c for c in cols if fam[c] == TEXT]
     out = base

@@ -35,16 +35,42 @@ def _numeric(df: DataFrame, cols: Sequence[str] | None) -> list[str]:
     return [c for c in _cols(df, cols) if c in nums]
 
 
-def _to_long(wide: DataFrame, cols: Sequence[str], fields: Mapping[str, str]) -> DataFrame:
+# Columns summarised per aggregate pass.  A table wider than this is read in
+# several passes over disjoint column sets (Parquet reads only the columns of
+# each pass), which keeps every generated aggregate compact.
+COLUMNS_PER_PASS = 64
+
+
+def _to_long(wide: DataFrame, cols: Sequence[str], fields: Mapping[str, str],
+             first_ordinal: int = 0) -> DataFrame:
     """Reshape one wide row with columns ``f"{field}__{col}"`` into one row per col."""
     entries = [
-        F.struct(F.lit(c).alias("column"), F.lit(i).alias("ordinal"),
+        F.struct(F.lit(c).alias("column"), F.lit(first_ordinal + i).alias("ordinal"),
                  *[F.col(f"`{f}__{c}`").cast(t).alias(f) for f, t in fields.items()])
         for i, c in enumerate(cols)
     ]
     return wide.select(F.explode(F.array(*entries)).alias("e")).select("e.*")
 
 
+def per_column_passes(df: DataFrame, cols: Sequence[str], aggs_of, fields: Mapping[str, str],
+                      shared=(), finish=None) -> DataFrame:
+    """One row per column from aggregate passes of at most COLUMNS_PER_PASS columns.
+
+    ``aggs_of(c)`` gives the aggregates of column ``c`` (named
+    ``f"{field}__{c}"``); ``shared`` aggregates (e.g. the row count) are added to
+    every pass; ``finish(wide, chunk)`` may add derived ``field__col`` columns.
+    """
+    out = None
+    for start in range(0, len(cols), COLUMNS_PER_PASS):
+        chunk = list(cols[start:start + COLUMNS_PER_PASS])
+        wide = df.agg(*shared, *[a for c in chunk for a in aggs_of(c)])
+        if finish is not None:
+            wide = finish(wide, chunk)
+        part = _to_long(wide, chunk, fields, first_ordinal=start)
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
 def per_column(df: DataFrame) -> DataFrame:
     """Mark a table with one row per column for broadcast: its size is bounded
     by the schema width, not by the data."""
@@ -78,11 +104,10 @@ def missing_counts(df: DataFrame, cols: Sequence[str] | None = None) -> DataFram
     cols = _cols(df, cols)
     if not cols:
         return _empty(df, "column string, ordinal int, rows bigint, missing bigint, missing_pct double")
-    wide = df.agg(F.count(F.lit(1)).alias("rows"),
-                  *[count_missing(is_missing(df, c)).alias(f"missing__{c}") for c in cols])
-    wide = wide.select(*[F.col("rows").alias(f"rows__{c}") for c in cols],
-                       *[F.col(f"`missing__{c}`") for c in cols])
-    long = _to_long(wide, cols, {"rows": "bigint", "missing": "bigint"})
+    long = per_column_passes(
+        df, cols, lambda c: [count_missing(is_missing(df, c)).alias(f"missing__{c}")],
+        {"rows": "bigint", "missing": "bigint"}, shared=[F.count(F.lit(1)).alias("rows")],
+        finish=lambda w, chunk: w.select("*", *[F.col("rows").alias(f"rows__{c}") for c in chunk]))
     return long.withColumn("missing_pct", F.try_divide(F.col("missing") * 100.0, F.col("rows")))
 
 
@@ -98,8 +123,8 @@ def unique_counts(df: DataFrame, cols: Sequence[str] | None = None,
     if not cols:
         return _empty(df, "column string, ordinal int, n_unique bigint")
     fn = (lambda c: F.approx_count_distinct(c)) if approx else (lambda c: F.count_distinct(c))
-    wide = df.agg(*[fn(nan_to_null(df, c)).alias(f"n_unique__{c}") for c in cols])
-    return _to_long(wide, cols, {"n_unique": "bigint"})
+    return per_column_passes(df, cols, lambda c: [fn(nan_to_null(df, c)).alias(f"n_unique__{c}")],
+                             {"n_unique": "bigint"})
 
 
 # ---------------------------------------------------------- quantiles
@@ -234,20 +259,21 @@ def quantiles_wide(df: DataFrame, cols: Sequence[str], names: Mapping[str, float
 def _moments(df: DataFrame, cols: Sequence[str], with_missing: bool = False) -> DataFrame:
     """count, mean, std, min, max (and optionally missing) per numeric column,
     in one pass."""
-    aggs = [F.count(F.lit(1)).alias("_rows")] if with_missing else []
-    for c in cols:
+    def aggs_of(c):
         v = nan_to_null(df, c).cast("double")
-        aggs += [F.count(v).alias(f"count__{c}"), F.avg(v).alias(f"mean__{c}"),
-                 F.stddev_samp(v).alias(f"std__{c}"), F.min(v).alias(f"min__{c}"),
-                 F.max(v).alias(f"max__{c}")]
-    wide = df.agg(*aggs)
+        return [F.count(v).alias(f"count__{c}"), F.avg(v).alias(f"mean__{c}"),
+                F.stddev_samp(v).alias(f"std__{c}"), F.min(v).alias(f"min__{c}"),
+                F.max(v).alias(f"max__{c}")]
+
     fields = {"count": "bigint", "mean": "double", "std": "double", "min": "double", "max": "double"}
-    if with_missing:
-        wide = wide.select("*", *[(F.col("_rows") - F.col(f"`count__{c}`")).alias(f"missing__{c}")
-                                  for c in cols],
-                           *[F.col("_rows").alias(f"rows__{c}") for c in cols])
-        fields.update({"missing": "bigint", "rows": "bigint"})
-    return _to_long(wide, cols, fields)
+    if not with_missing:
+        return per_column_passes(df, cols, aggs_of, fields)
+    fields.update({"missing": "bigint", "rows": "bigint"})
+    return per_column_passes(
+        df, cols, aggs_of, fields, shared=[F.count(F.lit(1)).alias("_rows")],
+        finish=lambda w, chunk: w.select(
+            "*", *[(F.col("_rows") - F.col(f"`count__{c}`")).alias(f"missing__{c}") for c in chunk],
+            *[F.col("_rows").alias(f"rows__{c}") for c in chunk]))
 
 
 def numeric_stats(df: DataFrame, cols: Sequence[str] | None = None, exact: bool = True) -> DataFrame:

@@ -111,3 +111,18 @@ def test_correlation_chunked_equals_single_pass(spark):
     one = sorted(tuple(r) for r in correlation(li).collect())
     many = sorted(tuple(r) for r in correlation(li, pairs_per_pass=3).collect())
     assert len(one) == 16 and one == many
+
+
+def test_per_column_passes_equal_single_pass(spark, monkeypatch):
+    from tabsight.operators import profile as P
+    li = load(spark, SF_SMALL, "lineitem")
+
+    def snapshot():
+        return sorted(tuple(r) for r in P.profile(li, samples=3).collect())
+
+    one = snapshot()
+    monkeypatch.setattr(S, "COLUMNS_PER_PASS", 3)
+    many = snapshot()
+    assert len(one) == len(li.columns) and one == many
+    assert sorted(tuple(r) for r in S.missing_counts(li).collect()) == sorted(
+        (c, i, li.count(), 0, 0.0) for i, c in enumerate(li.columns))
