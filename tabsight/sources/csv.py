@@ -27,10 +27,16 @@ INTEGER_PATTERN = r"^\s*[+-]?\d+\s*$"
 
 
 def read_csv(spark: SparkSession, path: str, na_tokens=PANDAS_NA_TOKENS, infer: bool = True,
-             sep: str = ",") -> DataFrame:
-    """Read a header CSV; missing tokens -> NULL; types inferred in one pass."""
+             sep: str = ",", multiline: bool = False) -> DataFrame:
+    """Read a header CSV; missing tokens -> NULL; types inferred in one pass.
+
+    Quotes inside a quoted field are written doubled (``""``), as pandas
+    reads them.  ``multiline=True`` allows line breaks inside quoted fields;
+    it makes each file a single split, so it is off by default.
+    """
     raw = (spark.read.option("header", True).option("inferSchema", False)
-           .option("sep", sep).option("nullValue", None).option("emptyValue", "")
+           .option("sep", sep).option("quote", '"').option("escape", '"')
+           .option("multiLine", multiline).option("nullValue", None).option("emptyValue", "")
            .option("mode", "FAILFAST").csv(path))
     tokens = list(na_tokens)
     clean = raw.select(*[F.when(F.col(f"`{c}`").isin(tokens), F.lit(None))
@@ -70,6 +76,7 @@ def read_csv(spark: SparkSession, path: str, na_tokens=PANDAS_NA_TOKENS, infer:
 def write_csv(df: DataFrame, path: str, mode: str = "errorifexists") -> str:
     """Header CSV without an index, written by the executors in parallel."""
     (df.write.mode(mode).option("header", True)
+       .option("quote", '"').option("escape", '"')
        .option("timestampNTZFormat", "yyyy-MM-dd HH:mm:ss")
        .option("timestampFormat", "yyyy-MM-dd HH:mm:ss")
        .csv(path))
