@@ -167,12 +167,13 @@ def one_hot(df: DataFrame, cols: Sequence[str], max_categories: int = 1000) -> D
     for c in cols:
         if c not in out.columns:
             continue
-        vals = [r[0] for r in out.select(c).where(F.col(c).isNotNull()).distinct()
-                .orderBy(c).limit(max_categories + 1).collect()]
+        value = nan_to_null(out, c)
+        vals = [r[0] for r in out.select(value.alias("v")).where(F.col("v").isNotNull()).distinct()
+                .orderBy("v").limit(max_categories + 1).collect()]
         if len(vals) > max_categories:
             raise ValueError(f"{c!r} has more than {max_categories} categories; use label encoding")
         keep = [F.col(f"`{x}`") for x in out.columns if x != c]
-        dummies = [F.coalesce(F.col(c) == F.lit(v), F.lit(False)).alias(f"{c}_{_category_name(v)}")
+        dummies = [F.coalesce(value == F.lit(v), F.lit(False)).alias(f"{c}_{_category_name(v)}")
                    for v in vals]
         out = out.select(*keep, *dummies)
     return out
@@ -191,7 +192,7 @@ def label_codes(df: DataFrame, col: str) -> tuple[DataFrame, int]:
     billions of distinct values is coded without a single-task window.
     Returns the code table and its row count (a proven size).
     """
-    values = df.select(F.col(col).alias("value")).where(F.col("value").isNotNull()).distinct()
+    values = df.select(nan_to_null(df, col).alias("value")).where(F.col("value").isNotNull()).distinct()
     few = [r[0] for r in values.orderBy("value").limit(SMALL_CATEGORY_LIMIT + 1).collect()]
     if len(few) <= SMALL_CATEGORY_LIMIT:
         dtype = df.schema[col].dataType.simpleString()
@@ -231,7 +232,7 @@ def label_encode(df: DataFrame, cols: Sequence[str], broadcast_rows: int = 1_000
         codes = codes.withColumnRenamed("value", "_lbl_value").withColumnRenamed("code", "_lbl_code")
         if small:
             codes = F.broadcast(codes)
-        joined = out.join(codes, out[c] == codes["_lbl_value"], "left")
+        joined = out.join(codes, nan_to_null(out, c) == codes["_lbl_value"], "left")
         out = joined.select(*[F.col(f"`{x}`") for x in out.columns],
                             F.coalesce(F.col("_lbl_code"), F.lit(-1)).cast("bigint")
                             .alias(f"{c}_encoded"))

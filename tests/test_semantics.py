@@ -143,3 +143,13 @@ def test_standardize_constant_column(spark):
     df = nums(spark, [3.0, 3.0])
     assert [r["x"] for r in R.standardize(df, ["x"]).collect()] == [None, None]
     assert [r["x"] for r in R.standardize(df, ["x"], on_constant="keep").collect()] == [3.0, 3.0]
+
+
+def test_encoders_treat_nan_as_missing(spark):
+    df = spark.createDataFrame([(0, 2.0), (1, float("nan")), (2, 1.0), (3, None)], "i int, x double")
+    lab = R.label_encode(df, ["x"]).orderBy("i").collect()
+    assert [r["x_encoded"] for r in lab] == [1, -1, 0, -1]
+    hot = R.one_hot(df, ["x"]).orderBy("i").collect()
+    assert hot[0].__fields__ == ["i", "x_1.0", "x_2.0"]
+    assert [(r["x_1.0"], r["x_2.0"]) for r in hot] == [(False, True), (False, False), (True, False),
+                                                        (False, False)]
