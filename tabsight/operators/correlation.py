@@ -55,6 +55,14 @@ def correlation(df: DataFrame, cols: Sequence[str] | None = None,
     return out
 
 
+def correlation_pairs(df: DataFrame, cols: Sequence[str] | None = None, digits: int = 2) -> DataFrame:
+    """The correlations a column profile lists: every ordered pair of distinct
+    columns, rounded, undefined ones left out.  (col_x, col_y, corr)."""
+    corr = correlation(df, cols)
+    return corr.where((F.col("x_ordinal") != F.col("y_ordinal")) & F.col("corr").isNotNull()).select(
+        "col_x", "col_y", F.round("corr", digits).alias("corr"))
+
+
 def strength_label(r) -> F.Column:
     """strong above 0.7, moderate above 0.3, else weak (on |r|)."""
     return (F.when(F.abs(r) > 0.7, "strong").when(F.abs(r) > 0.3, "moderate").otherwise("weak"))

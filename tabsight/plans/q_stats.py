@@ -216,6 +216,21 @@ def _corr_sql() -> str:
     return "\nunion all\n".join(parts)
 
 
+def _corr_pairs(spark, d):
+    return C.correlation_pairs(_corr_input(spark, d))
+
+
+def _corr_pairs_sql() -> str:
+    parts = []
+    for i, a in enumerate(CORR_COLS):
+        for j, b in enumerate(CORR_COLS):
+            if i != j:
+                lo, hi = (a, b) if i < j else (b, a)
+                parts.append(f"select '{a}' as col_x, '{b}' as col_y, round(corr({lo}, {hi}), 2) as corr "
+                             f"from {CORR_SOURCE} having not isnan(corr({lo}, {hi}))")
+    return "\nunion all\n".join(parts)
+
+
 def _top_corr(spark, d):
     return C.top_correlations(C.correlation(_corr_input(spark, d)), 3)
 
@@ -371,6 +386,7 @@ QUERIES = [
     Query("duplicate_rows", _duplicates, DUPLICATES_SQL),
     Query("column_samples", _samples, SAMPLES_SQL),
     Query("correlation_matrix", _correlation, _corr_sql()),
+    Query("correlation_pairs", _corr_pairs, _corr_pairs_sql()),
     Query("top_correlations", _top_corr, _top_corr_sql()),
     Query("strongest_pair", _strongest, _strongest_sql()),
     Query("distribution", _distribution, DISTRIBUTION_SQL),

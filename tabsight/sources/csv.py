@@ -54,7 +54,10 @@ def read_csv(spark: SparkSession, path: str, na_tokens=PANDAS_NA_TOKENS, infer:
             F.count_if(present & v.rlike(NUMERIC_TEXT_PATTERN)).alias(f"num{i}"),
             F.count_if(present & v.isin(list(TRUE_TOKENS + FALSE_TOKENS))).alias(f"bool{i}"),
         ]
-    row = clean.agg(*checks).first()
+    try:
+        row = clean.agg(*checks).first()
+    except Exception as e:  # noqa: BLE001 -- re-raised with the file named, like the reference
+        raise ValueError(f"error loading CSV {path}: {e}") from e
     cols = []
     for i, c in enumerate(clean.columns):
         v = F.col(f"`{c}`")
