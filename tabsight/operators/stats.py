@@ -17,6 +17,7 @@ from collections.abc import Mapping, Sequence
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.aggregates import count_missing, sample_skewness
 from ..functions.scalars import (DATETIME, NUMBER, TEXT, columns_of, family_of,
@@ -491,16 +492,42 @@ def mode_scalars(df: DataFrame, cols: Sequence[str]) -> dict:
             for i, c in enumerate(cols)}
 
 
+def _normalised_for_equality(df: DataFrame) -> DataFrame:
+    """NaN -> NULL and -0.0 -> 0.0, so that equal values also hash equally."""
+    cols = []
+    for f in df.schema.fields:
+        c = nan_to_null(df, f.name)
+        if isinstance(f.dataType, (T.DoubleType, T.FloatType)):
+            c = F.when(c == 0, F.lit(0.0).cast(f.dataType)).otherwise(c)
+        cols.append(c.alias(f.name))
+    return df.select(*cols)
+
+
 def duplicate_rows(df: DataFrame) -> DataFrame:
     """Rows repeating an earlier identical row (missing equals missing).
 
-    (rows, duplicates).  One aggregation on all columns; a hot duplicate
-    group is pre-aggregated map-side, so it never lands on one task whole.
+    (rows, duplicates).  Exact, in two phases so that whole rows are only
+    shuffled when they may be duplicates: (1) rows are counted per 96-bit
+    row hash (xxhash64 and murmur3 of the values, plus the pattern of
+    missing values) -- a shuffle of small keys, combined map-side; (2) only
+    rows whose hash occurs more than once are grouped on all their columns,
+    which resolves hash collisions exactly.  A duplicated row holding a third
+    of the table is pre-aggregated map-side in both phases.
     """
-    clean = df.select(*[nan_to_null(df, c).alias(c) for c in df.columns])
-    groups = clean.groupBy(*df.columns).agg(F.count(F.lit(1)).alias("_n"))
-    return groups.agg(F.coalesce(F.sum("_n"), F.lit(0)).cast("bigint").alias("rows"),
-                      F.coalesce(F.sum(F.col("_n") - 1), F.lit(0)).cast("bigint").alias("duplicates"))
+    clean = _normalised_for_equality(df)
+    cols = [F.col(f"`{c}`") for c in clean.columns]
+    nulls = F.array(*[c.isNull() for c in cols])
+    keyed = clean.select("*", F.xxhash64(*cols, nulls).alias("_h1"), F.hash(*cols, nulls).alias("_h2"))
+    per_hash = keyed.groupBy("_h1", "_h2").agg(F.count(F.lit(1)).alias("_n"))
+    rows = per_hash.agg(F.coalesce(F.sum("_n"), F.lit(0)).cast("bigint").alias("rows"))
+    repeated = per_hash.where(F.col("_n") > 1).select("_h1", "_h2")
+    candidates = keyed.join(repeated, ["_h1", "_h2"], "left_semi").drop("_h1", "_h2")
+    groups = candidates.groupBy(*clean.columns).agg(F.count(F.lit(1)).alias("_n"))
+    dups = groups.agg(F.coalesce(F.sum(F.col("_n") - 1), F.lit(0)).cast("bigint").alias("duplicates"))
+    zero = F.lit(0).cast("bigint")
+    both = rows.select("rows", zero.alias("duplicates")).unionByName(
+        dups.select(zero.alias("rows"), "duplicates"))
+    return both.agg(F.sum("rows").alias("rows"), F.sum("duplicates").alias("duplicates"))
 
 
 def column_samples(df: DataFrame, cols: Sequence[str] | None = None, n: int = 10) -> DataFrame:

@@ -153,3 +153,10 @@ def test_encoders_treat_nan_as_missing(spark):
     assert hot[0].__fields__ == ["i", "x_1.0", "x_2.0"]
     assert [(r["x_1.0"], r["x_2.0"]) for r in hot] == [(False, True), (False, False), (True, False),
                                                         (False, False)]
+
+
+def test_duplicates_null_patterns_and_signed_zero(spark):
+    df = spark.createDataFrame([(None, 1.0), (1.0, None), (None, 1.0), (0.0, 2.0), (-0.0, 2.0),
+                                (float("nan"), 3.0), (None, 3.0)], "a double, b double")
+    r = S.duplicate_rows(df).first()
+    assert (r["rows"], r["duplicates"]) == (7, 3)
