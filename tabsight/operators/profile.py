@@ -32,6 +32,10 @@ OUTLIER_MEDIUM_SHARE = 0.05     # outliers above -> "medium", else "low"
 NUMERIC_TEXT_SHARE = 0.5        # share of all rows that must read as numbers
 ONE_HOT_BELOW = 10              # fewer distinct values -> one-hot, else label
 
+# Text columns whose values average more characters than this are counted
+# by value hash first (their texts are shuffled only when repeated).
+LONG_TEXT = 64
+
 
 def _parse(col, fmt):
     return parse_with(col, fmt)
@@ -53,6 +57,16 @@ def _date_format_expr(df: DataFrame, c: str, formats) -> tuple[list, F.Column]:
     return [present, *parsed], pick
 
 
+def long_text_columns(df: DataFrame, texts: Sequence[str], probe_rows: int = 1000) -> list[str]:
+    """Text columns whose values are long (mean length above LONG_TEXT),
+    judged on the first ``probe_rows`` rows: a limit reads only a few file
+    pieces, so the check is cheap whatever the table size."""
+    if not texts:
+        return []
+    row = df.limit(probe_rows).agg(*[F.avg(F.length(c)).alias(f"l{i}") for i, c in enumerate(texts)]).first()
+    return [c for i, c in enumerate(texts) if row[f"l{i}"] is not None and row[f"l{i}"] > LONG_TEXT]
+
+
 def profile(df: DataFrame, cols: Sequence[str] | None = None,
             formats: Sequence[str] = DEFAULT_DATE_FORMATS, exact: bool = True,
             approx_distinct: bool = False, samples: int = 10) -> DataFrame:
@@ -94,6 +108,7 @@ def profile(df: DataFrame, cols: Sequence[str] | None = None,
     base = parts[0]
     for p in parts[1:]:
         base = base.unionByName(p)
+    long_texts = long_text_columns(df, [c for c in cols if fam[c] == TEXT])
     nums = [c for c in cols if fam[c] == NUMBER]
     texts = [c for c in cols if fam[c] == TEXT]
     out = base
@@ -109,7 +124,8 @@ def profile(df: DataFrame, cols: Sequence[str] | None = None,
     else:
         out = out.withColumn("median", none)
     rest = [c for c in cols if c not in from_hist.get("histogram_columns", [])]
-    uniques = S.unique_counts(df, rest, approx=approx_distinct).select("column", "n_unique")
+    uniques = S.unique_counts(df, rest, approx=approx_distinct, hash_texts=long_texts).select(
+        "column", "n_unique")
     if "frame" in from_hist:
         uniques = uniques.unionByName(from_hist["frame"])
     out = out.join(S.per_column(uniques), "column", "left")

@@ -113,19 +113,60 @@ def missing_counts(df: DataFrame, cols: Sequence[str] | None = None) -> DataFram
 
 
 def unique_counts(df: DataFrame, cols: Sequence[str] | None = None,
-                  approx: bool = False) -> DataFrame:
+                  approx: bool = False, hash_texts: Sequence[str] = ()) -> DataFrame:
     """Distinct non-missing values per column: (column, ordinal, n_unique).
 
     Exact by default (one pass; Spark expands rows once per column and
-    de-duplicates map-side).  ``approx=True`` uses HyperLogLog++ sketches,
-    which merge without shuffling the values at all.
+    de-duplicates map-side).  Text columns named in ``hash_texts`` (long
+    texts) are counted by value hash first, so their texts are shuffled only
+    when repeated (see ``_text_distinct_counts``).  ``approx=True`` uses
+    HyperLogLog++ sketches, which merge without shuffling the values at all.
     """
     cols = _cols(df, cols)
     if not cols:
         return _empty(df, "column string, ordinal int, n_unique bigint")
-    fn = (lambda c: F.approx_count_distinct(c)) if approx else (lambda c: F.count_distinct(c))
-    return per_column_passes(df, cols, lambda c: [fn(nan_to_null(df, c)).alias(f"n_unique__{c}")],
-                             {"n_unique": "bigint"})
+    if approx:
+        return per_column_passes(
+            df, cols, lambda c: [F.approx_count_distinct(nan_to_null(df, c)).alias(f"n_unique__{c}")],
+            {"n_unique": "bigint"})
+    texts = set(columns_of(df, TEXT)) & set(hash_texts)
+    plain = [c for c in cols if c not in texts]
+    hashed = [c for c in cols if c in texts]
+    parts = []
+    if plain:
+        parts.append(per_column_passes(
+            df, plain, lambda c: [F.count_distinct(nan_to_null(df, c)).alias(f"n_unique__{c}")],
+            {"n_unique": "bigint"}).select("column", "n_unique"))
+    if hashed:
+        parts.append(_text_distinct_counts(df, hashed))
+    out = parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
+    order = {c: i for i, c in enumerate(cols)}
+    ordinal = F.element_at(F.create_map(*[x for c, i in order.items() for x in (F.lit(c), F.lit(i))]),
+                           F.col("column"))
+    return out.select("column", ordinal.alias("ordinal"), "n_unique")
+
+
+def _text_distinct_counts(df: DataFrame, cols: Sequence[str]) -> DataFrame:
+    """Exact distinct counts of text columns without shuffling the texts.
+
+    Phase 1 counts distinct 96-bit value hashes per column (a shuffle of small
+    keys).  Phase 2 looks only at hashes shared by several rows (repeated
+    values, or a collision) and counts the distinct texts behind each; the
+    surplus over one is added.  Long unique texts never leave their task.
+    """
+    entries = [F.struct(F.lit(i).alias("cid"), F.col(f"`{c}`").alias("v")) for i, c in enumerate(cols)]
+    long = df.select(F.explode(F.array(*entries)).alias("e")).select("e.*").where(F.col("v").isNotNull())
+    keyed = long.select("cid", F.xxhash64("v").alias("h1"), F.hash("v").alias("h2"), "v")
+    per_hash = keyed.groupBy("cid", "h1", "h2").agg(F.count(F.lit(1)).alias("n"))
+    hashes = per_hash.groupBy("cid").agg(F.count(F.lit(1)).alias("hashes"))
+    repeated = per_hash.where(F.col("n") > 1).select("cid", "h1", "h2")
+    surplus = (keyed.join(repeated, ["cid", "h1", "h2"], "left_semi")
+               .groupBy("cid", "h1", "h2").agg((F.count_distinct("v") - 1).alias("extra"))
+               .groupBy("cid").agg(F.sum("extra").alias("extra")))
+    names = df.sparkSession.createDataFrame([(i, c) for i, c in enumerate(cols)], "cid int, column string")
+    return (names.join(hashes, "cid", "left").join(surplus, "cid", "left")
+            .select("column", (F.coalesce("hashes", F.lit(0)) + F.coalesce("extra", F.lit(0)))
+                    .cast("bigint").alias("n_unique")))
 
 
 # ---------------------------------------------------------- quantiles

@@ -74,7 +74,7 @@ MISSING_PCT_SQL = dirty_cte() + union_sql(DIRTY_ALL, lambda c, i: (
 
 
 def _unique(spark, d):
-    return S.unique_counts(lineitem_dirty(spark, d))
+    return S.unique_counts(lineitem_dirty(spark, d), hash_texts=["l_shipdate_text"])
 
 
 UNIQUE_SQL = dirty_cte() + union_sql(DIRTY_ALL, lambda c, i: (
