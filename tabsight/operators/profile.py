@@ -130,7 +130,7 @@ def profile(df: DataFrame, cols: Sequence[str] | None = None,
         uniques = uniques.unionByName(from_hist["frame"])
     out = out.join(S.per_column(uniques), "column", "left")
     if texts and samples:
-        out = out.join(S.per_column(S.column_samples(df, texts, samples)), "column", "left")
+        out = out.join(S.per_column(S.column_samples(df, texts, samples, long_texts)), "column", "left")
     else:
         out = out.withColumn("samples", F.lit(None).cast("array<string>"))
     return out.select("column", "ordinal", "dtype", "family", "rows", "missing", "missing_pct",

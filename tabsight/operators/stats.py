@@ -571,25 +571,55 @@ def duplicate_rows(df: DataFrame) -> DataFrame:
     return both.agg(F.sum("rows").alias("rows"), F.sum("duplicates").alias("duplicates"))
 
 
-def column_samples(df: DataFrame, cols: Sequence[str] | None = None, n: int = 10) -> DataFrame:
+def column_samples(df: DataFrame, cols: Sequence[str] | None = None, n: int = 10,
+                   long_texts: Sequence[str] = ()) -> DataFrame:
     """Up to ``n`` distinct non-missing values per text column, as strings.
 
     Row order does not exist in Spark, so the ``n`` smallest values are
-    taken (a distributed top-n after de-duplication).
+    taken (a distributed top-n after de-duplication).  For columns in
+    ``long_texts`` the texts are not de-duplicated by a shuffle: see
+    ``_smallest_distinct``.
     """
     texts = set(columns_of(df, TEXT))
     cols = [c for c in _cols(df, cols) if c in texts]
     if not cols:
         return _empty(df, "column string, samples array<string>")
-    parts = [df.select(F.col(c).cast("string").alias("value")).where(F.col("value").isNotNull())
-             .distinct().orderBy("value").limit(n).select(F.lit(c).alias("column"), "value")
-             for c in cols]
+    parts = []
+    for c in cols:
+        found = _smallest_distinct(df, c, n) if c in long_texts else None
+        if found is not None:
+            parts.append(df.sparkSession.createDataFrame([(c, v) for v in found],
+                                                         "column string, value string"))
+        else:
+            parts.append(df.select(F.col(c).cast("string").alias("value"))
+                         .where(F.col("value").isNotNull()).distinct().orderBy("value").limit(n)
+                         .select(F.lit(c).alias("column"), "value"))
     union = parts[0]
     for p in parts[1:]:
         union = union.unionByName(p)
     return union.groupBy("column").agg(F.sort_array(F.collect_list("value")).alias("samples"))
 
 
+def _smallest_distinct(df: DataFrame, c: str, n: int, rounds: int = 3) -> list | None:
+    """The ``n`` smallest distinct values of a long-text column, or None.
+
+    The ``k`` smallest rows (a distributed top-k: every task keeps ``k`` rows)
+    hold every value up to the k-th smallest, so if they contain ``n``
+    distinct values those are exactly the ``n`` smallest.  ``k`` grows from
+    4n for a few rounds; a column that is still short of distinct values
+    (heavily repeated texts) returns None and takes the de-duplicating plan.
+    """
+    k = 4 * n
+    col = F.col(c).cast("string")
+    for _ in range(rounds):
+        rows = df.select(col.alias("v")).where(F.col("v").isNotNull()).orderBy("v").limit(k).collect()
+        values = sorted({r["v"] for r in rows})
+        if len(values) >= n or len(rows) < k:
+            return values[:n]
+        k *= 4
+    return None
+
+
 def before_after_stats(before: DataFrame, after: DataFrame, cols: Sequence[str] | None = None,
                        limit: int = 5) -> DataFrame:
     """Missing, mean and std before and after preparation.

@@ -126,3 +126,19 @@ def test_per_column_passes_equal_single_pass(spark, monkeypatch):
     assert len(one) == len(li.columns) and one == many
     assert sorted(tuple(r) for r in S.missing_counts(li).collect()) == sorted(
         (c, i, li.count(), 0, 0.0) for i, c in enumerate(li.columns))
+
+
+def test_smallest_distinct_long_texts(spark):
+    docs = load(spark, SF_SMALL, "documents")
+    a = S.column_samples(docs, ["text", "lang"], 10).collect()
+    b = S.column_samples(docs, ["text", "lang"], 10, long_texts=["text", "lang"]).collect()
+    assert sorted((r["column"], r["samples"]) for r in a) == sorted((r["column"], r["samples"]) for r in b)
+    assert S._smallest_distinct(docs, "lang", 10) is None or len(S._smallest_distinct(docs, "lang", 10)) <= 10
+
+
+def test_text_distinct_counts_match_exact(spark):
+    docs = load(spark, SF_SMALL, "documents")
+    hashed = {r["column"]: r["n_unique"] for r in
+              S.unique_counts(docs, ["text", "lang", "source"], hash_texts=["text", "lang", "source"]).collect()}
+    plain = {r["column"]: r["n_unique"] for r in S.unique_counts(docs, ["text", "lang", "source"]).collect()}
+    assert hashed == plain
