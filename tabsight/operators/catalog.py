@@ -58,18 +58,31 @@ def catalog_facts(spark: SparkSession, tables: Mapping[str, DataFrame],
     from ..functions.aggregates import count_missing
     from ..functions.scalars import is_missing, nan_to_null
 
+    from .profile import long_text_columns
+
     distinct = F.approx_count_distinct if approx else F.count_distinct
     facts = None
     for t, df in tables.items():
         cols = list(df.columns)
+        # long texts are counted hash-first (see stats.unique_counts)
+        long = [] if approx else long_text_columns(
+            df, [c for c in cols if family_of(df.schema[c].dataType) == TEXT])
         wide = df.agg(F.count(F.lit(1)).alias("rows"),
                       *[count_missing(is_missing(df, c)).alias(f"m{i}") for i, c in enumerate(cols)],
-                      *[distinct(nan_to_null(df, c)).alias(f"u{i}") for i, c in enumerate(cols)])
+                      *[distinct(nan_to_null(df, c)).alias(f"u{i}") for i, c in enumerate(cols)
+                        if c not in long])
+        none = F.lit(None).cast("bigint")
         entries = [F.struct(F.lit(t).alias("table"), F.lit(c).alias("column"),
                             F.col("rows").alias("rows"), F.col(f"m{i}").cast("bigint").alias("missing"),
-                            F.col(f"u{i}").cast("bigint").alias("n_unique"))
+                            (none if c in long else F.col(f"u{i}").cast("bigint")).alias("n_unique"))
                    for i, c in enumerate(cols)]
         part = wide.select(F.explode(F.array(*entries)).alias("e")).select("e.*")
+        if long:
+            hashed = S.unique_counts(df, long, hash_texts=long).select(
+                "column", F.col("n_unique").alias("_hashed"))
+            part = (part.join(F.broadcast(hashed), "column", "left")
+                    .select("table", "column", "rows", "missing",
+                            F.coalesce("n_unique", "_hashed").alias("n_unique")))
         facts = part if facts is None else facts.unionByName(part)
     out = column_catalog(spark, tables).join(facts, ["table", "column"], "left")
     return out.checkpoint(eager=True)

@@ -1,5 +1,7 @@
 """Domain detection, roles and suggestions on small hand-made schemas."""
 
+from pyspark.sql import functions as F
+
 from tabsight.operators import catalog as K
 
 
@@ -54,3 +56,12 @@ def test_suggestions_for_sales_and_marketing(spark):
     assert by[("marketing", 7)]["analysis"] == "comparison"
     assert by[("marketing", 8)]["dimensions"] == ["campaign", "channel"]
     assert ("marketing", 1) not in by  # no time column
+
+
+def test_catalog_facts_with_long_texts(spark):
+    from conftest import SF_SMALL
+    from tabsight.plans.tables import load
+    docs = load(spark, SF_SMALL, "documents")
+    facts = {r["column"]: r["n_unique"] for r in K.catalog_facts(spark, {"documents": docs}).collect()}
+    exact = docs.agg(*[F.count_distinct(c).alias(c) for c in docs.columns]).first().asDict()
+    assert facts == exact
