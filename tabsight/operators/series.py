@@ -43,15 +43,16 @@ def ols(df: DataFrame, x: str, y: str) -> DataFrame:
 
 
 def histogram(df: DataFrame, metric: str, bins: int = 20) -> DataFrame:
-    """Equal-width bins on [min, max]: (bin, lower, upper, count), empty bins kept.
+    """Equal-width bins on [min, max]: (bin, lower, upper, count, mean), empty
+    bins kept; ``mean`` is the metric's mean (drawn over the bars).
 
     The maximum falls in the last bin; a constant column is one bin.
     """
     v = nan_to_null(df, metric).cast("double")
-    row = df.agg(F.min(v).alias("lo"), F.max(v).alias("hi")).first()
+    row = df.agg(F.min(v).alias("lo"), F.max(v).alias("hi"), F.avg(v).alias("mean")).first()
     spark = df.sparkSession
     if row["lo"] is None:
-        return spark.createDataFrame([], "bin int, lower double, upper double, count bigint")
+        return spark.createDataFrame([], "bin int, lower double, upper double, count bigint, mean double")
     lo, hi = float(row["lo"]), float(row["hi"])
     width = (hi - lo) / bins if hi > lo else 0.0
     if hi > lo:
@@ -64,7 +65,8 @@ def histogram(df: DataFrame, metric: str, bins: int = 20) -> DataFrame:
     return spine.join(counts, "bin", "left").select(
         "bin", (F.lit(lo) + (F.col("bin") - 1) * F.lit(width)).alias("lower"),
         (F.lit(lo) + F.col("bin") * F.lit(width)).alias("upper"),
-        F.coalesce("count", F.lit(0)).cast("bigint").alias("count"))
+        F.coalesce("count", F.lit(0)).cast("bigint").alias("count"),
+        F.lit(row["mean"]).cast("double").alias("mean"))
 
 
 def series_heatmap(long: DataFrame, x: str, y: str, z: str) -> DataFrame:

@@ -156,11 +156,11 @@ HEATMAP_SQL = "\nunion all\n".join(
     for a in CORR3 for b in CORR3)
 
 HIST_SQL = """
-with s as (select min(value) as lo, max(value) as hi from events),
+with s as (select min(value) as lo, max(value) as hi, avg(value) as mean from events),
 c as (select least(cast(floor((value - lo) / (hi - lo) * 20) as integer) + 1, 20) as bin, count(*) as n
       from events, s where value is not null group by 1)
 select cast(b as integer) as bin, lo + (b - 1) * ((hi - lo) / 20) as lower, lo + b * ((hi - lo) / 20) as upper,
-       cast(coalesce(n, 0) as bigint) as count
+       cast(coalesce(n, 0) as bigint) as count, round(mean, 6) as mean
 from range(1, 21) t(b) cross join s left join c on c.bin = t.b
 """
 
