@@ -38,8 +38,9 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the shared checkpoint folder named by the cluster.
 
     ``spark.checkpoint.dir`` (or a directory already set on the context) is
-    used as given.  Only when neither is set -- local runs and tests -- a
-    fresh local folder is created and registered.
+    used as given.  Only when neither is set and the master is local (local
+    runs, tests) a fresh local folder is created and registered; on a
+    cluster that is an error.
     """
     sc = spark.sparkContext
     current = sc.getCheckpointDir()
@@ -48,6 +49,9 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     configured = sc.getConf().get("spark.checkpoint.dir", None) or \
         spark.conf.get("spark.checkpoint.dir", None)
     if not configured:
+        if not sc.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder all executors share; "
+                               "a machine-local folder cannot hold checkpoints on a cluster")
         configured = tempfile.mkdtemp(prefix="tabsight-ckpt-")
     sc.setCheckpointDir(configured)
     return sc.getCheckpointDir() or configured
