@@ -133,3 +133,48 @@ def test_breakdown_matches_pandas(spark):
     for b in want.index:
         assert close(float(want.loc[b, "p_retailprice"]), got[b]["p_retailprice"])
         assert close(float(want.loc[b, "p_size"]), got[b]["p_size"])
+
+
+def test_trend_matches_least_squares(spark):
+    ev = load(spark, SF_SMALL, "events").where("not (ts between '2024-01-08' and '2024-01-15')")
+    series = TS.resample(ev, "ts", ["value"], "D")
+    y = pd.Series({r["period"]: r["value"] for r in series.collect()}).sort_index().dropna()
+    x = np.arange(len(y))
+    slope, intercept = np.polyfit(x, y.to_numpy(), 1)
+    r = np.corrcoef(x, y.to_numpy())[0, 1]
+    got = TS.trend(series, ["value"]).first()
+    assert close(slope, got["slope"], 1e-8) and close(intercept, got["intercept"], 1e-8)
+    assert close(r, got["r"], 1e-9) and got["points"] == len(y)
+    assert got["direction"] == ("increasing" if slope > 0 else "decreasing")
+
+
+def test_outliers_match_pandas(spark):
+    ev = load(spark, SF_SMALL, "events")
+    p = ev.select("value", "user_id").toPandas()
+    got = {r["column"]: r["outliers"] for r in S.iqr_outliers(ev, ["value", "user_id"]).collect()}
+    for c in ("value", "user_id"):
+        q1, q3 = p[c].quantile(0.25), p[c].quantile(0.75)
+        iqr = q3 - q1
+        want = int(((p[c] < q1 - 1.5 * iqr) | (p[c] > q3 + 1.5 * iqr)).sum())
+        assert got[c] == want
+
+
+def test_numeric_text_rule_matches_pandas(li, pdf):
+    from tabsight.operators import profile as P
+    flagged = {r["column"] for r in P.quality_numeric_text(li).collect()}
+    texts = [c for c in pdf.columns if pdf[c].dtype == object]
+    want = {c for c in texts if pd.to_numeric(pdf[c], errors="coerce").notna().sum() / len(pdf) > 0.5}
+    assert flagged == want
+
+
+def test_date_text_detection_matches_pandas(li, pdf):
+    from tabsight.operators import profile as P
+    found = {r["column"] for r in P.date_candidates(li).collect()}
+    want = set()
+    for c in [c for c in pdf.columns if pdf[c].dtype == object]:
+        try:
+            pd.to_datetime(pdf[c], errors="raise", format="mixed")
+            want.add(c)
+        except (ValueError, TypeError):
+            pass
+    assert found == want
