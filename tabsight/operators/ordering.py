@@ -47,18 +47,23 @@ def _row_key(row) -> tuple:
 
 def _local_running(group_cols: Sequence[str], value_cols: Sequence[str],
                    out_cols: Sequence[str]):
-    """Per-partition running totals; groups are contiguous (rows are sorted)."""
+    """Per-partition running totals; groups are contiguous (rows are sorted).
+
+    Each value column keeps its own dtype, so integer totals stay exact int64
+    (no float64 round trip, which would lose exactness beyond 2**53).
+    """
 
     def run(batches):
         carry_key = None
-        carry = np.zeros(len(value_cols))
+        carry = [0] * len(value_cols)
         for pdf in batches:
             if pdf.empty:
                 for v, o in zip(value_cols, out_cols):
                     pdf[o] = pd.Series(dtype=pdf[v].dtype)
                 yield pdf
                 continue
-            values = pdf[list(value_cols)].fillna(0)
+            run_id = None
+            continues = False
             if group_cols:
                 change = np.zeros(len(pdf), dtype=bool)
                 for g in group_cols:
@@ -66,18 +71,20 @@ def _local_running(group_cols: Sequence[str], value_cols: Sequence[str],
                     prev = s.shift(1)
                     same = (s == prev) | (s.isna() & prev.isna())
                     change |= ~same.to_numpy()
-                first_key = _row_key(pdf[list(group_cols)].iloc[0])
-                change[0] = first_key != carry_key
+                change[0] = _row_key(pdf[list(group_cols)].iloc[0]) != carry_key
+                continues = not change[0]
                 run_id = change.cumsum()
-                cum = values.groupby(run_id).cumsum().to_numpy()
-                if not change[0]:
-                    cum = np.where((run_id == 0)[:, None], cum + carry, cum)
                 carry_key = _row_key(pdf[list(group_cols)].iloc[-1])
-            else:
-                cum = values.cumsum().to_numpy() + carry
-            carry = cum[-1].copy()
             for i, (v, o) in enumerate(zip(value_cols, out_cols)):
-                pdf[o] = cum[:, i].astype(pdf[v].dtype, copy=False) if len(pdf) else cum[:, i]
+                col = pdf[v].fillna(0)
+                if run_id is None:
+                    cum = col.cumsum().to_numpy() + carry[i]
+                else:
+                    cum = col.groupby(run_id).cumsum().to_numpy()
+                    if continues:
+                        cum = np.where(run_id == 0, cum + carry[i], cum)
+                carry[i] = cum[-1]
+                pdf[o] = cum
             yield pdf
 
     return run

@@ -142,3 +142,12 @@ def test_text_distinct_counts_match_exact(spark):
               S.unique_counts(docs, ["text", "lang", "source"], hash_texts=["text", "lang", "source"]).collect()}
     plain = {r["column"]: r["n_unique"] for r in S.unique_counts(docs, ["text", "lang", "source"]).collect()}
     assert hashed == plain
+
+
+def test_running_total_exact_beyond_float_precision(spark):
+    big = 2 ** 53 + 1
+    rows = [(i, big) for i in range(6)]
+    df = spark.createDataFrame(rows, "k long, v long")
+    got, totals = running_total(df, ["k"], "v", "cum", num_partitions=2)
+    assert sorted(r["cum"] for r in got.collect()) == [big * (i + 1) for i in range(6)]
+    assert totals.first()["cum"] == big * 6
