@@ -45,3 +45,20 @@ def test_top_categories_semi_join_is_broadcast(spark):
     kept.collect()
     assert "BroadcastHashJoin" in plan(kept) or "BroadcastHashJoin" in \
         kept._jdf.queryExecution().executedPlan().toString()
+
+
+def test_no_unbounded_global_window_or_cartesian(spark):
+    """A window without partitionBy may only order small tables: the running
+    total's per-partition sums, or a resampled series (one row per period)."""
+    import re
+
+    from tabsight.plans.registry import all_queries
+    spark.conf.set("spark.sql.maxMetadataStringLength", "100000")
+    global_window = re.compile(r"windowspecdefinition\(([^,()]+) (ASC|DESC) ")
+    series_queries = {"window_position"}
+    for q in all_queries():
+        p = plan(q.build(spark, SF_SMALL))
+        assert "CartesianProduct" not in p, q.name
+        for line in p.splitlines():
+            if "Window [" in line and global_window.search(line):
+                assert "_ts_ptotal" in line or q.name in series_queries, (q.name, line.strip()[:160])
