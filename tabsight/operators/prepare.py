@@ -168,10 +168,14 @@ def one_hot(df: DataFrame, cols: Sequence[str], max_categories: int = 1000) -> D
         if c not in out.columns:
             continue
         value = nan_to_null(out, c)
-        vals = [r[0] for r in out.select(value.alias("v")).where(F.col("v").isNotNull()).distinct()
-                .orderBy("v").limit(max_categories + 1).collect()]
-        if len(vals) > max_categories:
+        cats = (out.select(value.alias("v")).where(F.col("v").isNotNull()).distinct()
+                .orderBy("v").limit(max_categories + 1))
+        n, size = _count_and_bytes(cats, "v")
+        if n > max_categories:
             raise ValueError(f"{c!r} has more than {max_categories} categories; use label encoding")
+        if size > MAX_LISTED_BYTES:
+            raise ValueError(f"the categories of {c!r} are too long to become column names")
+        vals = [r[0] for r in cats.collect()]
         keep = [F.col(f"`{x}`") for x in out.columns if x != c]
         dummies = [F.coalesce(value == F.lit(v), F.lit(False)).alias(f"{c}_{_category_name(v)}")
                    for v in vals]
@@ -179,9 +183,17 @@ def one_hot(df: DataFrame, cols: Sequence[str], max_categories: int = 1000) -> D
     return out
 
 
-# Category lists up to this size are read back (sorted) and coded on the
-# driver, then broadcast; the limit check is what proves the size.
+# Category lists up to this many values and bytes are read back (sorted) and
+# coded on the driver, then broadcast; the checks are what prove the size.
 SMALL_CATEGORY_LIMIT = 10_000
+MAX_LISTED_BYTES = 16 * 1024 * 1024
+
+
+def _count_and_bytes(values: DataFrame, col: str) -> tuple[int, int]:
+    """Rows and total text bytes of a (limited) value list, in one small job."""
+    row = values.agg(F.count(F.lit(1)).alias("n"),
+                     F.sum(F.octet_length(F.col(col).cast("string"))).alias("b")).first()
+    return int(row["n"]), int(row["b"] or 0)
 
 
 def label_codes(df: DataFrame, col: str) -> tuple[DataFrame, int]:
@@ -193,8 +205,10 @@ def label_codes(df: DataFrame, col: str) -> tuple[DataFrame, int]:
     Returns the code table and its row count (a proven size).
     """
     values = df.select(nan_to_null(df, col).alias("value")).where(F.col("value").isNotNull()).distinct()
-    few = [r[0] for r in values.orderBy("value").limit(SMALL_CATEGORY_LIMIT + 1).collect()]
-    if len(few) <= SMALL_CATEGORY_LIMIT:
+    limited = values.orderBy("value").limit(SMALL_CATEGORY_LIMIT + 1)
+    n, size = _count_and_bytes(limited, "value")
+    if n <= SMALL_CATEGORY_LIMIT and size <= MAX_LISTED_BYTES:
+        few = [r[0] for r in limited.collect()]
         dtype = df.schema[col].dataType.simpleString()
         codes = df.sparkSession.createDataFrame(
             [(v, i) for i, v in enumerate(few)], f"value {dtype}, code bigint")

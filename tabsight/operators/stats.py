@@ -600,7 +600,7 @@ def column_samples(df: DataFrame, cols: Sequence[str] | None = None, n: int = 10
     return union.groupBy("column").agg(F.sort_array(F.collect_list("value")).alias("samples"))
 
 
-def _smallest_distinct(df: DataFrame, c: str, n: int, rounds: int = 3) -> list | None:
+def _smallest_distinct(df: DataFrame, c: str, n: int, rounds: int = 2) -> list | None:
     """The ``n`` smallest distinct values of a long-text column, or None.
 
     The ``k`` smallest rows (a distributed top-k: every task keeps ``k`` rows)
