@@ -157,9 +157,12 @@ def pivot_wide(long: DataFrame, dim1: str, dim2: str, max_values: int = 10_000)
     The dim2 values become column names, so they are listed on the driver;
     more than ``max_values`` raises instead of silently dropping columns.
     """
-    values = [r[0] for r in long.select(dim2).distinct().orderBy(dim2).limit(max_values + 1).collect()]
-    if len(values) > max_values:
-        raise ValueError(f"{dim2} has more than {max_values} values; use the long form")
+    from .prepare import MAX_LISTED_BYTES, _count_and_bytes
+    listed = long.select(dim2).distinct().orderBy(dim2).limit(max_values + 1)
+    n, size = _count_and_bytes(listed, dim2)
+    if n > max_values or size > MAX_LISTED_BYTES:
+        raise ValueError(f"{dim2} has too many or too long values for columns; use the long form")
+    values = [r[0] for r in listed.collect()]
     return long.groupBy(dim1).pivot(dim2, values).agg(F.first("value"))
 
 
