@@ -168,6 +168,44 @@ from (select {col} as v, cast(row_number() over (order by period) - 1 as double)
 having count(*) > 1""" for i, (m, col) in enumerate([("o_totalprice", "p"), ("o_custkey", "c")]))
 
 
+def _resample_day_all(spark, d):
+    """Daily means over the whole events table."""
+    return rounded(TS.resample(load(spark, d, "events"), "ts", ["value", "user_id"], "D"))
+
+
+RESAMPLE_DAY_ALL_SQL = """
+with g as (select cast(ts as date) as period, avg(value) as value, avg(user_id) as user_id
+           from events where ts is not null group by 1),
+s as (select cast(x as date) as period
+      from range(cast((select min(period) from g) as timestamp),
+                 cast((select max(period) from g) as timestamp) + interval 1 day, interval 1 day) t(x))
+select s.period, round(g.value, 6) as value, round(g.user_id, 6) as user_id from s left join g using (period)
+"""
+
+
+def _trend_all(spark, d):
+    out = TS.time_series(load(spark, d, "events"), "ts", ["value", "user_id"], "auto")
+    return rounded(out["trend"])
+
+
+def trend_all_sql() -> str:
+    head = """
+with g as (select cast(date_trunc('week', ts) as date) + 6 as period, avg(value) as value,
+                  avg(user_id) as user_id from events where ts is not null group by 1)"""
+    parts = []
+    for i, m in enumerate(["value", "user_id"]):
+        parts.append(f"""
+select '{m}' as metric, cast({i} as integer) as ordinal, cast(count(*) as bigint) as points,
+       round(regr_slope(v, x), 6) as slope, round(regr_intercept(v, x), 6) as intercept,
+       round(case when stddev_samp(v) = 0 then 0.0 else corr(x, v) end, 6) as r,
+       case when regr_slope(v, x) > 0 then 'increasing' else 'decreasing' end as direction,
+       round(abs(case when stddev_samp(v) = 0 then 0.0 else corr(x, v) end), 6) as strength
+from (select {m} as v, cast(row_number() over (order by period) - 1 as double) as x
+      from g where {m} is not null)
+having count(*) > 1""")
+    return head + "\n" + "\nunion all\n".join(parts)
+
+
 def _series_line(spark, d):
     series = TS.resample(_events_gap(spark, d), "ts", ["value"], "W")
     return rounded(series.select("period", "value").orderBy("period"))
@@ -185,4 +223,6 @@ QUERIES = [
     Query("window_first_last", _first_last, FIRST_LAST_SQL),
     Query("time_series", _time_series, time_series_sql()),
     Query("series_line", _series_line, week_sql(["value"])),
+    Query("resample_day_all", _resample_day_all, RESAMPLE_DAY_ALL_SQL),
+    Query("trend_all", _trend_all, trend_all_sql()),
 ]
