@@ -55,7 +55,8 @@ def impute(df: DataFrame, cols: Sequence[str], strategy: str = "mean", value=Non
         return _replace(df, {c: F.coalesce(nan_to_null(df, c), F.lit(fills.get(c)))
                              for c in nums if fills.get(c) is not None})
     if strategy == "mode":
-        fills = S.mode_scalars(df, cols)
+        from .profile import long_text_columns
+        fills = S.mode_scalars(df, cols, hash_texts=long_text_columns(df, cols))
         return _replace(df, {c: F.coalesce(nan_to_null(df, c), F.lit(v).cast(df.schema[c].dataType))
                              for c, v in fills.items() if v is not None})
     if strategy == "constant":

@@ -523,14 +523,61 @@ def _mode_struct(df: DataFrame, cols: Sequence[str]) -> DataFrame:
         for i, c in enumerate(cols)])
 
 
-def mode_scalars(df: DataFrame, cols: Sequence[str]) -> dict:
-    """{column: typed mode value or None} -- one row to the driver."""
+def mode_scalars(df: DataFrame, cols: Sequence[str], hash_texts: Sequence[str] = ()) -> dict:
+    """{column: typed mode value or None} -- one row to the driver.
+
+    Text columns in ``hash_texts`` (long texts) are resolved hash-first
+    (``_text_modes``); the others by one grouping-sets count.
+    """
     cols = _cols(df, cols)
     if not cols:
         return {}
-    row = _mode_struct(df, cols).first()
-    return {c: (row[f"m{i}"]["v"] if row[f"m{i}"] is not None else None)
-            for i, c in enumerate(cols)}
+    texts = set(columns_of(df, TEXT))
+    hashed = [c for c in cols if c in texts and c in set(hash_texts)]
+    plain = [c for c in cols if c not in hashed]
+    out = {}
+    if plain:
+        row = _mode_struct(df, plain).first()
+        out.update({c: (row[f"m{i}"]["v"] if row[f"m{i}"] is not None else None)
+                    for i, c in enumerate(plain)})
+    if hashed:
+        out.update(_text_modes(df, hashed))
+    return {c: out.get(c) for c in cols}
+
+
+def _text_modes(df: DataFrame, cols: Sequence[str]) -> dict:
+    """Exact modes of long-text columns without shuffling every text.
+
+    Rows are counted per 96-bit value hash (small keys); only the values of
+    the hashes reaching a column's highest count m are then counted exactly
+    (map-side combined, so a hot text is no burden).  A value never occurs
+    more often than its hash, so when the best exact count equals m every
+    value with m occurrences is among those candidates and the answer is
+    exact.  A collision could lift a hash above every real value; such a
+    column falls back to counting all its values.
+    """
+    entries = [F.struct(F.lit(i).alias("cid"), F.col(f"`{c}`").alias("v")) for i, c in enumerate(cols)]
+    long = df.select(F.explode(F.array(*entries)).alias("e")).select("e.*").where(F.col("v").isNotNull())
+    keyed = long.select("cid", F.xxhash64("v").alias("h1"), F.hash("v").alias("h2"), "v")
+    per_hash = keyed.groupBy("cid", "h1", "h2").agg(F.count(F.lit(1)).alias("n"))
+    top = per_hash.groupBy("cid").agg(F.max("n").alias("m"))
+    cand = per_hash.join(F.broadcast(top), "cid").where(F.col("n") == F.col("m")).select("cid", "h1", "h2", "m")
+    exact = (keyed.join(cand.drop("m"), ["cid", "h1", "h2"], "left_semi")
+             .groupBy("cid", "v").agg(F.count(F.lit(1)).alias("n")))
+    best = exact.groupBy("cid").agg(F.min(F.struct((-F.col("n")).alias("neg"), F.col("v").alias("v"))).alias("b"))
+    rows = best.join(F.broadcast(top), "cid").collect()  # one row per column
+    out, fallback = {}, []
+    for r in rows:
+        c = cols[r["cid"]]
+        if -r["b"]["neg"] == r["m"]:
+            out[c] = r["b"]["v"]
+        else:
+            fallback.append(c)
+    if fallback:
+        row = _mode_struct(df, fallback).first()
+        out.update({c: (row[f"m{i}"]["v"] if row[f"m{i}"] is not None else None)
+                    for i, c in enumerate(fallback)})
+    return out
 
 
 def _normalised_for_equality(df: DataFrame) -> DataFrame:

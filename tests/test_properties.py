@@ -151,3 +151,14 @@ def test_running_total_exact_beyond_float_precision(spark):
     got, totals = running_total(df, ["k"], "v", "cum", num_partitions=2)
     assert sorted(r["cum"] for r in got.collect()) == [big * (i + 1) for i in range(6)]
     assert totals.first()["cum"] == big * 6
+
+
+def test_text_modes_match_plain(spark):
+    docs = load(spark, SF_SMALL, "documents")
+    cols = ["text", "lang", "source"]
+    assert S.mode_scalars(docs, cols, hash_texts=cols) == S.mode_scalars(docs, cols)
+    rows = [("b",), ("a",), ("b",), ("a",), (None,), ("c",)]
+    df = spark.createDataFrame(rows, "t string")
+    assert S.mode_scalars(df, ["t"], hash_texts=["t"]) == {"t": "a"}
+    empty = spark.createDataFrame([(None,)], "t string")
+    assert S.mode_scalars(empty, ["t"], hash_texts=["t"]) == {"t": None}
