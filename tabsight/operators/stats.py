@@ -495,22 +495,35 @@ def box_stats(df: DataFrame, metrics: Sequence[str], exact: bool = True) -> Data
 
 # ------------------------------------------------------- mode / dupes
 
-def mode_value(df: DataFrame, cols: Sequence[str] | None = None) -> DataFrame:
+def mode_value(df: DataFrame, cols: Sequence[str] | None = None,
+               hash_texts: Sequence[str] = ()) -> DataFrame:
     """Most frequent non-missing value per column, smallest value on ties.
 
     (column, ordinal, value string, count).  All columns are counted in one
     shuffle (grouping sets, map-side combine); the winner per column is a
-    ``min`` over (-count, value) structs, which merges partially too.
+    ``min`` over (-count, value) structs, which merges partially too.  Text
+    columns in ``hash_texts`` (long texts) are resolved hash-first.
     """
     cols = _cols(df, cols)
+    schema = "column string, ordinal int, value string, count bigint"
     if not cols:
-        return _empty(df, "column string, ordinal int, value string, count bigint")
-    picked = _mode_struct(df, cols)
-    entries = [F.struct(F.lit(c).alias("column"), F.lit(i).alias("ordinal"),
-                        F.col(f"m{i}.v").cast("string").alias("value"),
-                        (-F.col(f"m{i}.n")).cast("bigint").alias("count"))
-               for i, c in enumerate(cols)]
-    return picked.select(F.explode(F.array(*entries)).alias("e")).select("e.*")
+        return _empty(df, schema)
+    texts = set(columns_of(df, TEXT))
+    hashed = [c for c in cols if c in texts and c in set(hash_texts)]
+    plain = [c for c in cols if c not in hashed]
+    parts = []
+    if plain:
+        picked = _mode_struct(df, plain)
+        entries = [F.struct(F.lit(c).alias("column"), F.lit(cols.index(c)).alias("ordinal"),
+                            F.col(f"m{i}.v").cast("string").alias("value"),
+                            (-F.col(f"m{i}.n")).cast("bigint").alias("count"))
+                   for i, c in enumerate(plain)]
+        parts.append(picked.select(F.explode(F.array(*entries)).alias("e")).select("e.*"))
+    if hashed:
+        modes = _text_modes(df, hashed)
+        parts.append(df.sparkSession.createDataFrame(
+            [(c, cols.index(c), *modes.get(c, (None, None))) for c in hashed], schema))
+    return parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
 
 
 def _mode_struct(df: DataFrame, cols: Sequence[str]) -> DataFrame:
@@ -541,12 +554,13 @@ def mode_scalars(df: DataFrame, cols: Sequence[str], hash_texts: Sequence[str] =
         out.update({c: (row[f"m{i}"]["v"] if row[f"m{i}"] is not None else None)
                     for i, c in enumerate(plain)})
     if hashed:
-        out.update(_text_modes(df, hashed))
+        out.update({c: v for c, (v, _) in _text_modes(df, hashed).items()})
     return {c: out.get(c) for c in cols}
 
 
 def _text_modes(df: DataFrame, cols: Sequence[str]) -> dict:
-    """Exact modes of long-text columns without shuffling every text.
+    """Exact modes of long-text columns without shuffling every text:
+    {column: (value, count)}.
 
     Rows are counted per 96-bit value hash (small keys); only the values of
     the hashes reaching a column's highest count m are then counted exactly
@@ -570,13 +584,13 @@ def _text_modes(df: DataFrame, cols: Sequence[str]) -> dict:
     for r in rows:
         c = cols[r["cid"]]
         if -r["b"]["neg"] == r["m"]:
-            out[c] = r["b"]["v"]
+            out[c] = (r["b"]["v"], int(r["m"]))
         else:
             fallback.append(c)
     if fallback:
         row = _mode_struct(df, fallback).first()
-        out.update({c: (row[f"m{i}"]["v"] if row[f"m{i}"] is not None else None)
-                    for i, c in enumerate(fallback)})
+        out.update({c: ((row[f"m{i}"]["v"], int(-row[f"m{i}"]["n"])) if row[f"m{i}"] is not None
+                        else (None, None)) for i, c in enumerate(fallback)})
     return out
 
 

@@ -173,6 +173,29 @@ from (select count(*) as n from lineitem group by l_returnflag, l_linestatus, l_
 """
 
 
+def _duplicate_documents(spark, d):
+    """Exact copies among whole document texts (hash-first, exact)."""
+    return S.duplicate_rows(load(spark, d, "documents").select("text"))
+
+
+DUPLICATE_DOCUMENTS_SQL = """
+select cast(sum(n) as bigint) as rows, cast(sum(n - 1) as bigint) as duplicates
+from (select count(*) as n from documents group by text)
+"""
+
+
+def _mode_documents(spark, d):
+    """Modes over whole document texts (hash-first, exact)."""
+    cols = ["text", "lang", "source"]
+    return S.mode_value(load(spark, d, "documents"), cols, hash_texts=cols)
+
+
+MODE_DOCUMENTS_SQL = "\nunion all\n".join(
+    f"select '{c}' as \"column\", cast({i} as integer) as ordinal, v as value, cast(n as bigint) as count "
+    f"from (select {c} as v, count(*) as n from documents where {c} is not null group by {c} "
+    f"order by count(*) desc, {c} limit 1)" for i, c in enumerate(["text", "lang", "source"]))
+
+
 def _samples(spark, d):
     return S.column_samples(load(spark, d, "customer"), ["c_name", "c_mktsegment"], 10)
 
@@ -384,6 +407,8 @@ QUERIES = [
     Query("quantiles", _quantiles, QUANTILES_SQL),
     Query("mode_value", _mode, MODE_SQL),
     Query("duplicate_rows", _duplicates, DUPLICATES_SQL),
+    Query("duplicate_documents", _duplicate_documents, DUPLICATE_DOCUMENTS_SQL),
+    Query("mode_documents", _mode_documents, MODE_DOCUMENTS_SQL),
     Query("column_samples", _samples, SAMPLES_SQL),
     Query("correlation_matrix", _correlation, _corr_sql()),
     Query("correlation_pairs", _corr_pairs, _corr_pairs_sql()),
