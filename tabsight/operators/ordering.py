@@ -112,10 +112,12 @@ def running_total(df: DataFrame, order: Sequence[Column | str],
     value_cols, out_cols = list(value_cols), list(out_cols)
     spark = df.sparkSession
     ensure_checkpoint_dir(spark)
-    if num_partitions is None:
-        num_partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
     keys = [F.col(c) for c in group_cols] + [F.col(o) if isinstance(o, str) else o for o in order]
-    sorted_rows = df.repartitionByRange(num_partitions, *keys).sortWithinPartitions(*keys)
+    # Without an explicit count, AQE sizes the range partitions by data volume
+    # (coalescing keeps them contiguous ranges); the checkpoint then fixes them.
+    ranged = (df.repartitionByRange(*keys) if num_partitions is None
+              else df.repartitionByRange(num_partitions, *keys))
+    sorted_rows = ranged.sortWithinPartitions(*keys)
     # Persisted first, so that writing the checkpoint re-reads these blocks
     # instead of re-running the range exchange; released once it is written.
     sorted_rows = sorted_rows.persist(StorageLevel.MEMORY_AND_DISK)
