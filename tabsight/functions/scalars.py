@@ -46,6 +46,19 @@ DATE_FORMAT_SHAPES = {
 NUMBER, TEXT, DATETIME, BOOLEAN, OTHER = "number", "text", "datetime", "boolean", "other"
 
 
+def ref(name) -> Column:
+    """A column by its exact name: dots and spaces in user column names are
+    not read as struct access.  Columns are passed through."""
+    if isinstance(name, Column):
+        return name
+    return F.col("`" + name.replace("`", "``") + "`")
+
+
+def quoted(name: str) -> str:
+    """The name as a quoted identifier (for APIs that take names as text)."""
+    return "`" + name.replace("`", "``") + "`"
+
+
 def family_of(dtype: T.DataType) -> str:
     """Map a Spark type onto the reference's dtype families.
 
@@ -74,7 +87,7 @@ def _is_fractional(dtype: T.DataType) -> bool:
 
 def is_missing(df: DataFrame, name: str) -> Column:
     """NULL, or NaN for floating columns (pandas ``isna``)."""
-    col = F.col(name)
+    col = ref(name)
     if _is_fractional(df.schema[name].dataType):
         return col.isNull() | F.isnan(col)
     return col.isNull()
@@ -82,7 +95,7 @@ def is_missing(df: DataFrame, name: str) -> Column:
 
 def nan_to_null(df: DataFrame, name: str) -> Column:
     """The column with NaN turned into NULL (kept as is for other types)."""
-    col = F.col(name)
+    col = ref(name)
     if _is_fractional(df.schema[name].dataType):
         return F.nanvl(col, F.lit(None).cast(df.schema[name].dataType))
     return col

@@ -13,6 +13,7 @@ from collections.abc import Mapping
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from ..functions.scalars import ref
 
 from ..functions.scalars import DATETIME, NUMBER, TEXT, family_of
 from . import stats as S
@@ -146,7 +147,7 @@ def suggest_analyses(roles: DataFrame, domains: DataFrame) -> DataFrame:
     dimensions, mean).  Per-table lists are bounded by the schema width.
     """
     def names(flag):
-        return F.transform(F.sort_array(F.collect_list(F.when(F.col(flag), F.struct("ordinal", "column")))),
+        return F.transform(F.sort_array(F.collect_list(F.when(ref(flag), F.struct("ordinal", "column")))),
                            lambda s: s["column"])
 
     def named(word):

@@ -6,6 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from ..functions.scalars import ref
 
 from ..functions.scalars import columns_of, is_missing
 
@@ -15,12 +16,12 @@ def project(df: DataFrame, cols: Sequence[str], missing: str = "skip") -> DataFr
     absent = [c for c in cols if c not in df.columns]
     if absent and missing == "error":
         raise KeyError(f"columns not found: {absent}")
-    return df.select(*[F.col(f"`{c}`") for c in cols if c in df.columns])
+    return df.select(*[ref(c) for c in cols if c in df.columns])
 
 
 def select_by_type(df: DataFrame, family: str) -> DataFrame:
     """Only the columns of one family: number, text, datetime, boolean."""
-    return df.select(*[F.col(f"`{c}`") for c in columns_of(df, family)])
+    return df.select(*[ref(c) for c in columns_of(df, family)])
 
 
 def drop_column(df: DataFrame, col: str) -> DataFrame:

@@ -6,6 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from ..functions.scalars import ref
 
 from ..functions.aggregates import pairwise_corr
 from ..functions.scalars import NUMBER, columns_of, nan_to_null

@@ -11,8 +11,9 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from ..functions.scalars import ref
 
-from ..functions.scalars import nan_to_null
+from ..functions.scalars import nan_to_null, quoted
 from .ordering import running_total
 
 
@@ -23,7 +24,7 @@ def _value(df: DataFrame, name: str):
 def _all_present(cols: Sequence[str]):
     cond = F.lit(True)
     for c in cols:
-        cond = cond & F.col(c).isNotNull()
+        cond = cond & ref(c).isNotNull()
     return cond
 
 
@@ -32,8 +33,8 @@ def top_categories(df: DataFrame, dim: str, n: int = 10) -> DataFrame:
 
     (``dim``, count); ties are broken by the category value.
     """
-    counts = df.where(F.col(dim).isNotNull()).groupBy(dim).agg(F.count(F.lit(1)).alias("count"))
-    return counts.orderBy(F.desc("count"), F.asc(dim)).limit(n)
+    counts = df.where(ref(dim).isNotNull()).groupBy(ref(dim)).agg(F.count(F.lit(1)).alias("count"))
+    return counts.orderBy(F.desc("count"), F.asc(ref(dim))).limit(n)
 
 
 def breakdown(df: DataFrame, dim: str, metrics: Sequence[str], top: int = 10) -> DataFrame:
@@ -44,10 +45,10 @@ def breakdown(df: DataFrame, dim: str, metrics: Sequence[str], top: int = 10) ->
     grouped result (a distributed top-k), so no semi-join and no second scan
     is needed.
     """
-    grouped = df.where(F.col(dim).isNotNull()).groupBy(dim).agg(
+    grouped = df.where(ref(dim).isNotNull()).groupBy(ref(dim)).agg(
         F.count(F.lit(1)).alias("_n"), *[F.avg(_value(df, m)).alias(m) for m in metrics])
-    top_rows = grouped.orderBy(F.desc("_n"), F.asc(dim)).limit(top)
-    return top_rows.select(dim, *metrics).orderBy(dim)
+    top_rows = grouped.orderBy(F.desc("_n"), F.asc(ref(dim))).limit(top)
+    return top_rows.select(ref(dim), *[ref(m) for m in metrics]).orderBy(ref(dim))
 
 
 def extremes(grouped: DataFrame, dim: str, metrics: Sequence[str]) -> DataFrame:
@@ -59,9 +60,9 @@ def extremes(grouped: DataFrame, dim: str, metrics: Sequence[str]) -> DataFrame:
     """
     entries = []
     for i, m in enumerate(metrics):
-        v = F.col(m)
-        hi = F.min(F.when(v.isNotNull(), F.struct((-v).alias("k"), F.col(dim).alias("d"), v.alias("v"))))
-        lo = F.min(F.when(v.isNotNull(), F.struct(v.alias("k"), F.col(dim).alias("d"), v.alias("v"))))
+        v = ref(m)
+        hi = F.min(F.when(v.isNotNull(), F.struct((-v).alias("k"), ref(dim).alias("d"), v.alias("v"))))
+        lo = F.min(F.when(v.isNotNull(), F.struct(v.alias("k"), ref(dim).alias("d"), v.alias("v"))))
         entries.append((m, i, hi.alias(f"hi{i}"), lo.alias(f"lo{i}")))
     agg = grouped.agg(*[e[2] for e in entries], *[e[3] for e in entries])
     rows = [F.struct(F.lit(m).alias("metric"), F.lit(i).alias("ordinal"),
@@ -80,23 +81,23 @@ AGGREGATES = ("mean", "sum", "min", "max", "count", "median", "std", "var", "nun
 def _agg_expr(df: DataFrame, agg: str, m: str):
     v = _value(df, m)
     if agg == "mean":
-        return F.avg(v)
+        return F.avg(ref(v))
     if agg == "sum":
-        return F.sum(v)
+        return F.sum(ref(v))
     if agg == "min":
-        return F.min(v)
+        return F.min(ref(v))
     if agg == "max":
-        return F.max(v)
+        return F.max(ref(v))
     if agg == "count":
-        return F.count(v)
+        return F.count(ref(v))
     if agg == "size":
         return F.count(F.lit(1))
     if agg == "std":
-        return F.stddev_samp(v)
+        return F.stddev_samp(ref(v))
     if agg == "var":
-        return F.var_samp(v)
+        return F.var_samp(ref(v))
     if agg == "nunique":
-        return F.count_distinct(v)
+        return F.count_distinct(ref(v))
     raise ValueError(f"unknown aggregation {agg!r}; expected one of {AGGREGATES}")
 
 
@@ -107,7 +108,7 @@ def group_aggregate(df: DataFrame, dims: Sequence[str], metrics: Sequence[str],
     keyed = df.where(_all_present(dims))
     if agg == "median":
         return _grouped_median(keyed, dims, metrics)
-    return keyed.groupBy(*dims).agg(*[_agg_expr(df, agg, m).alias(m) for m in metrics])
+    return keyed.groupBy(*[ref(d) for d in dims]).agg(*[_agg_expr(df, agg, m).alias(m) for m in metrics])
 
 
 def _grouped_median(df: DataFrame, dims: Sequence[str], metrics: Sequence[str]) -> DataFrame:
@@ -116,24 +117,24 @@ def _grouped_median(df: DataFrame, dims: Sequence[str], metrics: Sequence[str])
     Values are histogrammed per (group, metric, value); a distributed running
     count per (group, metric) then locates the middle ranks.
     """
-    vals = df.select(*dims, *[_value(df, m).cast("double").alias(m) for m in metrics])
-    long = vals.unpivot(list(dims), list(metrics), "_metric", "_v").where(F.col("_v").isNotNull())
+    vals = df.select(*[ref(d) for d in dims], *[_value(df, m).cast("double").alias(m) for m in metrics])
+    long = vals.unpivot([ref(d) for d in dims], [ref(m) for m in metrics], "_metric", "_v").where(F.col("_v").isNotNull())
     keys = list(dims) + ["_metric"]
-    hist = long.groupBy(*keys, "_v").agg(F.count(F.lit(1)).alias("_cnt"))
+    hist = long.groupBy(*[ref(k) for k in keys], "_v").agg(F.count(F.lit(1)).alias("_cnt"))
     ranked, totals = running_total(hist, ["_v"], "_cnt", "_cum", group_cols=keys,
                                    broadcast_offsets=False)
     targets = (totals.withColumn("_lo", F.floor((F.col("_cum") - 1) / 2))
                .withColumn("_hi", F.ceil((F.col("_cum") - 1) / 2))
-               .select(*keys, "_lo", "_hi"))
+               .select(*[ref(k) for k in keys], "_lo", "_hi"))
     start = F.col("r._cum") - F.col("r._cnt")
     covers = lambda rank: (start <= F.col(rank)) & (F.col(rank) < F.col("r._cum"))
-    cond = [F.col(f"r.{k}").eqNullSafe(F.col(f"t.{k}")) for k in keys]
+    cond = [F.col(f"r.{quoted(k)}").eqNullSafe(F.col(f"t.{quoted(k)}")) for k in keys]
     hits = ranked.alias("r").join(targets.alias("t"), cond, "inner").where(
         covers("t._lo") | covers("t._hi"))
-    med = hits.groupBy(*[F.col(f"t.{k}").alias(k) for k in keys]).agg(
+    med = hits.groupBy(*[F.col(f"t.{quoted(k)}").alias(k) for k in keys]).agg(
         ((F.max(F.when(covers("t._lo"), F.col("r._v")))
           + F.max(F.when(covers("t._hi"), F.col("r._v")))) / 2).alias("_med"))
-    return med.groupBy(*dims).pivot("_metric", list(metrics)).agg(F.first("_med"))
+    return med.groupBy(*[ref(d) for d in dims]).pivot("_metric", list(metrics)).agg(F.first("_med"))
 
 
 def pivot_aggregate(df: DataFrame, dim1: str, dim2: str, metric: str,
@@ -143,11 +144,11 @@ def pivot_aggregate(df: DataFrame, dim1: str, dim2: str, metric: str,
     The long form scales with the number of cells; ``pivot_wide`` turns it
     into the matrix when dim2 has few values.
     """
-    keyed = df.where(F.col(dim1).isNotNull() & F.col(dim2).isNotNull())
+    keyed = df.where(ref(dim1).isNotNull() & ref(dim2).isNotNull())
     if agg == "median":
         g = _grouped_median(keyed, [dim1, dim2], [metric]).withColumnRenamed(metric, "value")
     else:
-        g = keyed.groupBy(dim1, dim2).agg(_agg_expr(df, agg, metric).alias("value"))
+        g = keyed.groupBy(ref(dim1), ref(dim2)).agg(_agg_expr(df, agg, metric).alias("value"))
     return g
 
 
@@ -158,12 +159,12 @@ def pivot_wide(long: DataFrame, dim1: str, dim2: str, max_values: int = 10_000)
     more than ``max_values`` raises instead of silently dropping columns.
     """
     from .prepare import MAX_LISTED_BYTES, _count_and_bytes
-    listed = long.select(dim2).distinct().orderBy(dim2).limit(max_values + 1)
+    listed = long.select(ref(dim2)).distinct().orderBy(ref(dim2)).limit(max_values + 1)
     n, size = _count_and_bytes(listed, dim2)
     if n > max_values or size > MAX_LISTED_BYTES:
         raise ValueError(f"{dim2} has too many or too long values for columns; use the long form")
     values = [r[0] for r in listed.collect()]
-    return long.groupBy(dim1).pivot(dim2, values).agg(F.first("value"))
+    return long.groupBy(ref(dim1)).pivot(quoted(dim2), values).agg(F.first("value"))
 
 
 def pareto(df: DataFrame, dim: str, metric: str, scale: int | None = None) -> DataFrame:
@@ -181,19 +182,19 @@ def pareto(df: DataFrame, dim: str, metric: str, scale: int | None = None) -> Da
     v = _value(df, metric)
     if scale is not None:
         v = F.round(v * F.lit(10 ** scale)).cast("bigint")
-    grouped = df.where(F.col(dim).isNotNull()).groupBy(dim).agg(
-        F.coalesce(F.sum(v), F.lit(0)).alias("_units"))
+    grouped = df.where(ref(dim).isNotNull()).groupBy(ref(dim)).agg(
+        F.coalesce(F.sum(ref(v)), F.lit(0)).alias("_units"))
     if scale is None:
         grouped = grouped.withColumn("_units", F.col("_units").cast("double"))
     ones = grouped.withColumn("_one", F.lit(1).cast("bigint"))
-    order = [F.desc("_units"), F.asc(dim)]
+    order = [F.desc("_units"), F.asc(ref(dim))]
     with_cum, totals = running_total(ones, order, ["_one", "_units"], ["rank", "_cum"])
     total = totals.first()
     grand = total["_cum"] if total is not None else None
     pct = (F.try_divide(F.col("_cum").cast("double") * 100.0, F.lit(float(grand))) if grand
            else F.lit(None).cast("double"))
     unit = float(10 ** scale) if scale is not None else 1.0
-    return with_cum.select(dim, (F.col("_units").cast("double") / F.lit(unit)).alias(metric), "rank",
+    return with_cum.select(ref(dim), (F.col("_units").cast("double") / F.lit(unit)).alias(metric), "rank",
                            (F.col("_cum").cast("double") / F.lit(unit)).alias("cumulative"),
                            pct.alias("cumulative_pct"))
 
@@ -206,7 +207,7 @@ def pareto_summary(p: DataFrame, pct: float = 80.0) -> DataFrame:
 
 def comparison(df: DataFrame, dim: str, metric: str) -> DataFrame:
     """Compare a metric across all categories: mean, count and sum."""
-    return df.where(F.col(dim).isNotNull()).groupBy(dim).agg(
+    return df.where(ref(dim).isNotNull()).groupBy(ref(dim)).agg(
         F.avg(_value(df, metric)).alias("mean"),
         F.count(_value(df, metric)).alias("count"),
         F.sum(_value(df, metric)).alias("sum"))

@@ -28,6 +28,7 @@ import pandas as pd
 from pyspark import StorageLevel, cloudpickle
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from ..functions.scalars import quoted, ref
 from pyspark.sql import types as T
 
 from ..session import ensure_checkpoint_dir
@@ -112,7 +113,7 @@ def running_total(df: DataFrame, order: Sequence[Column | str],
     value_cols, out_cols = list(value_cols), list(out_cols)
     spark = df.sparkSession
     ensure_checkpoint_dir(spark)
-    keys = [F.col(c) for c in group_cols] + [F.col(o) if isinstance(o, str) else o for o in order]
+    keys = [ref(c) for c in group_cols] + [ref(o) if isinstance(o, str) else o for o in order]
     # Without an explicit count, AQE sizes the range partitions by data volume
     # (coalescing keeps them contiguous ranges); the checkpoint then fixes them.
     ranged = (df.repartitionByRange(*keys) if num_partitions is None
@@ -126,19 +127,28 @@ def running_total(df: DataFrame, order: Sequence[Column | str],
     laid_out = laid_out.withColumn(PID, F.spark_partition_id())
 
     types = [df.schema[v].dataType for v in value_cols]
-    out_schema = T.StructType(list(laid_out.schema.fields)
-                              + [T.StructField(o, t, True) for o, t in zip(out_cols, types)])
-    local = laid_out.mapInPandas(_local_running(list(group_cols), value_cols, out_cols), out_schema)
-
-    part_totals = laid_out.groupBy(PID, *group_cols).agg(*[
-        F.coalesce(F.sum(v), F.lit(0)).cast(t).alias(f"{PTOTAL}{i}")
+    # The Python step sees positional placeholder names (mapInPandas resolves
+    # its input by name, which would read dots in user names as struct access).
+    names = laid_out.columns
+    safe = [f"_ts_c{i}" for i in range(len(names))]
+    pos = {n: i for i, n in enumerate(names)}
+    plain = laid_out.toDF(*safe)
+    safe_out = [f"_ts_o{i}" for i in range(len(out_cols))]
+    out_schema = T.StructType(list(plain.schema.fields)
+                              + [T.StructField(o, t, True) for o, t in zip(safe_out, types)])
+    local = plain.mapInPandas(
+        _local_running([safe[pos[g]] for g in group_cols], [safe[pos[v]] for v in value_cols], safe_out),
+        out_schema).toDF(*names, *out_cols)
+
+    part_totals = laid_out.groupBy(PID, *[ref(g) for g in group_cols]).agg(*[
+        F.coalesce(F.sum(ref(v)), F.lit(0)).cast(t).alias(f"{PTOTAL}{i}")
         for i, (v, t) in enumerate(zip(value_cols, types))])
-    before = Window.partitionBy(*group_cols).orderBy(PID).rowsBetween(
+    before = Window.partitionBy(*[ref(g) for g in group_cols]).orderBy(PID).rowsBetween(
         Window.unboundedPreceding, -1)
-    offsets = part_totals.select(PID, *group_cols, *[
+    offsets = part_totals.select(PID, *[ref(g) for g in group_cols], *[
         F.coalesce(F.sum(f"{PTOTAL}{i}").over(before), F.lit(0)).cast(t).alias(f"{OFFSET}{i}")
         for i, t in enumerate(types)])
-    totals = part_totals.groupBy(*group_cols).agg(*[
+    totals = part_totals.groupBy(*[ref(g) for g in group_cols]).agg(*[
         F.sum(f"{PTOTAL}{i}").cast(t).alias(o) for i, (o, t) in enumerate(zip(out_cols, types))])
 
     # The offsets table holds one row per (partition, group) that has rows:
@@ -147,10 +157,10 @@ def running_total(df: DataFrame, order: Sequence[Column | str],
     if broadcast_offsets:
         o = F.broadcast(o)
     cond = [F.col(f"l.{PID}") == F.col(f"o.{PID}")] + [
-        F.col(f"l.{g}").eqNullSafe(F.col(f"o.{g}")) for g in group_cols]
+        F.col(f"l.{quoted(g)}").eqNullSafe(F.col(f"o.{quoted(g)}")) for g in group_cols]
     joined = local.alias("l").join(o, cond, "inner")
     result = joined.select(
-        *[F.col(f"l.`{c}`") for c in df.columns],
-        *[(F.col(f"l.`{oc}`") + F.col(f"o.{OFFSET}{i}")).cast(t).alias(oc)
+        *[F.col(f"l.{quoted(c)}") for c in df.columns],
+        *[(F.col(f"l.{quoted(oc)}") + F.col(f"o.{OFFSET}{i}")).cast(t).alias(oc)
           for i, (oc, t) in enumerate(zip(out_cols, types))])
     return result, totals

@@ -6,6 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from ..functions.scalars import ref
 
 from ..functions.scalars import NUMBER, family_of, nan_to_null
 
@@ -24,7 +25,7 @@ def filter_predicate(df: DataFrame, spec: dict):
     col, kind, value = spec["column"], spec.get("type", "select"), spec.get("value")
     if col not in df.columns:
         return None
-    c = F.col(f"`{col}`")
+    c = ref(col)
     if kind == "select":
         if value is None or value == ALL:
             return None

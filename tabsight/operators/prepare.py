@@ -14,6 +14,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from ..functions.scalars import quoted, ref
 
 from ..functions.scalars import (DATETIME, DEFAULT_DATE_FORMATS, NUMBER, TEXT, family_of,
                                  nan_to_null, parse_datetime)
@@ -27,7 +28,7 @@ def _numeric_cols(df: DataFrame, cols: Sequence[str]) -> list[str]:
 
 def _replace(df: DataFrame, new: dict) -> DataFrame:
     """Replace columns in place, keeping the column order."""
-    return df.select(*[new[c].alias(c) if c in new else F.col(f"`{c}`") for c in df.columns])
+    return df.select(*[new[c].alias(c) if c in new else ref(c) for c in df.columns])
 
 
 # ---------------------------------------------------------- imputation
@@ -88,7 +89,7 @@ def fill_missing(df: DataFrame, values: dict) -> DataFrame:
 def drop_missing_rows(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     """Drop rows with a missing value (NULL or NaN) in any of ``cols``."""
     cols = [c for c in cols if c in df.columns]
-    return df.na.drop(how="any", subset=cols) if cols else df
+    return df.na.drop(how="any", subset=[quoted(c) for c in cols]) if cols else df
 
 
 # --------------------------------------------------------------- dates
@@ -102,9 +103,9 @@ def to_datetime(df: DataFrame, cols: Sequence[str],
             continue
         fam = family_of(df.schema[c].dataType)
         if fam == TEXT:
-            new[c] = parse_datetime(F.col(c), formats)
+            new[c] = parse_datetime(ref(c), formats)
         elif fam == DATETIME:
-            new[c] = F.col(c).cast("timestamp_ntz")
+            new[c] = ref(c).cast("timestamp_ntz")
     return _replace(df, new)
 
 
@@ -177,7 +178,7 @@ def one_hot(df: DataFrame, cols: Sequence[str], max_categories: int = 1000) -> D
         if size > MAX_LISTED_BYTES:
             raise ValueError(f"the categories of {c!r} are too long to become column names")
         vals = [r[0] for r in cats.collect()]
-        keep = [F.col(f"`{x}`") for x in out.columns if x != c]
+        keep = [ref(x) for x in out.columns if x != c]
         dummies = [F.coalesce(value == F.lit(v), F.lit(False)).alias(f"{c}_{_category_name(v)}")
                    for v in vals]
         out = out.select(*keep, *dummies)
@@ -193,7 +194,7 @@ MAX_LISTED_BYTES = 16 * 1024 * 1024
 def _count_and_bytes(values: DataFrame, col: str) -> tuple[int, int]:
     """Rows and total text bytes of a (limited) value list, in one small job."""
     row = values.agg(F.count(F.lit(1)).alias("n"),
-                     F.sum(F.octet_length(F.col(col).cast("string"))).alias("b")).first()
+                     F.sum(F.octet_length(ref(col).cast("string"))).alias("b")).first()
     return int(row["n"]), int(row["b"] or 0)
 
 
@@ -248,7 +249,7 @@ def label_encode(df: DataFrame, cols: Sequence[str], broadcast_rows: int = 1_000
         if small:
             codes = F.broadcast(codes)
         joined = out.join(codes, nan_to_null(out, c) == codes["_lbl_value"], "left")
-        out = joined.select(*[F.col(f"`{x}`") for x in out.columns],
+        out = joined.select(*[ref(x) for x in out.columns],
                             F.coalesce(F.col("_lbl_code"), F.lit(-1)).cast("bigint")
                             .alias(f"{c}_encoded"))
     return out

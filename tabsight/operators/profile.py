@@ -11,6 +11,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from ..functions.scalars import quoted, ref
 
 from ..functions.aggregates import count_missing
 from ..functions.scalars import (DATETIME, DEFAULT_DATE_FORMATS, NUMBER, TEXT, family_of,
@@ -47,13 +48,14 @@ def _date_format_expr(df: DataFrame, c: str, formats) -> tuple[list, F.Column]:
     A text column is a date candidate when at least one value is present and
     every present value parses with one format; the first such format wins.
     """
-    col = F.col(c)
-    present = F.count(col).alias(f"present__{c}")
+    col = ref(c)
+    present = F.count(ref(col)).alias(f"present__{c}")
     parsed = [F.count_if(_parse(col, f).isNotNull()).alias(f"parsed{k}__{c}")
               for k, f in enumerate(formats)]
+    present_n = F.col(quoted(f"present__{c}"))
     pick = F.coalesce(*[
-        F.when((F.col(f"present__{c}") > 0) & (F.col(f"parsed{k}__{c}") == F.col(f"present__{c}")),
-               F.lit(f)) for k, f in enumerate(formats)])
+        F.when((present_n > 0) & (F.col(quoted(f"parsed{k}__{c}")) == present_n), F.lit(f))
+        for k, f in enumerate(formats)])
     return [present, *parsed], pick
 
 
@@ -63,7 +65,7 @@ def long_text_columns(df: DataFrame, texts: Sequence[str], probe_rows: int = 100
     pieces, so the check is cheap whatever the table size."""
     if not texts:
         return []
-    row = df.limit(probe_rows).agg(*[F.avg(F.length(c)).alias(f"l{i}") for i, c in enumerate(texts)]).first()
+    row = df.limit(probe_rows).agg(*[F.avg(F.length(ref(c))).alias(f"l{i}") for i, c in enumerate(texts)]).first()
     return [c for i, c in enumerate(texts) if row[f"l{i}"] is not None and row[f"l{i}"] > LONG_TEXT]
 
 
@@ -87,8 +89,8 @@ def profile(df: DataFrame, cols: Sequence[str] | None = None,
             aggs.append(count_missing(is_missing(df, c)).alias(f"missing__{c}"))
             if fam[c] == NUMBER:
                 v = nan_to_null(df, c).cast("double")
-                aggs += [F.min(v).alias(f"min__{c}"), F.max(v).alias(f"max__{c}"),
-                         F.avg(v).alias(f"mean__{c}"), F.stddev_samp(v).alias(f"std__{c}")]
+                aggs += [F.min(ref(v)).alias(f"min__{c}"), F.max(ref(v)).alias(f"max__{c}"),
+                         F.avg(ref(v)).alias(f"mean__{c}"), F.stddev_samp(ref(v)).alias(f"std__{c}")]
             if fam[c] == TEXT:
                 more, picks[c] = _date_format_expr(df, c, formats)
                 aggs += more
@@ -215,7 +217,7 @@ def quality_numeric_text(df: DataFrame) -> DataFrame:
     if not texts:
         return df.sparkSession.createDataFrame([], ISSUE_SCHEMA)
     wide = df.agg(F.count(F.lit(1)).alias("rows"),
-                  *[F.count_if(is_numeric_text(F.col(c))).alias(f"num__{c}") for c in texts])
+                  *[F.count_if(is_numeric_text(ref(c))).alias(f"num__{c}") for c in texts])
     entries = [F.struct(F.lit(c).alias("column"), F.lit(i).alias("ordinal"),
                         F.col(f"`num__{c}`").alias("numeric"), F.col("rows").alias("rows"))
                for i, c in enumerate(texts)]

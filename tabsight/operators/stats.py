@@ -17,6 +17,7 @@ from collections.abc import Mapping, Sequence
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from ..functions.scalars import ref
 from pyspark.sql import types as T
 
 from ..functions.aggregates import count_missing, sample_skewness
@@ -154,7 +155,7 @@ def _text_distinct_counts(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     values, or a collision) and counts the distinct texts behind each; the
     surplus over one is added.  Long unique texts never leave their task.
     """
-    entries = [F.struct(F.lit(i).alias("cid"), F.col(f"`{c}`").alias("v")) for i, c in enumerate(cols)]
+    entries = [F.struct(F.lit(i).alias("cid"), ref(c).alias("v")) for i, c in enumerate(cols)]
     long = df.select(F.explode(F.array(*entries)).alias("e")).select("e.*").where(F.col("v").isNotNull())
     keyed = long.select("cid", F.xxhash64("v").alias("h1"), F.hash("v").alias("h2"), "v")
     per_hash = keyed.groupBy("cid", "h1", "h2").agg(F.count(F.lit(1)).alias("n"))
@@ -174,7 +175,7 @@ def _text_distinct_counts(df: DataFrame, cols: Sequence[str]) -> DataFrame:
 def _long_values(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     """(column, value double) for every non-missing numeric value."""
     vals = df.select(*[nan_to_null(df, c).cast("double").alias(c) for c in cols])
-    return vals.unpivot([], list(cols), "column", "value").where(F.col("value").isNotNull())
+    return vals.unpivot([], [ref(c) for c in cols], "column", "value").where(F.col("value").isNotNull())
 
 
 # A column with at most this many distinct values is summarised by Spark's
@@ -303,9 +304,9 @@ def _moments(df: DataFrame, cols: Sequence[str], with_missing: bool = False) ->
     in one pass."""
     def aggs_of(c):
         v = nan_to_null(df, c).cast("double")
-        return [F.count(v).alias(f"count__{c}"), F.avg(v).alias(f"mean__{c}"),
-                F.stddev_samp(v).alias(f"std__{c}"), F.min(v).alias(f"min__{c}"),
-                F.max(v).alias(f"max__{c}")]
+        return [F.count(ref(v)).alias(f"count__{c}"), F.avg(ref(v)).alias(f"mean__{c}"),
+                F.stddev_samp(ref(v)).alias(f"std__{c}"), F.min(ref(v)).alias(f"min__{c}"),
+                F.max(ref(v)).alias(f"max__{c}")]
 
     fields = {"count": "bigint", "mean": "double", "std": "double", "min": "double", "max": "double"}
     if not with_missing:
@@ -365,11 +366,11 @@ def describe_datetime(df: DataFrame, cols: Sequence[str] | None = None) -> DataF
         return _empty(df, "column string, ordinal int, count bigint, mean timestamp_ntz, "
                           "min timestamp_ntz, q25 timestamp_ntz, q50 timestamp_ntz, "
                           "q75 timestamp_ntz, max timestamp_ntz")
-    as_num = df.select(*[_micros(F.col(c)).cast("double").alias(c) for c in cols])
+    as_num = df.select(*[_micros(ref(c)).cast("double").alias(c) for c in cols])
     moments = _moments(as_num, cols)
     qs = quantiles_wide(as_num, cols, {"q25": 0.25, "q50": 0.5, "q75": 0.75})
     return moments.join(per_column(qs), "column", "left").select(
-        "column", "ordinal", "count", *[_from_micros(F.col(k)).alias(k)
+        "column", "ordinal", "count", *[_from_micros(ref(k)).alias(k)
                                         for k in ("mean", "min", "q25", "q50", "q75", "max")])
 
 
@@ -384,7 +385,7 @@ def describe_text(df: DataFrame, cols: Sequence[str] | None = None) -> DataFrame
     if not cols:
         return _empty(df, "column string, ordinal int, count bigint, unique bigint, top string, "
                           "freq bigint")
-    counts = _to_long(df.agg(*[F.count(c).alias(f"count__{c}") for c in cols]), cols,
+    counts = _to_long(df.agg(*[F.count(ref(c)).alias(f"count__{c}") for c in cols]), cols,
                       {"count": "bigint"})
     uniq = unique_counts(df, cols).select("column", F.col("n_unique").alias("unique"))
     top = mode_value(df, cols).select("column", F.col("value").alias("top"), F.col("count").alias("freq"))
@@ -428,7 +429,7 @@ def distribution(df: DataFrame, metrics: Sequence[str], exact: bool = True) -> D
     aggs = []
     for c in metrics:
         v = nan_to_null(df, c).cast("double")
-        aggs += [F.avg(v).alias(f"mean__{c}"), sample_skewness(v).alias(f"skew__{c}")]
+        aggs += [F.avg(ref(v)).alias(f"mean__{c}"), sample_skewness(v).alias(f"skew__{c}")]
     moments = _to_long(df.agg(*aggs), metrics, {"mean": "double", "skew": "double"})
     med = quantiles_wide(df, metrics, {"median": 0.5}, exact=exact)
     shape_col = (F.when(F.col("skew").isNull(), F.lit(None).cast("string"))
@@ -528,11 +529,11 @@ def mode_value(df: DataFrame, cols: Sequence[str] | None = None,
 
 def _mode_struct(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     clean = df.select(*[nan_to_null(df, c).alias(c) for c in cols])
-    counted = clean.groupingSets([[c] for c in cols], *cols).agg(
-        F.count(F.lit(1)).alias("_cnt"), *[F.grouping(c).alias(f"_g{i}") for i, c in enumerate(cols)])
+    counted = clean.groupingSets([[ref(c)] for c in cols], *[ref(c) for c in cols]).agg(
+        F.count(F.lit(1)).alias("_cnt"), *[F.grouping(ref(c)).alias(f"_g{i}") for i, c in enumerate(cols)])
     return counted.agg(*[
-        F.min(F.when((F.col(f"_g{i}") == 0) & F.col(c).isNotNull(),
-                     F.struct((-F.col("_cnt")).alias("n"), F.col(c).alias("v")))).alias(f"m{i}")
+        F.min(F.when((F.col(f"_g{i}") == 0) & ref(c).isNotNull(),
+                     F.struct((-F.col("_cnt")).alias("n"), ref(c).alias("v")))).alias(f"m{i}")
         for i, c in enumerate(cols)])
 
 
@@ -570,7 +571,7 @@ def _text_modes(df: DataFrame, cols: Sequence[str]) -> dict:
     exact.  A collision could lift a hash above every real value; such a
     column falls back to counting all its values.
     """
-    entries = [F.struct(F.lit(i).alias("cid"), F.col(f"`{c}`").alias("v")) for i, c in enumerate(cols)]
+    entries = [F.struct(F.lit(i).alias("cid"), ref(c).alias("v")) for i, c in enumerate(cols)]
     long = df.select(F.explode(F.array(*entries)).alias("e")).select("e.*").where(F.col("v").isNotNull())
     keyed = long.select("cid", F.xxhash64("v").alias("h1"), F.hash("v").alias("h2"), "v")
     per_hash = keyed.groupBy("cid", "h1", "h2").agg(F.count(F.lit(1)).alias("n"))
@@ -617,14 +618,14 @@ def duplicate_rows(df: DataFrame) -> DataFrame:
     of the table is pre-aggregated map-side in both phases.
     """
     clean = _normalised_for_equality(df)
-    cols = [F.col(f"`{c}`") for c in clean.columns]
+    cols = [ref(c) for c in clean.columns]
     nulls = F.array(*[c.isNull() for c in cols])
     keyed = clean.select("*", F.xxhash64(*cols, nulls).alias("_h1"), F.hash(*cols, nulls).alias("_h2"))
     per_hash = keyed.groupBy("_h1", "_h2").agg(F.count(F.lit(1)).alias("_n"))
     rows = per_hash.agg(F.coalesce(F.sum("_n"), F.lit(0)).cast("bigint").alias("rows"))
     repeated = per_hash.where(F.col("_n") > 1).select("_h1", "_h2")
     candidates = keyed.join(repeated, ["_h1", "_h2"], "left_semi").drop("_h1", "_h2")
-    groups = candidates.groupBy(*clean.columns).agg(F.count(F.lit(1)).alias("_n"))
+    groups = candidates.groupBy(*[ref(c) for c in clean.columns]).agg(F.count(F.lit(1)).alias("_n"))
     dups = groups.agg(F.coalesce(F.sum(F.col("_n") - 1), F.lit(0)).cast("bigint").alias("duplicates"))
     zero = F.lit(0).cast("bigint")
     both = rows.select("rows", zero.alias("duplicates")).unionByName(
@@ -652,7 +653,7 @@ def column_samples(df: DataFrame, cols: Sequence[str] | None = None, n: int = 10
             parts.append(df.sparkSession.createDataFrame([(c, v) for v in found],
                                                          "column string, value string"))
         else:
-            parts.append(df.select(F.col(c).cast("string").alias("value"))
+            parts.append(df.select(ref(c).cast("string").alias("value"))
                          .where(F.col("value").isNotNull()).distinct().orderBy("value").limit(n)
                          .select(F.lit(c).alias("column"), "value"))
     union = parts[0]
@@ -671,7 +672,7 @@ def _smallest_distinct(df: DataFrame, c: str, n: int, rounds: int = 2) -> list |
     (heavily repeated texts) returns None and takes the de-duplicating plan.
     """
     k = 4 * n
-    col = F.col(c).cast("string")
+    col = ref(c).cast("string")
     for _ in range(rounds):
         rows = df.select(col.alias("v")).where(F.col("v").isNotNull()).orderBy("v").limit(k).collect()
         values = sorted({r["v"] for r in rows})
@@ -699,7 +700,7 @@ def before_after_stats(before: DataFrame, after: DataFrame, cols: Sequence[str]
         for c in cols:
             v = nan_to_null(df, c).cast("double")
             aggs += [count_missing(is_missing(df, c)).alias(f"missing_{tag}__{c}"),
-                     F.avg(v).alias(f"mean_{tag}__{c}"), F.stddev_samp(v).alias(f"std_{tag}__{c}")]
+                     F.avg(ref(v)).alias(f"mean_{tag}__{c}"), F.stddev_samp(ref(v)).alias(f"std_{tag}__{c}")]
         return _to_long(df.agg(*aggs), cols, {f"missing_{tag}": "bigint", f"mean_{tag}": "double",
                                               f"std_{tag}": "double"})
 

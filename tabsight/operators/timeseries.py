@@ -6,6 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from ..functions.scalars import ref
 
 from ..functions.aggregates import pairwise_corr
 from ..functions.scalars import (DATETIME, TEXT, family_of, floor_days, nan_to_null,
@@ -23,9 +24,9 @@ def as_timestamp(df: DataFrame, time: str) -> DataFrame:
     """The time column as ``timestamp_ntz`` (text is parsed; failures -> NULL)."""
     fam = family_of(df.schema[time].dataType)
     if fam == DATETIME:
-        return df.withColumn(time, F.col(time).cast("timestamp_ntz"))
+        return df.withColumn(time, ref(time).cast("timestamp_ntz"))
     if fam == TEXT:
-        return df.withColumn(time, parse_datetime(F.col(time)))
+        return df.withColumn(time, parse_datetime(ref(time)))
     raise ValueError(f"column {time!r} cannot be read as a time")
 
 
@@ -39,7 +40,7 @@ def frequency_expr(span_days) -> F.Column:
 def auto_frequency(df: DataFrame, time: str) -> DataFrame:
     """(min_ts, max_ts, span_days, frequency) -- one pass, one row."""
     ts = as_timestamp(df, time)
-    span = ts.agg(F.min(time).alias("min_ts"), F.max(time).alias("max_ts"))
+    span = ts.agg(F.min(ref(time)).alias("min_ts"), F.max(ref(time)).alias("max_ts"))
     days = floor_days(F.col("min_ts"), F.col("max_ts"))
     return span.select("min_ts", "max_ts", days.cast("bigint").alias("span_days"),
                        frequency_expr(days).alias("frequency"))
@@ -56,7 +57,7 @@ def _spine(bounds: DataFrame, freq: str) -> DataFrame:
     """Every period label between the first and the last (inclusive)."""
     lo, hi = F.col("lo"), F.col("hi")
     if freq == "Y":
-        labels = F.transform(F.sequence(F.year(lo), F.year(hi)),
+        labels = F.transform(F.sequence(F.year(ref(lo)), F.year(ref(hi))),
                              lambda y: F.make_date(y, F.lit(12), F.lit(31)))
     elif freq == "M":
         starts = F.sequence(F.trunc(lo, "MM"), F.trunc(hi, "MM"), F.expr("INTERVAL 1 MONTH"))
@@ -77,13 +78,13 @@ def resample(df: DataFrame, time: str, metrics: Sequence[str], freq: str = "auto
     """
     ts = as_timestamp(df, time)
     freq = choose_frequency(ts, time, freq)
-    labelled = ts.where(F.col(time).isNotNull()).select(
-        period_label(F.col(time), freq).alias("period"),
+    labelled = ts.where(ref(time).isNotNull()).select(
+        period_label(ref(time), freq).alias("period"),
         *[nan_to_null(ts, m).alias(m) for m in metrics])
-    means = labelled.groupBy("period").agg(*[F.avg(m).alias(m) for m in metrics])
+    means = labelled.groupBy("period").agg(*[F.avg(ref(m)).alias(m) for m in metrics])
     bounds = means.agg(F.min("period").alias("lo"), F.max("period").alias("hi"))
     return _spine(bounds, freq).join(means, "period", "left").select(
-        "period", *[F.col(m).cast("double").alias(m) for m in metrics])
+        "period", *[ref(m).cast("double").alias(m) for m in metrics])
 
 
 def trend(series: DataFrame, metrics: Sequence[str], order_by: str = "period") -> DataFrame:
@@ -93,9 +94,9 @@ def trend(series: DataFrame, metrics: Sequence[str], order_by: str = "period") -
     than one value; slope > 0 -> increasing else decreasing; strength = |r|,
     0 for a constant series.  The series has one row per period.
     """
-    long = series.select(order_by, *[F.col(m).cast("double").alias(m) for m in metrics]).unpivot(
-        [order_by], list(metrics), "metric", "value").where(F.col("value").isNotNull())
-    w = Window.partitionBy("metric").orderBy(order_by)
+    long = series.select(ref(order_by), *[ref(m).cast("double").alias(m) for m in metrics]).unpivot(
+        [ref(order_by)], [ref(m) for m in metrics], "metric", "value").where(F.col("value").isNotNull())
+    w = Window.partitionBy("metric").orderBy(ref(order_by))
     pos = long.withColumn("x", (F.row_number().over(w) - 1).cast("double"))
     fit = pos.groupBy("metric").agg(
         F.count("value").alias("points"),

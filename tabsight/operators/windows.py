@@ -12,6 +12,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from ..functions.scalars import ref
 
 from .ordering import running_total
 
@@ -39,8 +40,8 @@ def position(series: DataFrame, order_by: str, metric: str, out: str = "position
     Gaps are compressed: it is an ordinal, not a calendar distance.
     ``series`` is a resampled (one row per period) table.
     """
-    w = Window.orderBy(order_by)
-    return (series.where(F.col(metric).isNotNull())
+    w = Window.orderBy(ref(order_by))
+    return (series.where(ref(metric).isNotNull())
             .withColumn(out, (F.row_number().over(w) - 1).cast("bigint")))
 
 
@@ -51,19 +52,19 @@ def first_last(df: DataFrame, order_by: str, metrics: Sequence[str]) -> DataFram
     """
     entries = []
     for i, m in enumerate(metrics):
-        present = F.col(m).isNotNull()
+        present = ref(m).isNotNull()
         entries.append(F.struct(
             F.lit(m).alias("metric"),
-            F.min_by(F.col(m), F.when(present, F.col(order_by))).alias("first"),
-            F.max_by(F.col(m), F.when(present, F.col(order_by))).alias("last")))
+            F.min_by(ref(m), F.when(present, ref(order_by))).alias("first"),
+            F.max_by(ref(m), F.when(present, ref(order_by))).alias("last")))
     return df.agg(F.array(*entries).alias("a")).select(F.explode("a").alias("e")).select("e.*")
 
 
 def sort_desc(df: DataFrame, metric: str, tie: str) -> DataFrame:
     """Rows by metric, largest first; ``tie`` makes the order total."""
-    return df.orderBy(F.desc(metric), F.asc(tie))
+    return df.orderBy(F.desc(ref(metric)), F.asc(ref(tie)))
 
 
 def top_n(df: DataFrame, metric: str, tie: str, n: int = 10) -> DataFrame:
     """The ``n`` largest rows by metric (distributed top-k)."""
-    return df.orderBy(F.desc(metric), F.asc(tie)).limit(n)
+    return df.orderBy(F.desc(ref(metric)), F.asc(ref(tie))).limit(n)

@@ -10,6 +10,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from ..functions.scalars import ref
 
 from ..functions.scalars import NUMERIC_TEXT_PATTERN
 
@@ -39,16 +40,16 @@ def read_csv(spark: SparkSession, path: str, na_tokens=PANDAS_NA_TOKENS, infer:
            .option("multiLine", multiline).option("nullValue", None).option("emptyValue", "")
            .option("mode", "FAILFAST").csv(path))
     tokens = list(na_tokens)
-    clean = raw.select(*[F.when(F.col(f"`{c}`").isin(tokens), F.lit(None))
-                         .otherwise(F.col(f"`{c}`")).alias(c) for c in raw.columns])
+    clean = raw.select(*[F.when(ref(c).isin(tokens), F.lit(None))
+                         .otherwise(ref(c)).alias(c) for c in raw.columns])
     if not infer or not clean.columns:
         return clean
     checks = []
     for i, c in enumerate(clean.columns):
-        v = F.col(f"`{c}`")
+        v = ref(c)
         present = v.isNotNull()
         checks += [
-            F.count(v).alias(f"n{i}"),
+            F.count(ref(v)).alias(f"n{i}"),
             F.count_if(present & v.rlike(INTEGER_PATTERN)
                        & F.trim(v).try_cast("bigint").isNotNull()).alias(f"int{i}"),
             F.count_if(present & v.rlike(NUMERIC_TEXT_PATTERN)).alias(f"num{i}"),
@@ -60,7 +61,7 @@ def read_csv(spark: SparkSession, path: str, na_tokens=PANDAS_NA_TOKENS, infer:
         raise ValueError(f"error loading CSV {path}: {e}") from e
     cols = []
     for i, c in enumerate(clean.columns):
-        v = F.col(f"`{c}`")
+        v = ref(c)
         n = row[f"n{i}"]
         if n and row[f"int{i}"] == n:
             cols.append(F.trim(v).cast("bigint").alias(c))

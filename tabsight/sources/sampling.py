@@ -6,11 +6,12 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from ..functions.scalars import ref
 
 
 def sample_key(cols: Sequence[str]):
     """md5 of the key columns joined by '|' -- equal in Spark and DuckDB."""
-    return F.md5(F.concat_ws("|", *[F.col(c).cast("string") for c in cols]))
+    return F.md5(F.concat_ws("|", *[ref(c).cast("string") for c in cols]))
 
 
 def sample_rows(df: DataFrame, n: int, key: Sequence[str]) -> DataFrame:
@@ -27,7 +28,7 @@ def sample_fraction(df: DataFrame, fraction: float, seed: int = 42) -> DataFrame
 
 def preview(df: DataFrame, order_by: Sequence[str], n: int = 10) -> DataFrame:
     """The first ``n`` rows in ``order_by`` order."""
-    return df.orderBy(*order_by).limit(n)
+    return df.orderBy(*[ref(c) for c in order_by]).limit(n)
 
 
 def head_tail(df: DataFrame, order_by: Sequence[str], limit: int = 10) -> DataFrame:
@@ -36,7 +37,7 @@ def head_tail(df: DataFrame, order_by: Sequence[str], limit: int = 10) -> DataFr
     Two top-k plans and a union; rows found by both (small frames) appear
     once because ``order_by`` is a unique key.
     """
-    head = df.orderBy(*[F.asc(c) for c in order_by]).limit(limit).withColumn("_part", F.lit("head"))
-    tail = df.orderBy(*[F.desc(c) for c in order_by]).limit(limit).withColumn("_part", F.lit("tail"))
+    head = df.orderBy(*[F.asc(ref(c)) for c in order_by]).limit(limit).withColumn("_part", F.lit("head"))
+    tail = df.orderBy(*[F.desc(ref(c)) for c in order_by]).limit(limit).withColumn("_part", F.lit("tail"))
     both = head.unionByName(tail)
     return both.dropDuplicates(list(order_by)).drop("_part")

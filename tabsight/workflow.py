@@ -10,6 +10,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from .functions.scalars import ref
 
 from .operators import catalog as K
 from .operators import prepare as R
@@ -94,5 +95,5 @@ def first_rows(df: DataFrame, order_by: Sequence[str], n: int = 10) -> DataFrame
 def numeric_text_to_number(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     """Convert text columns flagged as numbers (``inconsistent_type``)."""
     from .functions.scalars import to_numeric
-    return df.select(*[to_numeric(F.col(c)).alias(c) if c in cols else F.col(f"`{c}`")
+    return df.select(*[to_numeric(ref(c)).alias(c) if c in cols else ref(c)
                        for c in df.columns])
