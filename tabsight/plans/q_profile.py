@@ -219,9 +219,51 @@ select 3 as issue_order, 'inconsistent_type' as type, name as "column", cast(nul
 from t where n / rows > 0.5"""
 
 
+def _quality_issues(spark, d):
+    return P.quality_issues(lineitem_dirty(spark, d))
+
+
+def quality_issues_sql() -> str:
+    """The four rules over the masked lineitem, in the reference's order."""
+    missing_rows = " union all ".join(
+        f"select {i} as ord, '{c}' as name, count(*) filter (where {miss(c)}) as miss, "
+        f"count(*) as rows from d" for i, c in enumerate(DIRTY_ALL))
+    nums = [c for c in DIRTY_ALL if DIRTY_TYPES[c] != "string"]
+    outlier_rows = " union all ".join(f"""
+select {i} as ord, '{c}' as name, count(*) filter (where {c} < lo or {c} > hi) as n, count(*) as rows
+from d, (select q1 - 1.5 * (q3 - q1) as lo, q3 + 1.5 * (q3 - q1) as hi
+         from (select quantile_cont({c}, 0.25) as q1, quantile_cont({c}, 0.75) as q3 from d))"""
+                                      for i, c in enumerate(nums))
+    texts = [c for c in DIRTY_ALL if DIRTY_TYPES[c] == "string"]
+    text_rows = " union all ".join(
+        f"select {i} as ord, '{c}' as name, count(*) filter (where regexp_matches({c}, '{NUMERIC_TEXT_PATTERN}')) "
+        f"as n, count(*) as rows from d" for i, c in enumerate(texts))
+    all_cols = ", ".join(DIRTY_ALL)
+    return dirty_cte() + f""", m as ({missing_rows}),
+g as (select count(*) as n from d group by {all_cols}),
+dup as (select sum(n) as rows, sum(n - 1) as dup from g),
+o as ({outlier_rows}),
+t as ({text_rows})
+select 0 as issue_order, 'missing_values' as type, cast(null as varchar) as "column",
+       list(name order by ord) as columns, cast(sum(miss) as bigint) as affected_rows,
+       case when max(miss / rows) > 0.2 then 'high' else 'medium' end as severity,
+       cast(null as varchar) as suggested_type
+from m where miss > 0 having count(*) > 0
+union all
+select 1, 'duplicates', null, null, cast(dup as bigint),
+       case when dup / rows > 0.05 then 'medium' else 'low' end, null from dup where dup > 0
+union all
+select 2, 'outliers', name, null, cast(n as bigint),
+       case when n / rows > 0.05 then 'medium' else 'low' end, null from o where n > 0
+union all
+select 3, 'inconsistent_type', name, null, cast(n as bigint), 'medium', 'numeric' from t where n / rows > 0.5
+"""
+
+
 QUERIES = [
     Query("profile_table", _profile, profile_sql()),
     Query("quality_missing", _quality_missing, quality_missing_sql()),
+    Query("quality_issues", _quality_issues, quality_issues_sql()),
     Query("quality_duplicates", _quality_duplicates, QUALITY_DUP_SQL),
     Query("quality_outliers", _quality_outliers, quality_outliers_sql()),
     Query("quality_numeric_text", _quality_numeric_text, quality_numeric_text_sql()),
