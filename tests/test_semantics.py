@@ -160,3 +160,16 @@ def test_duplicates_null_patterns_and_signed_zero(spark):
                                 (float("nan"), 3.0), (None, 3.0)], "a double, b double")
     r = S.duplicate_rows(df).first()
     assert (r["rows"], r["duplicates"]) == (7, 3)
+
+
+def test_extra_suggestions_added_only_when_not_covered(spark):
+    from tabsight.operators import profile as P
+    df = spark.createDataFrame([(1.0, "a"), (None, "b"), (3.0, None)], "x double, s string")
+    extra = [{"type": "missing_values", "method": "imputation", "columns": ["x"],
+              "parameters": {"strategy": "median"}},
+             {"type": "standardization", "columns": ["x"]}]
+    steps = P.to_steps(P.suggest_preprocessing(P.profile(df), extra))
+    kinds = [(s["type"], s["columns"][0]) for s in steps]
+    assert kinds.count(("missing_values", "x")) == 1           # already covered: not added
+    assert ("standardization", "x") == kinds[-1]               # new: appended last
+    assert steps[0]["parameters"] == {"strategy": "mean"}       # the rule's own choice stays
