@@ -65,3 +65,19 @@ def test_catalog_facts_with_long_texts(spark):
     facts = {r["column"]: r["n_unique"] for r in K.catalog_facts(spark, {"documents": docs}).collect()}
     exact = docs.agg(*[F.count_distinct(c).alias(c) for c in docs.columns]).first().asDict()
     assert facts == exact
+
+
+def test_run_analysis_dispatch(spark):
+    from conftest import SF_SMALL
+    from tabsight.plans.tables import load
+    orders = load(spark, SF_SMALL, "orders")
+    par = K.run_analysis(orders, {"type": "pareto", "metrics": ["o_totalprice"], "dimensions": ["o_custkey"]})
+    assert par["data"].count() == orders.select("o_custkey").distinct().count()
+    assert par["summary"].first()["total_items"] == par["data"].count()
+    cmp_ = K.run_analysis(orders, {"type": "comparison", "metrics": ["o_totalprice"],
+                                   "dimensions": ["o_orderpriority"]})
+    assert cmp_["data"].count() == 5
+    one = K.run_analysis(orders, {"type": "grouping", "metrics": ["o_totalprice"],
+                                  "dimensions": ["o_orderstatus"], "parameters": {"aggregation": "median"}})
+    assert one["data"].count() == 3
+    assert K.run_analysis(orders, {"type": "no_such_analysis"})["data"] is None
