@@ -162,3 +162,17 @@ def test_text_modes_match_plain(spark):
     assert S.mode_scalars(df, ["t"], hash_texts=["t"]) == {"t": "a"}
     empty = spark.createDataFrame([(None,)], "t string")
     assert S.mode_scalars(empty, ["t"], hash_texts=["t"]) == {"t": None}
+
+
+def test_sketch_profile_close_to_exact(spark):
+    from tabsight.operators import profile as P
+    li = load(spark, SF_SMALL, "lineitem")
+    exact = {r["column"]: r for r in P.profile(li).collect()}
+    approx = {r["column"]: r for r in P.profile(li, approx_distinct=True, exact=False).collect()}
+    assert set(exact) == set(approx)
+    for c, r in exact.items():
+        assert abs(approx[c]["n_unique"] - r["n_unique"]) <= max(2, 0.1 * r["n_unique"])
+        if r["median"] is not None:
+            lo, hi = r["min"], r["max"]
+            assert abs(approx[c]["median"] - r["median"]) <= 0.05 * (hi - lo) + 1e-9
+        assert approx[c]["missing"] == r["missing"] and approx[c]["mean"] == r["mean"]
