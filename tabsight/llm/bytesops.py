@@ -113,6 +113,33 @@ def first_difference(words: np.ndarray, a: np.ndarray, b: np.ndarray,
     return lcp
 
 
+class HashSet:
+    """Membership of 64-bit hashes in a small fixed set."""
+
+    def __init__(self, values):
+        self.values = np.unique(np.asarray(values, dtype=np.uint64))
+        self.slots = np.zeros(1 << 16, dtype=bool)
+        self.slots[(self.values >> np.uint64(48)).astype(np.int64)] = True
+
+    def contains(self, h: np.ndarray) -> np.ndarray:
+        if len(self.values) == 0:
+            return np.zeros(len(h), dtype=bool)
+        out = self.slots[(h >> np.uint64(48)).astype(np.int64)]
+        at = np.flatnonzero(out)
+        found = np.minimum(np.searchsorted(self.values, h[at]), len(self.values) - 1)
+        out[at] = self.values[found] == h[at]
+        return out
+
+
+def selection_key(h: np.ndarray, frequent: HashSet, low: np.uint64) -> np.ndarray:
+    """Order in which hashed grams are chosen as anchors: by hash, later
+    positions first among equals, and frequent grams after all others.  The
+    position is in the low bits (``low`` less the index)."""
+    key = ((h >> np.uint64(1)) & ~low) | (low - np.arange(len(h), dtype=np.uint64))
+    key[frequent.contains(h)] |= np.uint64(1 << 63)
+    return key
+
+
 def text_buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """UTF-8 bytes and offsets of an Arrow string column without a copy."""
     if isinstance(column, pa.ChunkedArray):

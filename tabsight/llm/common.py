@@ -59,6 +59,14 @@ def task_count(spark: SparkSession, times: int = 1) -> int:
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions"))) * times
 
 
+def hash_sample(rows: DataFrame, size: int, key: str = "rid") -> DataFrame:
+    """About ``size`` rows, chosen by the hash of their key."""
+    n = rows.count()
+    if n <= size:
+        return rows
+    return rows.filter(F.pmod(F.xxhash64(key, F.lit("sample")), F.lit(1 << 30)) < int((1 << 30) * size / n))
+
+
 def schema_of(*fields: tuple[str, T.DataType]) -> T.StructType:
     return T.StructType([T.StructField(n, t) for n, t in fields])
 

@@ -7,10 +7,11 @@ import hashlib
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import row_key, ships
+from .common import ships
 
 NO_ID = -(2**63)
 
@@ -48,24 +49,34 @@ def _cut_words(raw: bytes, ranges: list[tuple[int, int]]):
     return n, b" ".join(words)
 
 
+def _compress(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Texts as compressed bytes: what is shuffled to meet the spans."""
+    pack = zstandard.ZstdCompressor(level=1).compress
+    for batch in batches:
+        texts = batch.column("text")
+        yield pa.RecordBatch.from_pydict({
+            "doc_id": batch.column("doc_id"), "rid": batch.column("rid"),
+            "packed": pa.array([pack(texts[i].as_buffer()) for i in range(len(texts))], pa.binary())})
+
+
 def _apply(cut: Callable, with_text: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        unpack = zstandard.ZstdDecompressor().decompress
         for batch in batches:
-            ids = batch.column("doc_id")
-            texts = batch.column("text")
+            texts = batch.column("packed")
             spans = batch.column("spans")
             size, removed, count, digest, out = [], [], [], [], []
             for i in range(batch.num_rows):
                 got = spans[i].as_py()
                 ranges = merge([x["s"] for x in got], [x["e"] for x in got]) if got else []
-                n, rest = cut(texts[i].as_buffer().to_pybytes(), ranges)
+                n, rest = cut(unpack(texts[i].as_buffer()), ranges)
                 size.append(n)
                 removed.append(sum(e - s for s, e in ranges))
                 count.append(len(ranges))
                 digest.append(hashlib.sha256(rest).hexdigest())
                 if with_text:
                     out.append(rest.decode("utf-8", "replace"))
-            cols = {"doc_id": ids, "size": pa.array(size, pa.int64()),
+            cols = {"doc_id": batch.column("doc_id"), "size": pa.array(size, pa.int64()),
                     "n_removed": pa.array(removed, pa.int64()),
                     "n_spans": pa.array(count, pa.int64()),
                     "kept_sha256": pa.array(digest, pa.string())}
@@ -75,18 +86,18 @@ def _apply(cut: Callable, with_text: bool):
     return run
 
 
-def remove_spans(docs: DataFrame, spans: DataFrame, unit: str, with_text: bool = False) -> DataFrame:
-    """Cut ``spans`` (doc_id, rid, s, e) out of ``docs`` (doc_id, text).
+def remove_spans(rows: DataFrame, spans: DataFrame, unit: str, with_text: bool = False) -> DataFrame:
+    """Cut ``spans`` (doc_id, rid, s, e) out of ``rows`` (doc_id, rid, text).
 
     ``unit`` is "byte" or "word".  A row without spans keeps its text.  The
     list of spans of one document is bounded by the document's own length.
+    The id that stands for a missing one becomes missing again.
     """
     per_doc = spans.groupBy("doc_id", "rid").agg(F.collect_set(F.struct("s", "e")).alias("spans")) \
         .select(F.col("rid").alias("_rid"), F.col("doc_id").alias("_doc"), "spans")
-    rows = docs.withColumn("rid", row_key())
-    id_key = F.coalesce(F.col("doc_id"), F.lit(NO_ID))
-    joined = rows.join(per_doc, (F.col("rid") == F.col("_rid")) & (id_key == F.col("_doc")), "left") \
-        .select("doc_id", "text", "spans")
+    packed = rows.mapInArrow(_compress, "doc_id long, rid long, packed binary")
+    joined = packed.join(per_doc, (F.col("doc_id") == F.col("_doc")) & (F.col("rid") == F.col("_rid")), "left") \
+        .select(F.nullif("doc_id", F.lit(NO_ID)).alias("doc_id"), "packed", "spans")
     schema = "doc_id long, size long, n_removed long, n_spans long, kept_sha256 string" + \
         (", kept_text string" if with_text else "")
     return joined.mapInArrow(_apply(_cut_bytes if unit == "byte" else _cut_words, with_text), schema)

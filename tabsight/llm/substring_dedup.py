@@ -8,7 +8,9 @@ packed string is unfolded into windows, which are sorted; equal neighbours
 (confirmed on their bytes) are counted exactly, and a window is a repeat if
 its sequence also starts in a document with a smaller id.
 
-Within a map task equal packed strings are settled before the shuffle: those
+Word runs that many documents share (found on a bounded sample, and only
+used to choose minimisers) are chosen last, so that a frequent phrase gathers
+few windows.  Within a map task equal packed strings are settled before the shuffle: those
 of a document with a larger id are repeats for certain, and only the ones of
 the smallest id travel, so a sequence held by a third of all documents
 reaches its bucket once a task.
@@ -24,15 +26,17 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import bytesops as B
-from .common import ships, task_count, text_rows
+from .common import hash_sample, ships, task_count
 from .spans import NO_ID, remove_spans
-from .suffix_dedup import BLOCK_SCHEMA, SPAN_SCHEMA, blocks_batch, keyed_rows, span_batch
+from .suffix_dedup import (BLOCK_SCHEMA, FREQUENT_SHARE, SAMPLE_ROWS, SPAN_SCHEMA, blocks_batch, frequent_hashes,
+                           keyed_rows, span_batch)
 
 WIDTH = 13
 MINIMISER = 3
 _POSITION_BITS = 20
 _CHUNK_WORDS = 1 << 17
 _FLUSH_BYTES = 32 << 20
+_HASH_BYTES = 1 << 20
 _TYPES = [np.int64, np.int64, np.int64, np.uint16, np.uint32, np.uint8]
 _SPAN_TYPES = [np.int64] * 4
 _LAST = np.int64(2**63 - 1)
@@ -43,15 +47,20 @@ def _rank(doc: np.ndarray) -> np.ndarray:
     return np.where(doc == NO_ID, _LAST, doc)
 
 
-def super_kmers(word_hash: np.ndarray, valid: np.ndarray, width: int, minimiser: int):
-    """(first window, number of windows, minimiser hash) of each packed string."""
-    n = len(word_hash) - minimiser + 1
+def run_hashes(word_hash: np.ndarray, minimiser: int) -> np.ndarray:
+    """Hash of the ``minimiser`` words from every word on."""
+    n = max(0, len(word_hash) - minimiser + 1)
     h = word_hash[:n].copy()
     for j in range(1, minimiser):
         h = B.mix(h * B.BASE + word_hash[j:j + n])
+    return h
+
+
+def super_kmers(word_hash: np.ndarray, valid: np.ndarray, width: int, minimiser: int, frequent: B.HashSet):
+    """(first window, number of windows, minimiser hash) of each packed string."""
+    h = run_hashes(word_hash, minimiser)
     low = np.uint64((1 << _POSITION_BITS) - 1)
-    at = np.arange(n, dtype=np.uint64)
-    smallest = B.sliding_min((h & ~low) | (low - at), width - minimiser + 1)
+    smallest = B.sliding_min(B.selection_key(h, frequent, low), width - minimiser + 1)
     starts = np.flatnonzero(valid[:len(smallest)])
     if len(starts) == 0:
         return starts, starts, h[:0]
@@ -110,10 +119,18 @@ def _spaced(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """All texts with words joined by one space, each text closed by one; and
     the number of words of each text."""
     data, off = B.text_buffers(texts)
-    raw = data.tobytes()
-    parts = [raw[a:b].split() for a, b in zip(off[:-1].tolist(), off[1:].tolist())]
-    joined = b"".join(b" ".join(p) + b" " for p in parts if p)
-    return np.frombuffer(joined, dtype=np.uint8), np.array([len(p) for p in parts], dtype=np.int64)
+    parts = [b" ".join(data[a:b].tobytes().split()) for a, b in zip(off[:-1].tolist(), off[1:].tolist())]
+    joined = b"".join(p + b" " for p in parts if p)
+    return np.frombuffer(joined, dtype=np.uint8), np.array([p.count(32) + (p != b"") for p in parts], dtype=np.int64)
+
+
+def _slices(batch: pa.RecordBatch, most: int = 8 << 20) -> Iterator[pa.RecordBatch]:
+    """The batch in parts of about ``most`` bytes of text."""
+    size = np.diff(B.text_buffers(batch.column("text"))[1])
+    part = (np.cumsum(size) - 1) // most
+    cuts = np.flatnonzero(np.append(True, part[1:] != part[:-1])) if len(size) else size
+    for i, j in zip(cuts.tolist(), np.append(cuts[1:], len(size)).tolist()):
+        yield batch.slice(i, j - i)
 
 
 def _document_groups(n_words: np.ndarray, width: int):
@@ -137,10 +154,26 @@ def _document_groups(n_words: np.ndarray, width: int):
         yield group
 
 
-def _map(width: int, minimiser: int, buckets: int):
+def _run_sets(minimiser: int):
+    """Distinct hashes of the word runs of each document."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in (part for whole in batches for part in _slices(whole)):
+            data, n_words = _spaced(batch.column("text"))
+            end = np.flatnonzero(data == 32)
+            start = np.append(0, end[:-1] + 1) if len(end) else end
+            first = np.cumsum(n_words) - n_words
+            for doc in np.flatnonzero(n_words >= minimiser).tolist():
+                s, e = start[first[doc]:first[doc] + n_words[doc]], end[first[doc]:first[doc] + n_words[doc]]
+                h = run_hashes(B.range_hash(B.prefix(data[s[0]:e[-1]]), s - s[0], e - s[0]), minimiser)
+                yield pa.RecordBatch.from_pydict({"h": pa.array(np.unique(h).view(np.int64), pa.int64())})
+    return run
+
+
+def _map(width: int, minimiser: int, buckets: int, hashes):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         packer = _Packer(buckets, width)
-        for batch in batches:
+        frequent = B.HashSet(np.array(hashes.value, dtype=np.int64).view(np.uint64))
+        for batch in (part for whole in batches for part in _slices(whole)):
             ids = batch.column("doc_id").to_numpy(zero_copy_only=False)
             rids = batch.column("rid").to_numpy(zero_copy_only=False)
             data, n_words = _spaced(batch.column("text"))
@@ -160,7 +193,7 @@ def _map(width: int, minimiser: int, buckets: int):
                 np.add.at(valid, base, 1)
                 np.add.at(valid, base + size - width + 1, -1)
                 lo, count, key = super_kmers(B.range_hash(pre, ws, we),
-                                             np.cumsum(valid[:-1]) > 0, width, minimiser)
+                                             np.cumsum(valid[:-1]) > 0, width, minimiser, frequent)
                 if len(lo) == 0:
                     continue
                 s, e = ws[lo], we[lo + count + width - 2]
@@ -196,9 +229,15 @@ def _sort_bucket(parts, width: int):
     step = np.arange(len(owner)) - np.repeat(np.cumsum(count) - count, count)
     at = (last - n_words + 1)[owner] + step
     s, e = w_start[at], w_end[at + width - 1]
-    pre = B.prefix(data)
-    h = B.range_hash(pre, s, e)
-    del pre, w_start, w_end, slot, space
+    del w_start, w_end, slot, space
+    h = np.empty(len(s), dtype=np.uint64)
+    cuts = np.append(np.searchsorted(begin, np.arange(0, len(data), _HASH_BYTES)), len(begin))
+    first_window = np.append(np.cumsum(count) - count, len(s))
+    for i, j in zip(cuts[:-1].tolist(), cuts[1:].tolist()):  # prefix sums over some strings at a time
+        if i < j:
+            a, b = int(begin[i]), int(begin[j - 1] + size[j - 1])
+            w = slice(int(first_window[i]), int(first_window[j]))
+            h[w] = B.range_hash(B.prefix(data[a:b]), s[w] - a, e[w] - a)
     order = np.argsort(h)
     hs = h[order]
     new = np.append(True, hs[1:] != hs[:-1])
@@ -254,10 +293,17 @@ def repeated_word_spans(docs: DataFrame, width: int = WIDTH, minimiser: int = MI
                         buckets: int | None = None) -> DataFrame:
     """Word ranges ``(doc_id, rid, s, e)`` covered by windows whose sequence
     also starts in a document with a smaller id."""
+    return _repeated_word_spans(keyed_rows(docs), width, minimiser, buckets)
+
+
+def _repeated_word_spans(rows: DataFrame, width: int, minimiser: int, buckets: int | None) -> DataFrame:
     if not 0 < minimiser <= width:
         raise ValueError("the minimiser has at least one word and fits the window")
-    buckets = buckets or task_count(docs.sparkSession, 4)
-    blocks = keyed_rows(docs).mapInArrow(_map(width, minimiser, buckets), BLOCK_SCHEMA)
+    spark = rows.sparkSession
+    buckets = buckets or task_count(spark, 6)
+    hashes = frequent_hashes(hash_sample(rows, SAMPLE_ROWS, "doc_id"), _run_sets(minimiser), FREQUENT_SHARE)
+    shared = spark.sparkContext.broadcast(hashes)
+    blocks = rows.mapInArrow(_map(width, minimiser, buckets, shared), BLOCK_SCHEMA)
     return blocks.repartitionById(buckets, F.col("bucket")) \
         .mapInArrow(_reduce(width), SPAN_SCHEMA)
 
@@ -272,8 +318,9 @@ def remove_repeated_windows(docs: DataFrame, width: int = WIDTH, minimiser: int
     as it is.  An empty table gives an empty result; other columns are
     ignored.  ``with_text`` adds the kept words.
     """
-    spans = repeated_word_spans(docs, width, minimiser, buckets)
-    return remove_spans(text_rows(docs), spans, "word", with_text).withColumnRenamed("size", "n_words")
+    rows = keyed_rows(docs)
+    spans = _repeated_word_spans(rows, width, minimiser, buckets)
+    return remove_spans(rows, spans, "word", with_text).withColumnRenamed("size", "n_words")
 
 
 ships(__name__)

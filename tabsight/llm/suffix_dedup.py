@@ -6,7 +6,10 @@ or more places of the corpus.
 1. *Map.*  Every document is scanned once.  For each start position the
    smallest hashed ``gram`` inside its ``length`` bytes is its anchor; equal
    strings have equal anchors at equal offsets, so only suffixes under one
-   anchor gram need to be compared.  Neighbouring starts with one anchor
+   anchor gram need to be compared.  Grams that many documents share (found on
+   a bounded sample, and only used to choose anchors, so results do not depend
+   on it) are chosen last: text around a line that a third of all documents
+   hold is anchored beside the line, and goes to many buckets.  Neighbouring starts with one anchor
    travel as one packed string (their shared bytes once).  Packed strings
    that repeat inside a task are settled there: all are repeats, and one of
    them travels.
@@ -30,12 +33,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import bytesops as B
-from .common import row_key, ships, task_count, text_rows
+from .common import hash_sample, row_key, ships, task_count, text_rows
 from .spans import NO_ID, remove_spans
 
 LENGTH = 200
 GRAM = 32
 SHALLOW_ROUNDS = 2
+#: Documents looked at for frequent grams, and the share that makes one.
+SAMPLE_ROWS = 2_000
+FREQUENT_SHARE = 0.01
 _POSITION_BITS = 20
 _CHUNK = 1 << _POSITION_BITS
 _FLUSH_BYTES = 32 << 20
@@ -68,15 +74,14 @@ def _chunks(offsets: np.ndarray, length: int):
         yield group
 
 
-def anchored_strings(data: np.ndarray, length: int, gram: int, valid: np.ndarray):
+def anchored_strings(data: np.ndarray, length: int, gram: int, valid: np.ndarray, frequent: B.HashSet):
     """Packed strings of one chunk: first start, number of starts, anchor
     position and anchor hash; and the prefix sums of the chunk."""
     pre = B.prefix(data)
     at = np.arange(len(data) - gram + 1)
     h = B.range_hash(pre, at, at + gram)
     low = np.uint64(_CHUNK - 1)
-    keyed = (h & ~low) | (low - at.astype(np.uint64))
-    smallest = B.sliding_min(keyed, length - gram + 1)
+    smallest = B.sliding_min(B.selection_key(h, frequent, low), length - gram + 1)
     starts = np.flatnonzero(valid[:len(smallest)])
     anchor = (low - (smallest[starts] & low)).astype(np.int64)
     if len(starts) == 0:
@@ -154,9 +159,31 @@ def blocks_batch(rows: list[tuple[int, int, bytes]]) -> pa.RecordBatch:
                                        "payload": pa.array(payload, pa.binary())})
 
 
-def _map(length: int, gram: int, buckets: int):
+def _gram_sets(gram: int):
+    """Distinct gram hashes of each document."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            data, offsets = B.text_buffers(batch.column("text"))
+            for _, a, b in _pieces(offsets, gram):
+                at = np.arange(b - a - gram + 1)
+                h = np.unique(B.range_hash(B.prefix(data[a:b]), at, at + gram))
+                yield pa.RecordBatch.from_pydict({"h": pa.array(h.view(np.int64), pa.int64())})
+    return run
+
+
+def frequent_hashes(sample: DataFrame, sets, share: float, least: int = 8) -> list[int]:
+    """Hashes that a share of the sampled documents hold (signed longs).  The
+    sample bounds their number."""
+    n = sample.count()
+    found = sample.mapInArrow(sets, "h long").groupBy("h").count() \
+        .filter(F.col("count") >= max(least, int(share * n)))
+    return sorted(r.h for r in found.select("h").collect())
+
+
+def _map(length: int, gram: int, buckets: int, hashes):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         packer = _Packer(buckets)
+        frequent = B.HashSet(np.array(hashes.value, dtype=np.int64).view(np.uint64))
         for batch in batches:
             data, offsets = B.text_buffers(batch.column("text"))
             ids = batch.column("doc_id").to_numpy(zero_copy_only=False)
@@ -170,7 +197,7 @@ def _map(length: int, gram: int, buckets: int):
                 step[base] += 1
                 np.add.at(step, base + size - length + 1, -1)
                 valid = np.cumsum(step[:-1], dtype=np.int8).astype(bool)
-                lo, count, anchor, key, pre = anchored_strings(chunk, length, gram, valid)
+                lo, count, anchor, key, pre = anchored_strings(chunk, length, gram, valid, frequent)
                 if len(lo) == 0:
                     continue
                 span = count - 1 + length
@@ -294,19 +321,31 @@ BLOCK_SCHEMA = "bucket int, kind int, payload binary"
 
 
 def keyed_rows(docs: DataFrame) -> DataFrame:
-    """doc_id (a missing one as the least long), rid, text."""
-    rows = text_rows(docs).withColumn("rid", row_key())
-    return rows.select(F.coalesce("doc_id", F.lit(NO_ID)).alias("doc_id"), "rid", "text")
+    """doc_id (a missing one as the least long), rid, text.
+
+    ``rid`` tells rows of one id apart by their content; where all ids differ
+    it is 0, which takes no room in what is shuffled."""
+    rows = text_rows(docs).select(F.coalesce("doc_id", F.lit(NO_ID)).alias("doc_id"), "text")
+    repeated = rows.groupBy("doc_id").count().filter("count > 1").limit(1).count()
+    rid = row_key() if repeated else F.lit(0).cast("long")
+    return rows.select("doc_id", rid.alias("rid"), "text")
 
 
 def repeated_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM,
                    buckets: int | None = None) -> DataFrame:
     """Byte ranges ``(doc_id, rid, s, e)`` covered by strings of ``length``
     bytes that start at two or more places."""
+    return _repeated_spans(keyed_rows(docs), length, gram, buckets)
+
+
+def _repeated_spans(rows: DataFrame, length: int, gram: int, buckets: int | None) -> DataFrame:
     if not 0 < gram <= length or gram % 8:
         raise ValueError("gram must be a multiple of 8, at most the length")
-    buckets = buckets or task_count(docs.sparkSession, 4)
-    blocks = keyed_rows(docs).mapInArrow(_map(length, gram, buckets), BLOCK_SCHEMA)
+    spark = rows.sparkSession
+    buckets = buckets or task_count(spark, 4)
+    hashes = frequent_hashes(hash_sample(rows, SAMPLE_ROWS, "doc_id"), _gram_sets(gram), FREQUENT_SHARE)
+    shared = spark.sparkContext.broadcast(hashes)
+    blocks = rows.mapInArrow(_map(length, gram, buckets, shared), BLOCK_SCHEMA)
     return blocks.repartitionById(buckets, F.col("bucket")) \
         .mapInArrow(_reduce(length, gram), SPAN_SCHEMA)
 
@@ -322,8 +361,9 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM,
     are ignored.  ``with_text`` adds ``kept_text`` (bytes that no longer form
     a character are replaced).
     """
-    spans = repeated_spans(docs, length, gram, buckets)
-    return remove_spans(text_rows(docs), spans, "byte", with_text).withColumnRenamed("size", "n_bytes")
+    rows = keyed_rows(docs)
+    spans = _repeated_spans(rows, length, gram, buckets)
+    return remove_spans(rows, spans, "byte", with_text).withColumnRenamed("size", "n_bytes")
 
 
 ships(__name__)
