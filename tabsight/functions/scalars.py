@@ -118,7 +118,11 @@ def parse_with(col: Column, fmt: str) -> Column:
     text has a fixed length (the pattern without quotes), which is compared
     first because it is much cheaper than the regex.
     """
-    parsed = F.try_to_timestamp(col, F.lit(fmt))
+    # Read as UTC and kept as wall-clock time, so that no hour of the session's
+    # zone (a daylight-saving gap) shifts a value.
+    instant = F.try_to_timestamp(F.concat(col, F.lit(" +0000")), F.lit(f"{fmt} Z"))
+    parsed = F.timestamp_add("MICROSECOND", F.unix_micros(instant),
+                             F.lit("1970-01-01 00:00:00").cast("timestamp_ntz"))
     shape = DATE_FORMAT_SHAPES.get(fmt)
     if not shape:
         return parsed
@@ -152,16 +156,6 @@ def period_label(ts: Column, freq: str) -> Column:
     raise ValueError(f"unknown frequency {freq!r}")
 
 
-def period_step(freq: str) -> Column:
-    """Interval between consecutive period labels (for the calendar spine)."""
-    return {
-        "Y": F.expr("INTERVAL 1 YEAR"),
-        "M": F.expr("INTERVAL 1 MONTH"),
-        "W": F.expr("INTERVAL 7 DAYS"),
-        "D": F.expr("INTERVAL 1 DAY"),
-    }[freq.upper()]
-
-
 def floor_days(start: Column, end: Column) -> Column:
     """Whole days between two timestamps, floored (timedelta ``.days``).
 

@@ -48,6 +48,20 @@ def column_catalog(spark: SparkSession, tables: Mapping[str, DataFrame]) -> Data
     return spark.createDataFrame(rows, CATALOG_SCHEMA)
 
 
+def table_rows(spark: SparkSession, tables: Mapping[str, DataFrame]) -> DataFrame:
+    """(table, rows): one count per table, which Parquet answers from its footers."""
+    out = None
+    for t, df in tables.items():
+        part = df.agg(F.count(F.lit(1)).alias("rows")).select(F.lit(t).alias("table"), "rows")
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
+def catalog_with_rows(spark: SparkSession, tables: Mapping[str, DataFrame]) -> DataFrame:
+    """The catalog with each table's row count; no column is read."""
+    return column_catalog(spark, tables).join(table_rows(spark, tables), "table", "left")
+
+
 def catalog_facts(spark: SparkSession, tables: Mapping[str, DataFrame],
                   approx: bool = False) -> DataFrame:
     """The catalog plus rows, missing and distinct counts read from the data.
@@ -135,16 +149,21 @@ def detect_domain(catalog: DataFrame, purpose: str | None = None) -> DataFrame:
     return out
 
 
-def suggest_analyses(roles: DataFrame, domains: DataFrame) -> DataFrame:
+def suggest_analyses(roles: DataFrame, domains: DataFrame, series_metrics: int = 3,
+                     breakdown_metrics: int = 2, correlated: int = 5, distributions: int = 3,
+                     grouped_metrics: int = 2, grouped_dimensions: int = 2) -> DataFrame:
     """Analysis suggestions per table from the column roles and the domain.
 
     (table, seq, analysis, metrics, dimensions, aggregation): descriptive;
-    time_series (first three metrics over the first time column); breakdown by
-    each of the first two dimensions (first two metrics); correlation (first
-    five numbers); distribution (first three); pareto (sales tables with
-    product and revenue columns); comparison (marketing tables with campaign
-    and conversion columns); grouping (first two metrics by first two
-    dimensions, mean).  Per-table lists are bounded by the schema width.
+    time_series (the first ``series_metrics`` metrics over the first time
+    column); breakdown by each of the first two dimensions (the first
+    ``breakdown_metrics`` metrics); correlation (the first ``correlated``
+    numbers); distribution (the first ``distributions``); pareto (sales tables
+    with product and revenue columns); comparison (marketing tables with
+    campaign and conversion columns); grouping (the first ``grouped_metrics``
+    metrics by the first ``grouped_dimensions`` dimensions, mean).  The
+    arguments say how many columns a *suggestion* names (fixed values of the
+    rule by default); running an analysis takes any number.
     """
     def names(flag):
         return F.transform(F.sort_array(F.collect_list(F.when(ref(flag), F.struct("ordinal", "column")))),
@@ -171,16 +190,17 @@ def suggest_analyses(roles: DataFrame, domains: DataFrame) -> DataFrame:
 
     items = F.array(
         item(0, "descriptive", has_m, m, empty),
-        item(1, "time_series", has_m & (F.size(tm) > 0), F.slice(m, 1, 3), F.slice(tm, 1, 1)),
-        item(2, "breakdown", has_m & (F.size(dm) > 0), F.slice(m, 1, 2), F.slice(dm, 1, 1)),
-        item(3, "breakdown", has_m & (F.size(dm) > 1), F.slice(m, 1, 2), F.slice(dm, 2, 1)),
-        item(4, "correlation", F.size(m) >= 2, F.slice(m, 1, 5), empty),
-        item(5, "distribution", has_m, F.slice(m, 1, 3), empty),
+        item(1, "time_series", has_m & (F.size(tm) > 0), F.slice(m, 1, series_metrics), F.slice(tm, 1, 1)),
+        item(2, "breakdown", has_m & (F.size(dm) > 0), F.slice(m, 1, breakdown_metrics), F.slice(dm, 1, 1)),
+        item(3, "breakdown", has_m & (F.size(dm) > 1), F.slice(m, 1, breakdown_metrics), F.slice(dm, 2, 1)),
+        item(4, "correlation", F.size(m) >= 2, F.slice(m, 1, correlated), empty),
+        item(5, "distribution", has_m, F.slice(m, 1, distributions), empty),
         item(6, "pareto", (F.col("domain") == "sales") & F.col("product").isNotNull()
              & F.col("revenue").isNotNull(), F.array(F.col("revenue")), F.array(F.col("product"))),
         item(7, "comparison", (F.col("domain") == "marketing") & F.col("campaign").isNotNull()
              & F.col("conversion").isNotNull(), F.array(F.col("conversion")), F.array(F.col("campaign"))),
-        item(8, "grouping", has_m & (F.size(dm) > 0), F.slice(m, 1, 2), F.slice(dm, 1, 2), F.lit("mean")),
+        item(8, "grouping", has_m & (F.size(dm) > 0), F.slice(m, 1, grouped_metrics), F.slice(dm, 1, grouped_dimensions),
+             F.lit("mean")),
     )
     return (per.select("table", F.explode(items).alias("s")).where(F.col("s.keep"))
             .select("table", "s.seq", "s.analysis", "s.metrics", "s.dimensions", "s.aggregation"))
@@ -191,8 +211,11 @@ def suggest_analyses(roles: DataFrame, domains: DataFrame) -> DataFrame:
 def run_analysis(df: DataFrame, config: dict) -> dict:
     """Run one suggested analysis: {"type", "data": DataFrame | None, ...}.
 
+    Every metric and dimension of the config is used: grouping, pareto and
+    comparison of several metrics come in long form, with a ``metric`` column.
     Unknown types return no data, like the reference.
     """
+    from . import series as SE
     from . import correlation as C
     from . import grouped as G
     from . import timeseries as TS
@@ -203,10 +226,10 @@ def run_analysis(df: DataFrame, config: dict) -> dict:
     params = config.get("parameters") or {}
     out = {"type": typ, "data": None}
     if typ == "descriptive":
-        out["data"] = S.descriptive(df, metrics)
+        out.update(data=S.descriptive(df, metrics), box=S.box_stats(df, metrics))
     elif typ == "time_series":
         res = TS.time_series(df, dims[0], metrics, params.get("frequency", "auto"))
-        out.update(data=res["data"], trend=res["trend"], frequency=res["frequency"])
+        out.update(res)
     elif typ == "correlation":
         corr = C.correlation(df, metrics)
         out.update(data=corr, top=C.top_correlations(corr))
@@ -214,16 +237,27 @@ def run_analysis(df: DataFrame, config: dict) -> dict:
         data = G.breakdown(df, dims[0], metrics)
         out.update(data=data, extremes=G.extremes(data, dims[0], metrics))
     elif typ == "distribution":
-        out.update(data=S.describe(df, metrics), shape=S.distribution(df, metrics))
+        out.update(data=S.describe(df, metrics), shape=S.distribution(df, metrics),
+                   histograms={m: SE.histogram(df, m) for m in metrics})
     elif typ == "grouping":
         agg = params.get("aggregation", "mean")
-        if len(dims) > 1:
+        if len(dims) == 2 and len(metrics) == 1:
             out["data"] = G.pivot_aggregate(df, dims[0], dims[1], metrics[0], agg)
+        elif len(dims) == 2:
+            out["data"] = G.pivot_metrics(df, dims[0], dims[1], metrics, agg)
+        elif len(dims) > 2:
+            out["data"] = G.group_aggregate(df, dims, metrics, agg)
         else:
             out["data"] = G.group_aggregate(df, dims[:1], metrics, agg)
     elif typ == "pareto":
-        p = G.pareto(df, dims[0], metrics[0])
-        out.update(data=p, summary=G.pareto_summary(p))
+        if len(metrics) == 1:
+            p = G.pareto(df, dims[0], metrics[0])
+            out.update(data=p, summary=G.pareto_summary(p))
+        else:
+            each = {m: G.pareto(df, dims[0], m).withColumnRenamed(m, "value") for m in metrics}
+            out.update(data=G.per_metric(metrics, each.get),
+                       summary=G.per_metric(metrics, lambda m: G.pareto_summary(each[m])))
     elif typ == "comparison":
-        out["data"] = G.comparison(df, dims[0], metrics[0])
+        out["data"] = G.comparison(df, dims[0], metrics[0]) if len(metrics) == 1 \
+            else G.comparison_metrics(df, dims[0], metrics)
     return out

@@ -37,6 +37,13 @@ def top_categories(df: DataFrame, dim: str, n: int = 10) -> DataFrame:
     return counts.orderBy(F.desc("count"), F.asc(ref(dim))).limit(n)
 
 
+def filter_top_categories(df: DataFrame, dim: str, n: int = 10) -> DataFrame:
+    """The rows whose category is among the ``n`` most frequent ones.  The list
+    holds ``n`` keys, which bounds the broadcast."""
+    top = top_categories(df, dim, n).select(ref(dim).alias("_top"))
+    return df.join(F.broadcast(top), ref(dim) == F.col("_top"), "left_semi")
+
+
 def breakdown(df: DataFrame, dim: str, metrics: Sequence[str], top: int = 10) -> DataFrame:
     """Mean of each metric for the ``top`` most frequent categories.
 
@@ -152,18 +159,14 @@ def pivot_aggregate(df: DataFrame, dim1: str, dim2: str, metric: str,
     return g
 
 
-def pivot_wide(long: DataFrame, dim1: str, dim2: str, max_values: int = 10_000) -> DataFrame:
+def pivot_wide(long: DataFrame, dim1: str, dim2: str, max_values: int | None = None) -> DataFrame:
     """Matrix view of ``pivot_aggregate``: one column per dim2 value.
 
-    The dim2 values become column names, so they are listed on the driver;
-    more than ``max_values`` raises instead of silently dropping columns.
+    The dim2 values become column names, so the schema holds them all; with
+    ``max_values`` set, more values raise (nothing is dropped).
     """
-    from .prepare import MAX_LISTED_BYTES, _count_and_bytes
-    listed = long.select(ref(dim2)).distinct().orderBy(ref(dim2)).limit(max_values + 1)
-    n, size = _count_and_bytes(listed, dim2)
-    if n > max_values or size > MAX_LISTED_BYTES:
-        raise ValueError(f"{dim2} has too many or too long values for columns; use the long form")
-    values = [r[0] for r in listed.collect()]
+    from .prepare import categories
+    values = categories(long.where(ref(dim2).isNotNull()), dim2, max_values)
     return long.groupBy(ref(dim1)).pivot(quoted(dim2), values).agg(F.first("value"))
 
 
@@ -205,6 +208,35 @@ def pareto_summary(p: DataFrame, pct: float = 80.0) -> DataFrame:
                  F.count(F.lit(1)).alias("total_items"))
 
 
+def per_metric(metrics: Sequence[str], one) -> DataFrame:
+    """``one(metric)`` of every metric in long form, with a ``metric`` column."""
+    out = None
+    for m in metrics:
+        part = one(m).withColumn("metric", F.lit(m))
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
+def pivot_metrics(df: DataFrame, dim1: str, dim2: str, metrics: Sequence[str], agg: str = "mean") -> DataFrame:
+    """(dim1, dim2, metric, value): every metric by two dimensions.  One
+    grouped aggregate; the metrics become rows afterwards."""
+    wide = group_aggregate(df, [dim1, dim2], metrics, agg)
+    return wide.select(ref(dim1), ref(dim2), *[ref(m).cast("double").alias(m) for m in metrics]) \
+        .unpivot([ref(dim1), ref(dim2)], [ref(m) for m in metrics], "metric", "value")
+
+
+def comparison_metrics(df: DataFrame, dim: str, metrics: Sequence[str]) -> DataFrame:
+    """(dim, metric, mean, count, sum) of every metric, from one grouped aggregate."""
+    aggs = []
+    for i, m in enumerate(metrics):
+        v = _value(df, m)
+        aggs += [F.avg(v).alias(f"a{i}"), F.count(v).alias(f"n{i}"), F.sum(v).cast("double").alias(f"s{i}")]
+    wide = df.where(ref(dim).isNotNull()).groupBy(ref(dim)).agg(*aggs)
+    rows = F.array(*[F.struct(F.lit(m).alias("metric"), F.col(f"a{i}").alias("mean"), F.col(f"n{i}").alias("count"),
+                              F.col(f"s{i}").alias("sum")) for i, m in enumerate(metrics)])
+    return wide.select(ref(dim), F.explode(rows).alias("_e")).select(ref(dim), "_e.*")
+
+
 def comparison(df: DataFrame, dim: str, metric: str) -> DataFrame:
     """Compare a metric across all categories: mean, count and sum."""
     return df.where(ref(dim).isNotNull()).groupBy(ref(dim)).agg(

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import decimal
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from ..functions.scalars import ref
 
 from ..functions.scalars import NUMBER, family_of, nan_to_null
@@ -16,10 +19,44 @@ SELECT_BELOW = 10
 ALL = "All"
 
 # Membership lists longer than this are applied as a broadcast semi-join
-# instead of an IN list (the list itself is the size bound).
+# instead of an IN list (the list itself is the size bound).  Both compare the
+# same typed values, so the length of a list never changes its meaning.
 ISIN_LIMIT = 1000
 
 
+def typed_values(values: Sequence, dtype: T.DataType) -> list:
+    """The distinct values of a membership list in the column's own type;
+    values that no row of the column can equal (2.5 in a column of integers,
+    text in a column of numbers) are left out, and so are missing ones."""
+    out = []
+    for v in values:
+        if v is None or (isinstance(v, float) and math.isnan(v)):
+            continue
+        try:
+            if isinstance(dtype, T.IntegralType):
+                number = decimal.Decimal(str(v)) if not isinstance(v, bool) else decimal.Decimal(int(v))
+                if number != number.to_integral_value():
+                    continue
+                v = int(number)
+                if not -2**63 <= v < 2**63:
+                    continue
+            elif isinstance(dtype, (T.DoubleType, T.FloatType)):
+                v = float(v)
+            elif isinstance(dtype, T.DecimalType):
+                v = decimal.Decimal(str(v))
+            elif isinstance(dtype, T.StringType):
+                v = str(v)
+        except (ValueError, ArithmeticError):
+            continue
+        out.append(v)
+    return list(dict.fromkeys(out))
+
+
+def _wide_type(dtype: T.DataType) -> T.DataType:
+    return T.LongType() if isinstance(dtype, T.IntegralType) else \
+        T.DoubleType() if isinstance(dtype, T.FloatType) else dtype
+
+
 def filter_predicate(df: DataFrame, spec: dict):
     """One filter as a Column predicate, or None when it is inactive."""
     col, kind, value = spec["column"], spec.get("type", "select"), spec.get("value")
@@ -33,7 +70,10 @@ def filter_predicate(df: DataFrame, spec: dict):
     if kind == "multiselect":
         if not value:
             return None
-        return c.isin(list(value))
+        dtype = df.schema[col].dataType
+        wide = _wide_type(dtype)
+        known = typed_values(value, dtype)
+        return c.cast(wide).isin(known) if wide != dtype else c.isin(known)
     if kind in ("range", "slider"):
         if family_of(df.schema[col].dataType) != NUMBER or value is None:
             return None
@@ -50,10 +90,11 @@ def apply_filters(df: DataFrame, filters: Sequence[dict]) -> DataFrame:
         value = spec.get("value")
         if (spec.get("type") == "multiselect" and value and len(value) > ISIN_LIMIT
                 and spec["column"] in df.columns):
-            field = df.schema[spec["column"]]
-            keys = df.sparkSession.createDataFrame([(v,) for v in value], f"`{field.name}` "
-                                                   f"{field.dataType.simpleString()}")
-            out = out.join(F.broadcast(keys), field.name, "left_semi")
+            dtype = df.schema[spec["column"]].dataType
+            wide = _wide_type(dtype)
+            schema = T.StructType([T.StructField("_member", wide)])
+            keys = df.sparkSession.createDataFrame([(v,) for v in typed_values(value, dtype)], schema)
+            out = out.join(F.broadcast(keys), ref(spec["column"]).cast(wide) == F.col("_member"), "left_semi")
             continue
         pred = filter_predicate(out, spec)
         if pred is not None:
@@ -62,21 +103,26 @@ def apply_filters(df: DataFrame, filters: Sequence[dict]) -> DataFrame:
 
 
 def filter_options(df: DataFrame, cols: Sequence[str]) -> DataFrame:
-    """(column, value) -- distinct non-missing values per filter column, as text.
+    """(column, value) -- sorted distinct non-missing values per filter column, as text.
 
     One shuffle for all columns (each row emits one (column, value) pair per
     column; duplicates are removed map-side first).
     """
     cols = [c for c in cols if c in df.columns]
+    if not cols:
+        return df.sparkSession.createDataFrame([], "column string, value string")
     pairs = F.explode(F.array(*[
         F.struct(F.lit(c).alias("column"), nan_to_null(df, c).cast("string").alias("value"))
         for c in cols]))
-    return df.select(pairs.alias("p")).select("p.*").where(F.col("value").isNotNull()).distinct()
+    return df.select(pairs.alias("p")).select("p.*").where(F.col("value").isNotNull()).distinct() \
+        .orderBy("column", "value")
 
 
 def filter_bounds(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     """(column, min, max) of numeric filter columns, one pass."""
     cols = [c for c in cols if c in df.columns and family_of(df.schema[c].dataType) == NUMBER]
+    if not cols:
+        return df.sparkSession.createDataFrame([], "column string, min double, max double")
     wide = df.agg(*[F.min(nan_to_null(df, c)).cast("double").alias(f"lo{i}") for i, c in enumerate(cols)],
                   *[F.max(nan_to_null(df, c)).cast("double").alias(f"hi{i}") for i, c in enumerate(cols)])
     entries = [F.struct(F.lit(c).alias("column"), F.col(f"lo{i}").alias("min"),

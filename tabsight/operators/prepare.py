@@ -14,6 +14,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from ..functions.scalars import quoted, ref
 
 from ..functions.scalars import (DATETIME, DEFAULT_DATE_FORMATS, NUMBER, TEXT, family_of,
@@ -39,8 +40,9 @@ def impute(df: DataFrame, cols: Sequence[str], strategy: str = "mean", value=Non
 
     mean / median: numeric columns only (others are left untouched);
     mode: any type, smallest most-frequent value, all-missing left as is;
-    constant: ``value`` converted to the column type (an error, not a silent
-    type change, when it cannot be).
+    constant: ``value`` in the column's type; a number that an integer column
+    cannot hold widens the column (to double, or to bigint where that is
+    enough), and text for a number column is an error.
     """
     cols = [c for c in cols if c in df.columns]
     if strategy in ("mean", "median"):
@@ -72,11 +74,27 @@ def impute(df: DataFrame, cols: Sequence[str], strategy: str = "mean", value=Non
                     float(value)
                 except (TypeError, ValueError):
                     raise ValueError(f"fill value {value!r} is not a number for column {c!r}")
-            new[c] = F.coalesce(nan_to_null(df, c), F.lit(value).cast(dtype))
+            if isinstance(dtype, T.IntegralType):
+                dtype = _holding_type(dtype, float(value))
+                new[c] = F.coalesce(ref(c).cast(dtype), F.lit(value).cast(dtype))
+            else:
+                new[c] = F.coalesce(nan_to_null(df, c), F.lit(value).cast(dtype))
         return _replace(df, new)
     return df
 
 
+_INTEGER_BITS = {"tinyint": 7, "smallint": 15, "int": 31, "bigint": 63}
+
+
+def _holding_type(dtype: T.DataType, value: float) -> T.DataType:
+    """The integer column's type, or the next one that holds ``value`` too."""
+    if value != int(value):
+        return T.DoubleType()
+    if abs(value) < 2.0 ** _INTEGER_BITS[dtype.simpleString()]:
+        return dtype
+    return T.LongType() if abs(value) < 2.0 ** 63 else T.DoubleType()
+
+
 def fill_missing(df: DataFrame, values: dict) -> DataFrame:
     """Fill missing values per column from ``{column: value}`` (pandas
     ``fillna`` with a dict); each value is converted to its column's type."""
@@ -158,26 +176,38 @@ def _category_name(value) -> str:
     return str(value)
 
 
-def one_hot(df: DataFrame, cols: Sequence[str], max_categories: int = 1000) -> DataFrame:
+def categories(df: DataFrame, col: str, limit: int | None = None) -> list:
+    """The sorted distinct values of a column.  They become column names, so
+    the schema holds them all; a caller who wants a bound sets ``limit``, and
+    more values than that raise (nothing is dropped)."""
+    found = df.select(nan_to_null(df, col).alias("v")).where(F.col("v").isNotNull()).distinct()
+    if limit is not None and found.limit(limit + 1).count() > limit:
+        raise ValueError(f"{col!r} has more than {limit} categories; use label encoding or one_hot_long")
+    return sorted(r[0] for r in found.collect())
+
+
+def one_hot_long(df: DataFrame, key: Sequence[str], cols: Sequence[str]) -> DataFrame:
+    """Long form of :func:`one_hot` for any number of categories: one row
+    (key..., column, category) for each present value."""
+    cols = [c for c in cols if c in df.columns]
+    pairs = F.explode(F.array(*[F.struct(F.lit(c).alias("column"), nan_to_null(df, c).cast("string").alias("category"))
+                                for c in cols]))
+    return df.select(*[ref(k) for k in key], pairs.alias("_p")) \
+        .select(*[ref(k) for k in key], "_p.column", "_p.category").where(F.col("category").isNotNull())
+
+
+def one_hot(df: DataFrame, cols: Sequence[str], max_categories: int | None = None) -> DataFrame:
     """One boolean column ``<col>_<value>`` per sorted distinct value.
 
     Missing -> all false; the original column is dropped and the new ones
-    go last.  The values become column names, so they are listed on the
-    driver; more than ``max_categories`` raises (nothing is dropped).
+    go last.  ``max_categories`` is unset by default (see :func:`categories`).
     """
     out = df
     for c in cols:
         if c not in out.columns:
             continue
         value = nan_to_null(out, c)
-        cats = (out.select(value.alias("v")).where(F.col("v").isNotNull()).distinct()
-                .orderBy("v").limit(max_categories + 1))
-        n, size = _count_and_bytes(cats, "v")
-        if n > max_categories:
-            raise ValueError(f"{c!r} has more than {max_categories} categories; use label encoding")
-        if size > MAX_LISTED_BYTES:
-            raise ValueError(f"the categories of {c!r} are too long to become column names")
-        vals = [r[0] for r in cats.collect()]
+        vals = categories(out, c, max_categories)
         keep = [ref(x) for x in out.columns if x != c]
         dummies = [F.coalesce(value == F.lit(v), F.lit(False)).alias(f"{c}_{_category_name(v)}")
                    for v in vals]
@@ -185,36 +215,14 @@ def one_hot(df: DataFrame, cols: Sequence[str], max_categories: int = 1000) -> D
     return out
 
 
-# Category lists up to this many values and bytes are read back (sorted) and
-# coded on the driver, then broadcast; the checks are what prove the size.
-SMALL_CATEGORY_LIMIT = 10_000
-MAX_LISTED_BYTES = 16 * 1024 * 1024
-
-
-def _count_and_bytes(values: DataFrame, col: str) -> tuple[int, int]:
-    """Rows and total text bytes of a (limited) value list, in one small job."""
-    row = values.agg(F.count(F.lit(1)).alias("n"),
-                     F.sum(F.octet_length(ref(col).cast("string"))).alias("b")).first()
-    return int(row["n"]), int(row["b"] or 0)
-
-
 def label_codes(df: DataFrame, col: str) -> tuple[DataFrame, int]:
     """(value, code) with code = position among the sorted distinct values.
 
-    A short category list (checked with a limit) is coded directly; a long
-    one gets dense codes from the distributed running count, so a column with
+    Dense codes come from the distributed running count, so a column with
     billions of distinct values is coded without a single-task window.
-    Returns the code table and its row count (a proven size).
+    Returns the code table and its row count.
     """
     values = df.select(nan_to_null(df, col).alias("value")).where(F.col("value").isNotNull()).distinct()
-    limited = values.orderBy("value").limit(SMALL_CATEGORY_LIMIT + 1)
-    n, size = _count_and_bytes(limited, "value")
-    if n <= SMALL_CATEGORY_LIMIT and size <= MAX_LISTED_BYTES:
-        few = [r[0] for r in limited.collect()]
-        dtype = df.schema[col].dataType.simpleString()
-        codes = df.sparkSession.createDataFrame(
-            [(v, i) for i, v in enumerate(few)], f"value {dtype}, code bigint")
-        return codes, len(few)
     distinct = values.withColumn("_one", F.lit(1).cast("bigint"))
     ranked, totals = running_total(distinct, ["value"], "_one", "_cum")
     total = totals.first()
@@ -222,36 +230,33 @@ def label_codes(df: DataFrame, col: str) -> tuple[DataFrame, int]:
     return ranked.select("value", (F.col("_cum") - 1).cast("bigint").alias("code")), n
 
 
-def _fits_broadcast(codes: DataFrame, n: int, max_rows: int, max_bytes: int) -> bool:
-    """Row count is known; for text values their total length is measured too."""
-    if n > max_rows:
-        return False
-    if family_of(codes.schema["value"].dataType) != TEXT:
-        return True
-    size = codes.agg(F.sum(F.octet_length("value")).alias("b")).first()["b"] or 0
-    return size + 16 * n <= max_bytes
+# Missing values have no code to meet; they are spread over this many keys, so
+# that a column of mostly missing values does not fill one task of the join.
+MISSING_SPREAD = 1024
 
 
-def label_encode(df: DataFrame, cols: Sequence[str], broadcast_rows: int = 1_000_000,
-                 broadcast_bytes: int = 128 * 1024 * 1024) -> DataFrame:
-    """Add ``<col>_encoded``: the code of the value, -1 for missing.
+def attach_codes(df: DataFrame, col: str, codes: DataFrame) -> DataFrame:
+    """Add ``<col>_encoded`` from a (value, code) table, -1 for missing.  The
+    join strategy is left to Spark (AQE broadcasts a small table from its
+    measured size and splits a skewed value)."""
+    named = codes.select(F.col("value").alias("_lbl_value"), F.col("code").alias("_lbl_code"),
+                         F.lit(0).alias("_lbl_zero"))
+    value = nan_to_null(df, col)
+    spread = F.when(value.isNull(), F.pmod(F.monotonically_increasing_id(), F.lit(MISSING_SPREAD)) + 1) \
+        .otherwise(F.lit(0)).cast("int")
+    keyed = df.withColumn("_lbl_spread", spread)
+    joined = keyed.join(named, (nan_to_null(keyed, col) == F.col("_lbl_value"))
+                        & (F.col("_lbl_spread") == F.col("_lbl_zero")), "left")
+    return joined.select(*[ref(x) for x in df.columns],
+                         F.coalesce(F.col("_lbl_code"), F.lit(-1)).cast("bigint").alias(f"{col}_encoded"))
 
-    The code table is broadcast when its counted rows and bytes stay below
-    the limits, otherwise joined by a shuffle (AQE splits a skewed value).
-    """
+
+def label_encode(df: DataFrame, cols: Sequence[str]) -> DataFrame:
+    """Add ``<col>_encoded``: the code of the value, -1 for missing."""
     out = df
     for c in cols:
-        if c not in out.columns:
-            continue
-        codes, n = label_codes(out, c)
-        small = _fits_broadcast(codes, n, broadcast_rows, broadcast_bytes)
-        codes = codes.withColumnRenamed("value", "_lbl_value").withColumnRenamed("code", "_lbl_code")
-        if small:
-            codes = F.broadcast(codes)
-        joined = out.join(codes, nan_to_null(out, c) == codes["_lbl_value"], "left")
-        out = joined.select(*[ref(x) for x in out.columns],
-                            F.coalesce(F.col("_lbl_code"), F.lit(-1)).cast("bigint")
-                            .alias(f"{c}_encoded"))
+        if c in out.columns:
+            out = attach_codes(out, c, label_codes(out, c)[0])
     return out
 
 
@@ -262,36 +267,172 @@ STEP_TYPES = ("missing_values", "date_conversion", "standardization", "normaliza
               "categorical_encoding")
 
 
-def apply_step(df: DataFrame, step: dict) -> DataFrame:
-    typ = step.get("type")
-    cols = list(step.get("columns") or [])
+def _is_moment_step(step: dict) -> bool:
+    """Steps fitted by means, deviations and bounds alone."""
+    if step.get("type") in ("standardization", "normalization"):
+        return True
     params = step.get("parameters") or {}
-    method = step.get("method")
-    if typ == "missing_values":
-        if method == "drop_rows":
-            return drop_missing_rows(df, cols)
-        if method == "imputation":
-            return impute(df, cols, params.get("strategy", "mean"), params.get("value"))
-        return df
+    return (step.get("type") == "missing_values" and step.get("method") == "imputation"
+            and params.get("strategy", "mean") == "mean")
+
+
+def _moment_row(df: DataFrame, cols: Sequence[str]) -> dict:
+    """{column: (mean, std, min, max)} of all columns, in one aggregate."""
+    nums = list(dict.fromkeys(_numeric_cols(df, cols)))
+    if not nums:
+        return {}
+    aggs = []
+    for i, c in enumerate(nums):
+        v = nan_to_null(df, c)
+        aggs += [F.avg(v).alias(f"a{i}"), F.stddev_samp(v).alias(f"s{i}"),
+                 F.min(v).cast("double").alias(f"l{i}"), F.max(v).cast("double").alias(f"h{i}")]
+    row = df.agg(*aggs).first()
+    return {c: (row[f"a{i}"], row[f"s{i}"], row[f"l{i}"], row[f"h{i}"]) for i, c in enumerate(nums)}
+
+
+def _fit_moment_step(df: DataFrame, step: dict, moments: dict) -> dict:
+    cols = [c for c in step.get("columns") or [] if c in moments]
+    if step["type"] == "missing_values":
+        return {"kind": "fill", "values": {c: moments[c][0] for c in cols if moments[c][0] is not None}}
+    keep = (step.get("parameters") or {}).get("on_constant", "null") == "keep"
+    scale = {}
+    for c in cols:
+        mean, std, lo, hi = moments[c]
+        shift, width = (mean, std) if step["type"] == "standardization" else (lo, None if lo is None else hi - lo)
+        if shift is None:
+            continue
+        scale[c] = (shift, width) if width else ("keep" if keep else "null")
+    return {"kind": "scale", "columns": scale}
+
+
+def _fit_step(df: DataFrame, step: dict) -> dict | None:
+    """What a step learned from ``df`` (None: the step changes nothing)."""
+    typ, method = step.get("type"), step.get("method")
+    cols = [c for c in step.get("columns") or [] if c in df.columns]
+    params = step.get("parameters") or {}
+    if _is_moment_step(step):
+        return _fit_moment_step(df, step, _moment_row(df, cols))
+    if typ == "missing_values" and method == "drop_rows":
+        return {"kind": "drop", "columns": cols}
+    if typ == "missing_values" and method == "imputation":
+        strategy = params.get("strategy", "mean")
+        if strategy == "median":
+            rows = S.quantiles_wide(df, _numeric_cols(df, cols), {"median": 0.5}).collect()
+            return {"kind": "fill", "values": {r["column"]: r["median"] for r in rows if r["median"] is not None}}
+        if strategy == "mode":
+            from .profile import long_text_columns
+            fills = S.mode_scalars(df, cols, hash_texts=long_text_columns(df, cols))
+            return {"kind": "fill", "typed": True, "values": {c: v for c, v in fills.items() if v is not None}}
+        if strategy == "constant":
+            return {"kind": "constant", "columns": cols, "value": params.get("value")}
+        return None
     if typ == "date_conversion":
-        return to_datetime(df, cols, params.get("formats") or DEFAULT_DATE_FORMATS)
-    if typ == "standardization":
-        return standardize(df, cols, params.get("on_constant", "null"))
-    if typ == "normalization":
-        return normalize(df, cols, params.get("on_constant", "null"))
-    if typ == "categorical_encoding":
-        if method == "one_hot":
-            return one_hot(df, cols, params.get("max_categories", 1000))
-        if method == "label":
-            return label_encode(df, cols)
+        return {"kind": "dates", "columns": cols, "formats": list(params.get("formats") or DEFAULT_DATE_FORMATS)}
+    if typ == "categorical_encoding" and method == "one_hot":
+        return {"kind": "one_hot", "categories": {c: categories(df, c, params.get("max_categories")) for c in cols}}
+    if typ == "categorical_encoding" and method == "label":
+        return {"kind": "label", "codes": {c: label_codes(df, c)[0] for c in cols}}
+    return None  # unknown step types are no-ops, like the reference
+
+
+def _new_category(value, column: str):
+    """An error that names a category that was not there at the fit."""
+    return F.raise_error(F.concat(F.lit(f"new category in column {column!r}: "), value.cast("string")))
+
+
+def _transform_step(df: DataFrame, fitted: dict | None, strict: bool) -> DataFrame:
+    if fitted is None:
         return df
-    return df  # unknown step types are no-ops, like the reference
+    kind = fitted["kind"]
+    if kind == "fill":
+        return _replace(df, {c: F.coalesce(nan_to_null(df, c), F.lit(v).cast(df.schema[c].dataType)
+                                           if fitted.get("typed") else F.lit(v))
+                             for c, v in fitted["values"].items() if c in df.columns})
+    if kind == "constant":
+        return impute(df, fitted["columns"], "constant", fitted["value"])
+    if kind == "drop":
+        return drop_missing_rows(df, fitted["columns"])
+    if kind == "dates":
+        return to_datetime(df, fitted["columns"], fitted["formats"])
+    if kind == "scale":
+        new = {}
+        for c, how in fitted["columns"].items():
+            x = nan_to_null(df, c).cast("double")
+            if how == "keep":
+                new[c] = x
+            elif how == "null":
+                new[c] = F.lit(None).cast("double")
+            else:
+                new[c] = (x - F.lit(float(how[0]))) / F.lit(float(how[1]))
+        return _replace(df, new)
+    if kind == "one_hot":
+        out = df
+        for c, vals in fitted["categories"].items():
+            value = nan_to_null(out, c)
+            dummies = [F.coalesce(value == F.lit(v), F.lit(False)) for v in vals]
+            if strict and vals:
+                new = value.isNotNull() & ~value.isin(vals)
+                dummies = [F.when(new, _new_category(value, c).cast("boolean")).otherwise(d) for d in dummies]
+            keep = [ref(x) for x in out.columns if x != c]
+            out = out.select(*keep, *[d.alias(f"{c}_{_category_name(v)}") for d, v in zip(dummies, vals)])
+        return out
+    if kind == "label":
+        out = df
+        for c, codes in fitted["codes"].items():
+            coded = attach_codes(out, c, codes)
+            if strict:
+                code, value = ref(f"{c}_encoded"), nan_to_null(coded, c)
+                new = value.isNotNull() & (code < 0)
+                coded = coded.withColumn(f"{c}_encoded", F.when(new, _new_category(value, c).cast("bigint"))
+                                         .otherwise(code))
+            out = coded
+        return out
+    raise ValueError(f"unknown fitted step {kind!r}")
+
+
+def _fit_and_apply(df: DataFrame, steps: Sequence[dict]) -> tuple[DataFrame, list]:
+    """Neighbouring moment steps on different columns are fitted together, in
+    one aggregate; every other step is fitted on what the steps before it made."""
+    steps, out, fitted, i = list(steps), df, [], 0
+    while i < len(steps):
+        group, used = [], set()
+        while i < len(steps) and _is_moment_step(steps[i]) and not used & set(steps[i].get("columns") or []):
+            group.append(steps[i])
+            used |= set(steps[i].get("columns") or [])
+            i += 1
+        if group:
+            moments = _moment_row(out, [c for c in out.columns if c in used])
+            new = [_fit_moment_step(out, step, moments) for step in group]
+        else:
+            new = [_fit_step(out, steps[i])]
+            i += 1
+        for f in new:
+            out = _transform_step(out, f, strict=False)
+        fitted += new
+    return out, fitted
+
+
+def fit(df: DataFrame, steps: Sequence[dict]) -> list:
+    """What the steps learn from ``df``, for :func:`transform` on other data:
+    fill values, scales, category lists and code tables."""
+    return _fit_and_apply(df, steps)[1]
+
+
+def transform(df: DataFrame, fitted: Sequence[dict | None], strict: bool = True) -> DataFrame:
+    """Apply fitted steps: same columns and same codes on any data.  A category
+    that was not there at the fit is an error (``strict=False``: no dummy is
+    set, the code is -1)."""
+    out = df
+    for f in fitted:
+        out = _transform_step(out, f, strict)
+    return out
+
+
+def apply_step(df: DataFrame, step: dict) -> DataFrame:
+    return apply_pipeline(df, [step])
 
 
 def apply_pipeline(df: DataFrame, steps: Sequence[dict]) -> DataFrame:
     """Apply the steps in order; statistics are fitted on the data given
     (re-applying a saved spec to new data re-fits them)."""
-    out = df
-    for step in steps:
-        out = apply_step(out, step)
-    return out
+    return _fit_and_apply(df, steps)[0]

@@ -7,6 +7,7 @@ medians and the sample values; every later rule reads the profile rows.
 
 from __future__ import annotations
 
+import json
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame
@@ -59,13 +60,13 @@ def _date_format_expr(df: DataFrame, c: str, formats) -> tuple[list, F.Column]:
     return [present, *parsed], pick
 
 
-def long_text_columns(df: DataFrame, texts: Sequence[str], probe_rows: int = 1000) -> list[str]:
-    """Text columns whose values are long (mean length above LONG_TEXT),
-    judged on the first ``probe_rows`` rows: a limit reads only a few file
-    pieces, so the check is cheap whatever the table size."""
+def long_text_columns(df: DataFrame, cols: Sequence[str]) -> list[str]:
+    """Text columns whose values are long: mean length above LONG_TEXT, over
+    every row (one aggregate that reads only these columns)."""
+    texts = [c for c in cols if family_of(df.schema[c].dataType) == TEXT]
     if not texts:
         return []
-    row = df.limit(probe_rows).agg(*[F.avg(F.length(ref(c))).alias(f"l{i}") for i, c in enumerate(texts)]).first()
+    row = df.agg(*[F.avg(F.length(ref(c))).alias(f"l{i}") for i, c in enumerate(texts)]).first()
     return [c for i, c in enumerate(texts) if row[f"l{i}"] is not None and row[f"l{i}"] > LONG_TEXT]
 
 
@@ -132,7 +133,7 @@ def profile(df: DataFrame, cols: Sequence[str] | None = None,
         uniques = uniques.unionByName(from_hist["frame"])
     out = out.join(S.per_column(uniques), "column", "left")
     if texts and samples:
-        out = out.join(S.per_column(S.column_samples(df, texts, samples, long_texts)), "column", "left")
+        out = out.join(S.per_column(S.column_samples(df, texts, samples)), "column", "left")
     else:
         out = out.withColumn("samples", F.lit(None).cast("array<string>"))
     return out.select("column", "ordinal", "dtype", "family", "rows", "missing", "missing_pct",
@@ -179,12 +180,13 @@ def _issue(df: DataFrame, order: int, typ: str, column=None, columns=None, affec
 
 
 def quality_missing(df: DataFrame) -> DataFrame:
-    """One issue listing every column with missing values (none when clean).
+    """One issue listing every column of a table with missing values (none
+    when clean); one fused count pass."""
+    return quality_missing_of_profile(S.missing_counts(df))
 
-    Accepts the table itself (one fused count pass) or its profile rows.
-    """
-    prof = df if {"missing", "rows", "ordinal", "column"} <= set(df.columns) and \
-        "family" in df.columns else S.missing_counts(df)
+
+def quality_missing_of_profile(prof: DataFrame) -> DataFrame:
+    """The same from rows that hold the counts (profile or missing counts)."""
     with_missing = prof.where(F.col("missing") > 0)
     agg = with_missing.agg(
         F.count(F.lit(1)).alias("n"),
@@ -229,13 +231,15 @@ def quality_numeric_text(df: DataFrame) -> DataFrame:
 
 def quality_issues(df: DataFrame, prof: DataFrame | None = None) -> DataFrame:
     """All four rules in the reference's order: missing, duplicates, outliers, types."""
-    return (quality_missing(prof if prof is not None else df).unionByName(quality_duplicates(df))
+    missing = quality_missing(df) if prof is None else quality_missing_of_profile(prof)
+    return (missing.unionByName(quality_duplicates(df))
             .unionByName(quality_outliers(df)).unionByName(quality_numeric_text(df)))
 
 
 # --------------------------------------------------------- suggestions
 
 SUGGESTION_SCHEMA = "seq bigint, type string, method string, column string, strategy string"
+EXTRA_SCHEMA = SUGGESTION_SCHEMA + ", columns array<string>, parameters string"
 
 
 def suggest_preprocessing(prof: DataFrame, extra: Sequence[dict] | None = None) -> DataFrame:
@@ -244,7 +248,9 @@ def suggest_preprocessing(prof: DataFrame, extra: Sequence[dict] | None = None)
     Missing values: mean for numbers, mode otherwise; date text: conversion
     with the detected format; text: one-hot below 10 distinct values, else
     label.  ``extra`` suggestions (dicts with type/method/columns/parameters)
-    are appended when their (type, column) is not covered yet.
+    are appended whole, with all their parameters (JSON), unless a suggestion
+    of their type for the same columns is there already; the result then has
+    the columns ``columns`` and ``parameters`` too.
     """
     base = 1_000_000
     missing = prof.where(F.col("missing") > 0).select(
@@ -262,14 +268,22 @@ def suggest_preprocessing(prof: DataFrame, extra: Sequence[dict] | None = None)
         "column", F.lit(None).cast("string").alias("strategy"))
     out = missing.unionByName(dates).unionByName(enc)
     if extra:
-        rows = []
+        rows, seen = [], set()
         for k, s in enumerate(extra):
-            for c in s.get("columns", []) or [None]:
-                strategy = (s.get("parameters") or {}).get("strategy")
-                rows.append((3 * base + k, s.get("type"), s.get("method"), c, strategy))
-        more = prof.sparkSession.createDataFrame(rows, SUGGESTION_SCHEMA)
-        new = more.join(out.select("type", "column"), ["type", "column"], "left_anti")
-        out = out.unionByName(new)
+            cols = list(s.get("columns") or [])
+            key = (s.get("type"), tuple(cols))
+            if key in seen:
+                continue
+            seen.add(key)
+            params = s.get("parameters") or {}
+            rows.append((3 * base + k, s.get("type"), s.get("method"), cols[0] if len(cols) == 1 else None,
+                         params.get("strategy"), cols, json.dumps(params, sort_keys=True)))
+        more = prof.sparkSession.createDataFrame(rows, EXTRA_SCHEMA)
+        out = out.withColumn("columns", F.array("column")) \
+            .withColumn("parameters", F.lit(None).cast("string"))
+        taken = out.select(F.col("type").alias("_type"), F.col("columns").alias("_columns"))
+        out = out.unionByName(more.join(
+            taken, (F.col("type") == F.col("_type")) & (F.col("columns") == F.col("_columns")), "left_anti"))
     return out
 
 
@@ -280,9 +294,15 @@ def to_steps(suggestions: DataFrame) -> list[dict]:
     """
     steps = []
     for r in suggestions.orderBy("seq").collect():
-        step = {"type": r["type"], "columns": [r["column"]]}
+        whole = r.asDict()
+        step = {"type": r["type"], "columns": list(whole.get("columns") or [r["column"]])}
         if r["method"] is not None:
             step["method"] = r["method"]
+        if whole.get("parameters"):
+            if json.loads(whole["parameters"]):
+                step["parameters"] = json.loads(whole["parameters"])
+            steps.append(step)
+            continue
         if r["type"] == "missing_values" and r["strategy"]:
             step["parameters"] = {"strategy": r["strategy"]}
         if r["type"] == "date_conversion" and r["strategy"]:

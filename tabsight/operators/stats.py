@@ -4,10 +4,8 @@ Design rules:
 * statistics of many columns are fused into one aggregate pass and then
   reshaped to one row per column (a Generate over a single row);
 * exact quantiles never build an unbounded value->count map in one task:
-  columns with a known-small number of distinct values use Spark's
-  ``percentile``; wider columns are histogrammed by a shuffle with map-side
-  combine and located with a distributed running count
-  (``ordering.running_total``);
+  columns are histogrammed by a shuffle with map-side combine and located with
+  a distributed running count (``ordering.running_total``);
 * NaN is treated as missing everywhere (pandas ``isna``).
 """
 
@@ -178,45 +176,16 @@ def _long_values(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     return vals.unpivot([], [ref(c) for c in cols], "column", "value").where(F.col("value").isNotNull())
 
 
-# A column with at most this many distinct values is summarised by Spark's
-# exact ``percentile`` aggregate, whose buffer is a value -> count map; the
-# sum over all such columns of one call is bounded too.  Wider columns use
-# the distributed histogram path, which has no such buffer.
-MAP_DISTINCT_LIMIT = 10_000
-MAP_TOTAL_LIMIT = 200_000
-
-
-def _split_by_cardinality(df: DataFrame, cols: Sequence[str],
-                          distinct: Mapping[str, int] | None) -> tuple[list[str], list[str]]:
-    """(columns for the in-map percentile, columns for the histogram path)."""
-    if distinct is None:
-        # HyperLogLog estimate (rsd 5 %), one cheap pass; a 25 % margin is kept.
-        row = df.agg(*[F.approx_count_distinct(nan_to_null(df, c)).alias(f"d{i}")
-                       for i, c in enumerate(cols)]).first()
-        distinct = {c: int(row[f"d{i}"] * 1.25) + 1 for i, c in enumerate(cols)}
-    small, wide, total = [], [], 0
-    for c in cols:
-        n = distinct.get(c)
-        if n is not None and n <= MAP_DISTINCT_LIMIT and total + n <= MAP_TOTAL_LIMIT:
-            small.append(c)
-            total += n
-        else:
-            wide.append(c)
-    return small, wide
-
-
 def quantiles(df: DataFrame, cols: Sequence[str], probs: Sequence[float] = (0.25, 0.5, 0.75),
               exact: bool = True, accuracy: int = 100_000,
-              distinct: Mapping[str, int] | None = None,
               distinct_counts: dict | None = None) -> DataFrame:
     """Quantiles with linear interpolation: (column, prob, value).
 
     ``exact=True`` reproduces pandas ``quantile`` (position p * (n - 1),
-    interpolated between neighbours).  Columns with few distinct values
-    (known from ``distinct`` or estimated) use Spark's exact ``percentile``;
-    the others are histogrammed (a shuffle of distinct (column, value) pairs
-    with map-side counting) and the neighbouring ranks are found with a
-    distributed running count, so no task holds more than its share.
+    interpolated between neighbours).  All columns are histogrammed in one
+    pass (a shuffle of distinct (column, value) pairs with map-side counting)
+    and the neighbouring ranks are found with a distributed running count, so
+    no task holds more than its share.
 
     ``exact=False`` uses mergeable ``percentile_approx`` sketches (rank error
     about 1/accuracy) in one pass without a shuffle of values.
@@ -230,20 +199,9 @@ def quantiles(df: DataFrame, cols: Sequence[str], probs: Sequence[float] = (0.25
         wide = df.agg(*[F.percentile_approx(nan_to_null(df, c).cast("double"), probs, accuracy)
                         .alias(f"q__{c}") for c in cols])
         return _explode_probs(wide, cols, probs)
-    small, big = _split_by_cardinality(df, cols, distinct)
-    parts = []
-    if small:
-        wide = df.agg(*[F.percentile(nan_to_null(df, c).cast("double"), F.array(*[F.lit(p) for p in probs]))
-                        .alias(f"q__{c}") for c in small])
-        parts.append(_explode_probs(wide, small, probs))
-    if big:
-        parts.append(_histogram_quantiles(df, big, probs, distinct_counts))
     if distinct_counts is not None:
-        distinct_counts["histogram_columns"] = list(big)
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+        distinct_counts["histogram_columns"] = list(cols)
+    return _histogram_quantiles(df, cols, probs, distinct_counts)
 
 
 def _explode_probs(wide: DataFrame, cols: Sequence[str], probs: Sequence[float]) -> DataFrame:
@@ -288,11 +246,9 @@ def _histogram_quantiles(df: DataFrame, cols: Sequence[str], probs: Sequence[flo
 
 
 def quantiles_wide(df: DataFrame, cols: Sequence[str], names: Mapping[str, float] = QUARTILES,
-                   exact: bool = True, distinct: Mapping[str, int] | None = None,
-                   distinct_counts: dict | None = None) -> DataFrame:
+                   exact: bool = True, distinct_counts: dict | None = None) -> DataFrame:
     """(column, <name>...) with one quantile per named column."""
-    long = quantiles(df, cols, list(names.values()), exact=exact, distinct=distinct,
-                     distinct_counts=distinct_counts)
+    long = quantiles(df, cols, list(names.values()), exact=exact, distinct_counts=distinct_counts)
     return long.groupBy("column").agg(
         *[F.max(F.when(F.col("prob") == p, F.col("value"))).alias(n) for n, p in names.items()])
 
@@ -413,6 +369,8 @@ def descriptive(df: DataFrame, metrics: Sequence[str], exact: bool = True) -> Da
 def kpi(df: DataFrame, metrics: Sequence[str]) -> DataFrame:
     """KPI card numbers: mean, min, max, std per metric."""
     metrics = _numeric(df, metrics)
+    if not metrics:
+        return _empty(df, "column string, ordinal int, mean double, min double, max double, std double")
     return _moments(df, metrics).select("column", "ordinal", "mean", "min", "max", "std")
 
 
@@ -442,9 +400,11 @@ def distribution(df: DataFrame, metrics: Sequence[str], exact: bool = True) -> D
 
 # --------------------------------------------------- fences / outliers
 
-def fences(df: DataFrame, cols: Sequence[str], k: float = 1.5, exact: bool = True) -> dict:
-    """{column: (q1, q3, lower, upper)} -- a few fitted scalars per column."""
-    qs = quantiles_wide(df, cols, {"q1": 0.25, "q3": 0.75}, exact=exact).collect()
+def fences(df: DataFrame, cols: Sequence[str], k: float = 1.5, exact: bool = True, quartiles=None) -> dict:
+    """{column: (q1, q3, lower, upper)} -- a few fitted scalars per column.
+    ``quartiles`` are rows with column, q1 and q3 where they are known already."""
+    qs = quartiles if quartiles is not None else \
+        quantiles_wide(df, cols, {"q1": 0.25, "q3": 0.75}, exact=exact).collect()
     out = {}
     for row in qs:
         if row["q1"] is None:
@@ -455,7 +415,7 @@ def fences(df: DataFrame, cols: Sequence[str], k: float = 1.5, exact: bool = Tru
 
 
 def iqr_outliers(df: DataFrame, cols: Sequence[str] | None = None, k: float = 1.5,
-                 exact: bool = True) -> DataFrame:
+                 exact: bool = True, quartiles=None) -> DataFrame:
     """Strict IQR outliers per numeric column.
 
     (column, ordinal, rows, q1, q3, lower, upper, outliers, whisker_low, whisker_high);
@@ -464,7 +424,7 @@ def iqr_outliers(df: DataFrame, cols: Sequence[str] | None = None, k: float = 1.
     cols = _numeric(df, cols)
     schema = ("column string, ordinal int, rows bigint, q1 double, q3 double, lower double, "
               "upper double, outliers bigint, whisker_low double, whisker_high double")
-    f = fences(df, cols, k, exact)
+    f = fences(df, cols, k, exact, quartiles)
     cols = [c for c in cols if c in f]
     if not cols:
         return _empty(df, schema)
@@ -487,8 +447,10 @@ def iqr_outliers(df: DataFrame, cols: Sequence[str] | None = None, k: float = 1.
 def box_stats(df: DataFrame, metrics: Sequence[str], exact: bool = True) -> DataFrame:
     """Box-plot numbers: quartiles, fences, whiskers and outlier count."""
     metrics = _numeric(df, metrics)
-    box = iqr_outliers(df, metrics, 1.5, exact)
-    med = quantiles_wide(df, metrics, {"median": 0.5}, exact=exact)
+    # quartiles and medians of one quantile run
+    qs = quantiles_wide(df, metrics, QUARTILES, exact=exact).collect()
+    box = iqr_outliers(df, metrics, 1.5, exact, quartiles=qs)
+    med = df.sparkSession.createDataFrame([(r["column"], r["median"]) for r in qs], "column string, median double")
     return box.join(per_column(med), "column", "left").select(
         "column", "ordinal", "q1", "median", "q3", "lower", "upper",
         "whisker_low", "whisker_high", "outliers")
@@ -633,61 +595,50 @@ def duplicate_rows(df: DataFrame) -> DataFrame:
     return both.agg(F.sum("rows").alias("rows"), F.sum("duplicates").alias("duplicates"))
 
 
-def column_samples(df: DataFrame, cols: Sequence[str] | None = None, n: int = 10,
-                   long_texts: Sequence[str] = ()) -> DataFrame:
+def column_samples(df: DataFrame, cols: Sequence[str] | None = None, n: int = 10) -> DataFrame:
     """Up to ``n`` distinct non-missing values per text column, as strings.
 
     Row order does not exist in Spark, so the ``n`` smallest values are
-    taken (a distributed top-n after de-duplication).  For columns in
-    ``long_texts`` the texts are not de-duplicated by a shuffle: see
-    ``_smallest_distinct``.
+    taken (see ``_smallest_distinct``).
     """
     texts = set(columns_of(df, TEXT))
     cols = [c for c in _cols(df, cols) if c in texts]
     if not cols:
         return _empty(df, "column string, samples array<string>")
-    parts = []
-    for c in cols:
-        found = _smallest_distinct(df, c, n) if c in long_texts else None
-        if found is not None:
-            parts.append(df.sparkSession.createDataFrame([(c, v) for v in found],
-                                                         "column string, value string"))
-        else:
-            parts.append(df.select(ref(c).cast("string").alias("value"))
-                         .where(F.col("value").isNotNull()).distinct().orderBy("value").limit(n)
-                         .select(F.lit(c).alias("column"), "value"))
+    parts = [_smallest_distinct(df, c, n).select(F.lit(c).alias("column"), "value") for c in cols]
     union = parts[0]
     for p in parts[1:]:
         union = union.unionByName(p)
     return union.groupBy("column").agg(F.sort_array(F.collect_list("value")).alias("samples"))
 
 
-def _smallest_distinct(df: DataFrame, c: str, n: int, rounds: int = 2) -> list | None:
-    """The ``n`` smallest distinct values of a long-text column, or None.
+# Characters of a value that the first step of a sample compares.
+SAMPLE_PREFIX = 64
+
+
+def _smallest_distinct(df: DataFrame, c: str, n: int) -> DataFrame:
+    """The ``n`` smallest distinct values of a text column, as ``value``.
 
-    The ``k`` smallest rows (a distributed top-k: every task keeps ``k`` rows)
-    hold every value up to the k-th smallest, so if they contain ``n``
-    distinct values those are exactly the ``n`` smallest.  ``k`` grows from
-    4n for a few rounds; a column that is still short of distinct values
-    (heavily repeated texts) returns None and takes the de-duplicating plan.
+    First the ``n`` smallest distinct prefixes (short strings, combined
+    map-side); the ``n`` smallest values begin with one of them, so only
+    values up to the last such prefix are compared whole.  No whole text
+    reaches the driver.
     """
-    k = 4 * n
     col = ref(c).cast("string")
-    for _ in range(rounds):
-        rows = df.select(col.alias("v")).where(F.col("v").isNotNull()).orderBy("v").limit(k).collect()
-        values = sorted({r["v"] for r in rows})
-        if len(values) >= n or len(rows) < k:
-            return values[:n]
-        k *= 4
-    return None
+    prefix = F.substring(col, 1, SAMPLE_PREFIX)
+    heads = df.select(prefix.alias("p")).where(F.col("p").isNotNull()).distinct().orderBy("p").limit(n)
+    last = heads.agg(F.max("p").alias("p")).first()["p"]
+    if last is None:
+        return df.select(col.alias("value")).where(F.lit(False))
+    return df.where(prefix <= F.lit(last)).select(col.alias("value")).distinct().orderBy("value").limit(n)
 
 
 def before_after_stats(before: DataFrame, after: DataFrame, cols: Sequence[str] | None = None,
-                       limit: int = 5) -> DataFrame:
+                       limit: int | None = None) -> DataFrame:
     """Missing, mean and std before and after preparation.
 
-    The first ``limit`` numeric columns of ``before`` that are still numeric
-    in ``after``.
+    All numeric columns of ``before`` (or of ``cols``) that are still numeric
+    in ``after``; with ``limit`` set, the first so many.
     """
     after_nums = set(columns_of(after, NUMBER))
     cols = [c for c in _numeric(before, cols) if c in after_nums][:limit]

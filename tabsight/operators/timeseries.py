@@ -11,6 +11,7 @@ from ..functions.scalars import ref
 from ..functions.aggregates import pairwise_corr
 from ..functions.scalars import (DATETIME, TEXT, family_of, floor_days, nan_to_null,
                                  parse_datetime, period_label)
+from ..session import ensure_checkpoint_dir
 
 # Span thresholds in days for the automatic frequency
 # (more than 730 -> yearly, more than 90 -> monthly, more than 21 -> weekly,
@@ -69,22 +70,46 @@ def _spine(bounds: DataFrame, freq: str) -> DataFrame:
     return bounds.where(lo.isNotNull()).select(F.explode(labels).alias("period"))
 
 
+def _daily(ts: DataFrame, time: str, metrics: Sequence[str]) -> DataFrame:
+    """Sum and count of each metric per day, with the first and last time.
+
+    The only scan of the source: frequency, bounds and periods of every
+    length follow from it.  One row a day, checkpointed.
+    """
+    ensure_checkpoint_dir(ts.sparkSession)
+    labelled = ts.where(ref(time).isNotNull()).select(
+        F.to_date(ref(time)).alias("_day"), ref(time).alias("_ts"),
+        *[nan_to_null(ts, m).alias(f"_m{i}") for i, m in enumerate(metrics)])
+    return labelled.groupBy("_day").agg(
+        F.min("_ts").alias("_first"), F.max("_ts").alias("_last"),
+        *[F.sum(f"_m{i}").cast("double").alias(f"_s{i}") for i in range(len(metrics))],
+        *[F.count(f"_m{i}").alias(f"_n{i}") for i in range(len(metrics))]).checkpoint(eager=True)
+
+
 def resample(df: DataFrame, time: str, metrics: Sequence[str], freq: str = "auto") -> DataFrame:
     """Mean of each metric per calendar period, empty periods included.
 
     (period date, metric...).  Rows with a missing time are left out.  The
-    grouped means are one shuffle with map-side partial averages; the spine
-    of periods has one row per period, so the final join is small.
+    source is read once, into daily sums with map-side partial aggregation;
+    the spine of periods has one row per period, so the final join is small.
     """
-    ts = as_timestamp(df, time)
-    freq = choose_frequency(ts, time, freq)
-    labelled = ts.where(ref(time).isNotNull()).select(
-        period_label(ref(time), freq).alias("period"),
-        *[nan_to_null(ts, m).alias(m) for m in metrics])
-    means = labelled.groupBy("period").agg(*[F.avg(ref(m)).alias(m) for m in metrics])
+    return _resample(df, time, metrics, freq)[0]
+
+
+def _resample(df: DataFrame, time: str, metrics: Sequence[str], freq: str) -> tuple[DataFrame, str]:
+    daily = _daily(as_timestamp(df, time), time, metrics)
+    if freq and freq.lower() != "auto":
+        freq = freq.upper()
+    else:
+        days = floor_days(F.col("lo"), F.col("hi"))
+        row = daily.agg(F.min("_first").alias("lo"), F.max("_last").alias("hi")) \
+            .select(frequency_expr(days).alias("f"), F.col("lo").isNotNull().alias("any")).first()
+        freq = row["f"] if row["any"] else "D"
+    means = daily.groupBy(period_label(F.col("_day").cast("timestamp_ntz"), freq).alias("period")).agg(
+        *[F.try_divide(F.sum(f"_s{i}"), F.sum(f"_n{i}")).alias(m) for i, m in enumerate(metrics)])
     bounds = means.agg(F.min("period").alias("lo"), F.max("period").alias("hi"))
     return _spine(bounds, freq).join(means, "period", "left").select(
-        "period", *[ref(m).cast("double").alias(m) for m in metrics])
+        "period", *[ref(m).cast("double").alias(m) for m in metrics]), freq
 
 
 def trend(series: DataFrame, metrics: Sequence[str], order_by: str = "period") -> DataFrame:
@@ -114,12 +139,13 @@ def trend(series: DataFrame, metrics: Sequence[str], order_by: str = "period") -
         F.abs(r).alias("strength"))
 
 
-def time_series(df: DataFrame, time: str, metrics: Sequence[str], freq: str = "auto",
-                max_metrics: int = 3) -> dict:
-    """The composite analysis: frequency, resampled series (first three metrics)
-    and the trend of each.  Returns {"frequency", "data", "trend"}."""
-    metrics = list(metrics)[:max_metrics]
-    ts = as_timestamp(df, time)
-    f = choose_frequency(ts, time, freq)
-    series = resample(ts, time, metrics, f)
+def time_series(df: DataFrame, time: str, metrics: Sequence[str], freq: str = "auto") -> dict:
+    """The composite analysis: frequency, resampled series of every metric and
+    the trend of each.  Returns {"frequency", "data", "trend"}; a column that
+    cannot be read as a time gives a "message" and no data."""
+    metrics = list(metrics)
+    if time not in df.columns or family_of(df.schema[time].dataType) not in (DATETIME, TEXT):
+        return {"frequency": None, "data": None, "trend": None,
+                "message": f"column {time!r} cannot be read as a time"}
+    series, f = _resample(df, time, metrics, freq)
     return {"frequency": f, "data": series, "trend": trend(series, metrics)}

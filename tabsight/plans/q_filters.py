@@ -9,6 +9,7 @@ from ..operators import predicates as PR
 from ..operators import series as SE
 from ..operators import correlation as C
 from ..operators import grouped as G
+from ..sources import sampling as SMP
 from .common import rounded
 from ..functions.scalars import NUMERIC_TEXT_PATTERN
 from .registry import Query
@@ -114,9 +115,16 @@ def _pie(spark, d):
 def _union_head_tail(spark, d):
     """The head and tail of the per-supplier totals, as one frame."""
     g = G.group_aggregate(load(spark, d, "lineitem"), ["l_suppkey"], ["l_quantity"], "sum")
-    head = g.orderBy("l_suppkey").limit(5)
-    tail = g.orderBy(F.desc("l_suppkey")).limit(5)
-    return rounded(head.unionByName(tail))
+    return rounded(SMP.head_tail(g, ["l_suppkey"], 5))
+
+
+LONG_LIST = list(range(1, 4003, 2))
+
+
+def _multiselect_long(spark, d):
+    """2,001 whole numbers against a column of doubles."""
+    orders = load(spark, d, "orders").select("o_orderkey", F.col("o_custkey").cast("double").alias("custkey"))
+    return PR.apply_filters(orders, [{"column": "custkey", "type": "multiselect", "value": LONG_LIST}])
 
 
 def _scalars(spark, d):
@@ -179,6 +187,9 @@ select o_orderkey, o_custkey, o_orderstatus, round(o_totalprice, 6) as o_totalpr
     Query("filter_multiselect", _multiselect, """
 select o_orderkey, o_custkey, o_orderstatus, round(o_totalprice, 6) as o_totalprice, o_orderdate,
        o_orderpriority from orders where o_orderpriority in ('1-URGENT', '2-HIGH')"""),
+    Query("filter_multiselect_long", _multiselect_long, """
+select o_orderkey, cast(o_custkey as double) as custkey from orders
+where o_custkey % 2 = 1 and o_custkey between 1 and 4001"""),
     Query("filter_range", _range, f"""
 select l_orderkey, l_linenumber, round(l_discount, 6) as l_discount from ({lineitem_dirty_sql()})
 where l_discount between 0.02 and 0.05"""),
@@ -232,6 +243,6 @@ from customer where c_mktsegment is not null group by 1"""),
     Query("union_head_tail", _union_head_tail, """
 with g as (select l_suppkey, sum(l_quantity) as l_quantity from lineitem where l_suppkey is not null group by 1)
 select * from (select l_suppkey, round(l_quantity, 6) as l_quantity from g order by l_suppkey limit 5)
-union all
+union
 select * from (select l_suppkey, round(l_quantity, 6) as l_quantity from g order by l_suppkey desc limit 5)"""),
 ]

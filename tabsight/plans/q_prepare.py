@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+from pyspark.sql import functions as F
+
 from ..operators import prepare as R
 from ..operators import stats as S
 from ..session import scratch_path
 from ..sources.spec import load_spec, save_spec
 from .common import rounded
 from .registry import Query
-from .tables import lineitem_dirty, lineitem_dirty_sql
+from .tables import lineitem_dirty, lineitem_dirty_sql, load
 
 KEYS = ["l_orderkey", "l_linenumber"]
 
@@ -67,6 +69,16 @@ select l_orderkey, l_linenumber, round(l_discount, 6) as l_discount, l_returnfla
 where l_discount is not null and l_returnflag is not null"""
 
 
+def _fillna_widening(spark, d):
+    """0.5 into a column of integers: the column becomes double."""
+    df = load(spark, d, "part").select("p_partkey", F.when(F.col("p_partkey") % 4 != 0, F.col("p_size")).alias("p_size"))
+    return R.fill_missing(df, {"p_size": 0.5})
+
+
+FILLNA_WIDENING_SQL = """
+select p_partkey, case when p_partkey % 4 <> 0 then cast(p_size as double) else 0.5 end as p_size from part"""
+
+
 def _date_conversion(spark, d):
     df = lineitem_dirty(spark, d).select(*KEYS, "l_shipdate_text", "l_linenumber_text")
     return R.to_datetime(df, ["l_shipdate_text", "l_linenumber_text"])
@@ -202,12 +214,15 @@ def _replay(spark, d):
 
 
 def _stream_replay(spark, d):
-    """lineitem_dirty dropped into a folder, prepared by the file stream."""
+    """lineitem_dirty dropped into a folder in four files that hold different
+    categories, prepared by the file stream one file at a time."""
     from ..streaming.replay import read_prepared, replay_stream
     src, sink, ckpt = (scratch_path(spark, n) for n in ("stream-src", "stream-out", "stream-ckpt"))
     dirty = lineitem_dirty(spark, d)
-    dirty.write.parquet(src)
-    q = replay_stream(spark, src, dirty.schema, STEPS, sink, ckpt)
+    for part in ("A", "N", "R", None):
+        some = F.col("l_returnflag").eqNullSafe(F.lit(part))
+        dirty.where(some).coalesce(1).write.mode("append").parquet(src)
+    q = replay_stream(spark, src, dirty.schema, STEPS, sink, ckpt, max_files_per_trigger=1)
     q.awaitTermination()
     out = read_prepared(spark, sink)
     return rounded(out.select(*[c for c in out.columns]))
@@ -220,7 +235,7 @@ def _before_after(spark, d):
 
 
 def before_after_sql() -> str:
-    cols = ["l_orderkey", "l_partkey", "l_linenumber", "l_quantity", "l_discount"]
+    cols = ["l_orderkey", "l_partkey", "l_linenumber", "l_quantity", "l_discount", "l_tax", "l_extendedprice"]
     pipe = pipeline_sql()
     parts = []
     for i, c in enumerate(cols):
@@ -233,7 +248,8 @@ def before_after_sql() -> str:
             f"(select round(stddev_samp({c}), 6) from p) as std_after")
     # the after-side statistics are taken on the unrounded pipeline output
     pipe_unrounded = pipe.replace("round(l_quantity, 6)", "l_quantity").replace(
-        "round(l_discount, 6)", "l_discount")
+        "round(l_discount, 6)", "l_discount").replace("round(l_tax, 6)", "l_tax").replace(
+        "round(l_extendedprice, 6)", "l_extendedprice")
     return (_cte() + f", p as (select * from ({pipe_unrounded}))\n" + "\nunion all\n".join(parts))
 
 
@@ -243,6 +259,7 @@ QUERIES = [
     Query("impute_mode", _impute("mode", ["l_returnflag", "l_discount"]), IMPUTE_MODE_SQL),
     Query("impute_constant", _impute("constant", ["l_returnflag"], "U"), IMPUTE_CONSTANT_SQL),
     Query("fillna", _fillna, FILLNA_SQL),
+    Query("fillna_widening", _fillna_widening, FILLNA_WIDENING_SQL),
     Query("drop_missing_rows", _drop_rows, DROP_ROWS_SQL),
     Query("date_conversion", _date_conversion, DATE_CONVERSION_SQL),
     Query("standardize", _standardize, STANDARDIZE_SQL),

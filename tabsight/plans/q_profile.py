@@ -175,6 +175,29 @@ from p where family = 'text'
 """
 
 
+EXTRAS = [
+    {"type": "missing_values", "method": "imputation", "columns": ["l_quantity", "l_partkey"],
+     "parameters": {"strategy": "constant", "value": 0.5}},
+    {"type": "normalization", "columns": ["l_tax"], "parameters": {"on_constant": "keep"}},
+    {"type": "missing_values", "method": "imputation", "columns": ["l_tax"], "parameters": {"strategy": "median"}},
+]
+
+
+def _suggest_with_extras(spark, d):
+    """The third extra is dropped: its column has a suggestion of its type."""
+    return P.suggest_preprocessing(P.profile(lineitem_dirty(spark, d), samples=0), EXTRAS)
+
+
+def suggest_extras_sql() -> str:
+    return f"""
+select *, ["column"] as columns, cast(null as varchar) as parameters from ({suggest_sql()})
+union all
+select 3000000, 'missing_values', 'imputation', null, 'constant', ['l_quantity', 'l_partkey'],
+       '{{"strategy": "constant", "value": 0.5}}'
+union all
+select 3000001, 'normalization', null, 'l_tax', null, ['l_tax'], '{{"on_constant": "keep"}}'"""
+
+
 DOC_COLS = ["doc_id", "text", "lang", "source", "n_chars"]
 DOC_TYPES = {"doc_id": "bigint", "text": "string", "lang": "string", "source": "string", "n_chars": "bigint"}
 
@@ -269,6 +292,7 @@ QUERIES = [
     Query("quality_numeric_text", _quality_numeric_text, quality_numeric_text_sql()),
     Query("date_candidates", _date_candidates, date_candidates_sql()),
     Query("suggest_preprocessing", _suggest, suggest_sql()),
+    Query("suggest_with_extras", _suggest_with_extras, suggest_extras_sql()),
     Query("profile_documents", _profile_documents, profile_documents_sql()),
     Query("quality_numeric_text_documents", _numeric_text_documents, numeric_text_documents_sql()),
 ]

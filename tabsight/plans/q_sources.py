@@ -40,18 +40,26 @@ from orders
 
 
 def _sink_csv(spark, d):
-    """lineitem written as header CSV in parallel and read back as text."""
-    li = load(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_returnflag", "l_quantity")
-    path = scratch_path(spark, "lineitem-csv")
-    CSV.write_csv(li, path)
-    back = spark.read.option("header", True).csv(path)
-    return back.select(F.col("l_orderkey").cast("bigint"), F.col("l_linenumber").cast("int"),
-                       "l_returnflag", F.col("l_quantity").cast("double"))
+    """events written as header CSV in parallel and read back as text."""
+    ev = load(spark, d, "events")
+    path = scratch_path(spark, "events-csv")
+    CSV.write_csv(ev, path)
+    back = spark.read.option("header", True).option("quote", '"').option("escape", '"').csv(path)
+    return back.select(*[F.col(c).cast(t) for c, t in ev.dtypes])
+
+
+def _scan_csv_events(spark, d):
+    """events as CSV and back with inferred types: fractions of seconds, JSON
+    text with quotes and commas."""
+    path = scratch_path(spark, "events-scan-csv")
+    CSV.write_csv(load(spark, d, "events"), path)
+    back = CSV.read_csv(spark, path)
+    return back.withColumn("ts", F.col("ts").cast("timestamp_ntz"))
 
 
 def _sink_records(spark, d):
-    nation = load(spark, d, "nation")
-    return REC.to_records(nation)
+    orders = load(spark, d, "orders").select("o_orderkey", "o_custkey", "o_orderstatus", "o_orderpriority")
+    return REC.to_records(orders)
 
 
 def _sample(spark, d):
@@ -78,10 +86,11 @@ def _head_tail_small(spark, d):
 QUERIES = [
     Query("scan_csv", _scan_csv, SCAN_CSV_SQL),
     Query("sink_csv", _sink_csv, """
-select l_orderkey, l_linenumber, l_returnflag, l_quantity from lineitem"""),
+select * from events"""),
+    Query("scan_csv_events", _scan_csv_events, "select * from events"),
     Query("sink_records", _sink_records, """
-select to_json(struct_pack(n_nationkey := n_nationkey, n_name := n_name, n_regionkey := n_regionkey))::varchar
-       as record from nation"""),
+select to_json(struct_pack(o_orderkey := o_orderkey, o_custkey := o_custkey, o_orderstatus := o_orderstatus,
+                           o_orderpriority := o_orderpriority))::varchar as record from orders"""),
     Query("sample_rows", _sample, """
 select l_orderkey, l_linenumber, l_partkey, l_suppkey, round(l_quantity, 6) as l_quantity from lineitem
 order by md5(concat_ws('|', l_orderkey, l_linenumber, l_partkey, l_suppkey,

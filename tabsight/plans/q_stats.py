@@ -143,12 +143,6 @@ QUANTILES_SQL = "\nunion all\n".join(
     f"from lineitem" for c in QUANTILE_COLS for p in QUANTILE_PROBS)
 
 
-def _quantiles_approx(spark, d):
-    """Approximate quantiles: checked against the exact ones within the rank error."""
-    q = S.quantiles(load(spark, d, "lineitem"), QUANTILE_COLS, QUANTILE_PROBS, exact=False)
-    return q
-
-
 MODE_COLS = ["l_returnflag", "l_linestatus", "l_quantity", "l_discount"]
 
 

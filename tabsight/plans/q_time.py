@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..operators import series as SE
 from ..operators import timeseries as TS
 from ..operators import windows as W
 from .common import rounded
@@ -14,8 +15,14 @@ GAP_FILTER = "not (ts between '2024-01-08' and '2024-01-15')"
 
 
 def _events_gap(spark, d):
-    """events without the second week: the calendar spine must show the gap."""
-    return load(spark, d, "events").where(F.expr(GAP_FILTER))
+    """All rows of events, with the numbers of the second week blanked: the
+    periods of that week stay and have no mean."""
+    ev = load(spark, d, "events")
+    return ev.withColumns({c: F.when(F.expr(GAP_FILTER), F.col(c)) for c in ("value", "user_id")})
+
+
+EVENTS_GAP_SQL = f"""select * replace (case when {GAP_FILTER} then value end as value,
+                  case when {GAP_FILTER} then user_id end as user_id) from events"""
 
 
 def _auto_freq_orders(spark, d):
@@ -72,7 +79,7 @@ def week_sql(metrics) -> str:
     aggs = ", ".join(f"avg({m}) as {m}" for m in metrics)
     outs = ", ".join(f"round(g.{m}, 6) as {m}" for m in metrics)
     return f"""
-with e as (select * from events where {GAP_FILTER}),
+with e as ({EVENTS_GAP_SQL}),
 g as (select cast(date_trunc('week', ts) as date) + 6 as period, {aggs} from e group by 1),
 s as (select cast(w as date) as period
       from range(cast((select min(period) from g) as timestamp),
@@ -88,7 +95,7 @@ def _resample_day(spark, d):
 
 
 RESAMPLE_DAY_SQL = f"""
-with e as (select * from events where {GAP_FILTER}),
+with e as ({EVENTS_GAP_SQL}),
 g as (select cast(ts as date) as period, avg(value) as v from e group by 1),
 s as (select cast(x as date) as period
       from range(cast((select min(period) from g) as timestamp),
@@ -104,7 +111,7 @@ def _trend(spark, d):
 
 def trend_sql(metrics) -> str:
     series = f"""
-with e as (select * from events where {GAP_FILTER}),
+with e as ({EVENTS_GAP_SQL}),
 g as (select cast(ts as date) as period, {", ".join(f"avg({m}) as {m}" for m in metrics)} from e group by 1)"""
     parts = []
     for i, m in enumerate(metrics):
@@ -126,10 +133,10 @@ def _position(spark, d):
 
 
 POSITION_SQL = f"""
-with e as (select * from events where {GAP_FILTER}),
+with e as ({EVENTS_GAP_SQL}),
 g as (select cast(ts as date) as period, avg(value) as v from e group by 1)
 select period, round(v, 6) as value, cast(row_number() over (order by period) - 1 as bigint) as position
-from g
+from g where v is not null
 """
 
 
@@ -139,7 +146,7 @@ def _first_last(spark, d):
 
 
 FIRST_LAST_SQL = f"""
-with e as (select * from events where {GAP_FILTER}),
+with e as ({EVENTS_GAP_SQL}),
 g as (select cast(ts as date) as period, avg(value) as value, avg(user_id) as user_id from e group by 1)
 select 'value' as metric, round(arg_min(value, period), 6) as first, round(arg_max(value, period), 6) as last
 from g where value is not null
@@ -208,7 +215,25 @@ having count(*) > 1""")
 
 def _series_line(spark, d):
     series = TS.resample(_events_gap(spark, d), "ts", ["value"], "W")
-    return rounded(series.select("period", "value").orderBy("period"))
+    return rounded(SE.series_line(series, "period", ["value"]))
+
+
+SERIES_METRICS = ["l_quantity", "l_extendedprice", "l_discount", "l_tax"]
+
+
+def _time_series_metrics(spark, d):
+    """The resampled series itself, with more metrics than a suggestion names."""
+    return rounded(TS.time_series(load(spark, d, "lineitem"), "l_shipdate", SERIES_METRICS, "M")["data"])
+
+
+TIME_SERIES_METRICS_SQL = f"""
+with g as (select last_day(l_shipdate) as period, {", ".join(f"avg({m}) as {m}" for m in SERIES_METRICS)}
+           from lineitem where l_shipdate is not null group by 1),
+s as (select last_day(cast(m as date)) as period
+      from range(date_trunc('month', (select min(period) from g)),
+                 date_trunc('month', (select max(period) from g)) + interval 1 month, interval 1 month) t(m))
+select s.period, {", ".join(f"round(g.{m}, 6) as {m}" for m in SERIES_METRICS)} from s left join g using (period)
+"""
 
 
 QUERIES = [
@@ -222,6 +247,7 @@ QUERIES = [
     Query("window_position", _position, POSITION_SQL),
     Query("window_first_last", _first_last, FIRST_LAST_SQL),
     Query("time_series", _time_series, time_series_sql()),
+    Query("time_series_metrics", _time_series_metrics, TIME_SERIES_METRICS_SQL),
     Query("series_line", _series_line, week_sql(["value"])),
     Query("resample_day_all", _resample_day_all, RESAMPLE_DAY_ALL_SQL),
     Query("trend_all", _trend_all, trend_all_sql()),

@@ -10,6 +10,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from ..functions.scalars import ref
 
 from ..functions.scalars import NUMERIC_TEXT_PATTERN
@@ -24,6 +25,9 @@ PANDAS_NA_TOKENS = (
 TRUE_TOKENS = ("True", "TRUE", "true")
 FALSE_TOKENS = ("False", "FALSE", "false")
 
+# Holds the text of a row whose number of fields differs from the header's.
+MALFORMED = "_malformed_row"
+
 INTEGER_PATTERN = r"^\s*[+-]?\d+\s*$"
 
 
@@ -33,12 +37,24 @@ def read_csv(spark: SparkSession, path: str, na_tokens=PANDAS_NA_TOKENS, infer:
 
     Quotes inside a quoted field are written doubled (``""``), as pandas
     reads them.  ``multiline=True`` allows line breaks inside quoted fields;
-    it makes each file a single split, so it is off by default.
+    it makes each file a single split, so it is off by default.  A row shorter
+    than the header is padded with missing values; a longer one is an error.
     """
-    raw = (spark.read.option("header", True).option("inferSchema", False)
-           .option("sep", sep).option("quote", '"').option("escape", '"')
-           .option("multiLine", multiline).option("nullValue", None).option("emptyValue", "")
-           .option("mode", "FAILFAST").csv(path))
+    def reader(mode):
+        return (spark.read.option("header", True).option("inferSchema", False)
+                .option("sep", sep).option("quote", '"').option("escape", '"')
+                .option("multiLine", multiline).option("nullValue", None).option("emptyValue", "")
+                .option("mode", mode))
+
+    raw = reader("PERMISSIVE").csv(path)
+    if raw.columns:
+        marked = T.StructType([*raw.schema.fields, T.StructField(MALFORMED, T.StringType())])
+        raw = reader("PERMISSIVE").option("columnNameOfCorruptRecord", MALFORMED).schema(marked).csv(path)
+        last = ref(raw.columns[-2])
+        too_long = F.col(MALFORMED).isNotNull() & last.isNotNull()
+        raw = raw.select(*[ref(c) for c in raw.columns[:-2]], F.when(
+            too_long, F.raise_error(F.concat(F.lit("row with more fields than the header: "), F.col(MALFORMED)))
+            .cast("string")).otherwise(last).alias(raw.columns[-2]))
     tokens = list(na_tokens)
     clean = raw.select(*[F.when(ref(c).isin(tokens), F.lit(None))
                          .otherwise(ref(c)).alias(c) for c in raw.columns])
@@ -78,10 +94,11 @@ def read_csv(spark: SparkSession, path: str, na_tokens=PANDAS_NA_TOKENS, infer:
 
 
 def write_csv(df: DataFrame, path: str, mode: str = "errorifexists") -> str:
-    """Header CSV without an index, written by the executors in parallel."""
+    """Header CSV without an index, written by the executors in parallel.
+    Times are written in full (up to microseconds, without closing zeros)."""
+    times = [f.name for f in df.schema.fields if isinstance(f.dataType, (T.TimestampType, T.TimestampNTZType))]
+    df = df.select(*[ref(c).cast("string").alias(c) if c in times else ref(c) for c in df.columns])
     (df.write.mode(mode).option("header", True)
        .option("quote", '"').option("escape", '"')
-       .option("timestampNTZFormat", "yyyy-MM-dd HH:mm:ss")
-       .option("timestampFormat", "yyyy-MM-dd HH:mm:ss")
        .csv(path))
     return path

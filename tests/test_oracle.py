@@ -29,7 +29,7 @@ def norm(v):
     if isinstance(v, (int, float)):
         return (1, round(float(v), 4))
     if hasattr(v, "isoformat"):
-        return (2, v.isoformat()[:19])
+        return (2, v.isoformat())
     if isinstance(v, (list, tuple)):
         return (3, str([norm(x) for x in v]))
     return (5, str(v))
