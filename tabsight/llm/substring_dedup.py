@@ -99,7 +99,7 @@ class _Packer:
         travels = np.ones(len(length), dtype=bool)
         travels[a] = False
         if len(a):
-            to = rid[a].astype(np.uint64) % np.uint64(self.buckets)
+            to = B.mix(doc[a].view(np.uint64) + rid[a].view(np.uint64)) % np.uint64(self.buckets)
             yield from self._blocks(0, to, a, lambda p: [doc[p], rid[p], lo[p],
                                                          lo[p] + count[p] - 1 + self.width])
         t = np.flatnonzero(travels)

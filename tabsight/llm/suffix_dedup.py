@@ -131,7 +131,7 @@ class _Packer:
         bucket = (key % np.uint64(self.buckets)).astype(np.int64)
         k = np.flatnonzero(known)
         if len(k):
-            yield from self._blocks(0, rid[k].astype(np.uint64) % np.uint64(self.buckets),
+            yield from self._blocks(0, B.mix(doc[k].view(np.uint64) + rid[k].view(np.uint64)) % np.uint64(self.buckets),
                                     [doc[k], rid[k], lo[k], lo[k] + count[k] - 1 + extra])
         t = np.flatnonzero(travels)
         by = t[np.argsort(bucket[t], kind="stable")]
