@@ -208,8 +208,8 @@ def fit_rates(members: DataFrame, targets: np.ndarray, max_steps: int = MAX_STEP
     """Rates (column ``rate``) and the expected domain totals they give.
 
     ``targets`` are shares; the token total of the corpus is kept.  Residuals
-    are taken relative to each target, and the step length is the exact
-    Lipschitz bound, from the domains' second moments."""
+    are whitened by the domains' second moments sum_i n_i p_i p_i', for which
+    1 is the exact Lipschitz bound, and so the step length."""
     d = len(targets)
     rows = members.mapInArrow(_moments, "i int, v double").groupBy("i").agg(F.sum("v").alias("v")).collect()
     if not rows:
@@ -222,8 +222,7 @@ def fit_rates(members: DataFrame, targets: np.ndarray, max_steps: int = MAX_STEP
     if total <= 0:
         return members, np.zeros(d)
     wanted = targets * total
-    scaled = moment / np.outer(wanted, wanted)
-    step = 1.0 / max(np.linalg.eigvalsh(scaled).max(), 1e-300)
+    whiten = np.linalg.pinv(moment, rcond=1e-9, hermitian=True)
     now = members
     history: list[tuple[int, np.ndarray]] = []
     reached = moment.sum(axis=1)
@@ -235,7 +234,7 @@ def fit_rates(members: DataFrame, targets: np.ndarray, max_steps: int = MAX_STEP
             looked[r.d], reached[r.d] = r.looked, r.now
         if np.abs(reached / wanted - 1.0).max() <= tolerance:
             break
-        history.append((k, step * (looked / wanted - 1.0) / wanted))
+        history.append((k, whiten @ (looked - wanted)))
         if len(history) >= history_size:
             now = cut_lineage(now.mapInArrow(_moved(history), _SCHEMA))
             history = []
