@@ -5,8 +5,9 @@ conditional log-probabilities score a text.
 
 * *Counts.*  Words of the whole corpus are counted; the ``top`` most frequent
   ones are output classes of their own, all others share classes by hash.
-  P(word | class) comes from the same counts (words beyond the ``vocabulary``
-  most frequent ones share their class's remaining mass evenly).
+  P(word | class) comes from the same counts (words rarer than one token in
+  ``vocabulary``, so all but at most that many, share their class's remaining
+  mass evenly).
 * *Encoding.*  Each text becomes one byte a token, checkpointed.
 * *Training.*  A one-layer network (position-wise context embeddings, tanh,
   softmax over classes) is trained in numpy by rounds of local mini-batch
@@ -27,7 +28,9 @@ from pyspark.sql import functions as F
 
 from .common import cut_lineage, ships, text_rows, words_of
 
-VOCABULARY = 20_000
+#: Words with at least one token in so many are listed; they are no more than
+#: that, whatever the corpus.
+VOCABULARY = 50_000
 TOP = 48
 SHARED = 16
 WINDOW = 3
@@ -50,9 +53,12 @@ def shared_class(word: bytes, top: int, shared: int) -> int:
 
 
 def vocabulary(counts: DataFrame, size: int = VOCABULARY, top: int = TOP, shared: int = SHARED) -> dict:
-    """Class and log P(word | class) of the most frequent words, and what each
-    class leaves to a word beyond them.  ``size`` bounds what is collected."""
-    frequent = counts.orderBy(F.desc("count"), "word").limit(size).collect()
+    """Class and log P(word | class) of the frequent words, and what each class
+    leaves to a word beyond them.  At most ``size`` words are collected: no
+    more can make up one token in ``size`` each."""
+    n_tokens = counts.agg(F.sum("count")).first()[0] or 0
+    frequent = counts.filter(F.col("count") * size >= n_tokens).collect()
+    frequent.sort(key=lambda r: (-r["count"], r.word.encode()))
     total = counts.withColumn("k", F.pmod(F.crc32(F.col("word").cast("binary")), F.lit(shared)).cast("int")) \
         .groupBy("k").agg(F.sum("count").alias("tokens"), F.count("*").alias("types")).collect()
     tokens, types = np.zeros(shared), np.zeros(shared)
