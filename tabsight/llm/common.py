@@ -41,6 +41,18 @@ def row_key() -> Column:
     return F.xxhash64(F.coalesce(F.col("doc_id"), F.lit(-1).cast("long")), F.col("text"))
 
 
+NO_ID = -(2**63)
+
+
+def whole_rows(docs: DataFrame) -> DataFrame:
+    """``row`` (all columns of ``docs`` as one struct, so that no name can
+    clash), ``key_id`` (a missing id as the least long) and ``key_rid``."""
+    named = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
+    given, text = F.col("row.doc_id").cast("long"), F.coalesce(F.col("row.text"), F.lit(""))
+    return named.select("row", F.coalesce(given, F.lit(NO_ID)).alias("key_id"),
+                        F.xxhash64(F.coalesce(given, F.lit(-1).cast("long")), text).alias("key_rid"))
+
+
 def words_of(text: Column) -> Column:
     """Words ``[^\\x20\\x09-\\x0D]+`` as an array (empty for a blank text)."""
     # the space alone is among the characters trimmed by default; the rest are named

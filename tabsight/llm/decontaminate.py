@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import bytesops as B
-from .common import row_key, ships, text_rows
+from .common import row_key, ships, text_rows, whole_rows
 
 Q = 10
 EDIT_RATE = 0.07
@@ -269,10 +269,7 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame, **options) -> DataF
     """The rows of ``docs`` (all columns) that hold no benchmark item."""
     keyed = text_rows(docs).select(row_key().alias("doc_id"), "text")
     bad = contaminated(keyed, benchmark, **options).select(F.col("doc_id").alias("_r")).distinct()
-    own = docs.withColumn("__r", F.xxhash64(F.coalesce(F.col("doc_id").cast("long"), F.lit(-1).cast("long")),
-                                            F.coalesce("text", F.lit(""))))
-    kept = own.join(bad, F.col("__r") == F.col("_r"), "left_anti")
-    return kept.select(*[F.col(f"`{c}`") for c in docs.columns])
+    return whole_rows(docs).join(bad, F.col("key_rid") == F.col("_r"), "left_anti").select("row.*")
 
 
 ships(__name__)

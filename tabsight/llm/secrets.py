@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import row_key
+from .common import NO_ID, row_key, whole_rows
 
 #: Kind, pattern, the shortest length that counts.
 ASSIGN = r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
@@ -146,31 +146,27 @@ def mask(docs: DataFrame, owner: str = "source", repository: Column | None = Non
     spans = find_secrets(docs, owner, repository, example_owners).filter("live")
     per = spans.groupBy("doc_id", "rid").agg(F.sort_array(F.collect_list(F.struct(
         F.col("start").cast("int").alias("s"), F.col("end").cast("int").alias("e")))).alias("__spans")) \
-        .withColumnsRenamed({"doc_id": "__d", "rid": "__r"})
-    own = docs.withColumn("__id", F.col("doc_id").cast("long"))
-    own = own.withColumn("__rid", F.xxhash64(F.coalesce("__id", F.lit(-1).cast("long")),
-                                             F.coalesce("text", F.lit(""))))
-    joined = own.join(per, (F.col("__rid") == F.col("__r")) & F.col("__id").eqNullSafe(F.col("__d")), "left")
+        .select(F.coalesce("doc_id", F.lit(NO_ID)).alias("_d"), F.col("rid").alias("_r"), "__spans")
+    joined = whole_rows(docs).join(per, (F.col("key_rid") == F.col("_r")) & (F.col("key_id") == F.col("_d")), "left")
     start = F.struct(F.lit("").alias("out"), F.lit(0).alias("at"))
+    old = F.col("row.text")
 
     def step(a, x):
         fresh = x["s"] >= a["at"]
-        gap = F.substring(F.col("text"), a["at"] + 1, x["s"] - a["at"])
+        gap = F.substring(old, a["at"] + 1, x["s"] - a["at"])
         return F.struct(F.when(fresh, F.concat(a["out"], gap, F.lit(label))).otherwise(a["out"]).alias("out"),
                         F.greatest(a["at"], x["e"]).alias("at"))
 
     cut = F.aggregate("__spans", start, step, lambda a: F.concat(
-        a["out"], F.substring(F.col("text"), a["at"] + 1, F.length("text"))))
-    text = F.when(F.col("__spans").isNotNull(), cut).otherwise(F.col("text"))
-    kept = [F.col(f"`{c}`") for c in docs.columns]
-    out = joined.withColumn("__new", text)
+        a["out"], F.substring(old, a["at"] + 1, F.length(old))))
+    changed = F.col("__spans").isNotNull()
+    out = joined.withColumn("__text", F.when(changed, cut).otherwise(old))
     cols = []
-    for c, k in zip(docs.columns, kept):
+    for c, kind in docs.dtypes:
+        value = F.col("row").getField(c)
         if c == "text":
-            cols.append(F.col("__new").alias("text"))
+            value = F.col("__text")
         elif c == "n_chars":
-            cols.append(F.when(F.col("__spans").isNotNull(), F.length("__new")).otherwise(k)
-                        .cast(dict(docs.dtypes)[c]).alias(c))
-        else:
-            cols.append(k)
+            value = F.when(changed, F.length("__text")).otherwise(value).cast(kind)
+        cols.append(value.alias(c))
     return out.select(*cols)

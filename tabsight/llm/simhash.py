@@ -22,7 +22,7 @@ from itertools import combinations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut_lineage, row_key, text_rows, words_of
+from .common import NO_ID, cut_lineage, row_key, text_rows, whole_rows, words_of
 from .components import components
 
 SHINGLE = 3
@@ -154,11 +154,7 @@ def drop_near_duplicates(docs: DataFrame, shingle: int = SHINGLE, distance: int
     # component_id may be null, and fp then tells such groups apart only by print: fall back on it
     chosen = found.groupBy("component_id", F.when(F.col("component_id").isNull(), F.col("fp"))) \
         .agg(F.min(last).alias("x")) \
-        .select(F.coalesce("x.d", F.lit(-2**63)).alias("_d"), F.col("x.r").alias("_r"))
-    own = docs.withColumns({
-        "__text": F.coalesce(F.col("text"), F.lit("")),
-        "__d": F.coalesce(F.col("doc_id").cast("long"), F.lit(-2**63))})
-    own = own.withColumn("__r", F.xxhash64(F.coalesce(F.col("doc_id").cast("long"), F.lit(-1).cast("long")),
-                                           F.col("__text")))
-    kept = own.join(chosen, (F.col("__d") == F.col("_d")) & (F.col("__r") == F.col("_r")), "left_semi")
-    return kept.dropDuplicates(["__d", "__r"]).select(*[F.col(f"`{c}`") for c in docs.columns])
+        .select(F.coalesce("x.d", F.lit(NO_ID)).alias("_d"), F.col("x.r").alias("_r"))
+    kept = whole_rows(docs).join(chosen, (F.col("key_id") == F.col("_d")) & (F.col("key_rid") == F.col("_r")),
+                                 "left_semi")
+    return kept.dropDuplicates(["key_id", "key_rid"]).select("row.*")

@@ -11,10 +11,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ships
-
-NO_ID = -(2**63)
-
+from .common import NO_ID, ships
 
 def merge(starts, ends) -> list[tuple[int, int]]:
     """Union of ranges as maximal runs (touching ranges become one)."""
