@@ -5,10 +5,11 @@ conditional log-probabilities score a text.
 
 * *Counts.*  Words of the whole corpus are counted; the ``top`` most frequent
   ones are output classes of their own, all others share classes by hash.
-  P(word | class) comes from the same counts (words rarer than one token in
-  ``vocabulary``, so all but at most that many, share their class's remaining
-  mass evenly).
-* *Encoding.*  Each text becomes one byte a token, checkpointed.
+  P(word | class) comes from the same counts, for every word.  Words of at
+  least one token in ``VOCABULARY`` are looked up in the tasks; the rarer ones
+  (none of them a hot key) are joined with the whole table of counts.
+* *Encoding.*  Each text becomes one byte a token and its rarer words,
+  checkpointed.
 * *Training.*  A one-layer network (position-wise context embeddings, tanh,
   softmax over classes) is trained in numpy by rounds of local mini-batch
   steps inside the tasks, over positions of every text, and parameter
@@ -53,9 +54,10 @@ def shared_class(word: bytes, top: int, shared: int) -> int:
 
 
 def vocabulary(counts: DataFrame, size: int = VOCABULARY, top: int = TOP, shared: int = SHARED) -> dict:
-    """Class and log P(word | class) of the frequent words, and what each class
-    leaves to a word beyond them.  At most ``size`` words are collected: no
-    more can make up one token in ``size`` each."""
+    """Class and log P(word | class) of the frequent words, what each class
+    leaves to a word beyond them on average, the tokens of each shared class
+    and the count from which a word is listed.  At most ``size`` words are
+    collected: no more can make up one token in ``size`` each."""
     n_tokens = counts.agg(F.sum("count")).first()[0] or 0
     frequent = counts.filter(F.col("count") * size >= n_tokens).collect()
     frequent.sort(key=lambda r: (-r["count"], r.word.encode()))
@@ -79,32 +81,44 @@ def vocabulary(counts: DataFrame, size: int = VOCABULARY, top: int = TOP, shared
         listed[k] += r["count"]
         types[k] -= 1
     rest = np.maximum(tokens - listed, 0.5) / np.maximum(tokens, 1) / np.maximum(types, 1)
-    return {"words": words, "rest": np.log(rest).tolist(), "top": top, "shared": shared}
+    return {"words": words, "rest": np.log(rest).tolist(), "top": top, "shared": shared,
+            "tokens": tokens.tolist(), "least": -(-n_tokens // size)}
+
+
+def rare_mass(rare: DataFrame, counts: DataFrame, known: dict) -> DataFrame:
+    """``rid, mass``: sum of log P(word | class) over the unlisted words
+    (``rid, word``), each by its own count in the whole table."""
+    tokens = F.array(*[F.lit(float(t)) for t in known["tokens"]])
+    k = F.pmod(F.crc32(F.col("word").cast("binary")), F.lit(known["shared"])).cast("int")
+    own = counts.filter(F.col("count") < known["least"]) \
+        .select(F.col("word").alias("_w"), (F.log(F.col("count")) - F.log(F.get(tokens, k))).alias("_p"))
+    return rare.join(own, F.col("word") == F.col("_w")).groupBy("rid").agg(F.sum("_p").alias("mass"))
 
 
 def _encode(shared_vocabulary):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = shared_vocabulary.value
-        words, rest, top, shared = known["words"], known["rest"], known["top"], known["shared"]
+        words, top, shared = known["words"], known["top"], known["shared"]
         for batch in batches:
             column = batch.column("text")
-            codes, base = [], []
+            codes, base, rare = [], [], []
             for i in range(batch.num_rows):
-                out, mass = bytearray(), 0.0
+                out, mass, others = bytearray(), 0.0, []
                 for w in column[i].as_buffer().to_pybytes().split():
                     got = words.get(w)
                     if got is None:
-                        k = zlib.crc32(w) % shared
-                        out.append(top + k)
-                        mass += rest[k]
+                        out.append(top + zlib.crc32(w) % shared)
+                        others.append(w)
                     else:
                         out.append(got[0])
                         mass += got[1]
                 codes.append(bytes(out))
                 base.append(mass)
+                rare.append(others)
             yield pa.RecordBatch.from_pydict({
                 "doc_id": batch.column("doc_id"), "codes": pa.array(codes, pa.binary()),
-                "base": pa.array(base, pa.float64())})
+                "base": pa.array(base, pa.float64()),
+                "rare": pa.array(rare, pa.list_(pa.binary())).cast(pa.list_(pa.string()))})
     return run
 
 
@@ -229,6 +243,7 @@ def _score(shared_params, classes: int, window: int):
             n = np.bincount(text, minlength=len(rows)) if len(text) else np.zeros(len(rows), dtype=np.int64)
             base = batch.column("base").to_numpy(zero_copy_only=False)[rows]
             yield pa.RecordBatch.from_pydict({
+                "rid": batch.column("rid").slice(rows[0], len(rows)),
                 "doc_id": batch.column("doc_id").slice(rows[0], len(rows)),
                 "n_tokens": pa.array(n, pa.int64()), "log_likelihood": pa.array(total + base, pa.float64())})
     return run
@@ -236,7 +251,8 @@ def _score(shared_params, classes: int, window: int):
 
 def encode(docs: DataFrame, known: dict) -> DataFrame:
     bc = docs.sparkSession.sparkContext.broadcast(known)
-    return text_rows(docs).mapInArrow(_encode(bc), "doc_id long, codes binary, base double")
+    return text_rows(docs).mapInArrow(_encode(bc), "doc_id long, codes binary, base double, rare array<string>") \
+        .withColumn("rid", F.monotonically_increasing_id())
 
 
 def train(encoded: DataFrame, classes: int, rounds: int = ROUNDS, window: int = WINDOW, hidden: int = HIDDEN,
@@ -269,10 +285,15 @@ def pseudo_likelihood(docs: DataFrame, size: int = VOCABULARY, top: int = TOP, s
     if top + shared > 255:
         raise ValueError("at most 255 classes: one byte a token")
     counts = cut_lineage(word_counts(docs))
-    encoded = cut_lineage(encode(docs, vocabulary(counts, size, top, shared)))
-    params = train(encoded, top + shared, rounds, stride=stride)
-    scored = encoded.mapInArrow(_score(docs.sparkSession.sparkContext.broadcast(params), top + shared, WINDOW),
-                                "doc_id long, n_tokens long, log_likelihood double")
+    known = vocabulary(counts, size, top, shared)
+    encoded = cut_lineage(encode(docs, known))
+    rare = rare_mass(encoded.select("rid", F.explode("rare").alias("word")), counts, known)
+    coded = encoded.select("rid", "doc_id", "codes", "base")
+    params = train(coded, top + shared, rounds, stride=stride)
+    scored = coded.mapInArrow(_score(docs.sparkSession.sparkContext.broadcast(params), top + shared, WINDOW),
+                              "rid long, doc_id long, n_tokens long, log_likelihood double")
+    scored = scored.join(rare.withColumnRenamed("rid", "_rid"), F.col("rid") == F.col("_rid"), "left") \
+        .select("doc_id", "n_tokens", (F.col("log_likelihood") + F.coalesce("mass", F.lit(0.0))).alias("log_likelihood"))
     return scored.withColumn("per_token", F.when(F.col("n_tokens") > 0, F.col("log_likelihood") / F.col("n_tokens")))
 
 

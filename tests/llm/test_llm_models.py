@@ -124,6 +124,22 @@ def test_word_probabilities_add_up(spark):
     assert all(v == pytest.approx(1.0) for v in total.values())
 
 
+def test_unlisted_words_keep_their_counts(spark):
+    rows = [(1, "a a a a a a common common"), (2, "a a a a seldom"), (3, "a a a a common"), (4, None), (4, "a common x")]
+    docs = table(spark, rows)
+    counts = lm.word_counts(docs)
+    known = lm.vocabulary(counts, 3, 1, 1)  # only "a" is listed
+    assert set(known["words"]) == {b"a"}
+    words = spark.createDataFrame([(1, "common"), (1, "common"), (2, "seldom")], "rid long, word string")
+    got = {r.rid: r.mass for r in lm.rare_mass(words, counts, known).collect()}
+    assert got == pytest.approx({1: 2 * np.log(4 / 6), 2: np.log(1 / 6)})
+    # a list of words only saves the join: scores don't depend on its length
+    none, every = (sorted((r.doc_id, r.n_tokens, r.log_likelihood) for r in
+                          lm.pseudo_likelihood(docs, size, 1, 1, rounds=0).collect()) for size in (3, 1000))
+    assert [x[:2] for x in none] == [x[:2] for x in every] == [(1, 8), (2, 5), (3, 5), (4, 0), (4, 3)]
+    assert [x[2] for x in none] == pytest.approx([x[2] for x in every])
+
+
 def test_model_edges(spark):
     d = table(spark, brute.EDGE)
     got = lm.pseudo_likelihood(d).collect()
