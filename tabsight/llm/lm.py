@@ -12,8 +12,9 @@ conditional log-probabilities score a text.
   checkpointed.
 * *Training.*  A one-layer network (position-wise context embeddings, tanh,
   softmax over classes) is trained in numpy by rounds of local mini-batch
-  steps inside the tasks, over positions of every text, and parameter
-  averaging across tasks, weighted by examples and combined by Spark.
+  steps inside the tasks and parameter averaging across tasks, weighted by
+  examples and combined by Spark.  The rounds share out the positions of all
+  texts, so that each one trains the network.
 * *Scoring* reads the encoded table once.
 """
 
@@ -37,8 +38,8 @@ SHARED = 16
 WINDOW = 3
 HIDDEN = 24
 ROUNDS = 3
-#: Each round trains on one position in so many, of every text; rounds differ.
-STRIDE = 16
+#: Each round trains on one position in so many; as many rounds use every one.
+STRIDE = ROUNDS
 BATCH = 2048
 RATE = 0.02
 _TOKENS = 1 << 18

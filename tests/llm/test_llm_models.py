@@ -6,6 +6,7 @@ import random
 import sys
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -124,6 +125,31 @@ def test_word_probabilities_add_up(spark):
     assert all(v == pytest.approx(1.0) for v in total.values())
 
 
+def batch_of(texts):
+    return pa.RecordBatch.from_pydict({"codes": pa.array(texts, pa.binary())})
+
+
+def test_every_position_trains(monkeypatch):
+    texts = [bytes([i % 7] * (1 + i % 5)) for i in range(90)]  # all shorter than 16 tokens
+    used = []
+    monkeypatch.setattr(lm, "train_step", lambda params, moments, flat, place, *rest: used.extend(place.tolist()))
+    shared = type("Shared", (), {"value": lm.initial(7)})
+    for r in range(lm.ROUNDS):
+        list(lm._train(shared, r, 7, lm.WINDOW, lm.STRIDE, lm.RATE)(iter([batch_of(texts)])))
+    assert sorted(used) == lm._padded(texts, lm.WINDOW, 7)[1].tolist()
+
+
+def test_learns_order_with_the_production_parameters(spark):
+    rng = np.random.default_rng(3)
+    cycle = [f"c{i}" for i in range(12)]
+    rows = [(i, " ".join(cycle[(i + k) % 12] for k in range(120))) for i in range(600)]
+    rows.append((1000, " ".join(rng.choice(cycle, 120).tolist())))
+    got = {r.doc_id: r for r in lm.pseudo_likelihood(table(spark, rows).coalesce(1)).collect()}
+    known = np.mean([got[i].per_token for i in range(600)])
+    print("known", known, "mixed", got[1000].per_token)
+    assert known > -0.7 and got[1000].per_token < known - 1
+
+
 def test_unlisted_words_keep_their_counts(spark):
     rows = [(1, "a a a a a a common common"), (2, "a a a a seldom"), (3, "a a a a common"), (4, None), (4, "a common x")]
     docs = table(spark, rows)
