@@ -5,13 +5,16 @@ conditional log-probabilities score a text.
 
 * *Counts.*  Words of the whole corpus are counted; the ``top`` most frequent
   ones are output classes of their own, all others share classes by hash.
-  P(word | class) comes from the same counts, for every word.  Words of at
-  least one token in ``VOCABULARY`` are looked up in the tasks; the rarer ones
-  (none of them a hot key) are joined with the whole table of counts.
-* *Encoding.*  Each text becomes one byte a token and its rarer words,
+  Words of at least one token in ``VOCABULARY`` are listed: they are context
+  and targets themselves.  The rarer ones of a class have one code there, and
+  P(word | code) from the corpus counts, by a join with the whole table (none
+  of them is a hot key).
+* *Encoding.*  Each text becomes 16 bits a token and its rarer words,
   checkpointed.
-* *Training.*  A one-layer network (position-wise context embeddings, tanh,
-  softmax over classes) is trained in numpy by rounds of local mini-batch
+* *Training.*  A one-layer network (embeddings of the classes around by
+  position, and of the words around scaled by position; tanh; softmax over
+  classes, then over the codes of the class, which starts at their share of
+  its tokens) is trained in numpy by rounds of local mini-batch
   steps inside the tasks and parameter averaging across tasks, weighted by
   examples and combined by Spark.  The rounds share out the positions of all
   texts, so that each one trains the network.
@@ -21,6 +24,7 @@ conditional log-probabilities score a text.
 from __future__ import annotations
 
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -43,6 +47,8 @@ STRIDE = ROUNDS
 BATCH = 2048
 RATE = 0.02
 _TOKENS = 1 << 18
+#: Parameters travel in parts of so many.
+_PART = 1024
 
 
 def word_counts(docs: DataFrame) -> DataFrame:
@@ -56,8 +62,8 @@ def shared_class(word: bytes, top: int, shared: int) -> int:
 
 def vocabulary(counts: DataFrame, size: int = VOCABULARY, top: int = TOP, shared: int = SHARED) -> dict:
     """Class and log P(word | class) of the frequent words, what each class
-    leaves to a word beyond them on average, the tokens of each shared class
-    and the count from which a word is listed.  At most ``size`` words are
+    leaves to a word beyond them on average, the tokens of each shared class,
+    of its words beyond them, and the count from which a word is listed.  At most ``size`` words are
     collected: no more can make up one token in ``size`` each."""
     n_tokens = counts.agg(F.sum("count")).first()[0] or 0
     frequent = counts.filter(F.col("count") * size >= n_tokens).collect()
@@ -83,43 +89,62 @@ def vocabulary(counts: DataFrame, size: int = VOCABULARY, top: int = TOP, shared
         types[k] -= 1
     rest = np.maximum(tokens - listed, 0.5) / np.maximum(tokens, 1) / np.maximum(types, 1)
     return {"words": words, "rest": np.log(rest).tolist(), "top": top, "shared": shared,
-            "tokens": tokens.tolist(), "least": -(-n_tokens // size)}
+            "tokens": tokens.tolist(), "left": (tokens - listed).tolist(), "least": -(-n_tokens // size)}
+
+
+def layout(known: dict) -> dict:
+    """Codes of the words: the most frequent ones are their class; the codes of
+    a shared class are neighbours, one for its unlisted words and then the
+    listed ones.  With the class and the log share of every code (one more: a
+    place beyond the text) and the bounds of the shared classes."""
+    top, shared = known["top"], known["shared"]
+    codes, members = {}, [[] for _ in range(shared)]
+    for w, (k, p) in known["words"].items():
+        if k < top:
+            codes[w] = k
+        else:
+            members[k - top].append((w, p))
+    classes, prior, bounds = list(range(top)), [0.0] * top, [top]
+    for k in range(shared):
+        classes += [top + k] * (1 + len(members[k]))
+        prior += [float(np.log(max(known["left"][k], 1e-6) / max(known["tokens"][k], 1e-6)))]
+        prior += [p for _, p in members[k]]
+        codes.update((w, bounds[k] + 1 + i) for i, (w, _) in enumerate(members[k]))
+        bounds.append(len(classes))
+    return {"codes": codes, "classes": np.array([*classes, top + shared]), "prior": np.array(prior, np.float32),
+            "bounds": bounds, "top": top, "shared": shared}
 
 
 def rare_mass(rare: DataFrame, counts: DataFrame, known: dict) -> DataFrame:
-    """``rid, mass``: sum of log P(word | class) over the unlisted words
+    """``rid, mass``: sum of log P(word | code) over the unlisted words
     (``rid, word``), each by its own count in the whole table."""
-    tokens = F.array(*[F.lit(float(t)) for t in known["tokens"]])
+    tokens = F.array(*[F.lit(float(t)) for t in known["left"]])
     k = F.pmod(F.crc32(F.col("word").cast("binary")), F.lit(known["shared"])).cast("int")
     own = counts.filter(F.col("count") < known["least"]) \
         .select(F.col("word").alias("_w"), (F.log(F.col("count")) - F.log(F.get(tokens, k))).alias("_p"))
     return rare.join(own, F.col("word") == F.col("_w")).groupBy("rid").agg(F.sum("_p").alias("mass"))
 
 
-def _encode(shared_vocabulary):
+def _encode(shared_layout):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = shared_vocabulary.value
-        words, top, shared = known["words"], known["top"], known["shared"]
+        known = shared_layout.value
+        words, bounds, shared = known["codes"], known["bounds"], known["shared"]
         for batch in batches:
             column = batch.column("text")
-            codes, base, rare = [], [], []
+            codes, rare = [], []
             for i in range(batch.num_rows):
-                out, mass, others = bytearray(), 0.0, []
+                out, others = array("H"), []
                 for w in column[i].as_buffer().to_pybytes().split():
                     got = words.get(w)
                     if got is None:
-                        out.append(top + zlib.crc32(w) % shared)
+                        got = bounds[zlib.crc32(w) % shared]
                         others.append(w)
-                    else:
-                        out.append(got[0])
-                        mass += got[1]
-                codes.append(bytes(out))
-                base.append(mass)
-                rare.append(others)
+                    out.append(got)
+                codes.append(out.tobytes())
+                rare.append(b" ".join(others))
             yield pa.RecordBatch.from_pydict({
                 "doc_id": batch.column("doc_id"), "codes": pa.array(codes, pa.binary()),
-                "base": pa.array(base, pa.float64()),
-                "rare": pa.array(rare, pa.list_(pa.binary())).cast(pa.list_(pa.string()))})
+                "rare": pa.array(rare, pa.binary()).cast(pa.string())})
     return run
 
 
@@ -133,6 +158,14 @@ def initial(classes: int, window: int = WINDOW, hidden: int = HIDDEN, seed: int
             np.zeros(classes, np.float32)]
 
 
+def initial_words(known: dict, window: int = WINDOW, hidden: int = HIDDEN) -> list[np.ndarray]:
+    """``initial`` of the classes, then embeddings of the codes, their scales by
+    position, output weights and output bias of the codes in their class."""
+    n = len(known["prior"])
+    return [*initial(known["top"] + known["shared"], window, hidden), np.zeros((n + 1, hidden), np.float32),
+            np.ones((2 * window, hidden), np.float32), np.zeros((n, hidden), np.float32), known["prior"].copy()]
+
+
 def flatten(params: list[np.ndarray]) -> np.ndarray:
     return np.concatenate([p.ravel() for p in params])
 
@@ -145,12 +178,12 @@ def shaped(flat: np.ndarray, like: list[np.ndarray]) -> list[np.ndarray]:
     return out
 
 
-def _padded(codes: list[bytes], window: int, classes: int):
-    """Codes of several texts in one array, ``window`` paddings before each and
-    after the last; the place of every token and its text."""
-    size = np.array([len(c) for c in codes], dtype=np.int64)
-    pad = bytes([classes]) * window
-    flat = np.frombuffer(pad + pad.join(codes) + pad, dtype=np.uint8).astype(np.int64)
+def _padded(codes: list[bytes], window: int, beyond: int, kind=np.uint8):
+    """Codes of several texts in one array, ``window`` paddings (``beyond``)
+    before each and after the last; the place of every token and its text."""
+    size = np.array([len(c) for c in codes], dtype=np.int64) // np.dtype(kind).itemsize
+    pad = np.full(window, beyond, kind).tobytes()
+    flat = np.frombuffer(pad + pad.join(codes) + pad, dtype=kind).astype(np.int64)
     begin = np.cumsum(size + window) - size
     text = np.repeat(np.arange(len(codes)), size)
     place = np.arange(len(text)) - np.repeat(np.cumsum(size) - size, size) + begin[text]
@@ -166,111 +199,193 @@ def _hidden(params, flat, place, window):
     return np.tanh(z, out=z)
 
 
-def log_probability(params, flat, place, window: int = WINDOW) -> np.ndarray:
-    """log P(class of each token | tokens around it)."""
-    h = _hidden(params, flat, place, window)
+def folded(params: list[np.ndarray], known: dict) -> list[np.ndarray]:
+    """The same network with one embedding for every position and code."""
+    e, b1, w2, b2, words, scale, u, c = params
+    return [e[:, known["classes"]] + scale[:, None] * words, b1, w2, b2, u, c]
+
+
+def _by_class(target: np.ndarray, known: dict):
+    """Rows whose target has codes of its class beside it, by class, with the
+    bounds of the codes."""
+    order = np.argsort(target, kind="stable")
+    at = np.searchsorted(target[order], known["bounds"])
+    for k in range(known["shared"]):
+        if at[k] < at[k + 1]:
+            yield order[at[k]:at[k + 1]], known["bounds"][k], known["bounds"][k + 1]
+
+
+def log_probability(params, flat, place, window: int = WINDOW, known: dict | None = None) -> np.ndarray:
+    """log P(class of each token | tokens around it); with a layout (and
+    ``folded`` parameters), of the code of each token."""
+    h = _hidden(params[:4], flat, place, window)
     logits = h @ params[2] + params[3]
     logits -= logits.max(axis=1, keepdims=True)
-    mine = logits[np.arange(len(place)), flat[place]]
-    return (mine - np.log(np.exp(logits).sum(axis=1))).astype(np.float64)
+    target = flat[place]
+    mine = logits[np.arange(len(place)), target if known is None else known["classes"][target]]
+    out = (mine - np.log(np.exp(logits).sum(axis=1))).astype(np.float64)
+    if known is not None:
+        u, c = params[4:]
+        for rows, a, b in _by_class(target, known):
+            logits = h[rows] @ u[a:b].T + c[a:b]
+            logits -= logits.max(axis=1, keepdims=True)
+            out[rows] += logits[np.arange(len(rows)), target[rows] - a] - np.log(np.exp(logits).sum(axis=1))
+    return out
 
 
-def train_step(params, moments, flat, place, window: int, rate: float) -> None:
+def _sums(index: np.ndarray, values: np.ndarray):
+    """Distinct numbers in ``index`` and the sums of their rows of ``values``."""
+    order = np.argsort(index.astype(np.uint16), kind="stable")
+    ordered = index[order]
+    begin = np.flatnonzero(np.diff(ordered, prepend=-1))
+    return ordered[begin], np.add.reduceat(values[order], begin, axis=0)
+
+
+def train_step(params, moments, flat, place, window: int, rate: float, known: dict | None = None) -> None:
     """One AdaGrad step on the mean log-loss of the given tokens (in place)."""
-    e, b1, w2, b2 = params
+    e, b1, w2, b2 = params[:4]
     n = len(place)
-    h = _hidden(params, flat, place, window)
+    offsets = [o for o in range(-window, window + 1) if o]
+    around = flat if known is None else known["classes"][flat]
+    if known is None:
+        h = _hidden(params, flat, place, window)
+    else:
+        words, scale, u, c = params[4:]
+        near = np.stack([flat[place + o] for o in offsets])
+        seen = words[near]
+        z = np.einsum("knh,kh->nh", seen, scale) + b1
+        for k, o in enumerate(offsets):
+            z += e[k][around[place + o]]
+        h = np.tanh(z, out=z)
     p = h @ w2 + b2
     p = np.exp(p - p.max(axis=1, keepdims=True))
     p /= p.sum(axis=1, keepdims=True)
-    p[np.arange(n), flat[place]] -= 1.0
+    p[np.arange(n), around[place]] -= 1.0
     p /= n
-    dz = (p @ w2.T) * (1.0 - h * h)
-    offsets = [o for o in range(-window, window + 1) if o]
+    dh = p @ w2.T
+    grads = []
+    if known is not None:
+        target = flat[place]
+        du, dc = np.zeros_like(u), np.zeros_like(c)
+        for rows, a, b in _by_class(target, known):
+            q = h[rows] @ u[a:b].T + c[a:b]
+            q = np.exp(q - q.max(axis=1, keepdims=True))
+            q /= q.sum(axis=1, keepdims=True)
+            q[np.arange(len(rows)), target[rows] - a] -= 1.0
+            q /= n
+            dh[rows] += q @ u[a:b]
+            du[a:b], dc[a:b] = q.T @ h[rows], q.sum(axis=0)
+    dz = dh * (1.0 - h * h)
+    if known is not None:
+        codes, g = _sums(near.ravel(), (dz * scale[:, None]).reshape(-1, dz.shape[1]))
+        m = moments[4][codes] + g * g
+        grads = [np.einsum("knh,nh->kh", seen, dz), du, dc]
+        moments[4][codes] = m
+        words[codes] -= rate * g / (np.sqrt(m) + 1e-6)
     de = np.zeros_like(e)
     for k, o in enumerate(offsets):
         one_hot = np.zeros((n, e.shape[1]), np.float32)
-        one_hot[np.arange(n), flat[place + o]] = 1.0
+        one_hot[np.arange(n), around[place + o]] = 1.0
         de[k] = one_hot.T @ dz
-    for value, m, g in zip(params, moments, (de, dz.sum(axis=0), h.T @ p, p.sum(axis=0))):
+    grads = [de, dz.sum(axis=0), h.T @ p, p.sum(axis=0), *grads]
+    for value, m, g in zip(params[:4] + params[5:], moments[:4] + moments[5:], grads):
         m += g * g
         value -= rate * g / (np.sqrt(m) + 1e-6)
 
 
-def _groups(batches, window: int, classes: int):
+def _groups(batches, window: int, beyond: int, kind=np.uint8):
     for batch in batches:
         column = batch.column("codes")
         rows, held, size = [], [], 0
         for i in range(batch.num_rows):
             c = column[i].as_buffer().to_pybytes()
-            if held and size + len(c) > _TOKENS:
-                yield batch, rows, *_padded(held, window, classes)
+            if held and size + len(c) > _TOKENS * np.dtype(kind).itemsize:
+                yield batch, rows, *_padded(held, window, beyond, kind)
                 rows, held, size = [], [], 0
             rows.append(i)
             held.append(c)
             size += len(c)
         if held:
-            yield batch, rows, *_padded(held, window, classes)
+            yield batch, rows, *_padded(held, window, beyond, kind)
 
 
-def _train(shared_params, round_number: int, classes: int, window: int, stride: int, rate: float):
+def _train(shared_params, round_number: int, classes: int, window: int, stride: int, rate: float, shared_layout=None):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         params = [p.copy() for p in shared_params.value]
         moments = [np.full_like(p, 1e-6) for p in params]
+        known, beyond, kind = None, classes, np.uint8
+        if shared_layout is not None:
+            known = shared_layout.value
+            beyond, kind = len(known["prior"]), np.uint16
         seen = 0
-        for _, _, flat, place, _ in _groups(batches, window, classes):
+        for _, _, flat, place, _ in _groups(batches, window, beyond, kind):
             mine = place[round_number % stride::stride]
             order = np.random.default_rng(round_number + seen).permutation(len(mine))
             for a in range(0, len(mine), BATCH):
-                train_step(params, moments, flat, mine[order[a:a + BATCH]], window, rate)
+                train_step(params, moments, flat, mine[order[a:a + BATCH]], window, rate, known)
             seen += len(mine)
         if seen:
-            flat_params = flatten(params).astype(np.float64) * seen
+            flat_params = flatten(params).astype(np.float32)
+            parts = [flat_params[a:a + _PART].tobytes() for a in range(0, len(flat_params), _PART)]
             yield pa.RecordBatch.from_pydict({
-                "i": pa.array(np.arange(len(flat_params)), pa.int32()), "v": pa.array(flat_params),
-                "n": pa.array(np.full(len(flat_params), seen), pa.int64())})
+                "i": pa.array(np.arange(len(parts)), pa.int32()), "v": pa.array(parts, pa.binary()),
+                "n": pa.array(np.full(len(parts), seen), pa.int64())})
     return run
 
 
-def _score(shared_params, classes: int, window: int):
+def _averaged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Means of the parts of the parameters, weighted by examples."""
+    total: dict[int, np.ndarray] = {}
+    weight: dict[int, int] = {}
+    for batch in batches:
+        for i, v, n in zip(*[batch.column(c).to_pylist() for c in ("i", "v", "n")]):
+            total[i] = total.get(i, 0.0) + np.frombuffer(v, np.float32).astype(np.float64) * n
+            weight[i] = weight.get(i, 0) + n
+    if total:
+        yield pa.RecordBatch.from_pydict({
+            "i": pa.array(list(total), pa.int32()),
+            "v": pa.array([(total[i] / weight[i]).astype(np.float32).tobytes() for i in total], pa.binary())})
+
+
+def _score(shared_params, shared_layout, window: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        params = shared_params.value
-        for batch, rows, flat, place, text in _groups(batches, window, classes):
+        known = shared_layout.value
+        params = folded(shared_params.value, known)
+        for batch, rows, flat, place, text in _groups(batches, window, len(known["prior"]), np.uint16):
             total = np.zeros(len(rows))
             for a in range(0, len(place), 1 << 15):
                 part = place[a:a + (1 << 15)]
-                total += np.bincount(text[a:a + (1 << 15)], weights=log_probability(params, flat, part, window),
-                                     minlength=len(rows))
+                total += np.bincount(text[a:a + (1 << 15)], minlength=len(rows),
+                                     weights=log_probability(params, flat, part, window, known))
             n = np.bincount(text, minlength=len(rows)) if len(text) else np.zeros(len(rows), dtype=np.int64)
-            base = batch.column("base").to_numpy(zero_copy_only=False)[rows]
             yield pa.RecordBatch.from_pydict({
                 "rid": batch.column("rid").slice(rows[0], len(rows)),
                 "doc_id": batch.column("doc_id").slice(rows[0], len(rows)),
-                "n_tokens": pa.array(n, pa.int64()), "log_likelihood": pa.array(total + base, pa.float64())})
+                "n_tokens": pa.array(n, pa.int64()), "log_likelihood": pa.array(total, pa.float64())})
     return run
 
 
-def encode(docs: DataFrame, known: dict) -> DataFrame:
-    bc = docs.sparkSession.sparkContext.broadcast(known)
-    return text_rows(docs).mapInArrow(_encode(bc), "doc_id long, codes binary, base double, rare array<string>") \
+def encode(docs: DataFrame, shared_layout) -> DataFrame:
+    return text_rows(docs).mapInArrow(_encode(shared_layout), "doc_id long, codes binary, rare string") \
         .withColumn("rid", F.monotonically_increasing_id())
 
 
-def train(encoded: DataFrame, classes: int, rounds: int = ROUNDS, window: int = WINDOW, hidden: int = HIDDEN,
+def train(encoded: DataFrame, shared_layout, rounds: int = ROUNDS, window: int = WINDOW, hidden: int = HIDDEN,
           stride: int = STRIDE, rate: float = RATE) -> list[np.ndarray]:
     """Parameters after ``rounds`` of local steps and averaging.  The driver
-    receives one averaged value for each parameter."""
+    receives the averaged parameters, 4 bytes each."""
     sc = encoded.sparkSession.sparkContext
-    params = initial(classes, window, hidden)
+    known = shared_layout.value
+    classes = known["top"] + known["shared"]
+    params = initial_words(known, window, hidden)
     for r in range(rounds):
-        rows = encoded.mapInArrow(_train(sc.broadcast(params), r, classes, window, stride, rate),
-                                  "i int, v double, n long") \
-            .groupBy("i").agg((F.sum("v") / F.sum("n")).alias("v")).collect()
+        rows = encoded.mapInArrow(_train(sc.broadcast(params), r, classes, window, stride, rate, shared_layout),
+                                  "i int, v binary, n long") \
+            .repartition("i").mapInArrow(_averaged, "i int, v binary").collect()
         if not rows:
             break
-        flat = np.zeros(sum(p.size for p in params))
-        flat[[x.i for x in rows]] = [x.v for x in rows]
-        params = shaped(flat, params)
+        rows.sort(key=lambda x: x.i)
+        params = shaped(np.concatenate([np.frombuffer(x.v, np.float32) for x in rows]), params)
     return params
 
 
@@ -283,15 +398,18 @@ def pseudo_likelihood(docs: DataFrame, size: int = VOCABULARY, top: int = TOP, s
     repeated row counts again in the corpus).  An empty table gives an empty
     result; other columns are ignored.
     """
-    if top + shared > 255:
-        raise ValueError("at most 255 classes: one byte a token")
+    if size + top + shared >= 1 << 16:
+        raise ValueError("listed words and classes must fit 16 bits")
+    sc = docs.sparkSession.sparkContext
     counts = cut_lineage(word_counts(docs))
     known = vocabulary(counts, size, top, shared)
-    encoded = cut_lineage(encode(docs, known))
-    rare = rare_mass(encoded.select("rid", F.explode("rare").alias("word")), counts, known)
-    coded = encoded.select("rid", "doc_id", "codes", "base")
-    params = train(coded, top + shared, rounds, stride=stride)
-    scored = coded.mapInArrow(_score(docs.sparkSession.sparkContext.broadcast(params), top + shared, WINDOW),
+    shared_layout = sc.broadcast(layout(known))
+    encoded = cut_lineage(encode(docs, shared_layout))
+    rare = rare_mass(encoded.filter("rare != ''").select("rid", F.explode(F.split("rare", " ")).alias("word")),
+                     counts, known)
+    coded = encoded.select("rid", "doc_id", "codes")
+    params = train(coded, shared_layout, rounds, stride=stride)
+    scored = coded.mapInArrow(_score(sc.broadcast(params), shared_layout, WINDOW),
                               "rid long, doc_id long, n_tokens long, log_likelihood double")
     scored = scored.join(rare.withColumnRenamed("rid", "_rid"), F.col("rid") == F.col("_rid"), "left") \
         .select("doc_id", "n_tokens", (F.col("log_likelihood") + F.coalesce("mass", F.lit(0.0))).alias("log_likelihood"))

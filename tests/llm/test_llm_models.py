@@ -150,6 +150,48 @@ def test_learns_order_with_the_production_parameters(spark):
     assert known > -0.7 and got[1000].per_token < known - 1
 
 
+def test_word_network_gradient_and_total():
+    known = lm.layout({"words": {b"a": (0, 0.0), b"b": (1, np.log(0.5)), b"c": (1, np.log(0.2)), b"d": (2, np.log(0.9))},
+                       "top": 1, "shared": 2, "tokens": [10.0, 10.0], "left": [3.0, 1.0]})
+    assert known["codes"] == {b"a": 0, b"b": 2, b"c": 3, b"d": 5} and known["bounds"] == [1, 4, 6]
+    r = np.random.default_rng(1)
+    params = [p + r.standard_normal(p.shape) * 0.3 for p in lm.initial_words(known, 2, 4)]
+    texts = [np.array(t, np.uint16).tobytes() for t in ([0, 2, 3, 5, 4, 1, 0], [3, 3, 5])]
+    flat, place, _ = lm._padded(texts, 2, 6, np.uint16)
+    loss = lambda ps: -lm.log_probability(lm.folded(ps, known), flat, place, 2, known).mean()
+    moments = [np.full_like(p, 1e-6) for p in params]
+    before = [m.copy() for m in moments]
+    lm.train_step([p.copy() for p in params], moments, flat, place, 2, 0.0, known)
+    for k, p in enumerate(params):
+        g2 = (moments[k] - before[k]).ravel()
+        for i in r.choice(p.size, min(p.size, 6), replace=False):
+            up, down = [x.copy() for x in params], [x.copy() for x in params]
+            up[k].ravel()[i] += 1e-5
+            down[k].ravel()[i] -= 1e-5
+            slope = (loss(up) - loss(down)) / 2e-5
+            assert slope * slope == pytest.approx(g2[i], rel=1e-2, abs=1e-10)
+    # the codes at one place have the probability 1 together
+    every = []
+    for code in range(6):
+        other = flat.copy()
+        other[place[2]] = code
+        every.append(lm.log_probability(lm.folded(params, known), other, place[2:3], 2, known)[0])
+    assert np.exp(every).sum() == pytest.approx(1.0)
+
+
+def test_words_of_one_class_are_told_apart(spark):
+    cycle = [f"w{i:03}" for i in range(200)]  # the first 48 are classes of their own
+    rows = [(i, " ".join(cycle[(7 * i + k) % 200] for k in range(200))) for i in range(1200)]
+    swap = {}
+    for k in range(lm.SHARED):
+        same = [w for w in cycle[lm.TOP:] if lm.shared_class(w.encode(), 0, lm.SHARED) == k]
+        swap.update(zip(same, same[1:] + same[:1]))
+    rows.append((5000, " ".join(swap.get(w, w) for w in cycle)))  # the same classes in the same order
+    got = {r.doc_id: r.per_token for r in lm.pseudo_likelihood(table(spark, rows).coalesce(1)).collect()}
+    print("known", got[0], "swapped", got[5000])
+    assert got[5000] < got[0] - 1
+
+
 def test_unlisted_words_keep_their_counts(spark):
     rows = [(1, "a a a a a a common common"), (2, "a a a a seldom"), (3, "a a a a common"), (4, None), (4, "a common x")]
     docs = table(spark, rows)
