@@ -112,9 +112,10 @@ def links(prints: DataFrame, distance: int = DISTANCE, segments: int = SEGMENTS)
 
 def groups(docs: DataFrame, shingle: int = SHINGLE, distance: int = DISTANCE,
            segments: int = SEGMENTS) -> DataFrame:
-    """``doc_id, rid, fp, component_id, in_group`` for every row of ``docs``.
+    """``doc_id, rid, fp, root, component_id, in_group`` for every row of ``docs``.
 
-    ``component_id`` is the smallest id reachable over links.  Texts without
+    ``root`` is a fingerprint that tells the component from all others,
+    ``component_id`` the smallest id reachable over links.  Texts without
     words (null and empty ones too) have fingerprint zero and link like any
     other.  Rows with a null id are grouped by their text but never name a
     group (a group of only such rows has a null id).  Repeated rows are equal
@@ -129,9 +130,9 @@ def groups(docs: DataFrame, shingle: int = SHINGLE, distance: int = DISTANCE,
                                        F.sum("rows").alias("in_group")) \
         .withColumnRenamed("root", "_root")
     of_print = placed.join(names, F.col("root") == F.col("_root")) \
-        .select(F.col("fp").alias("_fp"), "component_id", "in_group")
+        .select(F.col("fp").alias("_fp"), "root", "component_id", "in_group")
     return prints.join(of_print, F.col("fp") == F.col("_fp")) \
-        .select("doc_id", "rid", "fp", "component_id", "in_group")
+        .select("doc_id", "rid", "fp", "root", "component_id", "in_group")
 
 
 def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, distance: int = DISTANCE,
@@ -151,9 +152,8 @@ def drop_near_duplicates(docs: DataFrame, shingle: int = SHINGLE, distance: int
     """
     found = groups(docs, shingle, distance, segments)
     last = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("d"), F.col("rid").alias("r"))
-    # component_id may be null, and fp then tells such groups apart only by print: fall back on it
-    chosen = found.groupBy("component_id", F.when(F.col("component_id").isNull(), F.col("fp"))) \
-        .agg(F.min(last).alias("x")) \
+    # component_id may be null, and an id given twice may name two components
+    chosen = found.groupBy("root").agg(F.min(last).alias("x")) \
         .select(F.coalesce("x.d", F.lit(NO_ID)).alias("_d"), F.col("x.r").alias("_r"))
     kept = whole_rows(docs).join(chosen, (F.col("key_id") == F.col("_d")) & (F.col("key_rid") == F.col("_r")),
                                  "left_semi")

@@ -1,6 +1,7 @@
 """Repeated passages, repeated windows and near-duplicates against brute force."""
 
 import os
+import random
 import sys
 
 import numpy as np
@@ -135,3 +136,11 @@ def test_one_of_each_group_stays(spark):
     ids = [r.doc_id for r in kept.collect()]
     named = {g[2] for g in groups if g[2] is not None}
     assert sorted(i for i in ids if i is not None) == sorted(named)
+
+
+def test_an_id_given_twice_does_not_merge_groups(spark):
+    r = random.Random(11)
+    a, b = (" ".join("".join(r.choice("abcdefghij") for _ in range(7)) for _ in range(80)) for _ in range(2))
+    docs = spark.createDataFrame([(1, a), (1, b), (2, a), (3, b)], "doc_id long, text string")
+    got = simhash.drop_near_duplicates(docs).collect()
+    assert sorted((x.doc_id, x.text) for x in got) == sorted([(1, a), (1, b)])
