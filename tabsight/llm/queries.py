@@ -11,8 +11,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import (decontaminate, lm, mixing, quality, secrets, simhash, substring_dedup, suffix_dedup,
-               toxicity, urls)
+from . import (decontaminate, langid, lm, mixing, phrases, quality, secrets, simhash, substring_dedup, suffix_dedup,
+               toxicity, urls, vector_codes)
 from .common import read_table
 
 #: Hosts whose pages make up the listed URLs of op6.
@@ -65,6 +65,19 @@ def op10_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm.pseudo_likelihood(read_table(spark, sf_dir, "documents"))
 
 
+def op11_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.collocations(read_table(spark, sf_dir, "documents"))
+
+
+def op12_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_codes.compress(read_table(spark, sf_dir, "embeddings"))
+
+
+def op13_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents")
+    return langid.identify(docs, *langid.train(docs))
+
+
 OP3_SQL = """
 with d as (select doc_id, hex(encode(coalesce(text, ''))) as h from documents),
 s as (select doc_id, h, length(h) // 2 as n from d),
@@ -124,6 +137,57 @@ select c.page_id, c.host, c.path, fit.rule,
 from c left join fit using (page_id) left join spam on c.canonical = spam.canonical
 """
 
+OP11_SQL = r"""
+with d as (select coalesce(lang, 'und') as lang,
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as t from documents),
+p as (select lang, unnest(regexp_split_to_array(t, '[.,;:!?\x0A-\x0D]')) as piece from d),
+x as (select lang, list_filter(regexp_split_to_array(piece, '[\x20\x09]+'), lambda w: w <> '') as w from p),
+g as (select lang, s, unnest(list_transform(range(1, len(w) - s + 2), lambda i: array_to_string(w[i:i + s - 1], ' ')))
+        as phrase from x, unnest([1, 2, 3]) as u(s) where len(w) >= s),
+c as (select lang, s, phrase, count(*) as a from g group by all),
+total as (select lang, sum(a)::bigint as n from c where s = 1 group by lang),
+cand as (select lang, s, phrase, a, string_split(phrase, ' ') as w from c where s >= 2 and a >= 10),
+cut as (select lang, s, phrase, a, k, array_to_string(w[1:k], ' ') as first, array_to_string(w[k + 1:], ' ') as rest
+        from (select *, unnest(range(1, s)) as k from cand)),
+scored as (select cut.*, l.a as l, r.a as r, (1000000::hugeint * cut.a * cut.a) // (l.a::hugeint * r.a) as score
+        from cut join c l on l.lang = cut.lang and l.phrase = first join c r on r.lang = cut.lang and r.phrase = rest),
+best as (select * from scored qualify row_number() over (partition by lang, phrase order by score, k) = 1),
+inside as (select lang, phrase, max(a) as most from (
+        select lang, a, unnest([array_to_string(w[1:2], ' '), array_to_string(w[2:3], ' ')]) as phrase
+        from cand where s = 3) group by all),
+kept as (select best.* from best left join inside using (lang, phrase)
+        where best.s = 3 or most is null or 100 * most < 50 * best.a),
+ranked as (select *, row_number() over (partition by lang order by score desc, a desc, encode(phrase)) as rank from kept)
+select lang, rank, phrase, a, l, r, n, score::bigint as score from ranked join total using (lang) where rank <= 2000
+"""
+
+
+def _op12_sql(parts: int = 8, entries: int = 16, rounds: int = 6) -> str:
+    steps = [f"""x as materialized (select vec_id, label, list_transform(embedding, lambda e: floor(4096 * e::double)::bigint) as v
+      from embeddings where embedding is not null and len(list_filter(embedding, lambda e: e is null or not isfinite(e))) = 0),
+    y as materialized (select vec_id, (j - 1) // (n // {parts}) as part, (j - 1) % (n // {parts}) as i, z from
+      (select vec_id, len(v) as n, unnest(v) as z, unnest(range(1, len(v) + 1)) as j from x)),
+    b0 as materialized (select part, k, i, z from y join
+      (select vec_id, row_number() over (order by vec_id) - 1 as k from x order by vec_id limit {entries}) using (vec_id))"""]
+    near = """select vec_id, part, (min(d * {e} + k) % {e})::bigint as k, min(d)::bigint as d from
+      (select y.vec_id, y.part, b.k, sum((y.z - b.z) * (y.z - b.z)) as d from y join b{r} b using (part, i)
+       group by all) group by all"""
+    for r in range(rounds + 1):
+        steps.append(f"a{r} as materialized ({near.format(e=entries, r=r)})")
+        if r < rounds:
+            steps.append(f"""b{r + 1} as materialized (select part, k, i, coalesce(m.z, b.z) as z from b{r} b left join
+      (select part, k, i, floor(sum(y.z) / count(*))::bigint as z from y join a{r} using (vec_id, part) group by all) m
+      using (part, k, i))""")
+    return f"""with {", ".join(steps)},
+    coded as (select vec_id, string_agg(printf('%02x', k), '' order by part) as code, sum(d)::bigint as error
+      from a{rounds} group by vec_id)
+    select vec_id, code, error, (sum(error) over (partition by label))::bigint as label_error,
+      (select sha256(string_agg(z::varchar, ',' order by part, k, i)) from b{rounds}) as codebooks_sha256
+    from coded join x using (vec_id)"""
+
+
+OP12_SQL = _op12_sql()
+
 QUERIES: list[tuple[str, Callable[[SparkSession, str], DataFrame], str | None]] = [
     ("op1_toxicity", op1_toxicity, None),
     ("op2_mixing", op2_mixing, None),
@@ -135,4 +199,7 @@ QUERIES: list[tuple[str, Callable[[SparkSession, str], DataFrame], str | None]]
     ("op8_decontamination", op8_decontamination, None),
     ("op9_simhash", op9_simhash, None),
     ("op10_lm", op10_lm, None),
+    ("op11_phrases", op11_phrases, OP11_SQL),
+    ("op12_vector_codes", op12_vector_codes, OP12_SQL),
+    ("op13_language_id", op13_language_id, None),
 ]
