@@ -3,21 +3,25 @@
 Every token is predicted from ``window`` tokens on each side; the summed
 conditional log-probabilities score a text.
 
-* *Counts.*  Words of the whole corpus are counted; the ``top`` most frequent
-  ones are output classes of their own, all others share classes by hash.
-  Words of at least one token in ``VOCABULARY`` are listed: they are context
-  and targets themselves.  The rarer ones of a class have one code there, and
-  P(word | code) from the corpus counts, by a join with the whole table (none
-  of them is a hot key).
-* *Encoding.*  Each text becomes 16 bits a token and its rarer words,
-  checkpointed.
+* *Counts.*  Words of the whole corpus are counted.  Every code of the network
+  stands for about one token in ``VOCABULARY`` or more: a word that frequent
+  has a code of its own, rarer words share buckets by hash, as many as their
+  share of the tokens asks for.  The ``top`` most frequent words are output
+  classes of their own; the other codes are dealt to about as many classes as
+  a class has codes.  So every word is context and target; inside its bucket a
+  rare word takes its share of the bucket's tokens, by its own corpus count.
+* *Encoding.*  Each text becomes 16 bits a token; the rarer words of a chunk of
+  texts go to hash partitions as packed 64-bit hashes, where all their
+  occurrences meet and are counted.
 * *Training.*  A one-layer network (embeddings of the classes around by
   position, and of the words around scaled by position; tanh; softmax over
   classes, then over the codes of the class, which starts at their share of
-  its tokens) is trained in numpy by rounds of local mini-batch
-  steps inside the tasks and parameter averaging across tasks, weighted by
-  examples and combined by Spark.  The rounds share out the positions of all
-  texts, so that each one trains the network.
+  its tokens) is trained in numpy.  Texts are dealt by hash to shards of about
+  ``SHARD_TOKENS``; every round trains each shard from the same parameters in
+  the order of its hashes and averages parameters and step sizes over the
+  shards, weighted by examples.  Shards depend on the rows alone, so neither
+  partitions nor row order change a score.  The rounds share out the positions
+  of all texts, so that each one trains the network.
 * *Scoring* reads the encoded table once.
 """
 
@@ -29,26 +33,34 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.taskcontext import TaskContext
 
+from . import bytesops as B
 from .common import cut_lineage, ships, text_rows, words_of
 
-#: Words with at least one token in so many are listed; they are no more than
-#: that, whatever the corpus.
-VOCABULARY = 50_000
+#: A code stands for at least about one token in so many.
+VOCABULARY = 16_384
 TOP = 48
+#: Least number of classes of the other codes.
 SHARED = 16
 WINDOW = 3
-HIDDEN = 24
+HIDDEN = 16
 ROUNDS = 3
 #: Each round trains on one position in so many; as many rounds use every one.
 STRIDE = ROUNDS
-BATCH = 2048
-RATE = 0.02
+#: Tokens of a step; at least ``STEPS`` steps a round where a shard allows it.
+BATCH = 8192
+STEPS = 16
+RATE = 0.08
+SHARD_TOKENS = 8 << 20
 _TOKENS = 1 << 18
 #: Parameters travel in parts of so many.
 _PART = 1024
+#: Tokens behind one hash partition of the rarer words.
+_PART_TOKENS = 1 << 20
 
 
 def word_counts(docs: DataFrame) -> DataFrame:
@@ -60,94 +72,220 @@ def shared_class(word: bytes, top: int, shared: int) -> int:
     return top + zlib.crc32(word) % shared
 
 
-def vocabulary(counts: DataFrame, size: int = VOCABULARY, top: int = TOP, shared: int = SHARED) -> dict:
-    """Class and log P(word | class) of the frequent words, what each class
-    leaves to a word beyond them on average, the tokens of each shared class,
-    of its words beyond them, and the count from which a word is listed.  At most ``size`` words are
+def vocabulary(counts: DataFrame, size: int = VOCABULARY, top: int = TOP, shared: int | None = None) -> dict:
+    """Class and log P(word | class) of the frequent words, the tokens of each
+    shared class and of its buckets of rarer words, and the count from which a
+    word is listed.  At most ``size`` words and about as many buckets are
     collected: no more can make up one token in ``size`` each."""
     n_tokens = counts.agg(F.sum("count")).first()[0] or 0
-    frequent = counts.filter(F.col("count") * size >= n_tokens).collect()
+    listed = F.col("count") * size >= n_tokens
+    frequent = counts.filter(listed).collect()
     frequent.sort(key=lambda r: (-r["count"], r.word.encode()))
-    total = counts.withColumn("k", F.pmod(F.crc32(F.col("word").cast("binary")), F.lit(shared)).cast("int")) \
-        .groupBy("k").agg(F.sum("count").alias("tokens"), F.count("*").alias("types")).collect()
-    tokens, types = np.zeros(shared), np.zeros(shared)
-    for r in total:
-        tokens[r.k], types[r.k] = r.tokens, r.types
-    words, listed = {}, np.zeros(shared)
-    for i, r in enumerate(frequent):  # the most frequent ones leave their shared class
-        raw = r.word.encode()
-        k = shared_class(raw, 0, shared)
-        if i < top:
-            words[raw] = (i, 0.0)
-            tokens[k] -= r["count"]
-            types[k] -= 1
+    rare = n_tokens - sum(r["count"] for r in frequent)
+    wanted = -(-rare * size // max(n_tokens, 1))
+    if shared is None:
+        shared = max(SHARED, round((max(len(frequent) - top, 0) + wanted) ** 0.5))
+    buckets = max(1, -(-wanted // shared))
+    crc = F.crc32(F.col("word").cast("binary"))
+    left = np.zeros((shared, buckets))
+    for r in counts.filter(~listed).groupBy(F.pmod(crc, F.lit(shared)).alias("k"),
+                                            F.pmod(F.floor(crc / shared), F.lit(buckets)).alias("b")) \
+            .agg(F.sum("count").alias("n")).collect():
+        left[r.k, r.b] = r.n
+    tokens = left.sum(axis=1)
     for r in frequent[top:]:
+        tokens[shared_class(r.word.encode(), 0, shared)] += r["count"]
+    words = {}
+    for i, r in enumerate(frequent):
         raw = r.word.encode()
         k = shared_class(raw, 0, shared)
-        words[raw] = (top + k, float(np.log(r["count"] / tokens[k])))
-        listed[k] += r["count"]
-        types[k] -= 1
-    rest = np.maximum(tokens - listed, 0.5) / np.maximum(tokens, 1) / np.maximum(types, 1)
-    return {"words": words, "rest": np.log(rest).tolist(), "top": top, "shared": shared,
-            "tokens": tokens.tolist(), "left": (tokens - listed).tolist(), "least": -(-n_tokens // size)}
+        words[raw] = (i, 0.0) if i < top else (top + k, float(np.log(r["count"] / tokens[k])))
+    return {"words": words, "top": top, "shared": shared, "tokens": tokens.tolist(), "left": left.tolist(),
+            "least": -(-n_tokens // size), "n_tokens": n_tokens}
 
 
 def layout(known: dict) -> dict:
     """Codes of the words: the most frequent ones are their class; the codes of
-    a shared class are neighbours, one for its unlisted words and then the
-    listed ones.  With the class and the log share of every code (one more: a
-    place beyond the text) and the bounds of the shared classes."""
+    a shared class are neighbours, first its buckets of unlisted words and then
+    the listed ones.  With the class and the log share of every code (one more:
+    a place beyond the text), the log of the tokens of a bucket (0 for other
+    codes) and the bounds of the shared classes."""
     top, shared = known["top"], known["shared"]
+    left = np.reshape(known["left"], (shared, -1))
+    buckets = left.shape[1]
     codes, members = {}, [[] for _ in range(shared)]
     for w, (k, p) in known["words"].items():
         if k < top:
             codes[w] = k
         else:
             members[k - top].append((w, p))
-    classes, prior, bounds = list(range(top)), [0.0] * top, [top]
+    classes, prior, mass, bounds = list(range(top)), [0.0] * top, [0.0] * top, [top]
     for k in range(shared):
-        classes += [top + k] * (1 + len(members[k]))
-        prior += [float(np.log(max(known["left"][k], 1e-6) / max(known["tokens"][k], 1e-6)))]
+        classes += [top + k] * (buckets + len(members[k]))
+        mass += [*np.log(np.maximum(left[k], 1.0)).tolist(), *[0.0] * len(members[k])]
+        prior += np.log(np.maximum(left[k], 1e-6) / max(known["tokens"][k], 1e-6)).tolist()
         prior += [p for _, p in members[k]]
-        codes.update((w, bounds[k] + 1 + i) for i, (w, _) in enumerate(members[k]))
+        codes.update((w, bounds[k] + buckets + i) for i, (w, _) in enumerate(members[k]))
         bounds.append(len(classes))
     return {"codes": codes, "classes": np.array([*classes, top + shared]), "prior": np.array(prior, np.float32),
-            "bounds": bounds, "top": top, "shared": shared}
+            "mass": np.array(mass), "bounds": bounds, "top": top, "shared": shared, "buckets": buckets}
+
+
+def code_of(word: bytes, known: dict) -> int:
+    """The code of a word: its own, or that of its bucket."""
+    own = known["codes"].get(word)
+    if own is not None:
+        return own
+    crc = zlib.crc32(word)
+    return known["bounds"][crc % known["shared"]] + crc // known["shared"] % known["buckets"]
+
+
+class _Words(dict):
+    """Numbers of the words a task meets, with their codes and, for unlisted
+    words, their hashes (others: 0)."""
+
+    def __init__(self, known: dict):
+        super().__init__()
+        self.known, self.codes, self.hashes = known, array("H"), array("Q")
+
+    def __missing__(self, word: bytes) -> int:
+        number = self[word] = len(self.codes)
+        self.codes.append(code_of(word, self.known))
+        self.hashes.append(0 if word in self.known["codes"] else xxhash.xxh3_64_intdigest(word) or 1)
+        return number
+
+
+def _planes(values: np.ndarray) -> np.ndarray:
+    return values.view(np.uint8).reshape(len(values), -1).T.ravel()
 
 
-def rare_mass(rare: DataFrame, counts: DataFrame, known: dict) -> DataFrame:
-    """``rid, mass``: sum of log P(word | code) over the unlisted words
-    (``rid, word``), each by its own count in the whole table."""
-    tokens = F.array(*[F.lit(float(t)) for t in known["left"]])
-    k = F.pmod(F.crc32(F.col("word").cast("binary")), F.lit(known["shared"])).cast("int")
-    own = counts.filter(F.col("count") < known["least"]) \
-        .select(F.col("word").alias("_w"), (F.log(F.col("count")) - F.log(F.get(tokens, k))).alias("_p"))
-    return rare.join(own, F.col("word") == F.col("_w")).groupBy("rid").agg(F.sum("_p").alias("mass"))
+def _from_planes(raw: np.ndarray, kind) -> np.ndarray:
+    return np.ascontiguousarray(raw.reshape(np.dtype(kind).itemsize, -1).T).view(kind).ravel()
 
 
-def _encode(shared_layout):
+def _pack_rare(hashes: np.ndarray, text: np.ndarray, bits: int):
+    """(hash partition, payload) of the rarer words of a chunk."""
+    order = np.argsort(hashes, kind="stable")
+    h, t = hashes[order], text[order].astype(np.uint32)
+    edge = np.arange(1, 1 << bits, dtype=np.uint64) << np.uint64(64 - bits)
+    bound = np.concatenate([[0], np.searchsorted(h, edge), [len(h)]])
+    for p in np.flatnonzero(np.diff(bound)).tolist():
+        part = slice(bound[p], bound[p + 1])
+        yield p, B.pack([_planes(np.diff(h[part], prepend=np.uint64(0))), _planes(t[part])])
+
+
+def _unpack_rare(payload: bytes) -> tuple[np.ndarray, np.ndarray]:
+    h, t = B.unpack(payload, [np.uint8, np.uint8])
+    return np.cumsum(_from_planes(h, np.uint64), dtype=np.uint64), _from_planes(t, np.uint32).astype(np.int64)
+
+
+def _encode(shared_layout, bits: int, size: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = shared_layout.value
-        words, bounds, shared = known["codes"], known["bounds"], known["shared"]
+        words = _Words(known)
+        base = TaskContext.get().partitionId() << 40
         for batch in batches:
             column = batch.column("text")
-            codes, rare = [], []
-            for i in range(batch.num_rows):
-                out, others = array("H"), []
-                for w in column[i].as_buffer().to_pybytes().split():
-                    got = words.get(w)
-                    if got is None:
-                        got = bounds[zlib.crc32(w) % shared]
-                        others.append(w)
-                    out.append(got)
-                codes.append(out.tobytes())
-                rare.append(b" ".join(others))
-            yield pa.RecordBatch.from_pydict({
-                "doc_id": batch.column("doc_id"), "codes": pa.array(codes, pa.binary()),
-                "rare": pa.array(rare, pa.binary()).cast(pa.string())})
+            a = 0
+            while a < batch.num_rows:
+                numbers, sizes = array("I"), []
+                while a + len(sizes) < batch.num_rows and len(numbers) < size:
+                    before = len(numbers)
+                    numbers.extend(map(words.__getitem__, column[a + len(sizes)].as_buffer().to_pybytes().split()))
+                    sizes.append(len(numbers) - before)
+                n = len(sizes)
+                at = np.frombuffer(numbers, np.uint32) if numbers else np.zeros(0, np.uint32)
+                codes = np.array(words.codes, np.uint16)[at]
+                hashes = np.array(words.hashes, np.uint64)[at]
+                end = np.cumsum(sizes)
+                text = np.repeat(np.arange(n), sizes)
+                rare = np.flatnonzero(hashes)
+                parts = list(_pack_rare(hashes[rare], text[rare], bits))
+                rid = base + np.arange(n)
+                yield pa.RecordBatch.from_pydict({
+                    "rid": pa.array(rid, pa.int64()), "doc_id": batch.column("doc_id").slice(a, n),
+                    "key": batch.column("key").slice(a, n),
+                    "codes": pa.array([codes[e - k:e].tobytes() for e, k in zip(end.tolist(), sizes)], pa.binary()),
+                    "part": pa.nulls(n, pa.int32())})
+                if parts:
+                    m = len(parts)
+                    yield pa.RecordBatch.from_pydict({
+                        "rid": pa.array([base] * m, pa.int64()), "doc_id": pa.nulls(m, pa.int64()),
+                        "key": pa.nulls(m, pa.int64()), "codes": pa.array([c for _, c in parts], pa.binary()),
+                        "part": pa.array([p for p, _ in parts], pa.int32())})
+                base += n
+                a += n
+                if len(words) > 4 * size:
+                    words = _Words(known)
     return run
 
 
+def encode(docs: DataFrame, shared_layout, bits: int = 5, size: int = _PART_TOKENS) -> DataFrame:
+    """Texts (``part`` null): ``rid, doc_id, key, codes``; and packed rarer words
+    of the texts from ``rid`` on, by hash partition.  ``rid`` holds once the
+    table is written."""
+    return text_rows(docs).withColumn("key", F.xxhash64("doc_id", "text")) \
+        .mapInArrow(_encode(shared_layout, bits, size), "rid long, doc_id long, key long, codes binary, part int")
+
+
+def _count_rare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Per block the texts with rarer words of the partition and the sum of the
+    log counts of these, one hash partition at a time."""
+    def done(blocks):
+        hashes = np.concatenate([h for _, h, _ in blocks])
+        _, inverse, counts = np.unique(hashes, return_inverse=True, return_counts=True)
+        logs = np.log(counts)[inverse]
+        out, at = [], 0
+        for _, h, text in blocks:
+            total = np.bincount(text, weights=logs[at:at + len(h)])
+            seen = np.unique(text)
+            out.append(B.pack([seen.astype(np.uint32), total[seen]]))
+            at += len(h)
+        return pa.RecordBatch.from_pydict({"rid": pa.array([r for r, _, _ in blocks], pa.int64()),
+                                           "sums": pa.array(out, pa.binary())})
+
+    now, blocks = None, []
+    for batch in batches:
+        for rid, part, payload in zip(*[batch.column(c).to_pylist() for c in ("rid", "part", "codes")]):
+            if part != now and blocks:
+                yield done(blocks)
+                blocks = []
+            now = part
+            blocks.append((rid, *_unpack_rare(payload)))
+    if blocks:
+        yield done(blocks)
+
+
+def _add_sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    now, total = None, np.zeros(0)
+
+    def done():
+        return pa.RecordBatch.from_pydict({"rid": pa.array(now + np.arange(len(total)), pa.int64()),
+                                           "mass": pa.array(total, pa.float64())})
+
+    for batch in batches:
+        for rid, payload in zip(batch.column("rid").to_pylist(), batch.column("sums").to_pylist()):
+            if rid != now:
+                if now is not None:
+                    yield done()
+                now, total = rid, np.zeros(0)
+            seen, sums = B.unpack(payload, [np.uint32, np.float64])
+            if int(seen[-1]) >= len(total):
+                total = np.concatenate([total, np.zeros(int(seen[-1]) + 1 - len(total))])
+            total[seen] += sums
+    if now is not None:
+        yield done()
+
+
+def rare_mass(encoded: DataFrame) -> DataFrame:
+    """``rid, mass``: the sum of the log corpus counts of the rarer words of
+    every text that has some.  All occurrences of a word meet in its hash
+    partition; none of these words is frequent, so no partition is large."""
+    return encoded.filter("part is not null").select("rid", "part", "codes") \
+        .repartition("part").sortWithinPartitions("part", "rid").mapInArrow(_count_rare, "rid long, sums binary") \
+        .repartition("rid").sortWithinPartitions("rid", "sums").mapInArrow(_add_sums, "rid long, mass double")
+
+
 def initial(classes: int, window: int = WINDOW, hidden: int = HIDDEN, seed: int = 7) -> list[np.ndarray]:
     """Context embeddings by position (one more row: beyond the text), their
     bias, output weights and output bias."""
@@ -206,13 +344,12 @@ def folded(params: list[np.ndarray], known: dict) -> list[np.ndarray]:
 
 
 def _by_class(target: np.ndarray, known: dict):
-    """Rows whose target has codes of its class beside it, by class, with the
-    bounds of the codes."""
-    order = np.argsort(target, kind="stable")
-    at = np.searchsorted(target[order], known["bounds"])
-    for k in range(known["shared"]):
-        if at[k] < at[k + 1]:
-            yield order[at[k]:at[k + 1]], known["bounds"][k], known["bounds"][k + 1]
+    """Rows ordered by target, and (from, to, bounds of the codes) of those of
+    each class whose codes have others beside them."""
+    order = np.argsort(target.astype(np.uint16), kind="stable")
+    at = np.searchsorted(target[order], known["bounds"]).tolist()
+    return order, [(at[k], at[k + 1], known["bounds"][k], known["bounds"][k + 1])
+                   for k in range(known["shared"]) if at[k] < at[k + 1]]
 
 
 def log_probability(params, flat, place, window: int = WINDOW, known: dict | None = None) -> np.ndarray:
@@ -223,13 +360,15 @@ def log_probability(params, flat, place, window: int = WINDOW, known: dict | Non
     logits -= logits.max(axis=1, keepdims=True)
     target = flat[place]
     mine = logits[np.arange(len(place)), target if known is None else known["classes"][target]]
-    out = (mine - np.log(np.exp(logits).sum(axis=1))).astype(np.float64)
+    out = (mine - np.log(np.exp(logits, out=logits).sum(axis=1))).astype(np.float64)
     if known is not None:
         u, c = params[4:]
-        for rows, a, b in _by_class(target, known):
-            logits = h[rows] @ u[a:b].T + c[a:b]
+        order, spans = _by_class(target, known)
+        hs, ts = h[order], target[order]
+        for x, y, a, b in spans:
+            logits = hs[x:y] @ u[a:b].T + c[a:b]
             logits -= logits.max(axis=1, keepdims=True)
-            out[rows] += logits[np.arange(len(rows)), target[rows] - a] - np.log(np.exp(logits).sum(axis=1))
+            out[order[x:y]] += logits[np.arange(y - x), ts[x:y] - a] - np.log(np.exp(logits).sum(axis=1))
     return out
 
 
@@ -245,48 +384,59 @@ def train_step(params, moments, flat, place, window: int, rate: float, known: di
     """One AdaGrad step on the mean log-loss of the given tokens (in place)."""
     e, b1, w2, b2 = params[:4]
     n = len(place)
+    low = int(place.min()) - window
+    near = flat[low:int(place.max()) + window + 1]
+    at = place - low
     offsets = [o for o in range(-window, window + 1) if o]
-    around = flat if known is None else known["classes"][flat]
-    if known is None:
-        h = _hidden(params, flat, place, window)
-    else:
+    around = near if known is None else known["classes"][near]
+    z = np.broadcast_to(b1, (n, len(b1))).copy()
+    for k, o in enumerate(offsets):
+        z += e[k][around[at + o]]
+    if known is not None:
         words, scale, u, c = params[4:]
-        near = np.stack([flat[place + o] for o in offsets])
         seen = words[near]
-        z = np.einsum("knh,kh->nh", seen, scale) + b1
         for k, o in enumerate(offsets):
-            z += e[k][around[place + o]]
-        h = np.tanh(z, out=z)
+            z += seen[at + o] * scale[k]
+    h = np.tanh(z, out=z)
     p = h @ w2 + b2
-    p = np.exp(p - p.max(axis=1, keepdims=True))
+    p -= p.max(axis=1, keepdims=True)
+    np.exp(p, out=p)
     p /= p.sum(axis=1, keepdims=True)
-    p[np.arange(n), around[place]] -= 1.0
+    p[np.arange(n), around[at]] -= 1.0
     p /= n
     dh = p @ w2.T
     grads = []
     if known is not None:
-        target = flat[place]
         du, dc = np.zeros_like(u), np.zeros_like(c)
-        for rows, a, b in _by_class(target, known):
-            q = h[rows] @ u[a:b].T + c[a:b]
-            q = np.exp(q - q.max(axis=1, keepdims=True))
+        order, spans = _by_class(near[at], known)
+        hs, ts, ds = h[order], near[at][order], np.zeros_like(h)
+        for x, y, a, b in spans:
+            mine, weights = hs[x:y], u[a:b]
+            q = mine @ weights.T
+            q += c[a:b]
+            q -= q.max(axis=1, keepdims=True)
+            np.exp(q, out=q)
             q /= q.sum(axis=1, keepdims=True)
-            q[np.arange(len(rows)), target[rows] - a] -= 1.0
+            q[np.arange(y - x), ts[x:y] - a] -= 1.0
             q /= n
-            dh[rows] += q @ u[a:b]
-            du[a:b], dc[a:b] = q.T @ h[rows], q.sum(axis=0)
+            ds[x:y] = q @ weights
+            du[a:b], dc[a:b] = q.T @ mine, q.sum(axis=0)
+        dh[order] += ds
     dz = dh * (1.0 - h * h)
     if known is not None:
-        codes, g = _sums(near.ravel(), (dz * scale[:, None]).reshape(-1, dz.shape[1]))
+        spread, dscale = np.zeros_like(seen), np.empty_like(scale)
+        for k, o in enumerate(offsets):  # the places are distinct, so nothing is added twice
+            dscale[k] = (seen[at + o] * dz).sum(axis=0)
+            spread[at + o] += dz * scale[k]
+        codes, g = _sums(near, spread)
+        grads = [dscale, du, dc]
         m = moments[4][codes] + g * g
-        grads = [np.einsum("knh,nh->kh", seen, dz), du, dc]
         moments[4][codes] = m
         words[codes] -= rate * g / (np.sqrt(m) + 1e-6)
     de = np.zeros_like(e)
     for k, o in enumerate(offsets):
-        one_hot = np.zeros((n, e.shape[1]), np.float32)
-        one_hot[np.arange(n), around[place + o]] = 1.0
-        de[k] = one_hot.T @ dz
+        classes, g = _sums(around[at + o], dz)
+        de[k][classes] = g
     grads = [de, dz.sum(axis=0), h.T @ p, p.sum(axis=0), *grads]
     for value, m, g in zip(params[:4] + params[5:], moments[:4] + moments[5:], grads):
         m += g * g
@@ -309,27 +459,49 @@ def _groups(batches, window: int, beyond: int, kind=np.uint8):
             yield batch, rows, *_padded(held, window, beyond, kind)
 
 
-def _train(shared_params, round_number: int, classes: int, window: int, stride: int, rate: float, shared_layout=None):
+def _shard_groups(batches):
+    """(shard, codes of some of its texts), in order; where one group of texts
+    ends depends on the shard alone, not on how rows are batched."""
+    now, held, size = None, [], 0
+    for batch in batches:
+        column = batch.column("codes")
+        for i, shard in enumerate(batch.column("shard").to_pylist()):
+            if held and (shard != now or size >= _TOKENS * 2):
+                yield now, held
+                held, size = [], 0
+            now = shard
+            held.append(column[i].as_buffer().to_pybytes())
+            size += len(held[-1])
+    if held:
+        yield now, held
+
+
+def _train(shared_state, round_number: int, window: int, stride: int, rate: float, size: int, shared_layout):
+    """Parameters, squared step sizes and examples of every shard."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        params = [p.copy() for p in shared_params.value]
-        moments = [np.full_like(p, 1e-6) for p in params]
-        known, beyond, kind = None, classes, np.uint8
-        if shared_layout is not None:
-            known = shared_layout.value
-            beyond, kind = len(known["prior"]), np.uint16
-        seen = 0
-        for _, _, flat, place, _ in _groups(batches, window, beyond, kind):
+        known = shared_layout.value
+        now, seen, params, moments = None, 0, [], []
+
+        def done():
+            flat = np.concatenate([flatten(params), flatten(moments)]).astype(np.float32)
+            parts = [flat[a:a + _PART].tobytes() for a in range(0, len(flat), _PART)]
+            return pa.RecordBatch.from_pydict({
+                "i": pa.array(np.arange(len(parts)), pa.int32()), "v": pa.array(parts, pa.binary()),
+                "n": pa.array(np.full(len(parts), seen), pa.int64())})
+
+        for shard, codes in _shard_groups(batches):
+            if shard != now:
+                if seen:
+                    yield done()
+                now, seen = shard, 0
+                params, moments = [[p.copy() for p in x] for x in shared_state.value]
+            flat, place, _ = _padded(codes, window, len(known["prior"]), np.uint16)
             mine = place[round_number % stride::stride]
-            order = np.random.default_rng(round_number + seen).permutation(len(mine))
-            for a in range(0, len(mine), BATCH):
-                train_step(params, moments, flat, mine[order[a:a + BATCH]], window, rate, known)
+            for a in range(0, len(mine), size):
+                train_step(params, moments, flat, mine[a:a + size], window, rate, known)
             seen += len(mine)
         if seen:
-            flat_params = flatten(params).astype(np.float32)
-            parts = [flat_params[a:a + _PART].tobytes() for a in range(0, len(flat_params), _PART)]
-            yield pa.RecordBatch.from_pydict({
-                "i": pa.array(np.arange(len(parts)), pa.int32()), "v": pa.array(parts, pa.binary()),
-                "n": pa.array(np.full(len(parts), seen), pa.int64())})
+            yield done()
     return run
 
 
@@ -356,7 +528,8 @@ def _score(shared_params, shared_layout, window: int):
             for a in range(0, len(place), 1 << 15):
                 part = place[a:a + (1 << 15)]
                 total += np.bincount(text[a:a + (1 << 15)], minlength=len(rows),
-                                     weights=log_probability(params, flat, part, window, known))
+                                     weights=log_probability(params, flat, part, window, known)
+                                     - known["mass"][flat[part]])
             n = np.bincount(text, minlength=len(rows)) if len(text) else np.zeros(len(rows), dtype=np.int64)
             yield pa.RecordBatch.from_pydict({
                 "rid": batch.column("rid").slice(rows[0], len(rows)),
@@ -365,31 +538,41 @@ def _score(shared_params, shared_layout, window: int):
     return run
 
 
-def encode(docs: DataFrame, shared_layout) -> DataFrame:
-    return text_rows(docs).mapInArrow(_encode(shared_layout), "doc_id long, codes binary, rare string") \
-        .withColumn("rid", F.monotonically_increasing_id())
+def in_shards(encoded: DataFrame, n_tokens: int) -> DataFrame:
+    """``shard, key, codes`` of the texts with tokens, by shard and key."""
+    shards = max(1, round(n_tokens / SHARD_TOKENS))
+    return cut_lineage(encoded.filter("part is null and octet_length(codes) > 0")
+                       .select(F.pmod(F.xxhash64("key", F.lit("shard")), F.lit(shards)).alias("shard"), "key", "codes")
+                       .repartition(2 * shards, "shard").sortWithinPartitions("shard", "key", "codes"))
+
+
+def step_tokens(n_tokens: int, stride: int) -> int:
+    """Positions of a step, from the tokens of a shard."""
+    shard = n_tokens / max(1, round(n_tokens / SHARD_TOKENS))
+    return min(max(int(shard / stride / STEPS), 64), BATCH)
 
 
-def train(encoded: DataFrame, shared_layout, rounds: int = ROUNDS, window: int = WINDOW, hidden: int = HIDDEN,
-          stride: int = STRIDE, rate: float = RATE) -> list[np.ndarray]:
-    """Parameters after ``rounds`` of local steps and averaging.  The driver
-    receives the averaged parameters, 4 bytes each."""
-    sc = encoded.sparkSession.sparkContext
-    known = shared_layout.value
-    classes = known["top"] + known["shared"]
-    params = initial_words(known, window, hidden)
+def train(sharded: DataFrame, shared_layout, n_tokens: int, rounds: int = ROUNDS, window: int = WINDOW,
+          hidden: int = HIDDEN, stride: int = STRIDE, rate: float = RATE) -> list[np.ndarray]:
+    """Parameters after ``rounds`` of steps in every shard and averaging.  The
+    driver receives the averaged parameters and moments, 4 bytes each."""
+    sc = sharded.sparkSession.sparkContext
+    params = initial_words(shared_layout.value, window, hidden)
+    moments = [np.full_like(p, 1e-6) for p in params]
     for r in range(rounds):
-        rows = encoded.mapInArrow(_train(sc.broadcast(params), r, classes, window, stride, rate, shared_layout),
-                                  "i int, v binary, n long") \
+        run = _train(sc.broadcast((params, moments)), r, window, stride, rate, step_tokens(n_tokens, stride),
+                     shared_layout)
+        rows = sharded.mapInArrow(run, "i int, v binary, n long") \
             .repartition("i").mapInArrow(_averaged, "i int, v binary").collect()
         if not rows:
             break
         rows.sort(key=lambda x: x.i)
-        params = shaped(np.concatenate([np.frombuffer(x.v, np.float32) for x in rows]), params)
+        both = shaped(np.concatenate([np.frombuffer(x.v, np.float32) for x in rows]), params + moments)
+        params, moments = both[:len(params)], both[len(params):]
     return params
 
 
-def pseudo_likelihood(docs: DataFrame, size: int = VOCABULARY, top: int = TOP, shared: int = SHARED,
+def pseudo_likelihood(docs: DataFrame, size: int = VOCABULARY, top: int = TOP, shared: int | None = None,
                       rounds: int = ROUNDS, stride: int = STRIDE) -> DataFrame:
     """``doc_id, n_tokens, log_likelihood, per_token`` for every row of ``docs``.
 
@@ -398,20 +581,22 @@ def pseudo_likelihood(docs: DataFrame, size: int = VOCABULARY, top: int = TOP, s
     repeated row counts again in the corpus).  An empty table gives an empty
     result; other columns are ignored.
     """
-    if size + top + shared >= 1 << 16:
-        raise ValueError("listed words and classes must fit 16 bits")
+    if 2 * size + top + (shared or size) >= 1 << 16:
+        raise ValueError("codes must fit 16 bits")
     sc = docs.sparkSession.sparkContext
     counts = cut_lineage(word_counts(docs))
     known = vocabulary(counts, size, top, shared)
+    n_tokens = known["n_tokens"]
     shared_layout = sc.broadcast(layout(known))
-    encoded = cut_lineage(encode(docs, shared_layout))
-    rare = rare_mass(encoded.filter("rare != ''").select("rid", F.explode(F.split("rare", " ")).alias("word")),
-                     counts, known)
-    coded = encoded.select("rid", "doc_id", "codes")
-    params = train(coded, shared_layout, rounds, stride=stride)
-    scored = coded.mapInArrow(_score(sc.broadcast(params), shared_layout, WINDOW),
-                              "rid long, doc_id long, n_tokens long, log_likelihood double")
-    scored = scored.join(rare.withColumnRenamed("rid", "_rid"), F.col("rid") == F.col("_rid"), "left") \
+    bits = min(max((n_tokens // _PART_TOKENS).bit_length(), 5), 14)
+    encoded = cut_lineage(encode(docs, shared_layout, bits))
+    params = train(in_shards(encoded, n_tokens), shared_layout, n_tokens, rounds, stride=stride) if rounds else \
+        initial_words(shared_layout.value)
+    scored = encoded.filter("part is null").select("rid", "doc_id", "codes") \
+        .mapInArrow(_score(sc.broadcast(params), shared_layout, WINDOW),
+                    "rid long, doc_id long, n_tokens long, log_likelihood double")
+    rare = rare_mass(encoded).withColumnRenamed("rid", "_rid")
+    scored = scored.join(rare, F.col("rid") == F.col("_rid"), "left") \
         .select("doc_id", "n_tokens", (F.col("log_likelihood") + F.coalesce("mass", F.lit(0.0))).alias("log_likelihood"))
     return scored.withColumn("per_token", F.when(F.col("n_tokens") > 0, F.col("log_likelihood") / F.col("n_tokens")))
 

@@ -102,49 +102,74 @@ def test_window_network_gradient():
             assert slope * slope == pytest.approx(g2[i], rel=1e-2, abs=1e-10)
 
 
-def test_pseudo_likelihood_learns_order(spark):
+@pytest.mark.parametrize("partitions", [1, 8, 32])
+def test_pseudo_likelihood_learns_order(spark, partitions):
     cycle = [f"c{i}" for i in range(12)]
     rng = np.random.default_rng(2)
     ordered = [(i, " ".join(cycle[(i + k) % 12] for k in range(120))) for i in range(150)]
     mixed = [(1000, " ".join(rng.choice(cycle, 120).tolist()))]
-    got = {r.doc_id: r for r in lm.pseudo_likelihood(table(spark, ordered + mixed), stride=2, rounds=6).collect()}
+    got = {r.doc_id: r for r in lm.pseudo_likelihood(table(spark, ordered + mixed).repartition(partitions),
+                                                     stride=2, rounds=6).collect()}
     known = np.mean([got[i].per_token for i in range(150)])
     assert known > -0.7 and got[1000].per_token < known - 1
 
 
+def test_scores_do_not_depend_on_the_layout(spark, monkeypatch):
+    monkeypatch.setattr(lm, "SHARD_TOKENS", 3000)  # several shards
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    got = [sorted((r.doc_id, r.n_tokens, round(r.log_likelihood, 2)) for r in
+                  lm.pseudo_likelihood(docs.repartition(n, F.col("doc_id") % (n + 1)), 500).collect()) for n in (1, 8, 32)]
+    assert len(got[0]) == docs.count() and got[0] == got[1] == got[2]
+
+
 def test_word_probabilities_add_up(spark):
     rows = [(1, "a a a b b c d e f g h"), (2, "a b c z y x")]
     counts = {r.word: r["count"] for r in lm.word_counts(table(spark, rows)).collect()}
-    known = lm.vocabulary(spark.createDataFrame(list(counts.items()), "word string, count long"), 9, 2, 3)
-    total: dict[int, float] = {}
-    for w in counts:
-        got = known["words"].get(w.encode())
-        k, p = got if got else (lm.shared_class(w.encode(), 2, 3), None)
-        p = known["rest"][k - 2] if p is None else p
-        total[k] = total.get(k, 0.0) + float(np.exp(p))
-    assert all(v == pytest.approx(1.0) for v in total.values())
-
-
-def batch_of(texts):
-    return pa.RecordBatch.from_pydict({"codes": pa.array(texts, pa.binary())})
+    for size, top, shared in ((9, 2, 3), (9, 2, None), (4, 1, 2), (50, 0, 1)):
+        known = lm.vocabulary(spark.createDataFrame(list(counts.items()), "word string, count long"), size, top, shared)
+        placed = lm.layout(known)
+        total: dict[int, float] = {}
+        for w, n in counts.items():
+            code = lm.code_of(w.encode(), placed)
+            p = np.exp(placed["prior"][code])
+            if w.encode() not in placed["codes"]:
+                p *= n / np.exp(placed["mass"][code])
+            k = int(placed["classes"][code])
+            total[k] = total.get(k, 0.0) + p
+        assert all(v == pytest.approx(1.0) for v in total.values())
+
+
+def test_rare_words_share_buckets_of_a_listed_words_size(spark):
+    counts = [(f"w{i}", 1) for i in range(3000)] + [("often", 3000)]
+    known = lm.vocabulary(spark.createDataFrame(counts, "word string, count long"), 600, 0)
+    left = np.array(known["left"])
+    assert set(known["words"]) == {b"often"} and left.sum() == 3000
+    assert 300 <= left.size <= 330 and left.max() < 40  # about one token in 600 a bucket
+    assert left.shape[1] <= left.shape[0] + 2  # as many classes as codes of a class
 
 
 def test_every_position_trains(monkeypatch):
-    texts = [bytes([i % 7] * (1 + i % 5)) for i in range(90)]  # all shorter than 16 tokens
+    texts = [np.full(1 + i % 5, i % 7, np.uint16).tobytes() for i in range(90)]  # all shorter than 16 tokens
+    batch = pa.RecordBatch.from_pydict({"shard": pa.array([0] * 40 + [1] * 50, pa.int64()),
+                                        "codes": pa.array(texts, pa.binary())})
     used = []
-    monkeypatch.setattr(lm, "train_step", lambda params, moments, flat, place, *rest: used.extend(place.tolist()))
-    shared = type("Shared", (), {"value": lm.initial(7)})
+    monkeypatch.setattr(lm, "train_step", lambda params, moments, flat, place, *rest: used.append(flat[place]))
+    known = type("Shared", (), {"value": {"prior": np.zeros(7)}})
+    state = type("Shared", (), {"value": (lm.initial(7), lm.initial(7))})
     for r in range(lm.ROUNDS):
-        list(lm._train(shared, r, 7, lm.WINDOW, lm.STRIDE, lm.RATE)(iter([batch_of(texts)])))
-    assert sorted(used) == lm._padded(texts, lm.WINDOW, 7)[1].tolist()
+        out = list(lm._train(state, r, lm.WINDOW, lm.STRIDE, lm.RATE, 16, known)(iter([batch])))
+        assert len(out) == 2
+    assert sum(map(len, used)) == sum(len(t) // 2 for t in texts)
+    assert sorted(np.concatenate(used).tolist()) == sorted(np.frombuffer(b"".join(texts), np.uint16).tolist())
 
 
-def test_learns_order_with_the_production_parameters(spark):
+@pytest.mark.parametrize("partitions", [1, 8])
+def test_learns_order_with_the_production_parameters(spark, partitions):
     rng = np.random.default_rng(3)
     cycle = [f"c{i}" for i in range(12)]
     rows = [(i, " ".join(cycle[(i + k) % 12] for k in range(120))) for i in range(600)]
     rows.append((1000, " ".join(rng.choice(cycle, 120).tolist())))
-    got = {r.doc_id: r for r in lm.pseudo_likelihood(table(spark, rows).coalesce(1)).collect()}
+    got = {r.doc_id: r for r in lm.pseudo_likelihood(table(spark, rows).repartition(partitions)).collect()}
     known = np.mean([got[i].per_token for i in range(600)])
     print("known", known, "mixed", got[1000].per_token)
     assert known > -0.7 and got[1000].per_token < known - 1
@@ -187,7 +212,7 @@ def test_words_of_one_class_are_told_apart(spark):
         same = [w for w in cycle[lm.TOP:] if lm.shared_class(w.encode(), 0, lm.SHARED) == k]
         swap.update(zip(same, same[1:] + same[:1]))
     rows.append((5000, " ".join(swap.get(w, w) for w in cycle)))  # the same classes in the same order
-    got = {r.doc_id: r.per_token for r in lm.pseudo_likelihood(table(spark, rows).coalesce(1)).collect()}
+    got = {r.doc_id: r.per_token for r in lm.pseudo_likelihood(table(spark, rows)).collect()}
     print("known", got[0], "swapped", got[5000])
     assert got[5000] < got[0] - 1
 
@@ -195,13 +220,15 @@ def test_words_of_one_class_are_told_apart(spark):
 def test_unlisted_words_keep_their_counts(spark):
     rows = [(1, "a a a a a a common common"), (2, "a a a a seldom"), (3, "a a a a common"), (4, None), (4, "a common x")]
     docs = table(spark, rows)
-    counts = lm.word_counts(docs)
-    known = lm.vocabulary(counts, 3, 1, 1)  # only "a" is listed
+    known = lm.vocabulary(lm.word_counts(docs), 3, 1, 1)  # only "a" is listed
     assert set(known["words"]) == {b"a"}
-    words = spark.createDataFrame([(1, "common"), (1, "common"), (2, "seldom")], "rid long, word string")
-    got = {r.rid: r.mass for r in lm.rare_mass(words, counts, known).collect()}
-    assert got == pytest.approx({1: 2 * np.log(4 / 6), 2: np.log(1 / 6)})
-    # a list of words only saves the join: scores don't depend on its length
+    encoded = lm.encode(docs, spark.sparkContext.broadcast(lm.layout(known)), 2, 4)
+    ids = {r.rid: r.doc_id for r in encoded.filter("part is null").collect()}
+    got = {}
+    for r in lm.rare_mass(encoded).collect():
+        got[ids[r.rid]] = got.get(ids[r.rid], 0) + r.mass
+    assert got == pytest.approx({1: 2 * np.log(4), 2: 0.0, 3: np.log(4), 4: np.log(4)})
+    # which words are listed doesn't change what an untrained network gives
     none, every = (sorted((r.doc_id, r.n_tokens, r.log_likelihood) for r in
                           lm.pseudo_likelihood(docs, size, 1, 1, rounds=0).collect()) for size in (3, 1000))
     assert [x[:2] for x in none] == [x[:2] for x in every] == [(1, 8), (2, 5), (3, 5), (4, 0), (4, 3)]
