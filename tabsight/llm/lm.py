@@ -13,10 +13,9 @@ conditional log-probabilities score a text.
 * *Encoding.*  Each text becomes 16 bits a token; the rarer words of a chunk of
   texts go to hash partitions as packed 64-bit hashes, where all their
   occurrences meet and are counted.
-* *Training.*  A one-layer network (embeddings of the classes around by
-  position, and of the words around scaled by position; tanh; softmax over
-  classes, then over the codes of the class, which starts at their share of
-  its tokens) is trained in numpy.  Texts are dealt by hash to shards of about
+* *Training.*  A one-layer network (embeddings of the words around, a matrix
+  for each position; tanh; softmax over classes, then over the codes of the
+  class, which starts at their share of its tokens) is trained in numpy.  Texts are dealt by hash to shards of about
   ``SHARD_TOKENS``; every round trains each shard from the same parameters in
   the order of its hashes and averages parameters and step sizes over the
   shards, weighted by examples.  Shards depend on the rows alone, so neither
@@ -42,20 +41,20 @@ from . import bytesops as B
 from .common import cut_lineage, ships, text_rows, words_of
 
 #: A code stands for at least about one token in so many.
-VOCABULARY = 16_384
+VOCABULARY = 4_096
 TOP = 48
 #: Least number of classes of the other codes.
 SHARED = 16
 WINDOW = 3
 HIDDEN = 16
 ROUNDS = 3
-#: Each round trains on one position in so many; as many rounds use every one.
+#: Each round trains on one step's positions in so many; as many rounds use all.
 STRIDE = ROUNDS
 #: Tokens of a step; at least ``STEPS`` steps a round where a shard allows it.
 BATCH = 8192
 STEPS = 16
 RATE = 0.08
-SHARD_TOKENS = 8 << 20
+SHARD_TOKENS = 4 << 20
 _TOKENS = 1 << 18
 #: Parameters travel in parts of so many.
 _PART = 1024
@@ -286,22 +285,17 @@ def rare_mass(encoded: DataFrame) -> DataFrame:
         .repartition("rid").sortWithinPartitions("rid", "sums").mapInArrow(_add_sums, "rid long, mass double")
 
 
-def initial(classes: int, window: int = WINDOW, hidden: int = HIDDEN, seed: int = 7) -> list[np.ndarray]:
-    """Context embeddings by position (one more row: beyond the text), their
-    bias, output weights and output bias."""
+def initial(known: dict, window: int = WINDOW, hidden: int = HIDDEN, seed: int = 7) -> list[np.ndarray]:
+    """Embeddings of the codes (one more: beyond the text), a matrix for each
+    position around, their bias, then weights and biases of the classes and of
+    the codes in their class.  Untrained, every code has its share of its
+    class, whatever stands around it."""
+    n, classes = len(known["prior"]), known["top"] + known["shared"]
     rng = np.random.default_rng(seed)
-    return [(rng.standard_normal((2 * window, classes + 1, hidden)) * 0.1).astype(np.float32),
-            np.zeros(hidden, np.float32),
-            (rng.standard_normal((hidden, classes)) * 0.1).astype(np.float32),
-            np.zeros(classes, np.float32)]
-
-
-def initial_words(known: dict, window: int = WINDOW, hidden: int = HIDDEN) -> list[np.ndarray]:
-    """``initial`` of the classes, then embeddings of the codes, their scales by
-    position, output weights and output bias of the codes in their class."""
-    n = len(known["prior"])
-    return [*initial(known["top"] + known["shared"], window, hidden), np.zeros((n + 1, hidden), np.float32),
-            np.ones((2 * window, hidden), np.float32), np.zeros((n, hidden), np.float32), known["prior"].copy()]
+    return [(rng.standard_normal((n + 1, hidden)) * 0.5).astype(np.float32),
+            (rng.standard_normal((2 * window, hidden, hidden)) / np.sqrt(2 * window * hidden)).astype(np.float32),
+            np.zeros(hidden, np.float32), np.zeros((hidden, classes), np.float32), np.zeros(classes, np.float32),
+            np.zeros((n, hidden), np.float32), known["prior"].copy()]
 
 
 def flatten(params: list[np.ndarray]) -> np.ndarray:
@@ -316,7 +310,7 @@ def shaped(flat: np.ndarray, like: list[np.ndarray]) -> list[np.ndarray]:
     return out
 
 
-def _padded(codes: list[bytes], window: int, beyond: int, kind=np.uint8):
+def _padded(codes: list[bytes], window: int, beyond: int, kind=np.uint16):
     """Codes of several texts in one array, ``window`` paddings (``beyond``)
     before each and after the last; the place of every token and its text."""
     size = np.array([len(c) for c in codes], dtype=np.int64) // np.dtype(kind).itemsize
@@ -328,19 +322,33 @@ def _padded(codes: list[bytes], window: int, beyond: int, kind=np.uint8):
     return flat, place, text
 
 
-def _hidden(params, flat, place, window):
-    e, b1, _, _ = params
-    z = np.broadcast_to(b1, (len(place), len(b1))).copy()
-    offsets = [o for o in range(-window, window + 1) if o]
-    for k, o in enumerate(offsets):
-        z += e[k][flat[place + o]]
-    return np.tanh(z, out=z)
+def _offsets(window: int) -> list[int]:
+    return [o for o in range(-window, window + 1) if o]
+
+
+def _hidden(params, near: np.ndarray, window: int, step: int = 1):
+    """Embeddings of ``near`` and the hidden layer of every ``step``-th place
+    of it that has ``window`` places on both sides."""
+    seen = params[0][near]
+    inner = len(near) - window
+    z = np.broadcast_to(params[2], (len(range(window, inner, step)), len(params[2]))).copy()
+    for k, o in enumerate(_offsets(window)):
+        z += seen[window + o:inner + o:step] @ params[1][k]
+    return seen, np.tanh(z, out=z)
 
 
-def folded(params: list[np.ndarray], known: dict) -> list[np.ndarray]:
-    """The same network with one embedding for every position and code."""
-    e, b1, w2, b2, words, scale, u, c = params
-    return [e[:, known["classes"]] + scale[:, None] * words, b1, w2, b2, u, c]
+def _safe(weights: np.ndarray, bias: np.ndarray) -> bool:
+    """Whether no sum of these, with inputs up to 1, can leave the range of exp."""
+    return float((np.abs(weights).sum(axis=0) + np.abs(bias)).max(initial=0)) < 60
+
+
+def _exp(h: np.ndarray, weights: np.ndarray, bias: np.ndarray, safe: bool) -> np.ndarray:
+    """exp of the logits, up to a factor for each row."""
+    q = h @ weights
+    q += bias
+    if not safe:
+        q -= q.max(axis=1, keepdims=True)
+    return np.exp(q, out=q)
 
 
 def _by_class(target: np.ndarray, known: dict):
@@ -352,98 +360,67 @@ def _by_class(target: np.ndarray, known: dict):
                    for k in range(known["shared"]) if at[k] < at[k + 1]]
 
 
-def log_probability(params, flat, place, window: int = WINDOW, known: dict | None = None) -> np.ndarray:
-    """log P(class of each token | tokens around it); with a layout (and
-    ``folded`` parameters), of the code of each token."""
-    h = _hidden(params[:4], flat, place, window)
-    logits = h @ params[2] + params[3]
-    logits -= logits.max(axis=1, keepdims=True)
+def log_probability(params, flat, place, window: int, known: dict) -> np.ndarray:
+    """log P(code of each token | tokens around it)."""
+    _, _, _, w2, b2, u, c = params
+    low = int(place[0]) - window
+    _, h = _hidden(params, flat[low:int(place[-1]) + window + 1], window)
+    h = h[place - place[0]]
     target = flat[place]
-    mine = logits[np.arange(len(place)), target if known is None else known["classes"][target]]
-    out = (mine - np.log(np.exp(logits, out=logits).sum(axis=1))).astype(np.float64)
-    if known is not None:
-        u, c = params[4:]
-        order, spans = _by_class(target, known)
-        hs, ts = h[order], target[order]
-        for x, y, a, b in spans:
-            logits = hs[x:y] @ u[a:b].T + c[a:b]
-            logits -= logits.max(axis=1, keepdims=True)
-            out[order[x:y]] += logits[np.arange(y - x), ts[x:y] - a] - np.log(np.exp(logits).sum(axis=1))
+    q = _exp(h, w2, b2, _safe(w2, b2))
+    out = np.log(q[np.arange(len(place)), known["classes"][target]] / q.sum(axis=1)).astype(np.float64)
+    order, spans = _by_class(target, known)
+    hs, ts, safe = h[order], target[order], _safe(u.T, c)
+    for x, y, a, b in spans:
+        q = _exp(hs[x:y], u[a:b].T, c[a:b], safe)
+        out[order[x:y]] += np.log(q[np.arange(y - x), ts[x:y] - a] / q.sum(axis=1))
     return out
 
 
-def _sums(index: np.ndarray, values: np.ndarray):
-    """Distinct numbers in ``index`` and the sums of their rows of ``values``."""
-    order = np.argsort(index.astype(np.uint16), kind="stable")
-    ordered = index[order]
-    begin = np.flatnonzero(np.diff(ordered, prepend=-1))
-    return ordered[begin], np.add.reduceat(values[order], begin, axis=0)
-
-
-def train_step(params, moments, flat, place, window: int, rate: float, known: dict | None = None) -> None:
-    """One AdaGrad step on the mean log-loss of the given tokens (in place)."""
-    e, b1, w2, b2 = params[:4]
-    n = len(place)
-    low = int(place.min()) - window
-    near = flat[low:int(place.max()) + window + 1]
-    at = place - low
-    offsets = [o for o in range(-window, window + 1) if o]
-    around = near if known is None else known["classes"][near]
-    z = np.broadcast_to(b1, (n, len(b1))).copy()
-    for k, o in enumerate(offsets):
-        z += e[k][around[at + o]]
-    if known is not None:
-        words, scale, u, c = params[4:]
-        seen = words[near]
-        for k, o in enumerate(offsets):
-            z += seen[at + o] * scale[k]
-    h = np.tanh(z, out=z)
-    p = h @ w2 + b2
-    p -= p.max(axis=1, keepdims=True)
-    np.exp(p, out=p)
-    p /= p.sum(axis=1, keepdims=True)
-    p[np.arange(n), around[at]] -= 1.0
-    p /= n
-    dh = p @ w2.T
-    grads = []
-    if known is not None:
-        du, dc = np.zeros_like(u), np.zeros_like(c)
-        order, spans = _by_class(near[at], known)
-        hs, ts, ds = h[order], near[at][order], np.zeros_like(h)
-        for x, y, a, b in spans:
-            mine, weights = hs[x:y], u[a:b]
-            q = mine @ weights.T
-            q += c[a:b]
-            q -= q.max(axis=1, keepdims=True)
-            np.exp(q, out=q)
-            q /= q.sum(axis=1, keepdims=True)
-            q[np.arange(y - x), ts[x:y] - a] -= 1.0
-            q /= n
-            ds[x:y] = q @ weights
-            du[a:b], dc[a:b] = q.T @ mine, q.sum(axis=0)
-        dh[order] += ds
+def train_step(params, moments, flat, places: range, window: int, rate: float, known: dict) -> int:
+    """One AdaGrad step on the mean log-loss of the tokens at ``places`` (in
+    place); paddings among them are no tokens.  Returns how many are."""
+    words, mats, _, w2, b2, u, c = params
+    low, step = places[0] - window, places.step
+    near = flat[low:places[-1] + window + 1]
+    inner = len(near) - window
+    target = near[window:inner:step]
+    real = target < len(c)
+    n = int(real.sum())
+    if n == 0:
+        return 0
+    seen, h = _hidden(params, near, window, step)
+    q = _exp(h, w2, b2, _safe(w2, b2))
+    q *= (real / (n * q.sum(axis=1)))[:, None].astype(q.dtype)
+    mine = np.flatnonzero(real)
+    q[mine, known["classes"][target[mine]]] -= 1.0 / n
+    dh = q @ w2.T
+    grads = [h.T @ q, q.sum(axis=0)]
+    du, dc = np.zeros_like(u), np.zeros_like(c)
+    order, spans = _by_class(target, known)  # paddings are beyond the last class
+    hs, ts, ds, safe = h[order], target[order], np.zeros_like(h), _safe(u.T, c)
+    for x, y, a, b in spans:
+        part, weights = hs[x:y], u[a:b]
+        q = _exp(part, weights.T, c[a:b], safe)
+        q *= (1.0 / (n * q.sum(axis=1)))[:, None]
+        q[np.arange(y - x), ts[x:y] - a] -= 1.0 / n
+        ds[x:y] = q @ weights
+        du[a:b], dc[a:b] = q.T @ part, q.sum(axis=0)
+    dh[order] += ds
     dz = dh * (1.0 - h * h)
-    if known is not None:
-        spread, dscale = np.zeros_like(seen), np.empty_like(scale)
-        for k, o in enumerate(offsets):  # the places are distinct, so nothing is added twice
-            dscale[k] = (seen[at + o] * dz).sum(axis=0)
-            spread[at + o] += dz * scale[k]
-        codes, g = _sums(near, spread)
-        grads = [dscale, du, dc]
-        m = moments[4][codes] + g * g
-        moments[4][codes] = m
-        words[codes] -= rate * g / (np.sqrt(m) + 1e-6)
-    de = np.zeros_like(e)
-    for k, o in enumerate(offsets):
-        classes, g = _sums(around[at + o], dz)
-        de[k][classes] = g
-    grads = [de, dz.sum(axis=0), h.T @ p, p.sum(axis=0), *grads]
-    for value, m, g in zip(params[:4] + params[5:], moments[:4] + moments[5:], grads):
+    spread, dmats = np.zeros_like(seen), np.empty_like(mats)
+    for k, o in enumerate(_offsets(window)):
+        around = slice(window + o, inner + o, step)
+        dmats[k] = seen[around].T @ dz
+        spread[around] += dz @ mats[k].T
+    dwords = np.stack([np.bincount(near, weights=column, minlength=len(words)) for column in spread.T.copy()], axis=1)
+    for value, m, g in zip(params, moments, [dwords.astype(words.dtype), dmats, dz.sum(axis=0), *grads, du, dc]):
         m += g * g
         value -= rate * g / (np.sqrt(m) + 1e-6)
+    return n
 
 
-def _groups(batches, window: int, beyond: int, kind=np.uint8):
+def _groups(batches, window: int, beyond: int, kind=np.uint16):
     for batch in batches:
         column = batch.column("codes")
         rows, held, size = [], [], 0
@@ -480,7 +457,7 @@ def _train(shared_state, round_number: int, window: int, stride: int, rate: floa
     """Parameters, squared step sizes and examples of every shard."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = shared_layout.value
-        now, seen, params, moments = None, 0, [], []
+        now, seen, block, params, moments = None, 0, 0, [], []
 
         def done():
             flat = np.concatenate([flatten(params), flatten(moments)]).astype(np.float32)
@@ -491,16 +468,17 @@ def _train(shared_state, round_number: int, window: int, stride: int, rate: floa
 
         for shard, codes in _shard_groups(batches):
             if shard != now:
-                if seen:
+                if now is not None:
                     yield done()
-                now, seen = shard, 0
+                now, seen, block = shard, 0, 0
                 params, moments = [[p.copy() for p in x] for x in shared_state.value]
-            flat, place, _ = _padded(codes, window, len(known["prior"]), np.uint16)
-            mine = place[round_number % stride::stride]
-            for a in range(0, len(mine), size):
-                train_step(params, moments, flat, mine[a:a + size], window, rate, known)
-            seen += len(mine)
-        if seen:
+            flat, _, _ = _padded(codes, window, len(known["prior"]))
+            for a in range(window, len(flat) - window, size):
+                if block % stride == round_number % stride:
+                    places = range(a, min(a + size, len(flat) - window))
+                    seen += train_step(params, moments, flat, places, window, rate, known)
+                block += 1
+        if now is not None:
             yield done()
     return run
 
@@ -511,8 +489,8 @@ def _averaged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     weight: dict[int, int] = {}
     for batch in batches:
         for i, v, n in zip(*[batch.column(c).to_pylist() for c in ("i", "v", "n")]):
-            total[i] = total.get(i, 0.0) + np.frombuffer(v, np.float32).astype(np.float64) * n
-            weight[i] = weight.get(i, 0) + n
+            total[i] = total.get(i, 0.0) + np.frombuffer(v, np.float32).astype(np.float64) * max(n, 1)
+            weight[i] = weight.get(i, 0) + max(n, 1)
     if total:
         yield pa.RecordBatch.from_pydict({
             "i": pa.array(list(total), pa.int32()),
@@ -522,8 +500,8 @@ def _averaged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _score(shared_params, shared_layout, window: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = shared_layout.value
-        params = folded(shared_params.value, known)
-        for batch, rows, flat, place, text in _groups(batches, window, len(known["prior"]), np.uint16):
+        params = shared_params.value
+        for batch, rows, flat, place, text in _groups(batches, window, len(known["prior"])):
             total = np.zeros(len(rows))
             for a in range(0, len(place), 1 << 15):
                 part = place[a:a + (1 << 15)]
@@ -557,7 +535,7 @@ def train(sharded: DataFrame, shared_layout, n_tokens: int, rounds: int = ROUNDS
     """Parameters after ``rounds`` of steps in every shard and averaging.  The
     driver receives the averaged parameters and moments, 4 bytes each."""
     sc = sharded.sparkSession.sparkContext
-    params = initial_words(shared_layout.value, window, hidden)
+    params = initial(shared_layout.value, window, hidden)
     moments = [np.full_like(p, 1e-6) for p in params]
     for r in range(rounds):
         run = _train(sc.broadcast((params, moments)), r, window, stride, rate, step_tokens(n_tokens, stride),
@@ -591,7 +569,7 @@ def pseudo_likelihood(docs: DataFrame, size: int = VOCABULARY, top: int = TOP, s
     bits = min(max((n_tokens // _PART_TOKENS).bit_length(), 5), 14)
     encoded = cut_lineage(encode(docs, shared_layout, bits))
     params = train(in_shards(encoded, n_tokens), shared_layout, n_tokens, rounds, stride=stride) if rounds else \
-        initial_words(shared_layout.value)
+        initial(shared_layout.value)
     scored = encoded.filter("part is null").select("rid", "doc_id", "codes") \
         .mapInArrow(_score(sc.broadcast(params), shared_layout, WINDOW),
                     "rid long, doc_id long, n_tokens long, log_likelihood double")
