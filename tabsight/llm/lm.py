@@ -28,6 +28,7 @@ from __future__ import annotations
 
 import zlib
 from array import array
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -38,10 +39,10 @@ from pyspark.sql import functions as F
 from pyspark.taskcontext import TaskContext
 
 from . import bytesops as B
-from .common import cut_lineage, ships, text_rows, words_of
+from .common import cut_lineage, ships, text_rows
 
 #: A code stands for at least about one token in so many.
-VOCABULARY = 4_096
+VOCABULARY = 3_072
 TOP = 48
 #: Least number of classes of the other codes.
 SHARED = 16
@@ -62,9 +63,27 @@ _PART = 1024
 _PART_TOKENS = 1 << 20
 
 
+def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    seen: Counter = Counter()
+
+    def part():
+        return pa.RecordBatch.from_pydict({"word": pa.array(list(seen), pa.binary()).cast(pa.string()),
+                                           "n": pa.array(list(seen.values()), pa.int64())})
+
+    for batch in batches:
+        column = batch.column("text")
+        for i in range(batch.num_rows):
+            seen.update(column[i].as_buffer().to_pybytes().split())
+            if len(seen) > _TOKENS:
+                yield part()
+                seen.clear()
+    yield part()
+
+
 def word_counts(docs: DataFrame) -> DataFrame:
     """``word, count`` over all texts."""
-    return text_rows(docs).select(F.explode(words_of(F.col("text"))).alias("word")).groupBy("word").count()
+    return text_rows(docs).select("text").mapInArrow(_counted, "word string, n long") \
+        .groupBy("word").agg(F.sum("n").alias("count"))
 
 
 def shared_class(word: bytes, top: int, shared: int) -> int:
@@ -130,27 +149,26 @@ def layout(known: dict) -> dict:
             "mass": np.array(mass), "bounds": bounds, "top": top, "shared": shared, "buckets": buckets}
 
 
-def code_of(word: bytes, known: dict) -> int:
-    """The code of a word: its own, or that of its bucket."""
-    own = known["codes"].get(word)
-    if own is not None:
-        return own
-    crc = zlib.crc32(word)
-    return known["bounds"][crc % known["shared"]] + crc // known["shared"] % known["buckets"]
-
-
 class _Words(dict):
     """Numbers of the words a task meets, with their codes and, for unlisted
     words, their hashes (others: 0)."""
 
     def __init__(self, known: dict):
         super().__init__()
-        self.known, self.codes, self.hashes = known, array("H"), array("Q")
+        self.own, self.bounds = known["codes"].get, known["bounds"]
+        self.shared, self.buckets = known["shared"], known["buckets"]
+        self.codes, self.hashes = array("H"), array("Q")
 
     def __missing__(self, word: bytes) -> int:
         number = self[word] = len(self.codes)
-        self.codes.append(code_of(word, self.known))
-        self.hashes.append(0 if word in self.known["codes"] else xxhash.xxh3_64_intdigest(word) or 1)
+        code = self.own(word)
+        if code is None:
+            crc = zlib.crc32(word)
+            self.codes.append(self.bounds[crc % self.shared] + crc // self.shared % self.buckets)
+            self.hashes.append(xxhash.xxh3_64_intdigest(word) or 1)
+        else:
+            self.codes.append(code)
+            self.hashes.append(0)
         return number
 
 
@@ -337,6 +355,14 @@ def _hidden(params, near: np.ndarray, window: int, step: int = 1):
     return seen, np.tanh(z, out=z)
 
 
+def _row_sums(q: np.ndarray) -> np.ndarray:
+    return q @ np.ones(q.shape[1], q.dtype)
+
+
+def _column_sums(q: np.ndarray) -> np.ndarray:
+    return np.ones(len(q), q.dtype) @ q
+
+
 def _safe(weights: np.ndarray, bias: np.ndarray) -> bool:
     """Whether no sum of these, with inputs up to 1, can leave the range of exp."""
     return float((np.abs(weights).sum(axis=0) + np.abs(bias)).max(initial=0)) < 60
@@ -368,12 +394,12 @@ def log_probability(params, flat, place, window: int, known: dict) -> np.ndarray
     h = h[place - place[0]]
     target = flat[place]
     q = _exp(h, w2, b2, _safe(w2, b2))
-    out = np.log(q[np.arange(len(place)), known["classes"][target]] / q.sum(axis=1)).astype(np.float64)
+    out = np.log(q[np.arange(len(place)), known["classes"][target]] / _row_sums(q)).astype(np.float64)
     order, spans = _by_class(target, known)
     hs, ts, safe = h[order], target[order], _safe(u.T, c)
     for x, y, a, b in spans:
         q = _exp(hs[x:y], u[a:b].T, c[a:b], safe)
-        out[order[x:y]] += np.log(q[np.arange(y - x), ts[x:y] - a] / q.sum(axis=1))
+        out[order[x:y]] += np.log(q[np.arange(y - x), ts[x:y] - a] / _row_sums(q))
     return out
 
 
@@ -391,21 +417,21 @@ def train_step(params, moments, flat, places: range, window: int, rate: float, k
         return 0
     seen, h = _hidden(params, near, window, step)
     q = _exp(h, w2, b2, _safe(w2, b2))
-    q *= (real / (n * q.sum(axis=1)))[:, None].astype(q.dtype)
+    q *= (real / (n * _row_sums(q)))[:, None].astype(q.dtype)
     mine = np.flatnonzero(real)
     q[mine, known["classes"][target[mine]]] -= 1.0 / n
     dh = q @ w2.T
-    grads = [h.T @ q, q.sum(axis=0)]
+    grads = [(q.T @ h).T, _column_sums(q)]
     du, dc = np.zeros_like(u), np.zeros_like(c)
     order, spans = _by_class(target, known)  # paddings are beyond the last class
     hs, ts, ds, safe = h[order], target[order], np.zeros_like(h), _safe(u.T, c)
     for x, y, a, b in spans:
         part, weights = hs[x:y], u[a:b]
         q = _exp(part, weights.T, c[a:b], safe)
-        q *= (1.0 / (n * q.sum(axis=1)))[:, None]
+        q *= (1.0 / (n * _row_sums(q)))[:, None]
         q[np.arange(y - x), ts[x:y] - a] -= 1.0 / n
         ds[x:y] = q @ weights
-        du[a:b], dc[a:b] = q.T @ part, q.sum(axis=0)
+        du[a:b], dc[a:b] = q.T @ part, _column_sums(q)
     dh[order] += ds
     dz = dh * (1.0 - h * h)
     spread, dmats = np.zeros_like(seen), np.empty_like(mats)

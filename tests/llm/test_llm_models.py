@@ -112,7 +112,8 @@ def test_word_probabilities_add_up(spark):
         placed = lm.layout(known)
         total: dict[int, float] = {}
         for w, n in counts.items():
-            code = lm.code_of(w.encode(), placed)
+            memo = lm._Words(placed)
+            code = memo.codes[memo[w.encode()]]
             p = np.exp(placed["prior"][code])
             if w.encode() not in placed["codes"]:
                 p *= n / np.exp(placed["mass"][code])
