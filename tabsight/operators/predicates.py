@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import datetime
 import decimal
 import math
 from collections.abc import Sequence
@@ -23,6 +24,8 @@ ALL = "All"
 # same typed values, so the length of a list never changes its meaning.
 ISIN_LIMIT = 1000
 
+_EXACT = decimal.Context(prec=100)
+
 
 def typed_values(values: Sequence, dtype: T.DataType) -> list:
     """The distinct values of a membership list in the column's own type;
@@ -44,14 +47,47 @@ def typed_values(values: Sequence, dtype: T.DataType) -> list:
                 v = float(v)
             elif isinstance(dtype, T.DecimalType):
                 v = decimal.Decimal(str(v))
+                if v != v.quantize(decimal.Decimal(1).scaleb(-dtype.scale), context=_EXACT) \
+                        or abs(v) >= decimal.Decimal(10) ** (dtype.precision - dtype.scale):
+                    continue
+            elif isinstance(dtype, T.BooleanType):
+                if not isinstance(v, bool):
+                    continue
+            elif isinstance(dtype, T.DateType):
+                at = _moment(v)
+                if at.time() != datetime.time():
+                    continue
+                v = at.date()
+            elif isinstance(dtype, (T.TimestampType, T.TimestampNTZType)):
+                v = _moment(v)
             elif isinstance(dtype, T.StringType):
                 v = str(v)
-        except (ValueError, ArithmeticError):
+        except (TypeError, ValueError, ArithmeticError):
             continue
         out.append(v)
     return list(dict.fromkeys(out))
 
 
+def _moment(value) -> datetime.datetime:
+    """A day or time, or an ISO text of one, without a zone."""
+    if isinstance(value, datetime.datetime):
+        at = value
+    elif isinstance(value, datetime.date):
+        at = datetime.datetime.combine(value, datetime.time())
+    else:
+        at = datetime.datetime.fromisoformat(str(value))
+    if at.tzinfo is not None:
+        raise ValueError(f"a time without a zone is wanted: {value!r}")
+    return at
+
+
+def _as_literal(value):
+    """The value as Spark reads it without a zone of the driver's (days and
+    times travel as text and are cast there)."""
+    return value.isoformat(" ") if isinstance(value, datetime.datetime) else \
+        value.isoformat() if isinstance(value, datetime.date) else value
+
+
 def _wide_type(dtype: T.DataType) -> T.DataType:
     return T.LongType() if isinstance(dtype, T.IntegralType) else \
         T.DoubleType() if isinstance(dtype, T.FloatType) else dtype
@@ -72,8 +108,8 @@ def filter_predicate(df: DataFrame, spec: dict):
             return None
         dtype = df.schema[col].dataType
         wide = _wide_type(dtype)
-        known = typed_values(value, dtype)
-        return c.cast(wide).isin(known) if wide != dtype else c.isin(known)
+        known = [F.lit(_as_literal(v)).cast(wide) for v in typed_values(value, dtype)]
+        return (c.cast(wide) if wide != dtype else c).isin(*known) if known else F.lit(False)
     if kind in ("range", "slider"):
         if family_of(df.schema[col].dataType) != NUMBER or value is None:
             return None
@@ -92,8 +128,10 @@ def apply_filters(df: DataFrame, filters: Sequence[dict]) -> DataFrame:
                 and spec["column"] in df.columns):
             dtype = df.schema[spec["column"]].dataType
             wide = _wide_type(dtype)
-            schema = T.StructType([T.StructField("_member", wide)])
-            keys = df.sparkSession.createDataFrame([(v,) for v in typed_values(value, dtype)], schema)
+            known = [(_as_literal(v),) for v in typed_values(value, dtype)]
+            as_text = isinstance(dtype, (T.DateType, T.TimestampType, T.TimestampNTZType))
+            schema = T.StructType([T.StructField("_member", T.StringType() if as_text else wide)])
+            keys = df.sparkSession.createDataFrame(known, schema).select(F.col("_member").cast(wide).alias("_member"))
             out = out.join(F.broadcast(keys), ref(spec["column"]).cast(wide) == F.col("_member"), "left_semi")
             continue
         pred = filter_predicate(out, spec)

@@ -176,6 +176,21 @@ def _category_name(value) -> str:
     return str(value)
 
 
+def dummy_names(col: str, values: Sequence, taken: Sequence[str]) -> list[str]:
+    """``<col>_<value>`` of every value; a name that is taken already, by a
+    column or another value, gets the next free number (``_2``, ``_3``, ...)."""
+    used, out = {x.lower() for x in taken}, []
+    for v in values:
+        name = plain = f"{col}_{_category_name(v)}"
+        n = 1
+        while name.lower() in used:
+            n += 1
+            name = f"{plain}_{n}"
+        used.add(name.lower())
+        out.append(name)
+    return out
+
+
 def categories(df: DataFrame, col: str, limit: int | None = None) -> list:
     """The sorted distinct values of a column.  They become column names, so
     the schema holds them all; a caller who wants a bound sets ``limit``, and
@@ -209,8 +224,8 @@ def one_hot(df: DataFrame, cols: Sequence[str], max_categories: int | None = Non
         value = nan_to_null(out, c)
         vals = categories(out, c, max_categories)
         keep = [ref(x) for x in out.columns if x != c]
-        dummies = [F.coalesce(value == F.lit(v), F.lit(False)).alias(f"{c}_{_category_name(v)}")
-                   for v in vals]
+        names = dummy_names(c, vals, [x for x in out.columns if x != c])
+        dummies = [F.coalesce(value == F.lit(v), F.lit(False)).alias(name) for v, name in zip(vals, names)]
         out = out.select(*keep, *dummies)
     return out
 
@@ -247,8 +262,10 @@ def attach_codes(df: DataFrame, col: str, codes: DataFrame) -> DataFrame:
     keyed = df.withColumn("_lbl_spread", spread)
     joined = keyed.join(named, (nan_to_null(keyed, col) == F.col("_lbl_value"))
                         & (F.col("_lbl_spread") == F.col("_lbl_zero")), "left")
-    return joined.select(*[ref(x) for x in df.columns],
-                         F.coalesce(F.col("_lbl_code"), F.lit(-1)).cast("bigint").alias(f"{col}_encoded"))
+    code, name = F.coalesce(F.col("_lbl_code"), F.lit(-1)).cast("bigint"), f"{col}_encoded"
+    if name in df.columns:  # assigned anew, in its place
+        return joined.select(*[code.alias(x) if x == name else ref(x) for x in df.columns])
+    return joined.select(*[ref(x) for x in df.columns], code.alias(name))
 
 
 def label_encode(df: DataFrame, cols: Sequence[str]) -> DataFrame:
@@ -374,7 +391,8 @@ def _transform_step(df: DataFrame, fitted: dict | None, strict: bool) -> DataFra
                 new = value.isNotNull() & ~value.isin(vals)
                 dummies = [F.when(new, _new_category(value, c).cast("boolean")).otherwise(d) for d in dummies]
             keep = [ref(x) for x in out.columns if x != c]
-            out = out.select(*keep, *[d.alias(f"{c}_{_category_name(v)}") for d, v in zip(dummies, vals)])
+            names = dummy_names(c, vals, [x for x in out.columns if x != c])
+            out = out.select(*keep, *[d.alias(name) for d, name in zip(dummies, names)])
         return out
     if kind == "label":
         out = df

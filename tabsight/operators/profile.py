@@ -115,22 +115,14 @@ def profile(df: DataFrame, cols: Sequence[str] | None = None,
     nums = [c for c in cols if fam[c] == NUMBER]
     texts = [c for c in cols if fam[c] == TEXT]
     out = base
-    # Columns whose medians go through the value histogram get their exact
-    # distinct counts from it; the others are counted in one separate pass
-    # (mixed into the main aggregate, Spark's distinct rewrite would copy
-    # every wide row once per column).
-    from_hist: dict = {}
     if nums:
-        out = out.join(S.per_column(S.quantiles_wide(df, nums, {"median": 0.5}, exact=exact,
-                                        distinct_counts=None if approx_distinct else from_hist)),
-                       "column", "left")
+        out = out.join(S.per_column(S.quantiles_wide(df, nums, {"median": 0.5}, exact=exact)), "column", "left")
     else:
         out = out.withColumn("median", none)
-    rest = [c for c in cols if c not in from_hist.get("histogram_columns", [])]
-    uniques = S.unique_counts(df, rest, approx=approx_distinct, hash_texts=long_texts).select(
-        "column", "n_unique")
-    if "frame" in from_hist:
-        uniques = uniques.unionByName(from_hist["frame"])
+    # Exact distinct counts are one separate pass: mixed into the main
+    # aggregate, Spark's distinct rewrite would copy every wide row once per
+    # column.
+    uniques = S.unique_counts(df, cols, approx=approx_distinct, hash_texts=long_texts).select("column", "n_unique")
     out = out.join(S.per_column(uniques), "column", "left")
     if texts and samples:
         out = out.join(S.per_column(S.column_samples(df, texts, samples)), "column", "left")

@@ -3,9 +3,8 @@
 Design rules:
 * statistics of many columns are fused into one aggregate pass and then
   reshaped to one row per column (a Generate over a single row);
-* exact quantiles never build an unbounded value->count map in one task:
-  columns are histogrammed by a shuffle with map-side combine and located with
-  a distributed running count (``ordering.running_total``);
+* exact quantiles shuffle no values: ranks are found by rounds of counting
+  bins (``ranks``);
 * NaN is treated as missing everywhere (pandas ``isna``).
 """
 
@@ -21,7 +20,7 @@ from pyspark.sql import types as T
 from ..functions.aggregates import count_missing, sample_skewness
 from ..functions.scalars import (DATETIME, NUMBER, TEXT, columns_of, family_of,
                                  is_missing, nan_to_null)
-from .ordering import running_total
+from .ranks import at_quantiles
 
 QUARTILES = {"q1": 0.25, "median": 0.5, "q3": 0.75}
 
@@ -177,18 +176,15 @@ def _long_values(df: DataFrame, cols: Sequence[str]) -> DataFrame:
 
 
 def quantiles(df: DataFrame, cols: Sequence[str], probs: Sequence[float] = (0.25, 0.5, 0.75),
-              exact: bool = True, accuracy: int = 100_000,
-              distinct_counts: dict | None = None) -> DataFrame:
+              exact: bool = True, accuracy: int = 100_000) -> DataFrame:
     """Quantiles with linear interpolation: (column, prob, value).
 
     ``exact=True`` reproduces pandas ``quantile`` (position p * (n - 1),
-    interpolated between neighbours).  All columns are histogrammed in one
-    pass (a shuffle of distinct (column, value) pairs with map-side counting)
-    and the neighbouring ranks are found with a distributed running count, so
-    no task holds more than its share.
+    interpolated between neighbours) by rounds of counting (``ranks``): two to
+    four scans of the columns, and neither a shuffle nor a sort of values.
 
     ``exact=False`` uses mergeable ``percentile_approx`` sketches (rank error
-    about 1/accuracy) in one pass without a shuffle of values.
+    about 1/accuracy) in one pass.
     """
     cols = _numeric(df, cols)
     schema = "column string, prob double, value double"
@@ -199,9 +195,12 @@ def quantiles(df: DataFrame, cols: Sequence[str], probs: Sequence[float] = (0.25
         wide = df.agg(*[F.percentile_approx(nan_to_null(df, c).cast("double"), probs, accuracy)
                         .alias(f"q__{c}") for c in cols])
         return _explode_probs(wide, cols, probs)
-    if distinct_counts is not None:
-        distinct_counts["histogram_columns"] = list(cols)
-    return _histogram_quantiles(df, cols, probs, distinct_counts)
+    rows = []
+    for start in range(0, len(cols), COLUMNS_PER_PASS):
+        chunk = cols[start:start + COLUMNS_PER_PASS]
+        found = at_quantiles(df, [nan_to_null(df, c) for c in chunk], probs)
+        rows += [(c, p, v) for c, of in zip(chunk, found) for p, v in of.items()]
+    return df.sparkSession.createDataFrame(rows, schema)
 
 
 def _explode_probs(wide: DataFrame, cols: Sequence[str], probs: Sequence[float]) -> DataFrame:
@@ -211,44 +210,10 @@ def _explode_probs(wide: DataFrame, cols: Sequence[str], probs: Sequence[float])
         "value")
 
 
-def _histogram_quantiles(df: DataFrame, cols: Sequence[str], probs: Sequence[float],
-                         distinct_counts: dict | None = None) -> DataFrame:
-    """Exact quantiles from a value histogram and a distributed running count.
-
-    When ``distinct_counts`` is a dict it receives, per column, a one-row-per-
-    column DataFrame of (column, n_unique): the histogram has one row per
-    distinct value, so the distinct counts come for free.
-    """
-    hist = (_long_values(df, cols).groupBy("column", "value").agg(F.count(F.lit(1)).alias("cnt"))
-            .withColumn("one", F.lit(1).cast("bigint")))
-    ranked, totals = running_total(hist, ["value"], ["cnt", "one"], ["cum", "distinct_rank"],
-                                   group_cols=["column"])
-    if distinct_counts is not None:
-        distinct_counts["frame"] = totals.select("column", F.col("distinct_rank").alias("n_unique"))
-    targets = (totals.select("column", F.col("cum").alias("n"),
-                             F.explode(F.array(*[F.lit(p) for p in probs])).alias("prob"))
-               .withColumn("pos", F.col("prob") * (F.col("n") - 1))
-               .withColumn("lo", F.floor("pos"))
-               .withColumn("hi", F.ceil("pos")))
-    # targets: one row per (column, prob), broadcast to the ranked histogram.
-    t = F.broadcast(targets.alias("t"))
-    r = ranked.alias("r")
-    start = F.col("r.cum") - F.col("r.cnt")
-    covers = lambda rank: (start <= F.col(rank)) & (F.col(rank) < F.col("r.cum"))
-    hits = r.join(t, (F.col("r.column") == F.col("t.column"))
-                  & (covers("t.lo") | covers("t.hi")), "inner")
-    picked = hits.groupBy(F.col("t.column").alias("column"), F.col("t.prob").alias("prob")).agg(
-        F.max(F.when(covers("t.lo"), F.col("r.value"))).alias("v_lo"),
-        F.max(F.when(covers("t.hi"), F.col("r.value"))).alias("v_hi"),
-        F.first(F.col("t.pos") - F.col("t.lo")).alias("frac"))
-    return picked.select("column", "prob",
-                         (F.col("v_lo") + (F.col("v_hi") - F.col("v_lo")) * F.col("frac")).alias("value"))
-
-
 def quantiles_wide(df: DataFrame, cols: Sequence[str], names: Mapping[str, float] = QUARTILES,
-                   exact: bool = True, distinct_counts: dict | None = None) -> DataFrame:
+                   exact: bool = True) -> DataFrame:
     """(column, <name>...) with one quantile per named column."""
-    long = quantiles(df, cols, list(names.values()), exact=exact, distinct_counts=distinct_counts)
+    long = quantiles(df, cols, list(names.values()), exact=exact)
     return long.groupBy("column").agg(
         *[F.max(F.when(F.col("prob") == p, F.col("value"))).alias(n) for n, p in names.items()])
 

@@ -214,15 +214,13 @@ def _replay(spark, d):
 
 
 def _stream_replay(spark, d):
-    """lineitem_dirty dropped into a folder in four files that hold different
-    categories, prepared by the file stream one file at a time."""
+    """lineitem_dirty dropped into a folder for each category by one parallel
+    write, prepared by the file stream a few files at a time."""
     from ..streaming.replay import read_prepared, replay_stream
     src, sink, ckpt = (scratch_path(spark, n) for n in ("stream-src", "stream-out", "stream-ckpt"))
     dirty = lineitem_dirty(spark, d)
-    for part in ("A", "N", "R", None):
-        some = F.col("l_returnflag").eqNullSafe(F.lit(part))
-        dirty.where(some).coalesce(1).write.mode("append").parquet(src)
-    q = replay_stream(spark, src, dirty.schema, STEPS, sink, ckpt, max_files_per_trigger=1)
+    dirty.withColumn("part", F.col("l_returnflag")).write.partitionBy("part").parquet(src)
+    q = replay_stream(spark, f"{src}/*", dirty.schema, STEPS, sink, ckpt, max_files_per_trigger=8)
     q.awaitTermination()
     out = read_prepared(spark, sink)
     return rounded(out.select(*[c for c in out.columns]))

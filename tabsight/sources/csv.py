@@ -8,6 +8,8 @@ column's type (bigint, double, boolean or text), and the columns are cast.
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -32,14 +34,20 @@ INTEGER_PATTERN = r"^\s*[+-]?\d+\s*$"
 
 
 def read_csv(spark: SparkSession, path: str, na_tokens=PANDAS_NA_TOKENS, infer: bool = True,
-             sep: str = ",", multiline: bool = False) -> DataFrame:
+             sep: str = ",", multiline: bool | None = None) -> DataFrame:
     """Read a header CSV; missing tokens -> NULL; types inferred in one pass.
 
     Quotes inside a quoted field are written doubled (``""``), as pandas
-    reads them.  ``multiline=True`` allows line breaks inside quoted fields;
-    it makes each file a single split, so it is off by default.  A row shorter
-    than the header is padded with missing values; a longer one is an error.
+    reads them, and may hold line breaks.  A file with such fields cannot be
+    split; whether there are any is found by one scan of the lines (a line
+    with an odd number of quotes), unless ``multiline`` says so.  A row shorter
+    than the header is padded with missing values; a longer one is an error,
+    whatever its fields hold.
     """
+    if multiline is None:
+        quotes = F.length("value") - F.length(F.replace(F.col("value"), F.lit('"')))
+        multiline = bool(spark.read.text(path).where(quotes % 2 == 1).head(1))
+
     def reader(mode):
         return (spark.read.option("header", True).option("inferSchema", False)
                 .option("sep", sep).option("quote", '"').option("escape", '"')
@@ -51,7 +59,11 @@ def read_csv(spark: SparkSession, path: str, na_tokens=PANDAS_NA_TOKENS, infer:
         marked = T.StructType([*raw.schema.fields, T.StructField(MALFORMED, T.StringType())])
         raw = reader("PERMISSIVE").option("columnNameOfCorruptRecord", MALFORMED).schema(marked).csv(path)
         last = ref(raw.columns[-2])
-        too_long = F.col(MALFORMED).isNotNull() & last.isNotNull()
+        # a malformed row has fewer or more fields than the header: count the
+        # separators outside quoted fields
+        bare = F.regexp_replace(F.col(MALFORMED), f'(^|{re.escape(sep)})"(?:[^"]|"")*"', "$1")
+        fields = F.length(bare) - F.length(F.replace(bare, F.lit(sep))) + 1
+        too_long = F.col(MALFORMED).isNotNull() & (fields > len(raw.columns) - 1)
         raw = raw.select(*[ref(c) for c in raw.columns[:-2]], F.when(
             too_long, F.raise_error(F.concat(F.lit("row with more fields than the header: "), F.col(MALFORMED)))
             .cast("string")).otherwise(last).alias(raw.columns[-2]))

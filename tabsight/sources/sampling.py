@@ -7,6 +7,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from ..functions.scalars import ref
 
 
@@ -47,10 +48,22 @@ def preview(df: DataFrame, order_by: Sequence[str], n: int = 10) -> DataFrame:
 def head_tail(df: DataFrame, order_by: Sequence[str], limit: int = 10) -> DataFrame:
     """First and last ``limit`` rows; the whole frame when it has <= 2 * limit.
 
-    Two top-k plans and a union; rows found by both (small frames) appear
-    once because ``order_by`` is a unique key.
+    Two top-k plans and a union.  Rows that tie in ``order_by`` are put in
+    order by their other columns, so that no row is both head and tail; rows
+    alike in every column count as often as they occur.
     """
-    head = df.orderBy(*[F.asc(ref(c)) for c in order_by]).limit(limit).withColumn("_part", F.lit("head"))
-    tail = df.orderBy(*[F.desc(ref(c)) for c in order_by]).limit(limit).withColumn("_part", F.lit("tail"))
-    both = head.unionByName(tail)
-    return both.dropDuplicates(list(order_by)).drop("_part")
+    if df.limit(2 * limit + 1).count() <= 2 * limit:
+        return df.orderBy(*[ref(c) for c in order_by])
+    rest = [f.name for f in df.schema.fields if f.name not in order_by and not _unordered(f.dataType)]
+    keys = [ref(c) for c in [*order_by, *rest]]
+    head = df.orderBy(*[k.asc_nulls_first() for k in keys]).limit(limit)
+    return head.union(df.orderBy(*[k.desc_nulls_last() for k in keys]).limit(limit))
+
+
+def _unordered(dtype: T.DataType) -> bool:
+    """Maps (and what holds them) have no order in Spark."""
+    if isinstance(dtype, T.ArrayType):
+        return _unordered(dtype.elementType)
+    if isinstance(dtype, T.StructType):
+        return any(_unordered(f.dataType) for f in dtype.fields)
+    return isinstance(dtype, (T.MapType, T.VariantType))

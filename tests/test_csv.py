@@ -3,6 +3,8 @@
 import os
 import tempfile
 
+import pytest
+
 from tabsight.sources import read_csv
 
 
@@ -56,3 +58,28 @@ def test_write_read_round_trip_with_quotes(spark):
     parts = [os.path.join(path, f) for f in os.listdir(path) if f.endswith(".csv")]
     pdf = pd.concat(pd.read_csv(p) for p in parts).sort_values("id")
     assert pdf["s"].iloc[0] == 'a "quoted", text'
+
+
+def written(text):
+    path = os.path.join(tempfile.mkdtemp(prefix="tabsight-csv-"), "f.csv")
+    with open(path, "w") as f:
+        f.write(text)
+    return path
+
+
+def test_line_breaks_in_quotes_without_an_option(spark):
+    rows = read_csv(spark, written('id,note,n\n1,"two\nlines, ""so""",5\n2,plain,6\n')).orderBy("id").collect()
+    assert [tuple(r) for r in rows] == [(1, 'two\nlines, "so"', 5), (2, "plain", 6)]
+    rows = read_csv(spark, written('id,size\n1,5" disk\n2,7\n')).orderBy("id").collect()
+    assert [tuple(r) for r in rows] == [(1, '5" disk'), (2, "7")]
+
+
+@pytest.mark.parametrize("row", ["6,7,,8", "6,7,8,", "6,,,", "6,7,,,9", '"6,1",7,"",8', ',,,""'])
+def test_rows_with_too_many_fields_are_an_error(spark, row):
+    with pytest.raises(Exception, match="more fields than the header"):
+        read_csv(spark, written(f"a,b,c\n1,2,3\n{row}\n")).collect()
+
+
+def test_short_rows_and_quoted_separators_are_not_too_long(spark):
+    rows = read_csv(spark, written('a,b,c\n1\n2,"x,y,z,w"\n3,"p,q",r\n4,,\n')).orderBy("a").collect()
+    assert [tuple(r) for r in rows] == [(1, None, None), (2, "x,y,z,w", None), (3, "p,q", "r"), (4, None, None)]

@@ -83,8 +83,8 @@ def test_quantiles_match_pandas(spark):
     s = pd.Series([v for v in vals if v is not None])
     for p in (0.1, 0.25, 0.5, 0.9):
         exp = s.quantile(p)
-        hist = {r["prob"]: r["value"] for r in S._histogram_quantiles(df, ["a"], [p]).collect()}
-        assert abs(hist[p] - exp) < 1e-12
+        got = {(r["column"], r["prob"]): r["value"] for r in S.quantiles(df, ["a", "b"], [p]).collect()}
+        assert abs(got["a", p] - exp) < 1e-12 and got["b", p] == got["a", p]
 
 
 def test_independent_of_partitioning(spark):
