@@ -15,8 +15,9 @@ from . import (decontaminate, langid, lm, mixing, phrases, quality, secrets, sim
                toxicity, urls, vector_codes)
 from .common import read_table
 
-#: Hosts whose pages make up the listed URLs of op6.
-LISTED_HOSTS = r"(^|\.)spam"
+#: Hosts whose pages make up the listed URLs of op6: the unwanted families
+#: (spam, casino, bets, pills, adult, ads) by the label that names them.
+LISTED_HOSTS = r"(^|\.)(spam|casino|adult|ads|free-bets|cheap-pills)[-.]"
 
 
 def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -129,7 +130,7 @@ rules(h, p, v) as (values ('net', '/', 'block'), ('example.net', '/en/', 'allow'
 fit as (select c.page_id, arg_max(h || p, length(h || p)) as rule, arg_max(v, length(h || p)) as verdict
         from c join rules on (host = h or ends_with(host, '.' || h)) and starts_with(path, p)
         group by c.page_id),
-spam as (select distinct canonical from c where regexp_matches(host, '(^|\.)spam') and canonical is not null)
+spam as (select distinct canonical from c where regexp_matches(host, '(^|\.)(spam|casino|adult|ads|free-bets|cheap-pills)[-.]') and canonical is not null)
 select c.page_id, c.host, c.path, fit.rule,
   coalesce(fit.verdict, case when spam.canonical is not null then 'block' else 'allow' end) as verdict,
   c.canonical,

@@ -29,8 +29,6 @@ from .common import cut_lineage, ships, text_rows
 
 #: Bound on the labelled rows that the model is fitted on.
 MAX_ROWS = 20_000
-MAX_TERMS = 800
-MAX_CONTEXT_WORDS = 1_000
 MIN_SUPPORT = 3
 MIN_LLR = 2.0
 WINDOW = 6
@@ -44,7 +42,8 @@ N_FEATURES = 7
 
 #: Of every code point below 0x300: 1 for letters and digits, else 0.
 WORD_CHARACTERS = np.array([int(chr(c).isalnum()) for c in range(_TABLE)], dtype=np.int16)
-QUOTES = "\"“”„«»"
+#: Marks that open a quotation, and those that close it.
+CLOSES = {"„": "“”", "“": "”", "«": "»", "»": "«"}
 
 
 def classes_of(codes: np.ndarray, table: np.ndarray = WORD_CHARACTERS) -> np.ndarray:
@@ -58,6 +57,21 @@ def classes_of(codes: np.ndarray, table: np.ndarray = WORD_CHARACTERS) -> np.nda
     return out
 
 
+def quoted(before: str, after: str) -> bool:
+    """Whether a quotation opens in ``before``, is still open at its end and
+    closes in ``after``.  Straight marks open and close in turn; the others by
+    their form („ closes with “)."""
+    if before.count('"') % 2 and '"' in after:
+        return True
+    opened = ""
+    for c in before:
+        if opened and c in CLOSES[opened]:
+            opened = ""
+        elif c in CLOSES:
+            opened = c
+    return bool(opened) and any(c in CLOSES[opened] for c in after)
+
+
 def allowed_edits(term: str) -> int:
     return 0 if len(term) < 4 else 1 if len(term) < 12 else 2
 
@@ -74,9 +88,12 @@ class Automaton:
         self.classes = WORD_CHARACTERS.copy()
         letters = sorted({ord(c) for t in terms for c in t if ord(c) < _TABLE and c.isalnum()})
         self.classes[letters] = np.arange(_OTHER + 1, _OTHER + 1 + len(letters))
-        self.n_classes = _OTHER + 1 + len(letters)
+        # the letters of other scripts: sorted code points, classes after those of the table
+        self.high = np.array(sorted({ord(c) for t in terms for c in t if ord(c) >= _TABLE}), dtype=np.int64)
+        self.first_high = _OTHER + 1 + len(letters)
+        self.n_classes = self.first_high + len(self.high)
         for i, t in enumerate(terms):
-            codes = classes_of(np.array([ord(c) for c in t]), self.classes).tolist()
+            codes = self.classify(np.array([ord(c) for c in t])).tolist()
             node, edits = 0, allowed_edits(t)
             self.limit[0] = max(self.limit[0], edits)
             for c in codes:
@@ -101,6 +118,18 @@ class Automaton:
         self.hit = np.full(1024, -1, dtype=np.int32)
         self.start = self._state({0: 0}) if terms else 0
 
+    def classify(self, codes: np.ndarray) -> np.ndarray:
+        """Classes of characters: each letter of a term has its own, whatever
+        its script; ``_OTHER`` is no letter of any term."""
+        out = classes_of(codes, self.classes)
+        if len(self.high):
+            above = np.flatnonzero(codes >= _TABLE)
+            at = np.minimum(np.searchsorted(self.high, codes[above]), len(self.high) - 1)
+            known = self.high[at] == codes[above]
+            out = out.copy()
+            out[above[known]] = self.first_high + at[known]
+        return out
+
     def _state(self, found: dict[int, int]) -> int:
         """Number of a set of (trie node: edits so far), closed under term
         characters that the word leaves out."""
@@ -144,7 +173,7 @@ class Automaton:
 
     def match(self, codes: np.ndarray, start: np.ndarray, length: np.ndarray):
         """(edits, term) of every word; -1 where no term is near enough."""
-        classes = classes_of(codes, self.classes)
+        classes = self.classify(codes)
         edits = np.full(len(start), -1, dtype=np.int8)
         hit = np.full(len(start), -1, dtype=np.int32)
         live = np.flatnonzero(length <= self.longest)
@@ -233,14 +262,15 @@ class Model:
         joined, codes, start, length, doc, begin = words_in(group)
         edits, hit = self.automaton.match(codes, start, length)
         idx = np.flatnonzero(hit >= 0)
-        quote = np.zeros(len(codes), dtype=bool)
-        for q in QUOTES:
-            quote |= codes == ord(q)
-        before = np.concatenate([[0], np.cumsum(quote)])
-        odd = (before[start[idx]] - before[begin[doc[idx]]]) % 2 == 1
+        low, high = np.searchsorted(doc, doc[idx]), np.searchsorted(doc, doc[idx], side="right")
+        low, high = np.maximum(idx - WINDOW, low), np.minimum(idx + WINDOW, high - 1)
         out = []
-        for i, d, e, t, q in zip(idx.tolist(), doc[idx].tolist(), edits[idx].tolist(), hit[idx].tolist(), odd.tolist()):
+        for i, d, e, t, a, b in zip(idx.tolist(), doc[idx].tolist(), edits[idx].tolist(), hit[idx].tolist(),
+                                    low.tolist(), high.tolist()):
             form = joined[start[i]:start[i] + length[i]]
+            # marks between the first and the last word of the window, and those beside them
+            first, last = max(start[a] - 1, begin[d]), start[b] + length[b] + 1
+            q = quoted(joined[first:start[i]], joined[start[i] + length[i]:last])
             w = self.forms.get(form)
             if w is None:
                 w = self.weights[t] * (1.0, 0.7, 0.4)[e]
@@ -390,7 +420,8 @@ def training_rows(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS)
 
 def train(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS) -> Model:
     """Fits the model; lexicon, context words and features of the bounded
-    sample are all that reaches the driver."""
+    sample are all that reaches the driver.  Every word with the support and
+    the log ratio is a term; terms under four letters match without edits."""
     sc = docs.sparkSession.sparkContext
     sample = cut_lineage(training_rows(docs, labels, max_rows).repartition(8))
     totals = {r.toxic: r["count"] for r in sample.groupBy("toxic").count().collect()}
@@ -401,16 +432,15 @@ def train(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS) -> Model
                         .groupBy("word").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic")))
     llr = F.log((F.col("toxic") + 0.5) / (n_toxic + 1.0)) - F.log((F.col("clean") + 0.5) / (n_clean + 1.0))
     picked = words.withColumn("llr", llr) \
-        .filter((F.col("llr") >= MIN_LLR) & (F.col("toxic") >= MIN_SUPPORT) & (F.length("word") >= 4)) \
-        .orderBy(F.desc(F.round(F.col("llr") * F.col("toxic"), 6)), "word").limit(MAX_TERMS).collect()
+        .filter((F.col("llr") >= MIN_LLR) & (F.col("toxic") >= MIN_SUPPORT)) \
+        .orderBy(F.desc(F.round(F.col("llr") * F.col("toxic"), 6)), "word").collect()
     model = Model([r.word for r in picked], [r.llr for r in picked])
     near = words.mapInArrow(_forms(sc.broadcast(model.state())), words.schema).collect()
     model.features([r.word for r in near] + model.terms)  # the automaton meets its usual states
     model.forms = {r.word: _llr(r.toxic, r.clean, n_toxic, n_clean) for r in near if r.toxic + r.clean >= 2}
     around = sample.mapInArrow(_windows(sc.broadcast(model.state())), "word string, clean long, toxic long") \
         .groupBy("word").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic")) \
-        .filter("clean + toxic >= 5").orderBy(F.desc(F.col("clean") + F.col("toxic")), "word") \
-        .limit(MAX_CONTEXT_WORDS).collect()
+        .filter("clean + toxic >= 5").orderBy(F.desc(F.col("clean") + F.col("toxic")), "word").collect()
     in_toxic, in_clean = sum(r.toxic for r in around), sum(r.clean for r in around)
     if in_toxic and in_clean:
         model.context = {r.word: _llr(r.toxic, r.clean, in_toxic, in_clean) for r in around}

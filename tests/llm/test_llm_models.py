@@ -60,6 +60,51 @@ def made_up(spark, quoted=False):
         spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
 
 
+def test_automaton_of_mixed_scripts():
+    r = random.Random(4)
+    letters = ["абвгдж", "日本語文字", "abcé", "αβγabc", "가나다"]
+    terms = list(dict.fromkeys("".join(r.choice(kind) for _ in range(r.randint(2, 13))) for kind in letters for _ in range(8)))
+    machine = toxicity.Automaton(terms)
+    words = ["".join(r.choice(kind) for _ in range(r.randint(1, 14))) for kind in [*letters, "абвzé", "слово日"] for _ in range(150)]
+    words += terms + [t[1:] for t in terms] + [t + "ж" for t in terms] + [t[:2] + "日" + t[3:] for t in terms]
+    words = [w for w in words if w]
+    _, codes, start, length, _, _ = toxicity.words_in(words)
+    edits, _ = machine.match(codes, start, length)
+    want = [min((brute.levenshtein(w, t) for t in terms if brute.levenshtein(w, t) <= toxicity.allowed_edits(t)),
+                default=-1) for w in words]
+    assert edits.tolist() == want
+
+
+def test_a_clean_russian_text_under_a_russian_lexicon(spark):
+    r = random.Random(6)
+    plain = ["добрый", "вечер", "город", "книга", "слово", "карты", "зелёный", "вода", "письмо", "окно"]
+    rows, labels = [], []
+    for i in range(400):
+        words = [r.choice(plain) for _ in range(30)]
+        if i % 2:
+            words[r.randrange(30)] = r.choice(["глупец", "мерзавец", "дрянь"])
+        rows.append((i, " ".join(words)))
+        labels.append((i, 1, i % 2))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    model = toxicity.train(docs, spark.createDataFrame(labels, "doc_id long, quality int, toxic int"))
+    asked = spark.createDataFrame([(1, "доброе утро друзья"), (2, "hello 日本語日本"), (3, " ".join(plain)), (4, "ты глупец и дряни")],
+                                  "doc_id long, text string")
+    got = {x.doc_id: x.predicted for x in toxicity.score(asked, model).collect()}
+    assert got == {1: 0, 2: 0, 3: 0, 4: 1}
+
+
+def test_quotations_are_paired_in_the_window():
+    for before, after, want in [
+            ('he said "you ', '" to me', True), ('a 5" board and ', " more", False), ('"one" ', ' and "two"', False),
+            ("„ein ", "“ Wort", True), ("“so ", "” he", True), ("„zu“ ", "“", False), ("« le ", " »", True),
+            ("» das ", "«", True), ("plain ", '"then"', False), ("”late ", "”", False), ("", "", False)]:
+        assert toxicity.quoted(before, after) is want, (before, after)
+    model = toxicity.Model(["dreck"], [3.0])
+    far = 'a 5" board ' + "word " * 20 + "dreck here"
+    quoted = {text: [m[4] for m in model.matches([text])[0]] for text in (far, 'they said "you dreck there" today', "dreck", 'x "dreck"')}
+    assert list(quoted.values()) == [[False], [True], [False], [True]]
+
+
 def test_toxicity_held_out(spark):
     docs, labels = made_up(spark)
     got = toxicity.score(docs, toxicity.train(docs, labels)).join(labels, "doc_id")
