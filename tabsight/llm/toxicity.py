@@ -29,6 +29,9 @@ from .common import cut_lineage, ships, text_rows
 
 #: Bound on the labelled rows that the model is fitted on.
 MAX_ROWS = 20_000
+#: Terms, best first by their ratio and support: a lexicon without this bound
+#: holds thousands of chance words and costs several times as much.
+MAX_TERMS = 800
 MIN_SUPPORT = 3
 MIN_LLR = 2.0
 WINDOW = 6
@@ -420,8 +423,8 @@ def training_rows(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS)
 
 def train(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS) -> Model:
     """Fits the model; lexicon, context words and features of the bounded
-    sample are all that reaches the driver.  Every word with the support and
-    the log ratio is a term; terms under four letters match without edits."""
+    sample are all that reaches the driver.  Terms under four letters match
+    without edits."""
     sc = docs.sparkSession.sparkContext
     sample = cut_lineage(training_rows(docs, labels, max_rows).repartition(8))
     totals = {r.toxic: r["count"] for r in sample.groupBy("toxic").count().collect()}
@@ -433,7 +436,7 @@ def train(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS) -> Model
     llr = F.log((F.col("toxic") + 0.5) / (n_toxic + 1.0)) - F.log((F.col("clean") + 0.5) / (n_clean + 1.0))
     picked = words.withColumn("llr", llr) \
         .filter((F.col("llr") >= MIN_LLR) & (F.col("toxic") >= MIN_SUPPORT)) \
-        .orderBy(F.desc(F.round(F.col("llr") * F.col("toxic"), 6)), "word").collect()
+        .orderBy(F.desc(F.round(F.col("llr") * F.col("toxic"), 6)), "word").limit(MAX_TERMS).collect()
     model = Model([r.word for r in picked], [r.llr for r in picked])
     near = words.mapInArrow(_forms(sc.broadcast(model.state())), words.schema).collect()
     model.features([r.word for r in near] + model.terms)  # the automaton meets its usual states
