@@ -6,6 +6,8 @@ whole-stage code generation; none is a Python UDF.
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -111,6 +113,31 @@ def to_numeric(col: Column) -> Column:
     return F.when(is_numeric_text(col), F.trim(col).try_cast("double"))
 
 
+# The text that each field of a date format reads.
+FORMAT_FIELDS = {"yyyy": r"\d{4}", "MMMM": "[A-Za-z]{3,9}", "MMM": "[A-Za-z]{3}", "MM": r"\d{2}", "M": r"\d{1,2}",
+                 "dd": r"\d{2}", "d": r"\d{1,2}", "HH": r"\d{2}", "H": r"\d{1,2}", "hh": r"\d{2}", "h": r"\d{1,2}",
+                 "mm": r"\d{2}", "ss": r"\d{2}", "a": "[AaPp][Mm]"}
+
+
+def format_pattern(fmt: str) -> str | None:
+    """Regular expression of the text a format reads; None where a field of it
+    is not in ``FORMAT_FIELDS`` (fractions of seconds are)."""
+    out = ""
+    for match in re.finditer(r"'[^']*'|([A-Za-z])\1*|[^A-Za-z']", fmt):
+        token = match.group(0)
+        if token[0] == "'":
+            out += re.escape(token[1:-1])
+        elif token[0] == "S":
+            out += rf"\d{{1,{len(token)}}}"
+        elif token[0].isalpha():
+            if token not in FORMAT_FIELDS:
+                return None
+            out += FORMAT_FIELDS[token]
+        else:
+            out += re.escape(token)
+    return f"^{out}$"
+
+
 def parse_with(col: Column, fmt: str) -> Column:
     """Parse text with one format; NULL when it does not parse.
 
@@ -125,7 +152,8 @@ def parse_with(col: Column, fmt: str) -> Column:
                              F.lit("1970-01-01 00:00:00").cast("timestamp_ntz"))
     shape = DATE_FORMAT_SHAPES.get(fmt)
     if not shape:
-        return parsed
+        guard = format_pattern(fmt)
+        return F.when(col.rlike(guard), parsed) if guard else parsed
     length = len(fmt.replace("'", ""))
     return F.when((F.length(col) == length) & col.rlike(shape), parsed)
 

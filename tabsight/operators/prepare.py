@@ -10,7 +10,7 @@ only the columns it needs (column pruning reaches the scan).
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -20,6 +20,7 @@ from ..functions.scalars import quoted, ref
 from ..functions.scalars import (DATETIME, DEFAULT_DATE_FORMATS, NUMBER, TEXT, family_of,
                                  nan_to_null, parse_datetime)
 from . import stats as S
+from .dates import conversion_formats
 from .ordering import running_total
 
 
@@ -113,16 +114,21 @@ def drop_missing_rows(df: DataFrame, cols: Sequence[str]) -> DataFrame:
 # --------------------------------------------------------------- dates
 
 def to_datetime(df: DataFrame, cols: Sequence[str],
-                formats: Sequence[str] = DEFAULT_DATE_FORMATS) -> DataFrame:
-    """Text -> timestamp (unparseable -> NULL); datetime columns are normalised."""
+                formats: Sequence[str] | Mapping[str, Sequence[str]] | None = None) -> DataFrame:
+    """Text -> timestamp (unparseable -> NULL); datetime columns are normalised.
+
+    ``formats`` is one list for all columns or one for each; without it they
+    are found in the data (``dates.conversion_formats``, one scan)."""
+    cols = [c for c in cols if c in df.columns]
+    texts = [c for c in cols if family_of(df.schema[c].dataType) == TEXT]
+    if formats is None:
+        formats = conversion_formats(df, texts)
     new = {}
     for c in cols:
-        if c not in df.columns:
-            continue
-        fam = family_of(df.schema[c].dataType)
-        if fam == TEXT:
-            new[c] = parse_datetime(ref(c), formats)
-        elif fam == DATETIME:
+        if c in texts:
+            mine = formats.get(c, DEFAULT_DATE_FORMATS) if isinstance(formats, Mapping) else formats
+            new[c] = parse_datetime(ref(c), mine)
+        elif family_of(df.schema[c].dataType) == DATETIME:
             new[c] = ref(c).cast("timestamp_ntz")
     return _replace(df, new)
 
@@ -344,7 +350,8 @@ def _fit_step(df: DataFrame, step: dict) -> dict | None:
             return {"kind": "constant", "columns": cols, "value": params.get("value")}
         return None
     if typ == "date_conversion":
-        return {"kind": "dates", "columns": cols, "formats": list(params.get("formats") or DEFAULT_DATE_FORMATS)}
+        return {"kind": "dates", "columns": cols, "formats": list(params["formats"]) if params.get("formats")
+                else conversion_formats(df, [c for c in cols if family_of(df.schema[c].dataType) == TEXT])}
     if typ == "categorical_encoding" and method == "one_hot":
         return {"kind": "one_hot", "categories": {c: categories(df, c, params.get("max_categories")) for c in cols}}
     if typ == "categorical_encoding" and method == "label":

@@ -15,9 +15,10 @@ from pyspark.sql import functions as F
 from ..functions.scalars import quoted, ref
 
 from ..functions.aggregates import count_missing
-from ..functions.scalars import (DATETIME, DEFAULT_DATE_FORMATS, NUMBER, TEXT, family_of,
+from ..functions.scalars import (DATETIME, NUMBER, TEXT, family_of,
                                  is_missing, is_numeric_text, nan_to_null, parse_with)
 from . import stats as S
+from .dates import column_formats, date_shapes
 
 PROFILE_SCHEMA = ("column string, ordinal int, dtype string, family string, rows bigint, "
                   "missing bigint, missing_pct double, n_unique bigint, min double, max double, "
@@ -70,14 +71,29 @@ def long_text_columns(df: DataFrame, cols: Sequence[str]) -> list[str]:
     return [c for i, c in enumerate(texts) if row[f"l{i}"] is not None and row[f"l{i}"] > LONG_TEXT]
 
 
+def _long_columns(shapes) -> list[str]:
+    """The same from a collected histogram of shapes."""
+    sums = {}
+    for r in shapes:
+        rows, chars = sums.get(r["column"], (0, 0))
+        sums[r["column"]] = (rows + r["rows"], chars + r["chars"])
+    return [c for c, (rows, chars) in sums.items() if chars > LONG_TEXT * rows]
+
+
 def profile(df: DataFrame, cols: Sequence[str] | None = None,
-            formats: Sequence[str] = DEFAULT_DATE_FORMATS, exact: bool = True,
+            formats: Sequence[str] | None = None, exact: bool = True,
             approx_distinct: bool = False, samples: int = 10) -> DataFrame:
-    """One row per column: type, missing, distinct, numeric stats, date format, samples."""
+    """One row per column: type, missing, distinct, numeric stats, date format, samples.
+
+    Date formats are found from the shapes of the texts, in the pass that
+    measures their lengths, unless ``formats`` lists those to try."""
     cols = list(df.columns) if cols is None else [c for c in cols if c in df.columns]
     if not cols:
         return df.sparkSession.createDataFrame([], PROFILE_SCHEMA)
     fam = {c: family_of(df.schema[c].dataType) for c in cols}
+    texts = [c for c in cols if fam[c] == TEXT]
+    shapes = date_shapes(df, texts).collect()
+    found = column_formats(df, shapes) if formats is None else {}
     # The main pass: missing counts, moments and date-format checks, at most
     # COLUMNS_PER_PASS columns per aggregate.
     none = F.lit(None).cast("double")
@@ -92,7 +108,9 @@ def profile(df: DataFrame, cols: Sequence[str] | None = None,
                 v = nan_to_null(df, c).cast("double")
                 aggs += [F.min(ref(v)).alias(f"min__{c}"), F.max(ref(v)).alias(f"max__{c}"),
                          F.avg(ref(v)).alias(f"mean__{c}"), F.stddev_samp(ref(v)).alias(f"std__{c}")]
-            if fam[c] == TEXT:
+            if fam[c] == TEXT and formats is None:
+                picks[c] = F.lit(found.get(c)).cast("string")
+            elif fam[c] == TEXT:
                 more, picks[c] = _date_format_expr(df, c, formats)
                 aggs += more
         wide = df.agg(*aggs)
@@ -111,9 +129,8 @@ def profile(df: DataFrame, cols: Sequence[str] | None = None,
     base = parts[0]
     for p in parts[1:]:
         base = base.unionByName(p)
-    long_texts = long_text_columns(df, [c for c in cols if fam[c] == TEXT])
+    long_texts = _long_columns(shapes)
     nums = [c for c in cols if fam[c] == NUMBER]
-    texts = [c for c in cols if fam[c] == TEXT]
     out = base
     if nums:
         out = out.join(S.per_column(S.quantiles_wide(df, nums, {"median": 0.5}, exact=exact)), "column", "left")
@@ -133,10 +150,11 @@ def profile(df: DataFrame, cols: Sequence[str] | None = None,
 
 
 def date_candidates(df: DataFrame, cols: Sequence[str] | None = None,
-                    formats: Sequence[str] = DEFAULT_DATE_FORMATS) -> DataFrame:
+                    formats: Sequence[str] | None = None) -> DataFrame:
     """Columns usable as time: real datetime columns and text in one date format.
 
-    (column, ordinal, kind, format).
+    (column, ordinal, kind, format).  Formats are found in the data unless
+    ``formats`` lists those to try.
     """
     cols = list(df.columns) if cols is None else list(cols)
     fam = {c: family_of(df.schema[c].dataType) for c in cols}
@@ -146,6 +164,10 @@ def date_candidates(df: DataFrame, cols: Sequence[str] | None = None,
     dt = spark.createDataFrame(rows, "column string, ordinal int, kind string, format string")
     if not texts:
         return dt
+    if formats is None:
+        found = column_formats(df, date_shapes(df, texts).collect())
+        return dt.unionByName(spark.createDataFrame(
+            [(c, cols.index(c), "text", f) for c, f in found.items()], dt.schema))
     aggs, picks = [], {}
     for c in texts:
         more, picks[c] = _date_format_expr(df, c, formats)

@@ -6,6 +6,8 @@ from pyspark.sql import functions as F
 
 from ..functions.scalars import DEFAULT_DATE_FORMATS, NUMERIC_TEXT_PATTERN
 from ..operators import profile as P
+from ..operators.dates import MONTHS_FULL, MONTHS_SHORT, SHAPE, date_shapes
+from ..operators.prepare import to_datetime
 from .common import rounded
 from .q_stats import DIRTY_ALL, dirty_cte, miss
 from .registry import Query
@@ -155,6 +157,71 @@ def date_candidates_sql() -> str:
     return "select * from (" + " union all ".join(parts) + ") where format is not null or kind = 'datetime'"
 
 
+# Dates in forms that no list names: found from their shapes and extremes.
+FOUND_FORMATS = {"ship_dmy": ("dd/MM/yyyy", "%d/%m/%Y"), "ship_name": ("MMM d, yyyy", "%b %-d, %Y"),
+                 "ship_long": ("d MMMM yyyy", "%-d %B %Y"), "ship_short": ("M/d/yyyy", "%-m/%-d/%Y"),
+                 "ship_clock": ("d-M-yyyy h:mm a", "%-d-%-m-%Y %-I:%M %p")}
+
+
+def _found_input(spark, d):
+    return load(spark, d, "lineitem").select(
+        "l_orderkey", "l_linenumber",
+        *[F.date_format(F.col("l_shipdate") + F.expr("make_dt_interval(0, l_linenumber * 3, 7)"), f).alias(c)
+          for c, (f, _) in FOUND_FORMATS.items()],
+        F.when(F.col("l_linenumber") == 1, F.lit("soon")).otherwise(
+            F.date_format("l_shipdate", "dd/MM/yyyy")).alias("ship_mixed"))
+
+
+FOUND_SQL = "with t as (select l_orderkey, l_linenumber, " + ", ".join(
+    f"strftime(l_shipdate + to_hours(l_linenumber * 3) + to_minutes(7), '{f}') as {c}"
+    for c, (_, f) in FOUND_FORMATS.items()) + (
+    ", case when l_linenumber = 1 then 'soon' else strftime(l_shipdate, '%d/%m/%Y') end as ship_mixed from lineitem)")
+
+
+def _date_shapes(spark, d):
+    return date_shapes(_found_input(spark, d), [*FOUND_FORMATS, "ship_mixed"])
+
+
+def date_shapes_sql() -> str:
+    cols = [*FOUND_FORMATS, "ship_mixed"]
+    rows = " union all ".join(
+        f"select '{c}' as \"column\", cast({i} as integer) as ordinal, {c} as v from t where {c} is not null"
+        for i, c in enumerate(cols))
+    return FOUND_SQL + f""",
+u as ({rows}),
+s as (select *, regexp_replace(regexp_replace(regexp_replace(regexp_replace(v, '[0-9]', '9', 'g'),
+  '\\b({MONTHS_FULL})\\b', 'F', 'g'), '\\b({MONTHS_SHORT})\\b', 'A', 'g'), '(9 ?)[AP]M$', '\\1P') as g,
+  string_split_regex(v, '[^0-9A-Za-z]+') as f from u),
+p as (select *, case when regexp_matches(g, '{SHAPE}') then g end as shape,
+  case when regexp_matches(g, '{SHAPE}') then try_cast(f[1] as integer) end as f0,
+  case when regexp_matches(g, '{SHAPE}') then try_cast(f[2] as integer) end as f1 from s)
+select "column", ordinal, shape, count(*) as rows, cast(sum(length(v)) as bigint) as chars,
+  max(f0) as max_first, max(f1) as max_second, count(*) filter (where f0 > 12) as high_first,
+  count(*) filter (where f1 > 12) as high_second from p group by all"""
+
+
+def _date_candidates_found(spark, d):
+    return P.date_candidates(_found_input(spark, d).drop("l_orderkey", "l_linenumber"))
+
+
+def date_candidates_found_sql() -> str:
+    return FOUND_SQL + " select * from (" + " union all ".join(
+        f"select '{c}' as \"column\", cast({i} as integer) as ordinal, 'text' as kind, "
+        f"case when count({c}) > 0 and count(try_strptime({c}, '{sql}')) = count({c}) then '{f}' end as format from t"
+        for i, (c, (f, sql)) in enumerate([*FOUND_FORMATS.items(), ("ship_mixed", FOUND_FORMATS["ship_dmy"])])
+    ) + ") where format is not null"
+
+
+def _date_conversion_found(spark, d):
+    return to_datetime(_found_input(spark, d), [*FOUND_FORMATS, "ship_mixed"])
+
+
+def date_conversion_found_sql() -> str:
+    return FOUND_SQL + " select l_orderkey, l_linenumber, " + ", ".join(
+        f"try_strptime({c}, '{sql}') as {c}" for c, (_, sql) in
+        [*FOUND_FORMATS.items(), ("ship_mixed", FOUND_FORMATS["ship_dmy"])]) + " from t"
+
+
 def _suggest(spark, d):
     return P.suggest_preprocessing(P.profile(lineitem_dirty(spark, d), samples=0))
 
@@ -291,6 +358,9 @@ QUERIES = [
     Query("quality_outliers", _quality_outliers, quality_outliers_sql()),
     Query("quality_numeric_text", _quality_numeric_text, quality_numeric_text_sql()),
     Query("date_candidates", _date_candidates, date_candidates_sql()),
+    Query("date_shapes", _date_shapes, date_shapes_sql()),
+    Query("date_candidates_found", _date_candidates_found, date_candidates_found_sql()),
+    Query("date_conversion_found", _date_conversion_found, date_conversion_found_sql()),
     Query("suggest_preprocessing", _suggest, suggest_sql()),
     Query("suggest_with_extras", _suggest_with_extras, suggest_extras_sql()),
     Query("profile_documents", _profile_documents, profile_documents_sql()),
