@@ -33,6 +33,7 @@ def pairwise_corr(a: Column, b: Column) -> Column:
     a single pair, or no pair at all.
     """
     both = a.isNotNull() & b.isNotNull()
-    sa = F.stddev_samp(F.when(both, a))
-    sb = F.stddev_samp(F.when(both, b))
-    return F.try_divide(F.covar_samp(a, b), sa * sb)
+    xa, xb = F.when(both, a), F.when(both, b)
+    # deviations of a constant column are not zero when its partial means round
+    varies = (F.min(xa) < F.max(xa)) & (F.min(xb) < F.max(xb))
+    return F.when(varies, F.try_divide(F.covar_samp(a, b), F.stddev_samp(xa) * F.stddev_samp(xb)))

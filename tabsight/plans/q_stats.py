@@ -233,6 +233,32 @@ def _corr_sql() -> str:
     return "\nunion all\n".join(parts)
 
 
+# Twenty columns, each missing in its own rows: 210 pairs, beyond one generated aggregate.
+WIDE_CORR = {f"{c}_{m}": (c, m) for c in CORR_COLS[:4] for m in (3, 5, 7, 11, 13)}
+
+
+def _correlation_wide(spark, d):
+    li = load(spark, d, "lineitem")
+    return rounded(C.correlation(li.select(*[
+        F.when((F.col("l_orderkey") + F.col("l_linenumber") * m) % m != i % m, F.col(c) * F.col("l_linenumber")).alias(name)
+        for i, (name, (c, m)) in enumerate(WIDE_CORR.items())])))
+
+
+def _corr_wide_sql() -> str:
+    names = list(WIDE_CORR)
+    cols = ", ".join(f"case when (l_orderkey + l_linenumber * {m}) % {m} <> {i % m} then {c} * l_linenumber end as {name}"
+                     for i, (name, (c, m)) in enumerate(WIDE_CORR.items()))
+    pairs = [(i, j) for i in range(len(names)) for j in range(i, len(names))]
+    aggs = ", ".join(f"corr({names[i]}, {names[j]}) as r_{i}_{j}, "
+                     f"count(*) filter (where {names[i]} is not null and {names[j]} is not null) as n_{i}_{j}"
+                     for i, j in pairs)
+    rows = " union all ".join(
+        f"select '{names[x]}' as col_x, '{names[y]}' as col_y, cast({x} as integer) as x_ordinal, "
+        f"cast({y} as integer) as y_ordinal, round(r_{i}_{j}, 6) as corr, n_{i}_{j} as n from a"
+        for i, j in pairs for x, y in sorted({(i, j), (j, i)}))
+    return f"with t as (select {cols} from lineitem), a as materialized (select {aggs} from t) {rows}"
+
+
 def _corr_pairs(spark, d):
     return C.correlation_pairs(_corr_input(spark, d))
 
@@ -405,6 +431,7 @@ QUERIES = [
     Query("mode_documents", _mode_documents, MODE_DOCUMENTS_SQL),
     Query("column_samples", _samples, SAMPLES_SQL),
     Query("correlation_matrix", _correlation, _corr_sql()),
+    Query("correlation_wide", _correlation_wide, _corr_wide_sql()),
     Query("correlation_pairs", _corr_pairs, _corr_pairs_sql()),
     Query("top_correlations", _top_corr, _top_corr_sql()),
     Query("strongest_pair", _strongest, _strongest_sql()),
