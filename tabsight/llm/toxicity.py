@@ -29,10 +29,8 @@ from .common import cut_lineage, ships, text_rows
 
 #: Bound on the labelled rows that the model is fitted on.
 MAX_ROWS = 20_000
-#: Terms, best first by their ratio and support: a lexicon without this bound
-#: holds thousands of chance words and costs several times as much.
-MAX_TERMS = 800
 MIN_SUPPORT = 3
+#: Every word of the sample with this log ratio and support is a term.
 MIN_LLR = 2.0
 WINDOW = 6
 HELD_OUT_REMAINDER = 2
@@ -436,7 +434,7 @@ def train(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS) -> Model
     llr = F.log((F.col("toxic") + 0.5) / (n_toxic + 1.0)) - F.log((F.col("clean") + 0.5) / (n_clean + 1.0))
     picked = words.withColumn("llr", llr) \
         .filter((F.col("llr") >= MIN_LLR) & (F.col("toxic") >= MIN_SUPPORT)) \
-        .orderBy(F.desc(F.round(F.col("llr") * F.col("toxic"), 6)), "word").limit(MAX_TERMS).collect()
+        .orderBy(F.desc(F.round(F.col("llr") * F.col("toxic"), 6)), "word").collect()
     model = Model([r.word for r in picked], [r.llr for r in picked])
     near = words.mapInArrow(_forms(sc.broadcast(model.state())), words.schema).collect()
     model.features([r.word for r in near] + model.terms)  # the automaton meets its usual states
