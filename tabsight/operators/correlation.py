@@ -27,6 +27,11 @@ BLOCK, MERGERS = 64, 16
 CONSTANT = 2e-15
 
 
+def _clipped(r: F.Column) -> F.Column:
+    """Rounding may leave a correlation just outside -1 to 1."""
+    return F.when(F.abs(r) > 1, F.signum(r)).otherwise(r)
+
+
 def correlation(df: DataFrame, cols: Sequence[str] | None = None,
                 pairs_per_pass: int = PAIRS_PER_PASS) -> DataFrame:
     """Pairwise-complete Pearson correlation, long form.
@@ -55,7 +60,7 @@ def correlation(df: DataFrame, cols: Sequence[str] | None = None,
         for x, y in sorted({(i, j), (j, i)}):
             entries.append(F.struct(F.lit(cols[x]).alias("col_x"), F.lit(cols[y]).alias("col_y"),
                                     F.lit(x).alias("x_ordinal"), F.lit(y).alias("y_ordinal"),
-                                    F.col(f"r_{i}_{j}").alias("corr"),
+                                    _clipped(F.col(f"r_{i}_{j}")).alias("corr"),
                                     F.col(f"n_{i}_{j}").alias("n")))
     return df.agg(*aggs).select(F.explode(F.array(*entries)).alias("e")).select("e.*")
 
@@ -186,7 +191,7 @@ def blocked_correlation(df: DataFrame, cols: Sequence[str], panel: int = PANEL)
             part = some.groupBy("i", "j").applyInPandas(
                 _finish(i, j), "x_ordinal int, y_ordinal int, corr double, undefined boolean, n bigint")
             out = part if out is None else out.unionByName(part)
-    every = out.withColumn("corr", F.when(~F.col("undefined"), F.col("corr")))
+    every = out.withColumn("corr", F.when(~F.col("undefined"), _clipped(F.col("corr"))))
     # an empty table has no block: its pairs are there all the same
     size = len(cols)
     grid = df.sparkSession.range(size * size).select(

@@ -32,17 +32,21 @@ HISTOGRAM = ("column string, ordinal int, shape string, rows bigint, chars bigin
              "high_first bigint, high_second bigint")
 
 
-def shape_of(col: Column) -> Column:
-    """The shape of a text if a date can have it, else NULL."""
-    digits = F.translate(col, "0123456789", "9" * 10)
+def _with_shape(each: DataFrame) -> DataFrame:
+    """Adds ``shape``, the shape of ``text`` if a date can have it, else NULL.
+    Step by step, so that no step is computed again inside the next one."""
+    short = F.length("text").between(SHORTEST, LONGEST) & F.col("text").rlike("[0-9]")
+    digits, marked = F.col("digits"), F.col("marked")
     named = F.regexp_replace(digits, rf"(?i)\b({MONTHS_FULL})\b", "F")
     named = F.regexp_replace(named, rf"(?i)\b({MONTHS_SHORT})\b", "A")
     named = F.regexp_replace(named, "(?i)(9 ?)[ap]m", "$1P")
     # letters A, F and P of the text itself are no marks
-    marked = F.when(digits.rlike("[AFP]") & ~digits.rlike("(?i)[a-z]{2}"), F.lit(None)) \
-        .when(digits.rlike("[A-Za-z]"), named).otherwise(digits)
-    short = F.length(col).between(SHORTEST, LONGEST) & col.rlike("[0-9]")
-    return F.when(short & marked.rlike(SHAPE), marked)
+    marks = F.when(~F.col("letters"), digits) \
+        .when(digits.rlike("[AFP]") & ~digits.rlike("(?i)[a-z]{2}"), F.lit(None)).otherwise(named)
+    return each.withColumn("digits", F.when(short, F.translate("text", "0123456789", "9" * 10))) \
+        .withColumn("letters", digits.rlike("[A-Za-z]")) \
+        .withColumn("marked", F.when(digits.isNotNull(), marks)) \
+        .withColumn("shape", F.when(marked.rlike(SHAPE), marked)).drop("digits", "letters", "marked")
 
 
 def date_shapes(df: DataFrame, cols: Sequence[str] | None = None) -> DataFrame:
@@ -65,9 +69,10 @@ def date_shapes(df: DataFrame, cols: Sequence[str] | None = None) -> DataFrame:
                               F.length(text).alias("len")))
     each = df.select(F.explode(F.array(*parts)).alias("x")).select("x.*").where(F.col("len").isNotNull())
     # the shape is computed once, after the columns are stacked; long texts do not come along
-    each = each.withColumn("shape", shape_of(F.col("text")))
+    each = _with_shape(each)
     dated = F.when(F.col("shape").isNotNull(), F.col("text"))
-    fields = F.split(dated, "[^0-9A-Za-z]+", 3)
+    each = each.withColumn("fields", F.split(dated, "[^0-9A-Za-z]+", 3))
+    fields = F.col("fields")
     each = each.select("column", "ordinal", "shape", "len",
                        *[F.try_element_at(fields, F.lit(k + 1)).try_cast("int").alias(f"f{k}") for k in range(2)])
     return each.groupBy("column", "ordinal", "shape").agg(

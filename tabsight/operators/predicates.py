@@ -13,6 +13,7 @@ from pyspark.sql import types as T
 from ..functions.scalars import ref
 
 from ..functions.scalars import NUMBER, family_of, nan_to_null
+from .bounded import few_distinct
 
 # A filter over fewer distinct values is a single select,
 # otherwise a multiselect; "All" switches a single select off.
@@ -168,9 +169,15 @@ def filter_bounds(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     return wide.select(F.explode(F.array(*entries)).alias("e")).select("e.*")
 
 
-def filter_kinds(df: DataFrame, cols: Sequence[str], approx: bool = False) -> DataFrame:
-    """(column, n_unique, kind): select below 10 distinct values, else multiselect."""
-    from .stats import unique_counts
-    u = unique_counts(df, cols, approx=approx)
-    return u.select("column", "n_unique",
-                    F.when(F.col("n_unique") < SELECT_BELOW, "select").otherwise("multiselect").alias("kind"))
+def filter_kinds(df: DataFrame, cols: Sequence[str], approx: bool = False, counts: bool = True) -> DataFrame:
+    """(column, n_unique, kind): select below 10 distinct values, else multiselect.
+
+    ``counts=False`` leaves ``n_unique`` null for a multiselect, and then one
+    scan with bounded sets decides all columns (``bounded.few_distinct``).
+    """
+    if counts:
+        from .stats import unique_counts
+        u = unique_counts(df, cols, approx=approx).withColumn("few", F.col("n_unique") < SELECT_BELOW)
+    else:
+        u = few_distinct(df, [c for c in cols if c in df.columns], SELECT_BELOW)
+    return u.select("column", "n_unique", F.when(F.col("few"), "select").otherwise("multiselect").alias("kind"))

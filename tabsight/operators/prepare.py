@@ -207,6 +207,29 @@ def categories(df: DataFrame, col: str, limit: int | None = None) -> list:
     return sorted(r[0] for r in found.collect())
 
 
+def category_lists(df: DataFrame, limits: Mapping[str, int | None]) -> dict[str, list]:
+    """:func:`categories` of several columns, in one scan and one exchange."""
+    if not limits:
+        return {}
+    cols = list(limits)
+    entries = [F.struct(F.lit(i).alias("of"), *[
+        (nan_to_null(df, x) if i == j else F.lit(None).cast(df.schema[x].dataType)).alias(f"v{j}")
+        for j, x in enumerate(cols)]) for i in range(len(cols))]
+    present = [F.col(f"v{i}").isNotNull() for i in range(len(cols))]
+    found = df.select(F.explode(F.array(*entries)).alias("e")).select("e.*") \
+        .where(F.array_contains(F.array(*present), True)).distinct()
+    bounds = {i: limits[c] for i, c in enumerate(cols) if limits[c] is not None}
+    if bounds:
+        sizes = {r["of"]: r["n"] for r in found.groupBy("of").agg(F.count(F.lit(1)).alias("n")).collect()}
+        for i, most in bounds.items():
+            if sizes.get(i, 0) > most:
+                raise ValueError(f"{cols[i]!r} has more than {most} categories; use label encoding or one_hot_long")
+    out = {c: [] for c in cols}
+    for r in found.collect():
+        out[cols[r["of"]]].append(r[f"v{r['of']}"])
+    return {c: sorted(v) for c, v in out.items()}
+
+
 def one_hot_long(df: DataFrame, key: Sequence[str], cols: Sequence[str]) -> DataFrame:
     """Long form of :func:`one_hot` for any number of categories: one row
     (key..., column, category) for each present value."""
@@ -329,31 +352,17 @@ def _fit_moment_step(df: DataFrame, step: dict, moments: dict) -> dict:
 
 
 def _fit_step(df: DataFrame, step: dict) -> dict | None:
-    """What a step learned from ``df`` (None: the step changes nothing)."""
+    """What a step learns by itself (None: it changes nothing); the fits that
+    steps share are in :func:`_fit_level`."""
     typ, method = step.get("type"), step.get("method")
     cols = [c for c in step.get("columns") or [] if c in df.columns]
     params = step.get("parameters") or {}
-    if _is_moment_step(step):
-        return _fit_moment_step(df, step, _moment_row(df, cols))
     if typ == "missing_values" and method == "drop_rows":
         return {"kind": "drop", "columns": cols}
-    if typ == "missing_values" and method == "imputation":
-        strategy = params.get("strategy", "mean")
-        if strategy == "median":
-            rows = S.quantiles_wide(df, _numeric_cols(df, cols), {"median": 0.5}).collect()
-            return {"kind": "fill", "values": {r["column"]: r["median"] for r in rows if r["median"] is not None}}
-        if strategy == "mode":
-            from .profile import long_text_columns
-            fills = S.mode_scalars(df, cols, hash_texts=long_text_columns(df, cols))
-            return {"kind": "fill", "typed": True, "values": {c: v for c, v in fills.items() if v is not None}}
-        if strategy == "constant":
-            return {"kind": "constant", "columns": cols, "value": params.get("value")}
-        return None
-    if typ == "date_conversion":
-        return {"kind": "dates", "columns": cols, "formats": list(params["formats"]) if params.get("formats")
-                else conversion_formats(df, [c for c in cols if family_of(df.schema[c].dataType) == TEXT])}
-    if typ == "categorical_encoding" and method == "one_hot":
-        return {"kind": "one_hot", "categories": {c: categories(df, c, params.get("max_categories")) for c in cols}}
+    if typ == "missing_values" and method == "imputation" and params.get("strategy") == "constant":
+        return {"kind": "constant", "columns": cols, "value": params.get("value")}
+    if typ == "date_conversion" and params.get("formats"):
+        return {"kind": "dates", "columns": cols, "formats": list(params["formats"])}
     if typ == "categorical_encoding" and method == "label":
         return {"kind": "label", "codes": {c: label_codes(df, c)[0] for c in cols}}
     return None  # unknown step types are no-ops, like the reference
@@ -415,26 +424,112 @@ def _transform_step(df: DataFrame, fitted: dict | None, strict: bool) -> DataFra
     raise ValueError(f"unknown fitted step {kind!r}")
 
 
-def _fit_and_apply(df: DataFrame, steps: Sequence[dict]) -> tuple[DataFrame, list]:
-    """Neighbouring moment steps on different columns are fitted together, in
-    one aggregate; every other step is fitted on what the steps before it made."""
-    steps, out, fitted, i = list(steps), df, [], 0
-    while i < len(steps):
-        group, used = [], set()
-        while i < len(steps) and _is_moment_step(steps[i]) and not used & set(steps[i].get("columns") or []):
-            group.append(steps[i])
-            used |= set(steps[i].get("columns") or [])
-            i += 1
-        if group:
-            moments = _moment_row(out, [c for c in out.columns if c in used])
-            new = [_fit_moment_step(out, step, moments) for step in group]
+def _touched(step: dict) -> set[str]:
+    """Lower-case names of the columns a step reads or writes."""
+    names = {c.lower() for c in step.get("columns") or []}
+    if step.get("type") == "categorical_encoding" and step.get("method") == "label":
+        names |= {f"{c}_encoded" for c in names}
+    return names
+
+
+def _drops_rows(step: dict) -> bool:
+    return step.get("type") == "missing_values" and step.get("method") == "drop_rows"
+
+
+def fit_levels(steps: Sequence[dict], columns: Sequence[str]) -> list[list[int]]:
+    """The steps by the level they can be fitted at, as lists of their places.
+
+    A step waits for the earlier steps that touch one of its columns, and for
+    every earlier encoding if it names a column that the table does not have
+    (an encoding may make it).  A step that drops rows waits for all steps
+    before it, and all after it wait for that one.
+    """
+    steps, known = list(steps), {c.lower() for c in columns}
+    touched, level = [_touched(s) for s in steps], []
+    for i, step in enumerate(steps):
+        after = -1
+        for j in range(i):
+            made = steps[j].get("type") == "categorical_encoding" \
+                and any(c.lower() not in known for c in step.get("columns") or [])
+            if made or touched[i] & touched[j] or _drops_rows(step) or _drops_rows(steps[j]):
+                after = max(after, level[j])
+        level.append(after + 1)
+    return [[i for i, x in enumerate(level) if x == k] for k in range(max(level, default=-1) + 1)]
+
+
+def _fit_level(df: DataFrame, steps: Sequence[dict]) -> list[dict | None]:
+    """Fits of steps on different columns: one aggregate for all moments, one
+    series of counting rounds for all medians, one count for all modes, one
+    scan for the formats of all dates and one for all category lists."""
+    def wants(step, strategy):
+        return (step.get("type") == "missing_values" and step.get("method") == "imputation"
+                and (step.get("parameters") or {}).get("strategy", "mean") == strategy)
+
+    def columns(chosen):
+        return [c for s in chosen for c in s.get("columns") or [] if c in df.columns]
+
+    moments = _moment_row(df, columns([s for s in steps if _is_moment_step(s)]))
+    medians, modes, lists, formats = {}, {}, {}, {}
+    at_median = _numeric_cols(df, columns([s for s in steps if wants(s, "median")]))
+    if at_median:
+        medians = {r["column"]: r["median"] for r in S.quantiles_wide(df, at_median, {"median": 0.5}).collect()}
+    at_mode = columns([s for s in steps if wants(s, "mode")])
+    if at_mode:
+        from .profile import long_text_columns
+        modes = S.mode_scalars(df, at_mode, hash_texts=long_text_columns(df, at_mode))
+    free = [s for s in steps if s.get("type") == "date_conversion" and not (s.get("parameters") or {}).get("formats")]
+    texts = [c for c in columns(free) if family_of(df.schema[c].dataType) == TEXT]
+    if texts:
+        formats = conversion_formats(df, texts)
+    hot = [s for s in steps if s.get("type") == "categorical_encoding" and s.get("method") == "one_hot"]
+    if hot:
+        lists = category_lists(df, {c: (s.get("parameters") or {}).get("max_categories")
+                                    for s in hot for c in columns([s])})
+    out = []
+    for step in steps:
+        mine = columns([step])
+        if _is_moment_step(step):
+            out.append(_fit_moment_step(df, step, moments))
+        elif wants(step, "median"):
+            out.append({"kind": "fill", "values": {c: medians[c] for c in mine if medians.get(c) is not None}})
+        elif wants(step, "mode"):
+            out.append({"kind": "fill", "typed": True,
+                        "values": {c: modes[c] for c in mine if modes.get(c) is not None}})
+        elif step in free:
+            out.append({"kind": "dates", "columns": mine,
+                        "formats": {c: formats[c] for c in mine if c in formats}})
+        elif step in hot:
+            out.append({"kind": "one_hot", "categories": {c: lists[c] for c in mine}})
         else:
-            new = [_fit_step(out, steps[i])]
-            i += 1
-        for f in new:
-            out = _transform_step(out, f, strict=False)
-        fitted += new
-    return out, fitted
+            out.append(_fit_step(df, step))
+    return out
+
+
+def _fit_and_apply(df: DataFrame, steps: Sequence[dict]) -> tuple[DataFrame, list]:
+    """Steps of one level are fitted together, on what the levels before them
+    made of the table; the result applies all steps in their own order."""
+    steps, known = list(steps), {c.lower() for c in df.columns}
+    fitted: list[dict | None] = [None] * len(steps)
+    done: set[int] = set()
+
+    def applied(pending: set[str] | None = None):
+        """``df`` after the steps done; for a fit, without the codes that no
+        pending step reads (a join that Catalyst could not leave out)."""
+        out = df
+        for i in sorted(done):
+            if (pending is not None and pending <= known and fitted[i] and fitted[i]["kind"] == "label"
+                    and not pending & {f"{c}_encoded".lower() for c in fitted[i]["codes"]}):
+                continue
+            out = _transform_step(out, fitted[i], strict=False)
+        return out
+
+    for places in fit_levels(steps, df.columns):
+        pending = {c.lower() for i, s in enumerate(steps) if i not in done for c in s.get("columns") or []}
+        so_far = applied(pending)
+        for i, f in zip(places, _fit_level(so_far, [steps[i] for i in places])):
+            fitted[i] = f
+        done |= set(places)
+    return applied(), fitted
 
 
 def fit(df: DataFrame, steps: Sequence[dict]) -> list:

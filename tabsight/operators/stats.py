@@ -12,7 +12,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from ..functions.scalars import ref
 from pyspark.sql import types as T
@@ -20,6 +20,7 @@ from pyspark.sql import types as T
 from ..functions.aggregates import count_missing, sample_skewness
 from ..functions.scalars import (DATETIME, NUMBER, TEXT, columns_of, family_of,
                                  is_missing, nan_to_null)
+from .bounded import smallest_distinct
 from .ranks import at_quantiles
 
 QUARTILES = {"q1": 0.25, "median": 0.5, "q3": 0.75}
@@ -116,8 +117,8 @@ def unique_counts(df: DataFrame, cols: Sequence[str] | None = None,
 
     Exact by default (one pass; Spark expands rows once per column and
     de-duplicates map-side).  Text columns named in ``hash_texts`` (long
-    texts) are counted by value hash first, so their texts are shuffled only
-    when repeated (see ``_text_distinct_counts``).  ``approx=True`` uses
+    texts) are counted by digest, so no text is shuffled (see
+    ``_text_distinct_counts``).  ``approx=True`` uses
     HyperLogLog++ sketches, which merge without shuffling the values at all.
     """
     cols = _cols(df, cols)
@@ -145,26 +146,16 @@ def unique_counts(df: DataFrame, cols: Sequence[str] | None = None,
 
 
 def _text_distinct_counts(df: DataFrame, cols: Sequence[str]) -> DataFrame:
-    """Exact distinct counts of text columns without shuffling the texts.
-
-    Phase 1 counts distinct 96-bit value hashes per column (a shuffle of small
-    keys).  Phase 2 looks only at hashes shared by several rows (repeated
-    values, or a collision) and counts the distinct texts behind each; the
-    surplus over one is added.  Long unique texts never leave their task.
-    """
-    entries = [F.struct(F.lit(i).alias("cid"), ref(c).alias("v")) for i, c in enumerate(cols)]
-    long = df.select(F.explode(F.array(*entries)).alias("e")).select("e.*").where(F.col("v").isNotNull())
-    keyed = long.select("cid", F.xxhash64("v").alias("h1"), F.hash("v").alias("h2"), "v")
-    per_hash = keyed.groupBy("cid", "h1", "h2").agg(F.count(F.lit(1)).alias("n"))
-    hashes = per_hash.groupBy("cid").agg(F.count(F.lit(1)).alias("hashes"))
-    repeated = per_hash.where(F.col("n") > 1).select("cid", "h1", "h2")
-    surplus = (keyed.join(repeated, ["cid", "h1", "h2"], "left_semi")
-               .groupBy("cid", "h1", "h2").agg((F.count_distinct("v") - 1).alias("extra"))
-               .groupBy("cid").agg(F.sum("extra").alias("extra")))
+    """Distinct counts of text columns by the SHA-256 of their values: one
+    scan, and one exchange of digests whose copies are combined in their map
+    task.  No text leaves its task."""
+    digests = F.array(*[F.struct(F.lit(i).alias("cid"), F.unhex(F.sha2(ref(c).cast("string"), 256)).alias("v"))
+                        for i, c in enumerate(cols)])
+    long = df.select(F.explode(digests).alias("e")).select("e.*").where(F.col("v").isNotNull())
+    counts = long.distinct().groupBy("cid").agg(F.count(F.lit(1)).alias("n"))
     names = df.sparkSession.createDataFrame([(i, c) for i, c in enumerate(cols)], "cid int, column string")
-    return (names.join(hashes, "cid", "left").join(surplus, "cid", "left")
-            .select("column", (F.coalesce("hashes", F.lit(0)) + F.coalesce("extra", F.lit(0)))
-                    .cast("bigint").alias("n_unique")))
+    return names.join(counts, "cid", "left") \
+        .select("column", F.coalesce("n", F.lit(0)).cast("bigint").alias("n_unique"))
 
 
 # ---------------------------------------------------------- quantiles
@@ -522,80 +513,55 @@ def _text_modes(df: DataFrame, cols: Sequence[str]) -> dict:
     return out
 
 
-def _normalised_for_equality(df: DataFrame) -> DataFrame:
-    """NaN -> NULL and -0.0 -> 0.0, so that equal values also hash equally."""
-    cols = []
-    for f in df.schema.fields:
-        c = nan_to_null(df, f.name)
-        if isinstance(f.dataType, (T.DoubleType, T.FloatType)):
-            c = F.when(c == 0, F.lit(0.0).cast(f.dataType)).otherwise(c)
-        cols.append(c.alias(f.name))
-    return df.select(*cols)
+def _bytes_of(col: Column, dtype: T.DataType) -> Column:
+    """Text that two values share only if they are equal; it ends itself, so
+    that the texts of several values can be joined.  Missing equals missing,
+    NaN equals NULL in a column of its own, -0.0 equals 0.0."""
+    if isinstance(dtype, T.ArrayType):
+        parts = F.transform(col, lambda x: _bytes_of(x, dtype.elementType))
+        return F.coalesce(F.concat(F.size(col).cast("string"), F.lit("["), F.array_join(parts, "")), F.lit("n;"))
+    if isinstance(dtype, T.StructType):
+        fields = [_bytes_of(col.getField(f.name), f.dataType) for f in dtype.fields]
+        return F.when(col.isNull(), F.lit("n;")).otherwise(F.concat(F.lit("{"), *fields))
+    if isinstance(dtype, (T.StringType, T.BinaryType)):
+        text = F.base64(col) if isinstance(dtype, T.BinaryType) else col.cast("string")
+        return F.coalesce(F.concat(F.length(text).cast("string"), F.lit(":"), text), F.lit("n;"))
+    if isinstance(dtype, (T.DoubleType, T.FloatType)):
+        col = F.when(col == 0, F.lit(0.0).cast(dtype)).otherwise(col)
+    if isinstance(dtype, T.TimestampType):  # its text has one hour twice a year
+        col = F.unix_micros(col)
+    return F.coalesce(F.concat(col.cast("string"), F.lit(";")), F.lit("n;"))
 
 
 def duplicate_rows(df: DataFrame) -> DataFrame:
     """Rows repeating an earlier identical row (missing equals missing).
 
-    (rows, duplicates).  Exact, in two phases so that whole rows are only
-    shuffled when they may be duplicates: (1) rows are counted per 96-bit
-    row hash (xxhash64 and murmur3 of the values, plus the pattern of
-    missing values) -- a shuffle of small keys, combined map-side; (2) only
-    rows whose hash occurs more than once are grouped on all their columns,
-    which resolves hash collisions exactly.  A duplicated row holding a third
-    of the table is pre-aggregated map-side in both phases.
+    (rows, duplicates).  One scan and one exchange: rows are counted by the
+    SHA-256 of a text that only equal rows share, so a count of digests is a
+    count of rows and nothing has to be read again.  Copies are combined in
+    their map task; a row that holds a third of the table reaches its reducer
+    as one count a task.
     """
-    clean = _normalised_for_equality(df)
-    cols = [ref(c) for c in clean.columns]
-    nulls = F.array(*[c.isNull() for c in cols])
-    keyed = clean.select("*", F.xxhash64(*cols, nulls).alias("_h1"), F.hash(*cols, nulls).alias("_h2"))
-    per_hash = keyed.groupBy("_h1", "_h2").agg(F.count(F.lit(1)).alias("_n"))
-    rows = per_hash.agg(F.coalesce(F.sum("_n"), F.lit(0)).cast("bigint").alias("rows"))
-    repeated = per_hash.where(F.col("_n") > 1).select("_h1", "_h2")
-    candidates = keyed.join(repeated, ["_h1", "_h2"], "left_semi").drop("_h1", "_h2")
-    groups = candidates.groupBy(*[ref(c) for c in clean.columns]).agg(F.count(F.lit(1)).alias("_n"))
-    dups = groups.agg(F.coalesce(F.sum(F.col("_n") - 1), F.lit(0)).cast("bigint").alias("duplicates"))
-    zero = F.lit(0).cast("bigint")
-    both = rows.select("rows", zero.alias("duplicates")).unionByName(
-        dups.select(zero.alias("rows"), "duplicates"))
-    return both.agg(F.sum("rows").alias("rows"), F.sum("duplicates").alias("duplicates"))
+    digest = F.unhex(F.sha2(F.concat(*[
+        _bytes_of(nan_to_null(df, f.name), f.dataType) for f in df.schema.fields], F.lit("")), 256))
+    groups = df.groupBy(digest.alias("_digest")).agg(F.count(F.lit(1)).alias("_n"))
+    zero = F.lit(0)
+    return groups.agg(F.coalesce(F.sum("_n"), zero).cast("bigint").alias("rows"),
+                      F.coalesce(F.sum(F.col("_n") - 1), zero).cast("bigint").alias("duplicates"))
 
 
 def column_samples(df: DataFrame, cols: Sequence[str] | None = None, n: int = 10) -> DataFrame:
     """Up to ``n`` distinct non-missing values per text column, as strings.
 
-    Row order does not exist in Spark, so the ``n`` smallest values are
-    taken (see ``_smallest_distinct``).
+    Row order does not exist in Spark, so the ``n`` smallest values are taken:
+    one scan for all columns (``bounded.smallest_distinct``).
     """
     texts = set(columns_of(df, TEXT))
     cols = [c for c in _cols(df, cols) if c in texts]
     if not cols:
         return _empty(df, "column string, samples array<string>")
-    parts = [_smallest_distinct(df, c, n).select(F.lit(c).alias("column"), "value") for c in cols]
-    union = parts[0]
-    for p in parts[1:]:
-        union = union.unionByName(p)
-    return union.groupBy("column").agg(F.sort_array(F.collect_list("value")).alias("samples"))
-
-
-# Characters of a value that the first step of a sample compares.
-SAMPLE_PREFIX = 64
-
-
-def _smallest_distinct(df: DataFrame, c: str, n: int) -> DataFrame:
-    """The ``n`` smallest distinct values of a text column, as ``value``.
-
-    First the ``n`` smallest distinct prefixes (short strings, combined
-    map-side); the ``n`` smallest values begin with one of them, so only
-    values up to the last such prefix are compared whole.  No whole text
-    reaches the driver.
-    """
-    col = ref(c).cast("string")
-    prefix = F.substring(col, 1, SAMPLE_PREFIX)
-    heads = df.select(prefix.alias("p")).where(F.col("p").isNotNull()).distinct().orderBy("p").limit(n)
-    last = heads.agg(F.max("p").alias("p")).first()["p"]
-    if last is None:
-        return df.select(col.alias("value")).where(F.lit(False))
-    return df.where(prefix <= F.lit(last)).select(col.alias("value")).distinct().orderBy("value").limit(n)
+    return smallest_distinct(df, cols, n).groupBy("column") \
+        .agg(F.sort_array(F.collect_list("value")).alias("samples"))
 
 
 def before_after_stats(before: DataFrame, after: DataFrame, cols: Sequence[str] | None = None,

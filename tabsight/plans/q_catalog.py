@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..operators import catalog as K
 from .common import rounded
+from .q_stats import CORR_COLS, DESCRIPTIVE_COLS
 from .registry import Query
 from .tables import TABLES, load
 
@@ -220,6 +221,25 @@ with g as (select make_date(year(o_orderdate), 12, 31) as period, avg(o_totalpri
 select period, round(o_totalprice, 6) as o_totalprice from g
 """
 
+RUN_DESCRIPTIVE_SQL = " union all ".join(f"""
+select '{c}' as "column", cast({i} as integer) as ordinal, cast(count({c}) as bigint) as count, round(avg({c}), 6) as mean,
+       round(stddev_samp({c}), 6) as std, round(min({c}), 6) as min, round(quantile_cont({c}, 0.25), 6) as q25,
+       round(quantile_cont({c}, 0.5), 6) as q50, round(quantile_cont({c}, 0.75), 6) as q75, round(max({c}), 6) as max,
+       cast(count(*) - count({c}) as bigint) as missing,
+       round(round((count(*) - count({c})) * 100.0 / count(*), 2), 6) as missing_pct from lineitem"""
+                                         for i, c in enumerate(DESCRIPTIVE_COLS))
+
+
+def _run_correlation(spark, d):
+    out = K.run_analysis(load(spark, d, "lineitem"), {"type": "correlation", "metrics": CORR_COLS[:4]})
+    return rounded(out["data"])
+
+
+RUN_CORRELATION_SQL = " union all ".join(f"""
+select '{a}' as col_x, '{b}' as col_y, cast({i} as integer) as x_ordinal, cast({j} as integer) as y_ordinal,
+       round(corr({a}, {b}), 6) as corr, cast(count(*) filter (where {a} is not null and {b} is not null) as bigint) as n
+from lineitem""" for i, a in enumerate(CORR_COLS[:4]) for j, b in enumerate(CORR_COLS[:4]))
+
 QUERIES = [
     Query("classify_columns", _classify, classify_sql()),
     Query("detect_domain", _domain, domain_sql()),
@@ -230,6 +250,8 @@ QUERIES = [
     Query("run_pareto", _run_pareto, RUN_PARETO_SQL),
     Query("run_breakdown", _run("orders", {"type": "breakdown", "metrics": ["o_totalprice", "o_custkey"],
                                            "dimensions": ["o_orderpriority"]}), RUN_BREAKDOWN_SQL),
+    Query("run_descriptive", _run("lineitem", {"type": "descriptive", "metrics": DESCRIPTIVE_COLS}), RUN_DESCRIPTIVE_SQL),
+    Query("run_correlation", _run_correlation, RUN_CORRELATION_SQL),
     Query("run_distribution", _run_distribution, run_distribution_sql()),
     Query("run_time_series", _run("orders", {"type": "time_series", "metrics": ["o_totalprice"],
                                              "dimensions": ["o_orderdate"]}), RUN_TREND_SQL),

@@ -74,6 +74,17 @@ def _kinds(spark, d):
     return PR.filter_kinds(load(spark, d, "part"), ["p_brand", "p_type", "p_size"])
 
 
+def _kinds_bounded(spark, d):
+    li = load(spark, d, "lineitem")
+    return PR.filter_kinds(li, ["l_returnflag", "l_linenumber", "l_quantity", "l_orderkey", "l_shipdate"], counts=False)
+
+
+KIND_BOUNDED_SQL = " union all ".join(f"""
+select '{c}' as "column", case when count(distinct {c}) < 10 then cast(count(distinct {c}) as bigint) end as n_unique,
+       case when count(distinct {c}) < 10 then 'select' else 'multiselect' end as kind from lineitem"""
+                                      for c in ("l_returnflag", "l_linenumber", "l_quantity", "l_orderkey", "l_shipdate"))
+
+
 def _bar(spark, d):
     return rounded(SE.series_bar(load(spark, d, "lineitem"), "l_returnflag", ["l_quantity", "l_extendedprice"]))
 
@@ -209,6 +220,7 @@ select "column", n_unique, case when n_unique < 10 then 'select' else 'multisele
   select 'p_brand' as "column", cast(count(distinct p_brand) as bigint) as n_unique from part
   union all select 'p_type', cast(count(distinct p_type) as bigint) from part
   union all select 'p_size', cast(count(distinct p_size) as bigint) from part)"""),
+    Query("filter_kind_bounded", _kinds_bounded, KIND_BOUNDED_SQL),
     Query("series_bar", _bar, """
 select l_returnflag, round(sum(l_quantity), 6) as l_quantity, round(sum(l_extendedprice), 6) as l_extendedprice
 from lineitem where l_returnflag is not null group by 1"""),

@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-import math
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from ..functions.scalars import ref
+from ..operators.bounded import smallest_rows
 
 
 def sample_key(cols: Sequence[str]):
@@ -18,21 +18,8 @@ def sample_key(cols: Sequence[str]):
 
 def sample_rows(df: DataFrame, n: int, key: Sequence[str]) -> DataFrame:
     """Exactly ``n`` rows (or all), reproducible: the rows with the smallest
-    key hash.
-
-    The hash is even, so about ``n`` rows of the whole table lie below the
-    matching share of its range: only those (with a margin, and a wider share
-    if that was too few) are put in order, not ``n`` rows of every task.
-    """
-    keyed = df.withColumn("_sample_key", sample_key(key))
-    total = df.count()
-    share = (n + 8 * math.sqrt(n) + 32) / total if total else 1.0
-    while share < 1.0:
-        below = keyed.where(F.col("_sample_key") < F.lit(f"{int(share * 16 ** 12):012x}"))
-        if below.count() >= n:
-            return below.orderBy("_sample_key").limit(n).drop("_sample_key")
-        share *= 4
-    return keyed.orderBy("_sample_key").limit(n).drop("_sample_key")
+    key hash, kept by bounded heaps in one scan (``bounded.smallest_rows``)."""
+    return smallest_rows(df, sample_key(key), n)
 
 
 def sample_fraction(df: DataFrame, fraction: float, seed: int = 42) -> DataFrame:

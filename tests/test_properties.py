@@ -102,7 +102,9 @@ def test_correlation_chunked_equals_single_pass(spark):
     li = load(spark, SF_SMALL, "lineitem").select("l_quantity", "l_extendedprice", "l_discount", "l_tax")
     one = sorted(tuple(r) for r in correlation(li).collect())
     many = sorted(tuple(r) for r in correlation(li, pairs_per_pass=3).collect())
-    assert len(one) == 16 and one == many
+    assert len(one) == 16
+    for a, b in zip(one, many, strict=True):  # sums in another order: alike but for rounding
+        assert a[:4] + a[5:] == b[:4] + b[5:] and abs(a[4] - b[4]) < 1e-12 and max(abs(a[4]), abs(b[4])) <= 1
 
 
 def test_per_column_passes_equal_single_pass(spark, monkeypatch):
