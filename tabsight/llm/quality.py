@@ -8,10 +8,9 @@ as good), one over the whole raw corpus, and a text scores the mean log ratio
 of its n-grams.  Log ratios are rounded to whole micro-nats, so sums are exact
 in any order and the threshold decides alike on every run.
 
-The trusted multinomial is fitted on a bounded number of labelled documents
-(``max_trusted`` ids, chosen by hash); the raw one counts the whole corpus.
-Those ids and the bucket table (``2 * buckets`` rows) are all that is
-broadcast, both of a size that does not grow with the input.
+Both multinomials count whole tables: the trusted one every trusted document,
+the raw one the corpus.  Only the bucket table (``2 * buckets`` rows) is always
+broadcast; trusted ids meet their documents by one exchange of both.
 """
 
 from __future__ import annotations
@@ -23,8 +22,6 @@ from .common import NO_ID, SPACES, cut_lineage, row_key, text_rows, whole_rows,
 
 BUCKETS = 1 << 14
 SMOOTHING = 1.0
-#: Bound on the labelled documents behind the trusted multinomial.
-MAX_TRUSTED = 50_000
 THRESHOLD = -0.25
 MIN_WORDS = 50
 MAX_REPEAT_PCT = 50
@@ -88,22 +85,20 @@ def _grams(rows: DataFrame, *keep: str, buckets: int) -> DataFrame:
 
 
 def bucket_weights(docs: DataFrame, trusted: DataFrame, buckets: int = BUCKETS,
-                   smoothing: float = SMOOTHING, max_trusted: int = MAX_TRUSTED) -> DataFrame:
+                   smoothing: float = SMOOTHING) -> DataFrame:
     """``bucket, weight``: micro-nats of log P(bucket | target) / P(bucket | raw).
 
     ``trusted`` holds the ``doc_id`` of the target documents (nulls and
-    repeats are ignored)."""
-    good = trusted.select(F.col("doc_id").cast("long").alias("_id")).filter("_id is not null").distinct()
-    n = good.count()
-    if n > max_trusted:
-        good = good.filter(F.pmod(F.xxhash64("_id"), F.lit(1 << 30)) < int((1 << 30) * max_trusted / n))
-    good = good.withColumn("good", F.lit(1).cast("long"))
+    repeats are ignored); all of them are counted."""
+    good = trusted.select(F.col("doc_id").cast("long").alias("_id")).filter("_id is not null")
     rows = text_rows(docs)
-    # about max_trusted rows of eight bytes at most
-    rows = rows.join(F.broadcast(good), rows.doc_id == F.col("_id"), "left") \
-        .select(words_of(F.col("text")).alias("words"), F.coalesce("good", F.lit(0).cast("long")).alias("good"))
-    counted = _grams(rows, "good", buckets=buckets).groupBy("bucket") \
-        .agg(F.count("*").alias("raw"), F.sum("good").alias("target")) \
+    # ids are hashed in their partition's task, which neither sorts texts nor sends all ids to every task
+    target = rows.join(good.hint("shuffle_hash"), rows.doc_id == good["_id"], "left_semi")
+    # a trusted document is counted on both sides
+    sides = [_grams(side.select(words_of(F.col("text")).alias("words")), buckets=buckets)
+             .select("bucket", F.lit(n).cast("long").alias("good")) for n, side in enumerate((rows, target))]
+    counted = sides[0].unionByName(sides[1]).groupBy("bucket") \
+        .agg(F.sum(1 - F.col("good")).alias("raw"), F.sum("good").alias("target")) \
         .withColumn("order", F.floor(F.col("bucket") / buckets))
     totals = counted.groupBy("order").agg(F.sum("raw").alias("all_raw"), F.sum("target").alias("all_target"))
     space = smoothing * buckets

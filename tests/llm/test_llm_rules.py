@@ -85,6 +85,15 @@ def test_quality_edges(spark):
     assert kept.columns == d.columns
 
 
+def test_every_trusted_document_counts(spark):
+    """However many ids are trusted, none of their documents is left out."""
+    d = table(spark, [(i, f"w{i} common") for i in range(40)] + [(None, "w0 common"), (3, "w3 common")])
+    few = spark.createDataFrame([(i,) for i in range(40)], "doc_id long")
+    many = spark.range(60_000).select(F.col("id").alias("doc_id"))
+    want = sorted(map(tuple, quality.bucket_weights(d, few, buckets=256).collect()))
+    assert sorted(map(tuple, quality.bucket_weights(d, many, buckets=256).collect())) == want
+
+
 URLS = [
     (1, "http://A.Example.NET/en/1?x#y"), (2, "https://net/"), (3, "https://x.net"), (4, "http://net"),
     (5, "http://example.com/de/"), (6, "http://aexample.com/de/1"), (7, "HTTP://WWW.ÄB.org/fr/x"),
