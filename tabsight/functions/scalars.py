@@ -160,7 +160,7 @@ def parse_with(col: Column, fmt: str) -> Column:
 
 def parse_datetime(col: Column, formats=DEFAULT_DATE_FORMATS) -> Column:
     """Text (or timestamp/date) to ``timestamp_ntz``; unparseable -> NULL."""
-    parsed = [parse_with(col, fmt) for fmt in formats]
+    parsed = [parse_with(col, fmt) for fmt in formats] or [F.lit(None)]
     return F.coalesce(*parsed).cast("timestamp_ntz")
 
 

@@ -5,19 +5,28 @@ Every value is reduced to its shape: digits become ``9``, month names ``A``
 that a date can have are kept (a finite set, see ``SHAPE``; all other text is
 one group), so the histogram of shapes is small whatever the table.  One pass
 over all text columns counts shapes and keeps the extremes of the first two
-fields, which decide whether the day or the month comes first.
+fields, which decide whether the day or the month comes first.  Tasks count
+Arrow batches: digits are masked in the bytes of a whole batch, and month names
+and shapes are looked for once for each masked text.
 """
 
 from __future__ import annotations
 
 import re
-from collections.abc import Mapping, Sequence
+import sys
+from collections.abc import Iterator, Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark import cloudpickle
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.scalars import DEFAULT_DATE_FORMATS, TEXT, family_of, parse_with, ref
 
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 # Month names and the shapes of dates and times of day.
 MONTHS_FULL = ("January|February|March|April|June|July|August|September|October|November|December")
 MONTHS_SHORT = "Jan|Feb|Mar|Apr|May|Jun|Jul|Aug|Sep|Oct|Nov|Dec"
@@ -32,21 +41,85 @@ HISTOGRAM = ("column string, ordinal int, shape string, rows bigint, chars bigin
              "high_first bigint, high_second bigint")
 
 
-def _with_shape(each: DataFrame) -> DataFrame:
-    """Adds ``shape``, the shape of ``text`` if a date can have it, else NULL.
-    Step by step, so that no step is computed again inside the next one."""
-    short = F.length("text").between(SHORTEST, LONGEST) & F.col("text").rlike("[0-9]")
-    digits, marked = F.col("digits"), F.col("marked")
-    named = F.regexp_replace(digits, rf"(?i)\b({MONTHS_FULL})\b", "F")
-    named = F.regexp_replace(named, rf"(?i)\b({MONTHS_SHORT})\b", "A")
-    named = F.regexp_replace(named, "(?i)(9 ?)[ap]m", "$1P")
-    # letters A, F and P of the text itself are no marks
-    marks = F.when(~F.col("letters"), digits) \
-        .when(digits.rlike("[AFP]") & ~digits.rlike("(?i)[a-z]{2}"), F.lit(None)).otherwise(named)
-    return each.withColumn("digits", F.when(short, F.translate("text", "0123456789", "9" * 10))) \
-        .withColumn("letters", digits.rlike("[A-Za-z]")) \
-        .withColumn("marked", F.when(digits.isNotNull(), marks)) \
-        .withColumn("shape", F.when(marked.rlike(SHAPE), marked)).drop("digits", "letters", "marked")
+#: Byte by byte: digits become 9.
+_MASK = np.array([ord("9") if 48 <= b <= 57 else b for b in range(256)], np.uint8)
+#: Masked texts whose shape a task remembers at once.
+_KNOWN = 50_000
+
+
+def _shape_of(masked: str) -> tuple | None:
+    """(shape, byte spans of the first two fields, None where one is no number)
+    of a text with its digits masked; None if no date has that shape."""
+    if "9" not in masked:
+        return None
+    shape = masked
+    if re.search("[A-Za-z]", masked):
+        # letters A, F and P of the text itself are no marks
+        if re.search("[AFP]", masked) and not re.search("[A-Za-z]{2}", masked):
+            return None
+        marks = re.ASCII | re.IGNORECASE
+        shape = re.sub(rf"\b({MONTHS_FULL})\b", "F", masked, flags=marks)
+        shape = re.sub(rf"\b({MONTHS_SHORT})\b", "A", shape, flags=marks)
+        shape = re.sub("(9 ?)[ap]m", r"\1P", shape, flags=marks)
+    # a carriage return may be left at the end of a line
+    if not re.fullmatch(f"(?:{SHAPE[1:-1]})[\r\x85\u2028\u2029]?", shape):
+        return None
+    fields = [m.span() if set(m.group()) == {"9"} else None for m in re.finditer("[0-9A-Za-z]+", masked)][:2]
+    return shape, fields + [None] * (2 - len(fields))
+
+
+def _count_shapes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Histogram of one task's rows; columns are pairs of short text and length."""
+    tally: dict[tuple, list] = {}
+    known: dict[str, tuple | None] = {}
+
+    def add(key, rows, chars, most=(None, None), high=(0, 0)):
+        have = tally.setdefault(key, [0, 0, None, None, 0, 0])
+        have[0] += rows
+        have[1] += chars
+        for k in range(2):
+            have[2 + k] = max((x for x in (have[2 + k], most[k]) if x is not None), default=None)
+            have[4 + k] += high[k]
+
+    for batch in batches:
+        for i in range(0, batch.num_columns, 2):
+            lengths = batch.column(i + 1).drop_null()
+            rows, chars = len(lengths), pc.sum(lengths).as_py() or 0
+            texts = pa.concat_arrays([batch.column(i).cast(pa.string()).drop_null()])
+            if len(texts):
+                _, ends, data = texts.buffers()
+                starts = np.frombuffer(ends, np.int32)[texts.offset:texts.offset + len(texts)]
+                raw = np.frombuffer(data, np.uint8)
+                masked = pa.Array.from_buffers(pa.string(), len(texts), [None, ends, pa.py_buffer(_MASK[raw])],
+                                               offset=texts.offset).dictionary_encode()
+                codes = masked.indices.to_numpy()
+                order, bounds = np.argsort(codes, kind="stable"), np.cumsum(np.bincount(codes))
+                for k, text in enumerate(masked.dictionary.to_pylist()):
+                    if text not in known:
+                        if len(known) >= _KNOWN:
+                            known.clear()
+                        known[text] = _shape_of(text)
+                    if known[text] is None:
+                        continue
+                    shape, fields = known[text]
+                    at = starts[order[bounds[k - 1] if k else 0:bounds[k]]]
+                    most, high = [None, None], [0, 0]
+                    for f, span in enumerate(fields):
+                        if span:
+                            value = np.zeros(len(at), np.int64)
+                            for p in range(*span):
+                                value = value * 10 + raw[at + p] - 48
+                            most[f], high[f] = int(value.max()), int((value > 12).sum())
+                    add((i // 2, shape), len(at), len(at) * len(text), most, high)
+                    rows, chars = rows - len(at), chars - len(at) * len(text)
+            if rows:
+                add((i // 2, None), rows, chars)
+    if tally:
+        names = ("rows", "chars", "max_first", "max_second", "high_first", "high_second")
+        types = (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int64())
+        yield pa.RecordBatch.from_pydict(
+            {"ordinal": pa.array([c for c, _ in tally], pa.int32()), "shape": pa.array([x for _, x in tally], pa.string())}
+            | {n: pa.array([v[k] for v in tally.values()], t) for k, (n, t) in enumerate(zip(names, types))})
 
 
 def date_shapes(df: DataFrame, cols: Sequence[str] | None = None) -> DataFrame:
@@ -61,24 +134,17 @@ def date_shapes(df: DataFrame, cols: Sequence[str] | None = None) -> DataFrame:
             if c in df.columns and family_of(df.schema[c].dataType) == TEXT]
     if not cols:
         return df.sparkSession.createDataFrame([], HISTOGRAM)
-    parts = []
+    pairs = []
     for i, c in enumerate(cols):
         text = ref(c).cast("string")
-        short = F.when(F.length(text).between(SHORTEST, LONGEST), text)
-        parts.append(F.struct(F.lit(c).alias("column"), F.lit(i).alias("ordinal"), short.alias("text"),
-                              F.length(text).alias("len")))
-    each = df.select(F.explode(F.array(*parts)).alias("x")).select("x.*").where(F.col("len").isNotNull())
-    # the shape is computed once, after the columns are stacked; long texts do not come along
-    each = _with_shape(each)
-    dated = F.when(F.col("shape").isNotNull(), F.col("text"))
-    each = each.withColumn("fields", F.split(dated, "[^0-9A-Za-z]+", 3))
-    fields = F.col("fields")
-    each = each.select("column", "ordinal", "shape", "len",
-                       *[F.try_element_at(fields, F.lit(k + 1)).try_cast("int").alias(f"f{k}") for k in range(2)])
-    return each.groupBy("column", "ordinal", "shape").agg(
-        F.count(F.lit(1)).alias("rows"), F.sum(F.col("len").cast("bigint")).alias("chars"),
-        F.max("f0").alias("max_first"), F.max("f1").alias("max_second"),
-        F.count_if(F.col("f0") > 12).alias("high_first"), F.count_if(F.col("f1") > 12).alias("high_second"))
+        # long texts do not come along
+        pairs += [F.when(F.length(text).between(SHORTEST, LONGEST), text).alias(f"t{i}"),
+                  F.length(text).alias(f"n{i}")]
+    counted = df.select(*pairs).mapInArrow(_count_shapes, HISTOGRAM.removeprefix("column string, "))
+    return counted.groupBy(F.element_at(F.array(*[F.lit(c) for c in cols]), F.col("ordinal") + 1).alias("column"),
+                           "ordinal", "shape").agg(
+        *[F.sum(x).alias(x) for x in ("rows", "chars")], *[F.max(x).alias(x) for x in ("max_first", "max_second")],
+        *[F.sum(x).alias(x) for x in ("high_first", "high_second")])
 
 
 def _group(shape: str) -> tuple:
@@ -162,13 +228,18 @@ def _kind(fmt: str) -> str:
     return re.sub("[dM]+", "n", re.sub("S+", "S", fmt)).replace("HH", "H")
 
 
-def conversion_formats(df: DataFrame, cols: Sequence[str]) -> dict[str, list[str]]:
+def conversion_formats(df: DataFrame, cols: Sequence[str], later: bool = True) -> dict[str, list[str]]:
     """For each text column the formats found, most rows first, then the listed
-    ones that do not compete with them (for data that comes later)."""
+    ones that do not compete with them (for data that comes ``later``; every
+    value of ``df`` itself that a listed format reads has a shape, whose format
+    is found)."""
     found = found_formats(date_shapes(df, cols))
     out = {}
     for c in cols:
         mine = [f["format"] for f in found.get(c, [])]
+        if not later:
+            out[c] = mine
+            continue
         taken = {_kind(f) for f in mine}
         out[c] = mine + [f for f in DEFAULT_DATE_FORMATS if _kind(f) not in taken]
     return out

@@ -122,7 +122,7 @@ def to_datetime(df: DataFrame, cols: Sequence[str],
     cols = [c for c in cols if c in df.columns]
     texts = [c for c in cols if family_of(df.schema[c].dataType) == TEXT]
     if formats is None:
-        formats = conversion_formats(df, texts)
+        formats = conversion_formats(df, texts, later=False)
     new = {}
     for c in cols:
         if c in texts:

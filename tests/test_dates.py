@@ -97,3 +97,27 @@ def test_conversion_step_learns_formats(spark, table):
     fitted = R.fit(table.select("c1"), [step])
     later = spark.createDataFrame([("01/02/2024",), ("2024-03-04",)], ["c1"])
     assert [r["c1"] for r in R.transform(later, fitted).collect()] == [dt.datetime(2024, 2, 1), dt.datetime(2024, 3, 4)]
+
+
+def test_histogram_counts_every_value(spark):
+    """Many batches, masked texts that differ, letters beside other scripts."""
+    rows = [(f"{i % 28 + 1}/{i % 12 + 1}/2024", "5 Jan 2024" if i % 2 else "éJan 5, 2024") for i in range(25_000)]
+    rows += [(None, None), ("x" * 60, "2024-01-05\r")]
+    got = {(r["column"], r["shape"]): tuple(r)[3:] for r in D.date_shapes(spark.createDataFrame(rows, ["n", "t"])).collect()}
+    days = [r[0] for r in rows[:-2]]
+    for shape in {"".join("9" if x.isdigit() else x for x in d) for d in days}:
+        mine = [d for d in days if "".join("9" if x.isdigit() else x for x in d) == shape]
+        f = [[int(x) for x in d.split("/")] for d in mine]
+        assert got[("n", shape)] == (len(mine), sum(map(len, mine)), max(x[0] for x in f), max(x[1] for x in f),
+                                     sum(x[0] > 12 for x in f), 0)
+    assert got[("n", None)] == (1, 60, None, None, 0, 0)
+    assert got[("t", "9 A 9999")] == (12_500, 125_000, 5, None, 0, 0)
+    assert got[("t", None)][:2] == (12_500, 150_000) and got[("t", "9999-99-99\r")][0] == 1
+
+
+def test_conversion_tries_found_formats_only(spark):
+    """A format that no value of the table can have is not tried on any."""
+    df = spark.createDataFrame([("13/02/2024", "soon"), ("01/03/2024", None)], ["t", "none"])
+    assert D.conversion_formats(df, df.columns, later=False) == {"t": ["dd/MM/yyyy"], "none": []}
+    out = [tuple(r) for r in R.to_datetime(df, df.columns).collect()]
+    assert out == [(dt.datetime(2024, 2, 13), None), (dt.datetime(2024, 3, 1), None)]
