@@ -274,6 +274,19 @@ def label_codes(df: DataFrame, col: str) -> tuple[DataFrame, int]:
     return ranked.select("value", (F.col("_cum") - 1).cast("bigint").alias("code")), n
 
 
+# Code tables of at most this many rows are broadcast by name: a checkpoint has
+# no size that Spark knows before it has shuffled the other side.
+FEW_CODES = 1000
+
+
+def code_table(df: DataFrame, col: str) -> DataFrame:
+    """The codes of :func:`label_codes` written once, for any number of joins
+    (a stream joins them to every batch)."""
+    codes, n = label_codes(df, col)
+    codes = codes.checkpoint(eager=True)
+    return F.broadcast(codes) if n <= FEW_CODES else codes
+
+
 # Missing values have no code to meet; they are spread over this many keys, so
 # that a column of mostly missing values does not fill one task of the join.
 MISSING_SPREAD = 1024
@@ -302,7 +315,7 @@ def label_encode(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     out = df
     for c in cols:
         if c in out.columns:
-            out = attach_codes(out, c, label_codes(out, c)[0])
+            out = attach_codes(out, c, code_table(out, c))
     return out
 
 
@@ -364,7 +377,7 @@ def _fit_step(df: DataFrame, step: dict) -> dict | None:
     if typ == "date_conversion" and params.get("formats"):
         return {"kind": "dates", "columns": cols, "formats": list(params["formats"])}
     if typ == "categorical_encoding" and method == "label":
-        return {"kind": "label", "codes": {c: label_codes(df, c)[0] for c in cols}}
+        return {"kind": "label", "codes": {c: code_table(df, c) for c in cols}}
     return None  # unknown step types are no-ops, like the reference
 
 
