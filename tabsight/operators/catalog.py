@@ -66,17 +66,18 @@ def catalog_facts(spark: SparkSession, tables: Mapping[str, DataFrame],
                   approx: bool = False) -> DataFrame:
     """The catalog plus rows, missing and distinct counts read from the data.
 
-    One aggregate pass per table.  The result has one row per catalog column
-    (metadata-sized), so it is checkpointed once: classification, domain
-    scoring and suggestions then read it without re-scanning the tables.
+    One aggregate pass per table for rows and missing values, and one exchange
+    per column type for the distinct counts of all tables.  The result has one
+    row per catalog column (metadata-sized), so it is checkpointed once:
+    classification, domain scoring and suggestions then read it without
+    re-scanning the tables.
     """
     from ..functions.aggregates import count_missing
     from ..functions.scalars import is_missing, nan_to_null
 
     from .profile import long_text_columns
 
-    distinct = F.approx_count_distinct if approx else F.count_distinct
-    facts = None
+    facts, plain, hashed, numbers = None, [], [], []
     for t, df in tables.items():
         cols = list(df.columns)
         # long texts are counted hash-first (see stats.unique_counts)
@@ -84,21 +85,33 @@ def catalog_facts(spark: SparkSession, tables: Mapping[str, DataFrame],
             df, [c for c in cols if family_of(df.schema[c].dataType) == TEXT])
         wide = df.agg(F.count(F.lit(1)).alias("rows"),
                       *[count_missing(is_missing(df, c)).alias(f"m{i}") for i, c in enumerate(cols)],
-                      *[distinct(nan_to_null(df, c)).alias(f"u{i}") for i, c in enumerate(cols)
-                        if c not in long])
+                      *[F.approx_count_distinct(nan_to_null(df, c)).alias(f"u{i}") for i, c in enumerate(cols)
+                        if approx])
         none = F.lit(None).cast("bigint")
         entries = [F.struct(F.lit(t).alias("table"), F.lit(c).alias("column"),
                             F.col("rows").alias("rows"), F.col(f"m{i}").cast("bigint").alias("missing"),
-                            (none if c in long else F.col(f"u{i}").cast("bigint")).alias("n_unique"))
+                            (F.col(f"u{i}").cast("bigint") if approx else none).alias("_u"))
                    for i, c in enumerate(cols)]
         part = wide.select(F.explode(F.array(*entries)).alias("e")).select("e.*")
-        if long:
-            hashed = S.unique_counts(df, long, hash_texts=long).select(
-                "column", F.col("n_unique").alias("_hashed"))
-            part = (part.join(F.broadcast(hashed), "column", "left")
-                    .select("table", "column", "rows", "missing",
-                            F.coalesce("n_unique", "_hashed").alias("n_unique")))
         facts = part if facts is None else facts.unionByName(part)
+        mine = {c: len(numbers) + i for i, c in enumerate(cols)}
+        numbers += [(n, t, c) for c, n in mine.items()]
+        if not approx and len(long) < len(cols):
+            plain.append((df, {c: n for c, n in mine.items() if c not in long}))
+        if long:
+            hashed.append(S.unique_counts(df, long, hash_texts=long)
+                          .select(F.lit(t).alias("table"), "column", F.col("n_unique").alias("n")))
+    found = None
+    if plain:
+        names = spark.createDataFrame(numbers, "cid int, table string, column string")
+        found = names.join(S.distinct_counts(plain), "cid").select("table", "column", "n")
+    for part in hashed:
+        found = part if found is None else found.unionByName(part)
+    if found is None:
+        facts = facts.withColumnRenamed("_u", "n_unique")
+    else:
+        facts = facts.join(found, ["table", "column"], "left").select(
+            "table", "column", "rows", "missing", F.coalesce("n", F.lit(0)).cast("bigint").alias("n_unique"))
     out = column_catalog(spark, tables).join(facts, ["table", "column"], "left")
     return out.checkpoint(eager=True)
 

@@ -11,6 +11,7 @@ Design rules:
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -115,8 +116,7 @@ def unique_counts(df: DataFrame, cols: Sequence[str] | None = None,
                   approx: bool = False, hash_texts: Sequence[str] = ()) -> DataFrame:
     """Distinct non-missing values per column: (column, ordinal, n_unique).
 
-    Exact by default (one pass; Spark expands rows once per column and
-    de-duplicates map-side).  Text columns named in ``hash_texts`` (long
+    Exact by default (``distinct_counts``).  Text columns named in ``hash_texts`` (long
     texts) are counted by digest, so no text is shuffled (see
     ``_text_distinct_counts``).  ``approx=True`` uses
     HyperLogLog++ sketches, which merge without shuffling the values at all.
@@ -133,9 +133,9 @@ def unique_counts(df: DataFrame, cols: Sequence[str] | None = None,
     hashed = [c for c in cols if c in texts]
     parts = []
     if plain:
-        parts.append(per_column_passes(
-            df, plain, lambda c: [F.count_distinct(nan_to_null(df, c)).alias(f"n_unique__{c}")],
-            {"n_unique": "bigint"}).select("column", "n_unique"))
+        names = df.sparkSession.createDataFrame([(i, c) for i, c in enumerate(plain)], "cid int, column string")
+        parts.append(names.join(distinct_counts([(df, {c: i for i, c in enumerate(plain)})]), "cid", "left")
+                     .select("column", F.coalesce("n", F.lit(0)).cast("bigint").alias("n_unique")))
     if hashed:
         parts.append(_text_distinct_counts(df, hashed))
     out = parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
@@ -145,6 +145,32 @@ def unique_counts(df: DataFrame, cols: Sequence[str] | None = None,
     return out.select("column", ordinal.alias("ordinal"), "n_unique")
 
 
+def distinct_counts(tables: Sequence[tuple[DataFrame, Mapping[str, int]]]) -> DataFrame:
+    """(cid, n): distinct non-missing values of the columns of many tables, for
+    those that have any; each table comes with a number for each column.
+
+    Columns of one type are stacked as (cid, value), so that a row of the
+    exchange is two fields wide however many columns there are, and copies are
+    combined in their map task.  One exchange a type for all tables; each
+    column is read once."""
+    by_type: dict = {}
+    for df, numbers in tables:
+        groups: dict = {}
+        for c, i in numbers.items():
+            dtype = df.schema[c].dataType
+            kind = "bigint" if isinstance(dtype, T.IntegralType) else \
+                "string" if isinstance(dtype, (T.CharType, T.VarcharType)) else dtype
+            groups.setdefault(kind, {})[c] = i
+        for kind, of in groups.items():
+            cols = df.select(*[nan_to_null(df, c).cast(kind).alias(str(i)) for c, i in of.items()])
+            long = cols.unpivot([], [ref(str(i)) for i in of.values()], "cid", "v").where(F.col("v").isNotNull())
+            by_type.setdefault(kind, []).append(long.select(F.col("cid").cast("int").alias("cid"), "v"))
+    counts = []
+    for parts in by_type.values():
+        counts.append(reduce(DataFrame.union, parts).distinct().groupBy("cid").agg(F.count(F.lit(1)).alias("n")))
+    return reduce(DataFrame.union, counts)
+
+
 def _text_distinct_counts(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     """Distinct counts of text columns by the SHA-256 of their values: one
     scan, and one exchange of digests whose copies are combined in their map
