@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 
 from tabsight.operators import catalog as K
+from tabsight.operators import stats as S
 
 
 def frames(spark):
@@ -81,3 +82,18 @@ def test_run_analysis_dispatch(spark):
                                   "dimensions": ["o_orderstatus"], "parameters": {"aggregation": "median"}})
     assert one["data"].count() == 3
     assert K.run_analysis(orders, {"type": "no_such_analysis"})["data"] is None
+
+
+def test_distinct_counts_of_many_types_and_tables(spark):
+    """Columns of one type share a narrow exchange; each keeps its own count."""
+    one = spark.createDataFrame(
+        [(1, 1, 0.0, "x", [1.0], True, None), (2, 1, -0.0, "x", [1.0], False, None), (1, 2, float("nan"), "y", [2.0], True, None),
+         (None, 3, 1.5, None, None, None, None)],
+        "a long, b int, `c.d` double, s string, e array<float>, f boolean, g string")
+    two = spark.createDataFrame([(5, "x"), (5, "z"), (1, "x")], "a long, s string").withColumn("t", F.lit("2024-01-05").cast("date"))
+    facts = {(r["table"], r["column"]): r["n_unique"] for r in K.catalog_facts(spark, {"one": one, "two": two}).collect()}
+    assert facts == {("one", "a"): 2, ("one", "b"): 3, ("one", "c.d"): 2, ("one", "s"): 2, ("one", "e"): 2,
+                     ("one", "f"): 2, ("one", "g"): 0, ("two", "a"): 2, ("two", "s"): 2, ("two", "t"): 1}
+    counts = S.distinct_counts([(one, {"a": 0, "b": 1}), (two, {"a": 2})])
+    assert counts._jdf.queryExecution().optimizedPlan().toString().count("Aggregate") == 2
+    assert {r["cid"]: r["n"] for r in counts.collect()} == {0: 2, 1: 3, 2: 2}
