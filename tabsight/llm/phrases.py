@@ -9,14 +9,19 @@ two passes:
    of n-grams it saw (its mass) and their packed hashes and counts.  The masses
    sort first, so a reducer knows the mass of its partition before it merges a
    single count.  It keeps a Misra-Gries summary of ``mass // least + 1``
-   counters: whenever more are held, the largest value that leaves no more is
-   taken off all of them.  What is taken off is below ``mass / capacity``, so
-   below ``least``: every n-gram seen ``least`` times or more survives, with at
-   most that error.
+   counters, or of ``COUNTERS`` if that is more: whenever more are held, the
+   largest value that leaves no more is taken off all of them.  What is taken
+   off is below ``mass / capacity``, so below ``least``: every n-gram seen
+   ``least`` times or more survives, with at most that error.
 2. *Exact counts.*  The survivors' hashes become a bit table of bounded size
    that is broadcast.  A second pass counts the n-grams whose bit (and whose
-   shorter parts' bits) are set, by their words, and Spark adds the counts up.
-   A full table only lets more n-grams through; the counts are exact.
+   shorter parts' bits) are set, by their words, and sends them packed to the
+   same hash partitions, where the counts are added up.  A full table only lets
+   more n-grams through; the counts are exact.
+
+A task's Python holds one chunk or one hash partition, and works on both in
+blocks; the JVM only moves packed rows.  So memory depends neither on the input
+nor on how much passes.
 
 Scores compare every phrase with the parts of its weakest cut, in decimals
 that hold products beyond 64 bits.
@@ -47,6 +52,14 @@ SLICE = 1 << 20
 #: Bytes of text behind one hash partition, and the bounds of their number.
 PARTITION_BYTES = 4 << 20
 MIN_BITS, MAX_BITS = 5, 16
+#: N-grams that are hashed, or rows that are written, at a time.
+BLOCK = 1 << 15
+#: Bytes of phrases that wait to be added up.
+SUM_BYTES = 4 << 20
+#: The partition of the numbers of all words.
+TOTALS = -1
+#: Counters a summary has at least: most partitions hold fewer n-grams.
+COUNTERS = 1 << 20
 #: The bit table holds at most 2^29 bits (64 MB).
 MAX_TABLE_BITS = 29
 UNKNOWN = "und"
@@ -128,6 +141,10 @@ class Chunk:
             place = np.flatnonzero(whole)
             yield n, ids, place[place + n > self.seen]
 
+    def context(self, n: int) -> np.ndarray:
+        """First places of the n-grams inside the part that was seen before."""
+        return np.array([p for p in range(self.seen - n + 1) if all(self.ids[p:p + n])], np.int64)
+
     def hashes(self) -> np.ndarray:
         seeds = {lang: xxhash.xxh3_64_intdigest(lang.encode()) for lang in self.numbers}
         out = np.zeros(len(self.words), np.uint64)
@@ -135,6 +152,11 @@ class Chunk:
         return out
 
 
+def _blocks(x: np.ndarray) -> Iterator[np.ndarray]:
+    for a in range(0, len(x), BLOCK):
+        yield x[a:a + BLOCK]
+
+
 def gram_hash(hashes: np.ndarray, ids: np.ndarray, place: np.ndarray, n: int) -> np.ndarray:
     h = np.full(len(place), n, np.uint64)
     for k in range(n):
@@ -162,7 +184,8 @@ def chunks(batches, longest: int, size: int = CHUNK, part: int = SLICE) -> Itera
 
 def pack_counts(keys: np.ndarray, counts: np.ndarray) -> bytes:
     """Ascending 32-bit keys as differences, byte planes apart, and counts."""
-    gaps = np.diff(keys, prepend=np.uint32(0)).astype(np.uint32)
+    gaps = keys.astype(np.uint32)
+    gaps[1:] -= keys[:-1]
     planes = np.concatenate([gaps.view(np.uint8).reshape(-1, 4).T.ravel(),
                              counts.astype(np.uint32).view(np.uint8).reshape(-1, 4).T.ravel()])
     return zstandard.ZstdCompressor(level=1).compress(planes.tobytes())
@@ -171,23 +194,33 @@ def pack_counts(keys: np.ndarray, counts: np.ndarray) -> bytes:
 def unpack_counts(payload: bytes) -> tuple[np.ndarray, np.ndarray]:
     raw = np.frombuffer(zstandard.ZstdDecompressor().decompress(payload), np.uint8)
     gaps, counts = (np.ascontiguousarray(x.reshape(4, -1).T).view(np.uint32).ravel() for x in np.split(raw, 2))
-    return np.cumsum(gaps, dtype=np.uint32), counts.astype(np.int64)
+    return np.cumsum(gaps, dtype=np.uint32), counts
 
 
 def _added(keys: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Ascending keys and the sums of their counts."""
     k, c = np.concatenate(keys), np.concatenate(counts)
-    order = np.argsort(k, kind="stable")
-    k = k[order]
-    first = np.flatnonzero(np.append(True, k[1:] != k[:-1])) if len(k) else np.zeros(0, np.int64)
-    return k[first], np.add.reduceat(c[order], first) if len(k) else c
+    if not len(k):
+        return k, c
+    if c.max() < 1 << 32:  # both in one number
+        both = k.astype(np.uint64)
+        both <<= np.uint64(32)
+        both |= c.astype(np.uint64)
+        both.sort()
+        k, c = (both >> np.uint64(32)).astype(np.uint32), both.astype(np.uint32)
+    else:
+        order = np.argsort(k, kind="stable")
+        k, c = k[order], c[order]
+    first = np.flatnonzero(np.append(True, k[1:] != k[:-1]))
+    return k[first], np.add.reduceat(c, first, dtype=np.int64)
 
 
 class Summary:
     """Misra-Gries counters for a known mass: of what occurs ``least`` times
     or more nothing is lost, and ``value + error`` bounds every count."""
 
-    def __init__(self, mass: int, least: int):
-        self.least, self.capacity, self.error = least, mass // least + 1, 0
+    def __init__(self, mass: int, least: int, counters: int = 0):
+        self.least, self.capacity, self.error = least, max(mass // least + 1, counters), 0
         self.keys, self.counts = np.zeros(0, np.uint32), np.zeros(0, np.int64)
         self.waiting: list[tuple[np.ndarray, np.ndarray]] = []
         self.size = 0
@@ -214,24 +247,47 @@ class Summary:
         return self.keys[self.counts + self.error >= self.least]
 
 
+def _hashes(chunk: Chunk, longest: int) -> np.ndarray:
+    """The hashes of all n-grams that end in a chunk, ascending."""
+    hashes = chunk.hashes()
+    out, n_out = np.empty(longest * len(chunk.ids), np.uint64), 0
+    for n, ids, place in chunk.grams(longest):
+        for block in _blocks(place):
+            out[n_out:n_out + len(block)] = gram_hash(hashes, ids, block, n)
+            n_out += len(block)
+    out = out[:n_out]
+    out.sort()
+    return out
+
+
 def _summaries(longest: int, bits: int, size: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        edge = np.arange(1, 1 << bits, dtype=np.uint64) << np.uint64(64 - bits)
         for chunk in chunks(batches, longest, size):
-            hashes = chunk.hashes()
-            found = [gram_hash(hashes, ids, place, n) for n, ids, place in chunk.grams(longest)]
-            keys, counts = np.unique(np.concatenate(found), return_counts=True)
-            edge = np.arange(1, 1 << bits, dtype=np.uint64) << np.uint64(64 - bits)
+            keys = _hashes(chunk, longest)
+            del chunk  # before the next one grows
             bound = np.concatenate([[0], np.searchsorted(keys, edge), [len(keys)]])
-            keys = ((keys << np.uint64(bits)) >> np.uint64(32)).astype(np.uint32)
             part = np.flatnonzero(np.diff(bound))
-            masses = np.add.reduceat(counts, bound[part]) if len(part) else counts
             yield pa.RecordBatch.from_pydict({
-                "part": pa.array(part, pa.int32()), "mass": pa.array(masses, pa.int64()),
+                "part": pa.array(part, pa.int32()), "mass": pa.array(np.diff(bound)[part], pa.int64()),
                 "counts": pa.nulls(len(part), pa.binary())})
-            yield pa.RecordBatch.from_pydict({
-                "part": pa.array(part, pa.int32()), "mass": pa.nulls(len(part), pa.int64()),
-                "counts": pa.array([pack_counts(keys[bound[p]:bound[p + 1]], counts[bound[p]:bound[p + 1]])
-                                    for p in part.tolist()], pa.binary())})
+            # so many partitions at a time that hold a block of n-grams, or one
+            for group in np.split(part, np.flatnonzero(np.diff(bound[part] // BLOCK)) + 1):
+                if not len(group):
+                    continue
+                a = bound[group[0]]
+                found = (keys[a:bound[group[-1] + 1]] << np.uint64(bits) >> np.uint64(32)).astype(np.uint32)
+                new = np.append(True, found[1:] != found[:-1])
+                new[bound[group] - a] = True
+                first = np.flatnonzero(new)
+                counts = np.diff(first, append=len(found))
+                found = found[first]
+                cut = np.append(np.searchsorted(first, bound[group] - a), len(first)).tolist()
+                yield pa.RecordBatch.from_pydict({
+                    "part": pa.array(group, pa.int32()), "mass": pa.nulls(len(group), pa.int64()),
+                    "counts": pa.array([pack_counts(found[i:j], counts[i:j]) for i, j in zip(cut, cut[1:])],
+                                       pa.binary())})
+            del keys
     return run
 
 
@@ -245,16 +301,17 @@ def _merged(least: int):
 
         now, mass, summary = None, 0, None
         for batch in batches:
-            for p, m, c in zip(*[batch.column(x).to_pylist() for x in ("part", "mass", "counts")]):
+            packed = batch.column("counts")
+            for i, (p, m) in enumerate(zip(batch.column("part").to_pylist(), batch.column("mass").to_pylist())):
                 if p != now:
                     if summary is not None:
                         yield done(now, summary)
                     now, mass, summary = p, 0, None
-                if c is None:
+                if m is not None:
                     mass += m
                 else:
-                    summary = summary or Summary(mass, least)
-                    summary.add(*unpack_counts(c))
+                    summary = summary or Summary(mass, least, COUNTERS)
+                    summary.add(*unpack_counts(packed[i].as_buffer()))
         if summary is not None:
             yield done(now, summary)
     return run
@@ -299,43 +356,179 @@ def _known(table: np.ndarray, h: np.ndarray) -> np.ndarray:
     return (table[(at >> np.uint64(3)).astype(np.int64)] >> (at & np.uint64(7)).astype(np.uint8)) & 1 == 1
 
 
-def _exact(shared, longest: int, size: int):
+def _planes(x: np.ndarray) -> bytes:
+    return x.astype(np.uint32).view(np.uint8).reshape(-1, 4).T.tobytes()
+
+
+def _unplaned(raw: np.ndarray) -> np.ndarray:
+    return np.ascontiguousarray(raw.reshape(4, -1).T).view(np.uint32).ravel()
+
+
+def pack_phrases(lengths: np.ndarray, counts: np.ndarray, data: bytes) -> bytes:
+    head = np.array([len(counts)], np.uint32).tobytes()
+    return zstandard.ZstdCompressor(level=1).compress(head + _planes(lengths) + _planes(counts) + data)
+
+
+def unpack_phrases(payload: bytes) -> tuple[pa.Array, np.ndarray]:
+    raw = np.frombuffer(zstandard.ZstdDecompressor().decompress(payload), np.uint8)
+    n = int(raw[:4].view(np.uint32)[0])
+    ends = np.append(0, np.cumsum(_unplaned(raw[4:4 + 4 * n]), dtype=np.int64))
+    keys = pa.Array.from_buffers(pa.large_binary(), n, [None, pa.py_buffer(ends), pa.py_buffer(raw[4 + 8 * n:])])
+    return keys, _unplaned(raw[4 + 4 * n:4 + 8 * n])
+
+
+class _Writer:
+    """Phrases of a chunk as bytes: the language, ``_BREAK`` and the words."""
+
+    def __init__(self, chunk: Chunk):
+        langs = list(chunk.numbers)
+        code = {lang: len(chunk.words) + i for i, lang in enumerate(langs)}
+        self.lang = np.fromiter((code.get(x, 0) for x in chunk.lang_of), np.int64, len(chunk.lang_of))
+        entries = [w + b" " for w in chunk.words] + [x.encode() + _BREAK for x in langs]
+        self.length = np.fromiter(map(len, entries), np.int64, len(entries))
+        self.start = np.cumsum(self.length) - self.length
+        self.text = np.frombuffer(b"".join(entries), np.uint8)
+
+    def totals(self, ids: np.ndarray) -> bytes:
+        """The number of words of every language, packed."""
+        total = np.bincount(self.lang[ids])
+        lang = np.flatnonzero(total)
+        return pack_phrases(self.length[lang], total[lang],
+                            B.gather(self.text, self.start[lang], self.length[lang]).tobytes())
+
+    def written(self, ids: np.ndarray, place: np.ndarray, words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Bytes, and their number for every phrase."""
+        ends = np.cumsum(words + 1)
+        start = ends - words - 1
+        entry = np.empty(ends[-1], np.int64)
+        entry[start] = self.lang[ids[place]]
+        for k in range(1, words.max() + 1):
+            of = np.flatnonzero(words >= k)
+            entry[start[of] + k] = ids[place[of] + k - 1]
+        length = self.length[entry]
+        length[ends - 1] -= 1
+        return B.gather(self.text, self.start[entry], length), np.add.reduceat(length, start)
+
+
+def _found(chunk: Chunk, hashes: np.ndarray, table: np.ndarray, longest: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """(words, first places, counts) of the n-grams that pass the table."""
+    number = None
+    for n, ids, place in chunk.grams(longest):
+        # what was seen before is not counted here, but a part of what is
+        place = np.concatenate([chunk.context(n), place])
+        if n > 1:
+            place = place[(number[place] >= 0) & (number[place + 1] >= 0)]  # its parts passed
+        known = [_known(table, gram_hash(hashes, ids, block, n)) for block in _blocks(place)]
+        place = place[np.concatenate(known)] if known else place
+        # the n-grams of the places, numbered by their words
+        if n == 1:
+            numbers, first = ids[place], np.zeros(len(hashes), np.int64)
+            first[numbers] = place
+        else:
+            key = number[place] * np.int64(len(hashes)) + ids[place + n - 1]
+            _, first, numbers = np.unique(key, return_index=True, return_inverse=True)
+            first = place[first]
+            del key
+        counts = np.bincount(numbers[place + n > chunk.seen])
+        number = np.full(len(ids) + 1, -1, np.int64)
+        number[place] = numbers
+        del numbers
+        here = np.flatnonzero(counts)
+        yield n, first[here], counts[here]
+
+
+def _counted(chunk: Chunk, table: np.ndarray, longest: int, bits: int) -> Iterator[pa.RecordBatch]:
+    def batch(parts, payloads):
+        return pa.RecordBatch.from_pydict({"part": pa.array(parts, pa.int32()), "counts": pa.array(payloads, pa.binary())})
+
+    hashes, writer, ids = chunk.hashes(), _Writer(chunk), np.frombuffer(chunk.ids, np.uint32)
+    new = ids[chunk.seen:]
+    if new.any():
+        yield batch([TOTALS], [writer.totals(new[new != 0])])
+    part, place, words, counts = [], [], [], []
+    for n, at, c in _found(chunk, hashes, table, longest):
+        part += [(gram_hash(hashes, ids, block, n) >> np.uint64(64 - bits)).astype(np.uint32) for block in _blocks(at)]
+        place.append(at.astype(np.uint32))
+        words.append(np.full(len(at), n, np.uint16))
+        counts.append(c.astype(np.uint32))
+    if not part:
+        return
+    part, place, words, counts = map(np.concatenate, (part, place, words, counts))
+    order = np.argsort(part, kind="stable").astype(np.uint32)
+    bound = np.searchsorted(part[order], np.arange((1 << bits) + 1))
+    del part, hashes
+    parts = np.flatnonzero(np.diff(bound))
+    for group in np.split(parts, np.flatnonzero(np.diff(bound[parts] // BLOCK)) + 1):
+        a, b = bound[group[0]], bound[group[-1] + 1]
+        of = order[a:b]
+        data, length = writer.written(ids, place[of].astype(np.int64), words[of].astype(np.int64))
+        end = np.append(0, np.cumsum(length))
+        cut = np.append(bound[group], b) - a
+        c = counts[of]
+        yield batch(group, [pack_phrases(length[i:j], c[i:j], data[end[i]:end[j]].tobytes())
+                            for i, j in zip(cut.tolist(), cut[1:].tolist())])
+
+
+def _exact(shared, longest: int, size: int, bits: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = shared.value
         for chunk in chunks(batches, longest, size):
-            hashes = chunk.hashes()
-            words, lang_of = chunk.words, chunk.lang_of
-            out = []
-            number = None
-            for n, ids, place in chunk.grams(longest):
-                if n == 1:
-                    langs, total = np.unique(np.array(lang_of, dtype=object)[ids[place]].astype(str),
-                                             return_counts=True)
-                    out += [(lang, "", 0, c) for lang, c in zip(langs.tolist(), total.tolist())]
-                    context = np.flatnonzero(ids[:chunk.seen])  # not counted here, but a part of what is
-                    place = np.concatenate([context, place])
-                elif number is not None:
-                    context = np.arange(max(chunk.seen - n + 1, 0))
-                    context = context[[bool((ids[p:p + n] != 0).all()) for p in context.tolist()]]
-                    place = np.concatenate([context, place])
-                    place = place[(number[place] >= 0) & (number[place + 1] >= 0)]  # its parts passed
-                place = place[_known(table, gram_hash(hashes, ids, place, n))]
-                # the n-grams of the places, numbered by their words
-                key = ids[place].astype(np.int64) if n == 1 else \
-                    number[place] * np.int64(len(words)) + ids[place + n - 1]
-                _, first, inverse = np.unique(key, return_index=True, return_inverse=True)
-                counts = np.bincount(inverse[place + n > chunk.seen], minlength=len(first))
-                number = np.full(len(ids) + 1, -1, np.int64)
-                number[place] = inverse
-                for at, c in zip(place[first].tolist(), counts.tolist()):
-                    if c:
-                        gram = ids[at:at + n].tolist()
-                        out.append((lang_of[gram[0]], b" ".join([words[g] for g in gram]).decode(), n, c))
-            if out:
-                lang, phrase, n_words, count = zip(*out)
-                yield pa.RecordBatch.from_pydict({
-                    "lang": pa.array(lang, pa.string()), "phrase": pa.array(phrase, pa.string()),
-                    "words": pa.array(n_words, pa.int32()), "n": pa.array(count, pa.int64())})
+            yield from _counted(chunk, table, longest, bits)
+            del chunk  # before the next one grows
+    return run
+
+
+class Sums:
+    """Counts of phrases, added up whenever ``SUM_BYTES`` are waiting, or as
+    many as are held."""
+
+    def __init__(self):
+        self.keys, self.counts = pa.array([], pa.large_binary()), np.zeros(0, np.int64)
+        self.waiting: list[tuple[pa.Array, np.ndarray]] = []
+        self.size = 0
+
+    def add(self, keys: pa.Array, counts: np.ndarray) -> None:
+        self.waiting.append((keys, counts))
+        self.size += keys.nbytes
+        if self.size > max(SUM_BYTES, self.keys.nbytes):
+            self.merge()
+
+    def merge(self) -> None:
+        keys = pa.concat_arrays([self.keys, *[k for k, _ in self.waiting]])
+        counts = np.concatenate([self.counts, *[c for _, c in self.waiting]])
+        self.waiting, self.size = [], 0
+        coded = keys.dictionary_encode()
+        at = coded.indices.to_numpy()
+        order = np.argsort(at, kind="stable")
+        first = np.flatnonzero(np.diff(at[order], prepend=-1))
+        self.keys = coded.dictionary
+        self.counts = np.add.reduceat(counts[order], first, dtype=np.int64) if len(first) else self.counts
+
+    def rows(self, least: int) -> Iterator[pa.RecordBatch]:
+        """The phrases counted ``least`` times or more."""
+        self.merge()
+        for block in _blocks(np.flatnonzero(self.counts >= least)):
+            lang, _, phrase = zip(*[k.partition(_BREAK) for k in self.keys.take(pa.array(block)).to_pylist()])
+            yield pa.RecordBatch.from_pydict({
+                "lang": pa.array(lang, pa.binary()).cast(pa.string()),
+                "phrase": pa.array(phrase, pa.binary()).cast(pa.string()),
+                "words": pa.array([p.count(b" ") + 1 if p else 0 for p in phrase], pa.int32()),
+                "a": pa.array(self.counts[block], pa.int64())})
+
+
+def _summed(least: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, sums = None, None
+        for batch in batches:
+            packed = batch.column("counts")
+            for i, p in enumerate(batch.column("part").to_pylist()):
+                if p != now:
+                    if sums is not None:
+                        yield from sums.rows(0 if now == TOTALS else least)
+                    now, sums = p, Sums()
+                sums.add(*unpack_phrases(packed[i].as_buffer()))
+        if sums is not None:
+            yield from sums.rows(0 if now == TOTALS else least)
     return run
 
 
@@ -349,9 +542,10 @@ def frequent_phrases(docs: DataFrame, least: int = LEAST, longest: int = LONGEST
     bits = min(max((n_bytes // PARTITION_BYTES).bit_length(), MIN_BITS), MAX_BITS)
     kept = cut_lineage(survivors(rows, bits, least, longest, size))
     shared = docs.sparkSession.sparkContext.broadcast(bit_table(kept, bits))
-    counted = rows.mapInArrow(_exact(shared, longest, size), "lang string, phrase string, words int, n long") \
-        .groupBy("lang", "phrase", "words").agg(F.sum("n").alias("a"))
-    return cut_lineage(counted.filter((F.col("a") >= least) | (F.col("words") == 0)))
+    counted = rows.mapInArrow(_exact(shared, longest, size, bits), "part int, counts binary") \
+        .repartition("part").sortWithinPartitions("part") \
+        .mapInArrow(_summed(least), "lang string, phrase string, words int, a long")
+    return cut_lineage(counted)
 
 
 # -------------------------------------------------------------- scores

@@ -2,12 +2,16 @@
 
 import collections
 import hashlib
+import inspect
 import os
 import re
 import sys
+import tracemalloc
+import types
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -133,6 +137,62 @@ def test_long_text_in_slices():
         assert [w for p in parts for w in phrases.pieces_of(p)] == phrases.pieces_of(raw)
 
 
+def test_phrases_cross_the_jvm_packed(spark, monkeypatch):
+    """Rows of single phrases in Spark's hash maps filled the executors at 6 GB."""
+    plans, cut = [], phrases.cut_lineage
+    monkeypatch.setattr(phrases, "cut_lineage",
+                        lambda df: plans.append(df._jdf.queryExecution().executedPlan().toString()) or cut(df))
+    phrases.frequent_phrases(texts(spark, TEXTS), least=4)
+    assert len(plans) == 2
+    assert all("MapInArrow" in p and "Aggregate" not in p for p in plans)
+
+
+def test_memory_of_a_chunk_where_all_passes():
+    """Python's memory follows the tokens of a chunk, not what passes the table."""
+    rng = np.random.default_rng(3)
+    n = 1 << 17
+    batch = pa.RecordBatch.from_pydict({
+        "lang": ["en"], "text": [" ".join(f"word{x}" for x in rng.integers(0, 20000, n).tolist())]})
+    shared = types.SimpleNamespace(value=np.full(1 << 12, 255, np.uint8))
+    args = (shared, 3, n, 5)[:len(inspect.signature(phrases._exact).parameters)]
+    run = phrases._exact(*args)
+    tracemalloc.start()
+    assert sum(b.num_rows for b in run(iter([batch]))) > 0
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 350 * n
+
+
+def test_sums_of_packed_phrases(monkeypatch):
+    monkeypatch.setattr(phrases, "SUM_BYTES", 40)
+    rng = np.random.default_rng(2)
+    names = [f"{lang}\xff{w}".encode("latin-1") for lang in ("en", "", "zz z") for w in ("a", "a b", "a\x00 b", "x y z")]
+    want, sums = collections.Counter(), phrases.Sums()
+    for size in (3, 0, 12, 1, 7):
+        keys = [names[i] for i in rng.permutation(len(names))[:size]]
+        counts = rng.integers(1, 2**32, size)
+        want.update(dict(zip(keys, counts.tolist())))
+        lengths = np.array([len(k) for k in keys], np.int64)
+        sums.add(*phrases.unpack_phrases(phrases.pack_phrases(lengths, counts, b"".join(keys))))
+    least = sorted(want.values())[2]
+    got = [r for b in sums.rows(least) for r in zip(*(b.column(c).to_pylist() for c in ("lang", "phrase", "words", "a")))]
+    split = {k: k.decode("latin-1").split("\xff") for k in want}
+    assert sorted(got) == sorted((*split[k], len(split[k][1].split(" ")), a) for k, a in want.items() if a >= least)
+    assert list(phrases.Sums().rows(0)) == []
+
+
+def test_summaries_with_counters_to_spare_make_no_error():
+    blocks = [np.arange(i, 900 + i, dtype=np.uint32) for i in range(0, 90, 9)]
+    plain, roomy = phrases.Summary(9000, 10), phrases.Summary(9000, 10, 1 << 10)
+    for b in blocks:
+        for s in (plain, roomy):
+            s.add(b, np.full(len(b), 2**31 if s is roomy and b[0] == 0 else 1))
+            s.merge()
+    assert plain.error > 0 and roomy.error == 0
+    held = dict(zip(roomy.keys.tolist(), roomy.counts.tolist()))
+    assert (held[0], held[89], held[500], held[980]) == (2**31, 2**31 + 9, 2**31 + 9, 1)
+
+
 # -------------------------------------------------------- vector codes
 
 def plain_codes(rows, parts=8, entries=16, rounds=6):
