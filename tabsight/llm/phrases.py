@@ -29,6 +29,7 @@ that hold products beyond 64 bits.
 
 from __future__ import annotations
 
+import ctypes
 from array import array
 from collections.abc import Iterator
 
@@ -180,6 +181,15 @@ def chunks(batches, longest: int, size: int = CHUNK, part: int = SLICE) -> Itera
         yield chunk
 
 
+def _give_back() -> None:
+    """Hand what Arrow and the C library keep for later back to the system:
+    between stages a worker waits beside a JVM that has work."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
+
+
 # ----------------------------------------------------------- summaries
 
 def pack_counts(keys: np.ndarray, counts: np.ndarray) -> bytes:
@@ -288,6 +298,7 @@ def _summaries(longest: int, bits: int, size: int):
                     "counts": pa.array([pack_counts(found[i:j], counts[i:j]) for i, j in zip(cut, cut[1:])],
                                        pa.binary())})
             del keys
+        _give_back()
     return run
 
 
@@ -314,6 +325,8 @@ def _merged(least: int):
                     summary.add(*unpack_counts(packed[i].as_buffer()))
         if summary is not None:
             yield done(now, summary)
+        summary = None
+        _give_back()
     return run
 
 
@@ -475,6 +488,7 @@ def _exact(shared, longest: int, size: int, bits: int):
         for chunk in chunks(batches, longest, size):
             yield from _counted(chunk, table, longest, bits)
             del chunk  # before the next one grows
+        _give_back()
     return run
 
 
@@ -529,6 +543,8 @@ def _summed(least: int):
                 sums.add(*unpack_phrases(packed[i].as_buffer()))
         if sums is not None:
             yield from sums.rows(0 if now == TOTALS else least)
+        sums = None
+        _give_back()
     return run
 
 
